@@ -251,6 +251,6 @@ def distillation_kl(scores: DataFrame, alpha: float = 1.0, key: str = "qid") ->
 
 def margin_report(scores: DataFrame) -> DataFrame:
     """Mean positive score, mean negative score and their difference. ``scores(score, is_pos)``."""
-    return scores.agg(F.avg(F.when("is_pos", F.col("score"))).alias("avg_pos"),
+    return scores.agg(F.avg(F.when(F.col("is_pos"), F.col("score"))).alias("avg_pos"),
                       F.avg(F.when(~F.col("is_pos"), F.col("score"))).alias("avg_neg")).withColumn(
         "margin", F.col("avg_pos") - F.col("avg_neg"))

@@ -109,10 +109,12 @@ def running_offsets(df: DataFrame, length: str, order_by: Sequence[str | Column]
     ``zip_index`` and the running sum is done per range partition plus broadcast partition totals,
     so no single task sees the whole table.
     """
+    integral = df.schema[length].dataType.typeName() in ("long", "integer", "short", "byte")
+    out_type = "long" if integral else "double"
     if partition_by:
         w = Window.partitionBy(*partition_by).orderBy(*_cols(order_by)).rowsBetween(
             Window.unboundedPreceding, -1)
-        return df.withColumn(offset_col, F.coalesce(F.sum(length).over(w), F.lit(0)).cast("long"))
+        return df.withColumn(offset_col, F.coalesce(F.sum(length).over(w), F.lit(0)).cast(out_type))
     s = df.orderBy(*_cols(order_by)).withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_part", F.shiftright(F.col("_mid"), 33))
     totals = s.groupBy("_part").agg(F.sum(length).alias("_tot"))
@@ -121,7 +123,7 @@ def running_offsets(df: DataFrame, length: str, order_by: Sequence[str | Column]
     wl = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     out = s.withColumn("_local", F.coalesce(F.sum(length).over(wl), F.lit(0)))
     out = out.join(F.broadcast(totals), "_part").withColumn(
-        offset_col, (F.col("_base") + F.col("_local")).cast("long"))
+        offset_col, (F.col("_base") + F.col("_local")).cast(out_type))
     return out.drop("_mid", "_part", "_local", "_base")
 
 
@@ -164,3 +166,24 @@ def fill_short_shard(batches: DataFrame, shard_col: str = "shard", batch_col: st
               .withColumn(batch_col, (F.col("_nb") + F.col("_c")).cast(batches.schema[batch_col].dataType))
               .drop("_nb", "_miss", "_c").withColumn("filled", F.lit(True)))
     return batches.withColumn("filled", F.lit(False)).unionByName(copies)
+
+
+def group_ranked(ranking: DataFrame, k: int, key: str = "qid", rank: str = "rank",
+                 fields: Sequence[str] = ("pid", "score"), out: str = "items") -> DataFrame:
+    """Grouped form of a ranking, ``items`` = array of ``struct(rank, *fields)`` in rank order.
+
+    Only the top ``k`` of each key are grouped, so a key holding a third of all rows still
+    yields a bounded array."""
+    top = ranking.filter(F.col(rank) <= k)
+    return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(rank), *[F.col(f) for f in fields])))
+                                .alias(out))
+
+
+def check_pregrouped(df: DataFrame, key: str, order: str) -> DataFrame:
+    """A21 (strict form): keys that come back after another key in ``order`` (input not grouped).
+    Distributed: each key's first/last position vs. the count of rows between them."""
+    span = df.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"),
+                               F.count(F.lit(1)).alias("_n"))
+    idx = zip_index(df.select(key, order), [order], "_i")
+    pos = idx.groupBy(key).agg(F.min("_i").alias("_a"), F.max("_i").alias("_b"), F.count(F.lit(1)).alias("_m"))
+    return pos.filter(F.col("_b") - F.col("_a") + 1 != F.col("_m")).select(key).join(span.select(key), key)
