@@ -14,3 +14,134 @@ def rerank_to_trec(scored: DataFrame, k: int, tag: str, qid: str = "qid", pid: s
     top = topk_per_query(scored.select(qid, pid, "score"), k, qid, "score", pid)
     return top.select(F.col(qid).cast("string").alias("qid"), F.lit("Q0").alias("q0"),
                       F.col(pid).cast("string").alias("docid"), F.col("rank"), F.col("score"), F.lit(tag).alias("tag"))
+
+
+# ---- three-stage search over the compressed index ---------------------------------------------
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from .index import Index, _stack, decompress  # noqa: E402
+from .vectors import maxsim, pack_vectors  # noqa: E402
+
+
+def search_tier(k: int, ncells: int | None = None, threshold: float | None = None,
+                ndocs: int | None = None) -> tuple[int, float, int]:
+    """V26 tiers (a pure function of k; explicit values override):
+    k<=10: 1 cell, 0.5, 256; k<=100: 2, 0.45, 1024; else 4, 0.4, max(4k, 4096)."""
+    # fixed values that must equal the reference's
+    if k <= 10:
+        t = (1, 0.5, 256)
+    elif k <= 100:
+        t = (2, 0.45, 1024)
+    else:
+        t = (4, 0.4, max(4 * k, 4096))
+    return (ncells if ncells is not None else t[0], threshold if threshold is not None else t[1],
+            ndocs if ndocs is not None else t[2])
+
+
+def probe_cells(qpacked: DataFrame, index: Index, ncells: int) -> DataFrame:
+    """Per query vector the ``ncells`` best centroids; distinct ``(qid, code)`` per query."""
+    spark = qpacked.sparkSession
+    bc = index.codec.broadcast(spark)
+    dim = index.codec.dim
+
+    def kernel(it):
+        C, _, _ = bc.value
+        for p in it:
+            rows = []
+            for qid, qv in zip(p["qid"], p["qvecs"]):
+                Q = _stack(pd.Series(list(qv)), dim)
+                S = Q @ C.T
+                n = min(ncells, C.shape[0])
+                # top cells per query vector, ties to the smaller code
+                order = np.lexsort((np.broadcast_to(np.arange(C.shape[0]), S.shape), -S), axis=1)[:, :n]
+                for code in np.unique(order):
+                    rows.append((qid, int(code)))
+            yield pd.DataFrame(rows, columns=["qid", "code"]).astype({"code": "int32"})
+
+    schema = T.StructType([qpacked.schema["qid"], T.StructField("code", T.IntegerType())])
+    return qpacked.select("qid", "qvecs").mapInPandas(kernel, schema)
+
+
+def generate_candidates(probes: DataFrame, ivf: DataFrame, salt: int = 8) -> DataFrame:
+    """Distinct ``(qid, pid)`` of the probed cells. Inverted lists are salted by pid so a
+    hot cell (a third of all passages) is spread over ``salt`` tasks; probes are replicated."""
+    ivf_s = ivf.withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(salt)))
+    pr = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    return pr.join(ivf_s, ["code", "_salt"]).select("qid", "pid").distinct()
+
+
+def filter_candidates(cands: DataFrame, allowed: DataFrame | None = None, predicate=None) -> DataFrame:
+    """Keep candidates in ``allowed(pid)`` (semi-join) and/or matching a Column predicate."""
+    out = cands
+    if allowed is not None:
+        out = out.join(allowed.select("pid").distinct(), "pid", "left_semi")
+    if predicate is not None:
+        out = out.filter(predicate)
+    return out
+
+
+def doc_codes(index: Index) -> DataFrame:
+    """Distinct codes per passage (bounded by the passage length)."""
+    return index.codes.groupBy("pid").agg(F.array_distinct(F.collect_list("code")).alias("codes"))
+
+
+def approx_scores(cands: DataFrame, qpacked: DataFrame, dcodes: DataFrame, index: Index,
+                  threshold: float | None) -> DataFrame:
+    """V23/V24 scores: centroid score of a code for a query vector = dot(centroid, q). With a
+    ``threshold``, only codes whose best score over the query's vectors reaches it are kept.
+    Score = sum over query vectors of the best kept code score; -9999 where none is kept."""
+    spark = cands.sparkSession
+    bc = index.codec.broadcast(spark)
+    dim = index.codec.dim
+    j = cands.join(qpacked, "qid").join(dcodes, "pid")
+    schema = T.StructType([j.schema["qid"], j.schema["pid"], T.StructField("approx", T.DoubleType())])
+
+    def kernel(it):
+        C, _, _ = bc.value
+        for p in it:
+            out = np.empty(len(p))
+            for i, (qv, codes) in enumerate(zip(p["qvecs"], p["codes"])):
+                Q = _stack(pd.Series(list(qv)), dim)
+                S = Q @ C[np.asarray(codes, np.int64)].T           # (nq, ncodes)
+                if threshold is not None:
+                    S = S[:, S.max(0) >= threshold]
+                out[i] = (S.max(1) if S.shape[1] else np.full(Q.shape[0], -9999.0)).sum()
+            yield pd.DataFrame({"qid": p["qid"], "pid": p["pid"], "approx": out})
+
+    return j.select("qid", "pid", "qvecs", "codes").mapInPandas(kernel, schema)
+
+
+SCORE_DIGITS = 10  # scores are rounded before ranking: equal scores then tie by pid on any engine
+
+
+def prune(scored: DataFrame, ndocs: int) -> DataFrame:
+    """Keep the ``ndocs`` best per query (ties by pid); never more than exist."""
+    scored = scored.withColumn("approx", F.round("approx", SCORE_DIGITS))
+    return topk_per_query(scored, ndocs, "qid", "approx", "pid", rank_col="_r").drop("_r")
+
+
+def rescore(survivors: DataFrame, qpacked: DataFrame, index: Index) -> DataFrame:
+    """Decompress the survivors' vectors and score them exactly with maxsim."""
+    toks = decompress(index.codes.join(survivors.select("pid").distinct(), "pid", "left_semi"), index.codec)
+    dpacked = pack_vectors(toks, "pid", "tok_pos", "embedding", "dvecs")
+    out = maxsim(survivors.select("qid", "pid"), qpacked, dpacked)
+    return out.withColumn("score", F.round("score", SCORE_DIGITS))
+
+
+def search_all(queries: DataFrame, index: Index, k: int, ncells: int | None = None, threshold: float | None = None,
+               ndocs: int | None = None, query_maxlen: int = 32, allowed: DataFrame | None = None) -> DataFrame:
+    """All queries in one set-based plan: probe cells -> candidates -> stage 1 (threshold,
+    ``ndocs``) -> stage 2 (all codes, ``ndocs/4``) -> decompress + maxsim -> top ``k``.
+    ``queries(qid, qtok, embedding)``; only the first ``query_maxlen`` vectors probe cells."""
+    nc, thr, nd = search_tier(k, ncells, threshold, ndocs)
+    qpacked = pack_vectors(queries.filter(F.col("qtok") < query_maxlen), "qid", "qtok", "embedding", "qvecs")
+    cands = generate_candidates(probe_cells(qpacked, index, nc), index.ivf)
+    cands = filter_candidates(cands, allowed)
+    dcodes = doc_codes(index)
+    s1 = prune(approx_scores(cands, qpacked, dcodes, index, thr), nd)
+    s2 = prune(approx_scores(s1.select("qid", "pid"), qpacked, dcodes, index, None), max(nd // 4, 1))
+    final = rescore(s2, qpacked, index)
+    return topk_per_query(final, k, "qid", "score", "pid")
