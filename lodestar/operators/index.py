@@ -40,12 +40,7 @@ class Codec:
         dense ``0..n-1`` (row ``i`` of the matrix is code ``i``)."""
         if getattr(self, "_arr", None) is not None:
             return self._arr
-        stats = self.centroids.agg(F.count(F.lit(1)).alias("n")).first()
-        nbytes = int(stats["n"]) * self.dim * 8
-        if nbytes > MAX_CODEC_BYTES:
-            raise ValueError(f"codec of {nbytes} bytes exceeds the broadcast bound {MAX_CODEC_BYTES}")
-        pdf = self.centroids.orderBy("code").toPandas()
-        C = np.stack([np.asarray(v, np.float64) for v in pdf["centroid"]]) if len(pdf) else np.zeros((0, self.dim))
+        C = _centroid_matrix(self.centroids, self.dim)
         b = self.buckets.first()
         self._arr = (C, np.asarray(b["cutoffs"], np.float64), np.asarray(b["weights"], np.float64))
         return self._arr
@@ -89,12 +84,13 @@ def train_centroids(sample: DataFrame, k: int, iters: int = 4, seed: int = 123,
 
 
 def centroids_from_labels(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Fixed codec for tests: one normalised mean vector per label (code = dense label rank)."""
-    ex = vectors.select(label, F.posexplode(F.col(vec).cast("array<double>")).alias("d", "x"))
-    mean = ex.groupBy(label, "d").agg(F.avg("x").alias("x"))
-    packed = mean.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("_s"))
-    packed = packed.select(F.col(label).cast("int").alias("code"), F.transform("_s", lambda s: s["x"]).alias("c"))
-    return packed.select("code", l2_normalize("c").alias("centroid"))
+    """Fixed codec for tests: one normalised mean vector per label (code = label, dense 0..n-1).
+    One pass: ``Summarizer.mean`` per label (vector aggregate, partial + final)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    feats = vectors.select(label, array_to_vector(F.col(vec).cast("array<double>")).alias("_f"))
+    mean = feats.groupBy(label).agg(Summarizer.mean(F.col("_f")).alias("_m"))
+    return mean.select(F.col(label).cast("int").alias("code"), l2_normalize(vector_to_array("_m")).alias("centroid"))
 
 
 def _assign(C: np.ndarray, X: np.ndarray, step: int = 1 << 14) -> np.ndarray:
@@ -134,7 +130,8 @@ def residual_values(vectors: DataFrame, centroids: DataFrame, dim: int, vec: str
             out["residual"] = list(R)
             yield out
 
-    return vectors.mapInPandas(kernel, schema)
+    from .vectors import spread_scan
+    return spread_scan(vectors).mapInPandas(kernel, schema)
 
 
 def residual_stats(residuals: DataFrame) -> DataFrame:
@@ -151,19 +148,58 @@ def bucket_table(residuals: DataFrame, nbits: int, approx: bool = False, accurac
     cuts = [i / m for i in range(1, m)]
     wts = [(i + 0.5) / m for i in range(m)]
     vals = residuals.select(F.explode("residual").alias("r"))
+    qs = cuts + wts                      # one aggregate for all quantiles
     if approx:
-        c = F.percentile_approx("r", cuts, accuracy)
-        w = F.percentile_approx("r", wts, accuracy)
+        allq = F.percentile_approx("r", qs, accuracy)
     else:
-        c = F.percentile("r", F.array(*[F.lit(x) for x in cuts]))
-        w = F.percentile("r", F.array(*[F.lit(x) for x in wts]))
+        allq = F.percentile("r", F.array(*[F.lit(x) for x in qs]))
     stats = residual_stats(residuals).agg(F.avg("avg_abs").alias("avg_residual"))
-    return vals.agg(c.cast("array<double>").alias("cutoffs"), w.cast("array<double>").alias("weights")).crossJoin(stats)
+    q = vals.agg(allq.cast("array<double>").alias("_q"))
+    return q.select(F.slice("_q", 1, len(cuts)).alias("cutoffs"), F.slice("_q", len(cuts) + 1, len(wts)).alias("weights")) \
+        .crossJoin(stats)
+
+
+def materialize_codec(codec: Codec) -> Codec:
+    """Read the (size-checked) codec once and rebuild it as small local tables, so later plans
+    neither recompute the training aggregates nor re-read them."""
+    C, _, _ = codec.arrays()
+    return _local_codec(codec.centroids.sparkSession, C, codec.buckets.first(), codec.nbits, codec.dim)
+
+
+def _local_codec(spark: SparkSession, C: np.ndarray, bk, nbits: int, dim: int) -> Codec:
+    cut = np.asarray(bk["cutoffs"], np.float64)
+    wts = np.asarray(bk["weights"], np.float64)
+    cent = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(C)], "code int, centroid array<double>")
+    bdf = spark.createDataFrame([([float(x) for x in cut], [float(x) for x in wts], float(bk["avg_residual"]))],
+                                "cutoffs array<double>, weights array<double>, avg_residual double")
+    out = Codec(cent, bdf, nbits, dim)
+    out._arr = (C, cut, wts)
+    return out
 
 
 def train_codec(heldout: DataFrame, centroids: DataFrame, nbits: int, dim: int, vec: str = "embedding") -> Codec:
-    res = residual_values(heldout.select(vec), centroids, dim, vec)
-    return Codec(centroids, bucket_table(res, nbits), nbits, dim)
+    """Codec from fixed or trained centroids: residual buckets over the held-out vectors.
+    The held-out residuals (bounded: at most 50,000 vectors) are computed once and all bucket
+    statistics come from one aggregate."""
+    spark = centroids.sparkSession
+    C = _centroid_matrix(centroids, dim)
+    cent = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(C)], "code int, centroid array<double>")
+    res = residual_values(heldout.select(vec), cent, dim, vec).persist()
+    try:
+        bk = bucket_table(res, nbits).first()
+    finally:
+        res.unpersist()
+    return _local_codec(spark, C, bk, nbits, dim)
+
+
+def _centroid_matrix(centroids: DataFrame, dim: int) -> np.ndarray:
+    """Bounded read of the centroids: at most ``MAX_CODEC_BYTES`` worth of rows (+1 to detect
+    overflow) ever reach the driver, in one job."""
+    max_rows = MAX_CODEC_BYTES // max(1, dim * 8)
+    pdf = centroids.orderBy("code").limit(max_rows + 1).toPandas()
+    if len(pdf) > max_rows:
+        raise ValueError("centroid matrix exceeds the broadcast bound")
+    return _stack(pdf["centroid"], dim)
 
 
 # ---- compression -------------------------------------------------------------------------------
@@ -213,7 +249,8 @@ def compress(tokens: DataFrame, codec: Codec, vec: str = "embedding", with_bucke
                 out["buckets"] = list(b)
             yield out
 
-    return tokens.mapInPandas(kernel, T.StructType(fields))
+    from .vectors import spread_scan
+    return spread_scan(tokens).mapInPandas(kernel, T.StructType(fields))
 
 
 def decompress(codes: DataFrame, codec: Codec, out: str = "embedding") -> DataFrame:
@@ -238,7 +275,8 @@ def decompress(codes: DataFrame, codec: Codec, out: str = "embedding") -> DataFr
             o[out] = list(V)
             yield o
 
-    return codes.select(*keys, "code", "residual").mapInPandas(kernel, schema)
+    from .vectors import spread
+    return spread(codes.select(*keys, "code", "residual")).mapInPandas(kernel, schema)
 
 
 def decompress_buckets_col(code_centroid: F.Column, buckets: F.Column, weights: F.Column) -> F.Column:
@@ -267,9 +305,15 @@ class Index:
     doclens: DataFrame    # pid, doclen
 
 
-def build_index(tokens: DataFrame, codec: Codec, vec: str = "embedding") -> Index:
-    """Encode (already-embedded) token vectors into an index: compress, lists, doclens."""
+def build_index(tokens: DataFrame, codec: Codec, vec: str = "embedding", materialize: bool = True) -> Index:
+    """Encode (already-embedded) token vectors into an index: compress, lists, doclens.
+    The codes table is checkpointed (written to the shared checkpoint folder) so the lists,
+    doclens and every later search read it instead of re-running compression."""
     codes = compress(tokens.select("pid", "tok_pos", vec), codec, vec)
+    if materialize:
+        cached = codes.persist()
+        codes = cached.checkpoint()   # reliable copy in spark.checkpoint.dir; lineage cut
+        cached.unpersist()
     ivf, _ = build_inverted_lists(codes, codec.centroids)
     return Index(codec, codes, ivf, doclens(codes))
 

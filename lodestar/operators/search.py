@@ -23,7 +23,7 @@ import pandas as pd  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from .index import Index, _stack, decompress  # noqa: E402
-from .vectors import maxsim, pack_vectors  # noqa: E402
+from .vectors import maxsim, pack_vectors, spread  # noqa: E402
 
 
 def search_tier(k: int, ncells: int | None = None, threshold: float | None = None,
@@ -52,7 +52,7 @@ def probe_cells(qpacked: DataFrame, index: Index, ncells: int) -> DataFrame:
         for p in it:
             rows = []
             for qid, qv in zip(p["qid"], p["qvecs"]):
-                Q = _stack(pd.Series(list(qv)), dim)
+                Q = np.asarray(qv, np.float64).reshape(-1, dim)
                 S = Q @ C.T
                 n = min(ncells, C.shape[0])
                 # top cells per query vector, ties to the smaller code
@@ -62,7 +62,7 @@ def probe_cells(qpacked: DataFrame, index: Index, ncells: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["qid", "code"]).astype({"code": "int32"})
 
     schema = T.StructType([qpacked.schema["qid"], T.StructField("code", T.IntegerType())])
-    return qpacked.select("qid", "qvecs").mapInPandas(kernel, schema)
+    return spread(qpacked.select("qid", "qvecs")).mapInPandas(kernel, schema)
 
 
 def generate_candidates(probes: DataFrame, ivf: DataFrame, salt: int = 8) -> DataFrame:
@@ -92,23 +92,36 @@ def approx_scores(cands: DataFrame, qpacked: DataFrame, dcodes: DataFrame, index
                   threshold: float | None) -> DataFrame:
     """V23/V24 scores: centroid score of a code for a query vector = dot(centroid, q). With a
     ``threshold``, only codes whose best score over the query's vectors reaches it are kept.
-    Score = sum over query vectors of the best kept code score; -9999 where none is kept."""
+    Score = sum over query vectors of the best kept code score; -9999 where none is kept.
+
+    Vectorised per query inside each Arrow batch: the query's centroid-score matrix is computed
+    once, then gathered for all its candidates' (padded) code lists."""
     spark = cands.sparkSession
     bc = index.codec.broadcast(spark)
     dim = index.codec.dim
-    j = cands.join(qpacked, "qid").join(dcodes, "pid")
+    j = spread(cands.select("qid", "pid"), "qid", "pid").join(qpacked, "qid").join(dcodes, "pid")
     schema = T.StructType([j.schema["qid"], j.schema["pid"], T.StructField("approx", T.DoubleType())])
 
     def kernel(it):
         C, _, _ = bc.value
         for p in it:
+            if len(p) == 0:
+                continue
             out = np.empty(len(p))
-            for i, (qv, codes) in enumerate(zip(p["qvecs"], p["codes"])):
-                Q = _stack(pd.Series(list(qv)), dim)
-                S = Q @ C[np.asarray(codes, np.int64)].T           # (nq, ncodes)
-                if threshold is not None:
-                    S = S[:, S.max(0) >= threshold]
-                out[i] = (S.max(1) if S.shape[1] else np.full(Q.shape[0], -9999.0)).sum()
+            for _, idx in p.groupby("qid", sort=False).indices.items():
+                Q = np.asarray(p["qvecs"].iat[idx[0]], np.float64).reshape(-1, dim)
+                CS = Q @ C.T                                              # (nq, ncent)
+                keep = CS.max(0) >= threshold if threshold is not None else np.ones(C.shape[0], bool)
+                lists = [np.asarray(p["codes"].iat[i], np.int64) for i in idx]
+                width = max(1, max(len(x) for x in lists))
+                codes = np.full((len(idx), width), -1, np.int64)
+                for r, x in enumerate(lists):
+                    codes[r, :len(x)] = x
+                valid = (codes >= 0) & keep[np.maximum(codes, 0)]           # (nrows, width)
+                G = CS[:, np.maximum(codes, 0)]                            # (nq, nrows, width)
+                G = np.where(valid[None, :, :], G, -np.inf).max(2)         # (nq, nrows)
+                G = np.where(np.isfinite(G), G, -9999.0)
+                out[idx] = G.sum(0)
             yield pd.DataFrame({"qid": p["qid"], "pid": p["pid"], "approx": out})
 
     return j.select("qid", "pid", "qvecs", "codes").mapInPandas(kernel, schema)
@@ -127,7 +140,7 @@ def rescore(survivors: DataFrame, qpacked: DataFrame, index: Index) -> DataFrame
     """Decompress the survivors' vectors and score them exactly with maxsim."""
     toks = decompress(index.codes.join(survivors.select("pid").distinct(), "pid", "left_semi"), index.codec)
     dpacked = pack_vectors(toks, "pid", "tok_pos", "embedding", "dvecs")
-    out = maxsim(survivors.select("qid", "pid"), qpacked, dpacked)
+    out = maxsim(survivors.select("qid", "pid"), qpacked, dpacked, index.codec.dim)
     return out.withColumn("score", F.round("score", SCORE_DIGITS))
 
 

@@ -25,6 +25,20 @@ MAX_GROUP_BYTES = 64 << 20      # broadcast bound for one query group (float64 m
 MAX_BLOCK_CELLS = 8 << 20       # scores held at once in one task: queries x documents
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Guarantee one task per core for a Python-heavy stage that follows. Rows are small here
+    (ids only); an explicit partition count is not coalesced away by AQE."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores (small files) is spread before numpy kernels; a large
+    scan already has many splits and is left alone (no shuffle)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _matrix(col: pd.Series) -> np.ndarray:
     if len(col) == 0:
         return np.zeros((0, 0))
@@ -108,7 +122,7 @@ def knn_flat(queries: DataFrame, docs: DataFrame, k: int, qkeys: Sequence[str] =
                 out["score"] = sc
                 yield pd.DataFrame(out)
 
-        results.append(docs.select(did, dvec).mapInPandas(kernel, out_schema))
+        results.append(spread_scan(docs.select(did, dvec)).mapInPandas(kernel, out_schema))
     if not results:
         return spark.createDataFrame([], out_schema.add("rank", T.LongType()))
     allr = results[0]
@@ -153,7 +167,7 @@ def count_scores_above(queries: DataFrame, docs: DataFrame, threshold_col: str,
             out["above"] = cnt
             yield pd.DataFrame(out)
 
-        parts.append(docs.select(dvec).mapInPandas(kernel, schema))
+        parts.append(spread_scan(docs.select(dvec)).mapInPandas(kernel, schema))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -171,50 +185,75 @@ def average_rank(questions: DataFrame, contexts: DataFrame) -> DataFrame:
 # ---- multi-vector (late interaction) -------------------------------------------------------------
 
 def pack_vectors(tokens: DataFrame, key: str, pos: str, vec: str = "embedding", out: str = "vecs") -> DataFrame:
-    """Doc/query token vectors packed in position order (bounded by the encoder's max length)."""
+    """A passage's (or query's) token vectors packed in position order into one flat
+    ``array<double>`` (``n_vectors * dim``; bounded by the encoder's max length). Flat arrays cross
+    to Arrow/numpy without per-vector objects; kernels reshape with the known ``dim``."""
     g = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(vec).alias("v")))).alias("_s"))
-    return g.select(key, F.transform("_s", lambda x: x["v"]).alias(out))
+    return g.select(key, F.flatten(F.transform("_s", lambda x: x["v"].cast("array<double>"))).alias(out))
+
 
+def vector_dim(df: DataFrame, vec: str = "embedding") -> int:
+    """The vector dimension (one scalar read)."""
+    return int(df.select(F.max(F.size(vec))).first()[0] or 0)
 
-def _maxsim_rows(qs, ds, variant: str, floor_zero: bool):
-    out = np.empty(len(qs))
-    for i, (q, d) in enumerate(zip(qs, ds)):
-        Q = np.stack([np.asarray(v, np.float64) for v in q])
-        D = np.stack([np.asarray(v, np.float64) for v in d]) if len(d) else np.zeros((0, Q.shape[1]))
-        if D.shape[0] == 0:
-            out[i] = 0.0
-            continue
+
+def _pad3(col, dim: int):
+    """flat packed vectors per row -> (n, L, dim) float64 + (n, L) mask."""
+    mats = [np.asarray(x, np.float64).reshape(-1, dim) for x in col]
+    L = max(1, max((m.shape[0] for m in mats), default=1))
+    out = np.zeros((len(mats), L, dim))
+    mask = np.zeros((len(mats), L), bool)
+    for i, m in enumerate(mats):
+        out[i, :m.shape[0]] = m
+        mask[i, :m.shape[0]] = True
+    return out, mask
+
+
+def _maxsim_rows(qs, ds, variant: str, floor_zero: bool, dim: int, chunk: int = 256):
+    """Vectorised maxsim for aligned (query, document) rows: padded 3-d products per chunk."""
+    n = len(qs)
+    out = np.zeros(n)
+    if n == 0:
+        return out
+    for s in range(0, n, chunk):
+        Q, qm = _pad3(qs[s:s + chunk], dim)
+        D, dm = _pad3(ds[s:s + chunk], dim)
         if variant == "l2":
-            S = -(((Q[:, None, :] - D[None, :, :]) ** 2).sum(-1))
+            S = 2 * np.einsum("nqd,nkd->nqk", Q, D) - (Q * Q).sum(-1)[:, :, None] - (D * D).sum(-1)[:, None, :]
         else:
-            S = Q @ D.T
-        m = S.max(1)
+            S = np.einsum("nqd,nkd->nqk", Q, D)
+        S = np.where(dm[:, None, :], S, -np.inf)
+        m = S.max(2)                                        # (n, Lq)
+        empty = ~dm.any(1)
         if floor_zero:
             m = np.maximum(m, 0.0)
+        m = np.where(qm, m, np.nan)
         if variant == "flipr":
-            first, rest = m[:64], m[64:]
-            total = np.sort(first)[::-1][:32].sum()
-            if len(rest) >= 8:
-                total += np.sort(rest)[::-1][:8].sum()
-            out[i] = total
+            res = np.zeros(m.shape[0])
+            for i in range(m.shape[0]):
+                row = m[i][qm[i]]
+                first, rest = row[:64], row[64:]
+                res[i] = np.sort(first)[::-1][:32].sum() + (np.sort(rest)[::-1][:8].sum() if len(rest) >= 8 else 0.0)
         else:
-            out[i] = m.sum()
+            res = np.nansum(m, 1)
+        res[empty] = 0.0
+        out[s:s + chunk] = res
     return out
 
 
-def maxsim(pairs: DataFrame, qpacked: DataFrame, dpacked: DataFrame, qid: str = "qid", pid: str = "pid",
+def maxsim(pairs: DataFrame, qpacked: DataFrame, dpacked: DataFrame, dim: int, qid: str = "qid", pid: str = "pid",
            variant: str = "colbert", floor_zero: bool = False) -> DataFrame:
     """V4/V5/V6: score of each ``(qid, pid)`` pair = sum over query vectors of the best document
     vector (dot for ``colbert``, minus squared distance for ``l2``; ``flipr`` keeps the top 32 of
     the first 64 query maxima plus the top 8 of the rest). ``qpacked(qid, qvecs)`` and
     ``dpacked(pid, dvecs)`` come from ``pack_vectors``; the product is numpy per Arrow batch."""
-    j = pairs.select(qid, pid).join(qpacked, qid).join(dpacked, pid)
+    j = spread(pairs.select(qid, pid), qid, pid).join(qpacked, qid).join(dpacked, pid)
     schema = T.StructType([j.schema[qid], j.schema[pid], T.StructField("score", T.DoubleType())])
 
     def kernel(it):
         for pdf in it:
             yield pd.DataFrame({qid: pdf[qid], pid: pdf[pid],
-                                "score": _maxsim_rows(pdf["qvecs"], pdf["dvecs"], variant, floor_zero)})
+                                "score": _maxsim_rows(list(pdf["qvecs"]), list(pdf["dvecs"]), variant, floor_zero, dim)})
 
     return j.select(qid, pid, "qvecs", "dvecs").mapInPandas(kernel, schema)
 

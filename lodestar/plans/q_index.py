@@ -19,15 +19,26 @@ def tokens(spark, d):
                     "embedding")
 
 
+_BUILT: dict = {}
+
+
 def codec(spark, d):
-    e = table(spark, d, "embeddings")
-    dim = e.select(F.max(F.size("embedding"))).first()[0]
-    cent = I.centroids_from_labels(e)
-    return I.train_codec(e.select("embedding"), cent, NBITS, int(dim))
+    """The trained codec for a table folder (trained once per session: an index artifact)."""
+    key = ("codec", id(spark), d)
+    if key not in _BUILT:
+        e = table(spark, d, "embeddings")
+        dim = e.select(F.max(F.size("embedding"))).first()[0]
+        cent = I.centroids_from_labels(e)
+        _BUILT[key] = I.train_codec(e.select("embedding"), cent, NBITS, int(dim))
+    return _BUILT[key]
 
 
 def index(spark, d):
-    return I.build_index(tokens(spark, d), codec(spark, d))
+    """The built (checkpointed) index for a table folder, built once per session."""
+    key = ("index", id(spark), d)
+    if key not in _BUILT:
+        _BUILT[key] = I.build_index(tokens(spark, d), codec(spark, d))
+    return _BUILT[key]
 
 
 def queries(spark, d):

@@ -125,7 +125,7 @@ def _maxsim(spark, d, variant):
     packed = V.pack_vectors(toks, "pid", "tp")
     cand = token_candidates(toks)
     return V.maxsim(cand, packed.withColumnRenamed("pid", "qid").withColumnRenamed("vecs", "qvecs"),
-                    packed.withColumnRenamed("vecs", "dvecs"), variant=variant)
+                    packed.withColumnRenamed("vecs", "dvecs"), V.vector_dim(toks), variant=variant)
 
 
 @register("V4_maxsim", f"WITH {_TOK}, {_SIMS} SELECT qid, pid, round(score, {R}) AS score FROM ms")
