@@ -88,6 +88,20 @@ def _nfd_udf(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfd_array_udf(s: pd.Series) -> pd.Series:
+    def one(arr):
+        if arr is None:
+            return None
+        return [x if x is None or x.isascii() else unicodedata.normalize("NFD", x) for x in arr]
+    return s.map(one)
+
+
+def nfd_array(c: str | Column) -> Column:
+    """P9 over an array of strings (Python UDFs cannot sit inside higher-order lambdas)."""
+    return _nfd_array_udf(_c(c))
+
+
 def nfd(c: str | Column) -> Column:
     """Unicode NFD (no Spark built-in). ASCII values are passed through without Python work
     by a JVM-side guard; only non-ASCII text crosses to the Arrow UDF."""

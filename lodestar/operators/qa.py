@@ -12,3 +12,128 @@ def table_level_hits(ranked: DataFrame, chunks: DataFrame, table_col: str = "tab
     an aggregate (one row per table), joined back on ``table_id``."""
     per_table = chunks.groupBy(table_col).agg(F.max(F.col(hit).cast("int")).alias("_th"))
     return ranked.join(per_table, table_col, "left").withColumn("table_hit", F.coalesce(F.col("_th"), F.lit(0)) == 1).drop("_th")
+
+
+# ---- encoder, retrieval results, answer matching ---------------------------------------------------
+
+import re  # noqa: E402
+
+import pandas as pd  # noqa: E402
+from pyspark.sql import Column  # noqa: E402
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType  # noqa: E402
+
+from ..functions.text import nfd, nfd_array, normalize_answer, tokenize  # noqa: E402
+
+HEX = "0123456789abcdef"
+
+
+def token_bucket(tok: Column, dim: int) -> Column:
+    """Bucket of a token for the built-in test encoder: first two hex digits of its md5, mod dim."""
+    m = F.md5(tok)
+    h = (F.instr(F.lit(HEX), F.substring(m, 1, 1)) - 1) * 16 + (F.instr(F.lit(HEX), F.substring(m, 2, 1)) - 1)
+    return (h % dim).cast("int")
+
+
+def hashed_bag_weights(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """V29 built-in test encoder (sparse form): lower-cased tokens hashed into ``dim`` buckets,
+    counts L2-normalised: ``(id, b, w)``. JVM-side: explode, group, one norm aggregate."""
+    toks = df.select(id_col, F.explode(tokenize(F.lower(F.col(text_col)))).alias("_t"))
+    counts = toks.groupBy(id_col, token_bucket(F.col("_t"), dim).alias("b")).agg(F.count(F.lit(1)).alias("_n"))
+    norms = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_nn"))
+    return counts.join(norms, id_col).select(id_col, "b", (F.col("_n") / F.col("_nn")).alias("w"))
+
+
+def encode_hashed_bag(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """V29 built-in test encoder (dense form): ``(id, embedding array<double>)`` of length ``dim``."""
+    w = hashed_bag_weights(df, id_col, text_col, dim)
+    g = w.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("_m"))  # <= dim entries
+    return g.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("embedding"))
+
+
+def results_with_passages(ranked: DataFrame, passages: DataFrame, pid: str = "pid") -> DataFrame:
+    """Ranked hits joined to their passage fields (equi-join on the id)."""
+    return ranked.join(passages, pid)
+
+
+def match_tokens(text: Column) -> Column:
+    """String-mode form of a text: NFD, tokens lower-cased, joined and padded by single spaces.
+    A token sequence occurs in a text exactly when its padded form is a substring of this."""
+    toks = tokenize(nfd(text), lower=True)
+    return F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+
+
+@F.pandas_udf(BooleanType())
+def _regex_any(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    import unicodedata
+
+    def one(text, pats):
+        if text is None or pats is None:
+            return False
+        t = unicodedata.normalize("NFD", text)
+        for p in pats:
+            try:
+                rx = re.compile(unicodedata.normalize("NFD", p), flags=re.IGNORECASE | re.UNICODE | re.MULTILINE)
+            except Exception:  # noqa: BLE001 - an invalid pattern is "no match"
+                continue
+            if rx.search(t):
+                return True
+        return False
+    return pd.Series([one(t, p) for t, p in zip(texts, patterns)])
+
+
+def answer_in_passage(pairs: DataFrame, mode: str = "string", text: str = "text", answers: str = "answers",
+                      out: str = "has_answer", empty_matches: bool = False) -> DataFrame:
+    """Does the passage hold any of the answers?
+
+    * ``string``: NFD, token sequence of the answer occurs in the passage tokens (lower-cased);
+    * ``regex``: any answer pattern found (NFD, case-insensitive, multiline); a bad pattern is no match;
+    * ``kilt``: normalised answer is a substring of the normalised passage (no NFD).
+    Answers with no tokens never match unless ``empty_matches``."""
+    if mode == "string":
+        pairs = pairs.withColumn("_doc", match_tokens(F.col(text))).withColumn("_ans", nfd_array(F.col(answers)))
+        ans = F.transform(F.col("_ans"), lambda a: F.array_join(tokenize(a, lower=True), " "))
+        hit = F.exists(ans, lambda a: (F.length(a) > 0) & F.col("_doc").contains(F.concat(F.lit(" "), a, F.lit(" "))))
+        if empty_matches:
+            hit = hit | F.exists(ans, lambda a: F.length(a) == 0)
+    elif mode == "kilt":
+        doc = normalize_answer(F.col(text))
+        ans = F.transform(F.col(answers), lambda a: normalize_answer(a))
+        hit = F.exists(ans, lambda a: ((F.length(a) > 0) | F.lit(empty_matches)) & doc.contains(a))
+    elif mode == "regex":
+        hit = _regex_any(F.col(text), F.col(answers))
+    else:
+        raise ValueError(f"unknown match type {mode}")
+    return pairs.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_doc", "_ans")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _spans(ids: pd.Series, ans: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(ids, ans):
+        a = list(a) if a is not None else []
+        b = list(b) if b is not None else []
+        m = len(b)
+        res = []
+        if m:
+            first = b[0]
+            for i in range(len(a) - m + 1):
+                if a[i] == first and a[i:i + m] == b:
+                    res.append({"start": i, "end": i + m - 1})
+        out.append(res)
+    return pd.Series(out)
+
+
+def answer_spans(ids: Column, answer_ids: Column) -> Column:
+    """Every occurrence of the answer's id sequence in ``ids``: ``array<struct<start,end>>``,
+    0-based, end inclusive (Arrow-batched helper; the scan per pair is sequential)."""
+    return _spans(ids, answer_ids)
+
+
+def exact_match_by_topk(preds: DataFrame, answers: DataFrame) -> DataFrame:
+    """``preds(qid, n, prediction)``, ``answers(qid, answer)``: per ``n`` the mean over
+    questions of the best exact match against any gold answer."""
+    from ..functions.text import exact_match
+    j = preds.join(answers, "qid")
+    best = j.groupBy("n", "qid").agg(F.max(exact_match(F.col("prediction"), F.col("answer")).cast("int")).alias("_em"))
+    return best.groupBy("n").agg(F.avg("_em").alias("em"))

@@ -84,10 +84,11 @@ def _query_groups(queries: DataFrame, keys: Sequence[str], vec: str, max_bytes:
 
 def knn_flat(queries: DataFrame, docs: DataFrame, k: int, qkeys: Sequence[str] = ("qid",), qvec: str = "embedding",
              did: str = "pid", dvec: str = "embedding", metric: str = "ip",
-             max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
+             max_group_bytes: int = MAX_GROUP_BYTES, score_digits: int | None = None) -> DataFrame:
     """V7 (and V34 with a filtered ``docs``): exact top-``k`` documents per query by inner product
     (``metric='ip'``) or by smallest euclidean distance (``'l2'``, score = -distance²).
-    Returns ``(*qkeys, did, score, rank)``; ties by document id."""
+    Returns ``(*qkeys, did, score, rank)``; ties by document id. ``score_digits`` rounds scores
+    before any comparison, so mathematically equal scores tie exactly (then by id)."""
     spark = docs.sparkSession
     qkeys = list(qkeys)
     out_schema = T.StructType([queries.schema[c] for c in qkeys] + [docs.schema[did],
@@ -108,6 +109,8 @@ def knn_flat(queries: DataFrame, docs: DataFrame, k: int, qkeys: Sequence[str] =
                 for s in range(0, len(pdf), step):
                     D, dids = D_all[s:s + step], dids_all[s:s + step]
                     S = _scores(Q, D, metric)
+                    if score_digits is not None:
+                        S = np.round(S, score_digits)
                     m = S.shape[1]
                     if m > k:
                         thr = np.partition(S, m - k, axis=1)[:, m - k]
