@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def background_text(lists: DataFrame, passages: DataFrame, extra_key: str | None = None) -> DataFrame:
@@ -14,3 +15,164 @@ def background_text(lists: DataFrame, passages: DataFrame, extra_key: str | None
     j = lk.join(passages, keys)
     g = j.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "passage"))).alias("_p"))
     return g.select("qid", F.array_join(F.transform("_p", lambda x: x["passage"]), " [SEP] ").alias("background"))
+
+
+def training_pairs(qrels: DataFrame, queries: DataFrame, metadata: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Judged pairs ``qrels(qid, did, rel)`` with the query text and both documents of the
+    dataset (inner joins). Also returns the keys that are missing on some side (``left_anti``),
+    which the reference treats as an error."""
+    j = (qrels.join(queries, "qid").join(metadata.withColumnRenamed("document", "metadata"), "did")
+         .join(content.withColumnRenamed("document", "content"), "did"))
+    missing = qrels.join(j.select("qid", "did"), ["qid", "did"], "left_anti")
+    return j, missing
+
+
+def unannotated(datasets: DataFrame, judged: DataFrame, key: str) -> DataFrame:
+    """Datasets never judged (left anti)."""
+    return datasets.join(judged.select(key).distinct(), key, "left_anti")
+
+
+def restrict_to_judged(rows: DataFrame, judged: DataFrame, key: str) -> DataFrame:
+    """Rows whose id was judged (left semi)."""
+    return rows.join(judged.select(key).distinct(), key, "left_semi")
+
+
+def frequent_token_generator(docs: DataFrame, id_col: str, text_col: str, n: int = 3, min_len: int = 4) -> DataFrame:
+    """D2 built-in test generator: the ``n`` most frequent lower-cased tokens (length >= min_len;
+    ties alphabetical) form the pseudo query; ``loss = 1/(1+count of the top token)``."""
+    from ..functions.text import tokenize
+    from .ranking import topk_per_query
+    t = docs.select(id_col, F.explode(tokenize(F.lower(F.col(text_col)))).alias("tok")).filter(F.length("tok") >= min_len)
+    c = t.groupBy(id_col, "tok").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+    top = topk_per_query(c, n, id_col, "cnt", "tok", rank_col="_r")
+    g = top.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_r", "tok", "cnt"))).alias("_s"))
+    return g.select(id_col, F.array_join(F.transform("_s", lambda x: x["tok"]), " ").alias("prediction"),
+                    (1.0 / (1.0 + F.col("_s")[0]["cnt"])).alias("loss"))
+
+
+def confidence_filter(preds: DataFrame, threshold: float) -> DataFrame:
+    """D3: drop a prediction when ``threshold > 0 and loss > threshold``."""
+    if threshold > 0:
+        return preds.filter(~(F.col("loss") > threshold))
+    return preds
+
+
+def pseudo_pairs(preds: DataFrame, id_col: str) -> DataFrame:
+    """``(dataset_id, prediction)`` -> training pair ``(query, positive_id)``."""
+    return preds.select(F.col("prediction").alias("query"), F.col(id_col).alias("positive_id"))
+
+
+def mine_from_ranking(hits: DataFrame, key: str = "qid", order: str = "rank", positive: str = "has_answer",
+                      min_each: int = 10, max_neg: int = 30) -> DataFrame:
+    """Walk the hits in order; stop before a hit once ``(pos >= min_each and neg >= min_each)
+    or neg >= max_neg`` (counts of earlier hits); a hit with the answer is a positive, else a hard
+    negative. The counts only grow, so 'before the first stop' = 'rule false on this row'."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.coalesce(F.sum(F.col(positive).cast("int")).over(w), F.lit(0))
+    neg = F.coalesce(F.sum((~F.col(positive)).cast("int")).over(w), F.lit(0))
+    x = hits.withColumn("_p", pos).withColumn("_n", neg)
+    stop = ((F.col("_p") >= min_each) & (F.col("_n") >= min_each)) | (F.col("_n") >= max_neg)
+    return x.filter(~stop).drop("_p", "_n")
+
+
+def make_triples(ranking: DataFrame, max_best: int, max_depth: int, depth: int) -> DataFrame:
+    """D8 (inferred contract): positives = label 1 within ``max_depth``, at most ``max_best`` (by
+    rank); negatives = label 0 within ``depth``; triples = positives x negatives of a query
+    (bounded: ``max_best * depth`` per query)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("qid").orderBy("rank")
+    pos = ranking.filter((F.col("label") == 1) & (F.col("rank") <= max_depth)).withColumn("_r", F.row_number().over(w)) \
+        .filter(F.col("_r") <= max_best).select("qid", F.col("pid").alias("pos"))
+    neg = ranking.filter((F.col("label") == 0) & (F.col("rank") <= depth)).select("qid", F.col("pid").alias("neg"))
+    return pos.join(neg, "qid")
+
+
+def compose_batch(samples: DataFrame, num_hard: int, num_other: int, batch: str = "batch") -> DataFrame:
+    """Per sample the first positive, ``num_other`` negatives and ``num_hard`` hard negatives
+    (falling back to the first negatives when there are no hard ones). Context indexes inside the
+    batch: positive at the sample's offset, hard negatives right after its plain negatives.
+    ``samples(batch, qid, positives, negatives, hard_negatives)`` with ordered id arrays."""
+    from .ranking import running_offsets
+    hard = F.when(F.size("hard_negatives") == 0, F.slice("negatives", 1, num_hard)).otherwise(
+        F.slice("hard_negatives", 1, num_hard))
+    s = samples.select(batch, "qid", F.col("positives")[0].alias("positive"),
+                       F.slice("negatives", 1, num_other).alias("negs"), hard.alias("hards"))
+    s = s.withColumn("_n", (1 + F.size("negs") + F.size("hards")).cast("long"))
+    s = running_offsets(s, "_n", ["qid"], partition_by=[batch], offset_col="positive_idx")
+    start = F.col("positive_idx") + 1 + F.size("negs")
+    return s.withColumn("hard_idx", F.transform("hards", lambda x, i: start + i)).drop("_n")
+
+
+def teacher_examples(scores: DataFrame, nway: int) -> DataFrame:
+    """Per query the ``nway`` best ``(pid, score)`` in score order (n-way example shape)."""
+    from .ranking import topk_per_query
+    top = topk_per_query(scores, nway, "qid", "score", "pid", rank_col="_r")
+    return top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_r", "pid", "score"))).alias("_s")).select(
+        "qid", F.transform("_s", lambda x: F.struct(x["pid"].alias("pid"), x["score"].alias("score"))).alias("pids"))
+
+
+def resolve_examples(examples: DataFrame, queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """``examples(qid, pids array<struct<pid,score>>)`` -> query text and passage texts in the
+    example's order (posexplode, join, ordered regroup; an example is bounded by n-way)."""
+    ex = examples.select("qid", F.posexplode("pids").alias("pos", "p")).select("qid", "pos", F.col("p.pid").alias("pid"),
+                                                                              F.col("p.score").alias("score"))
+    j = ex.join(passages, "pid")
+    g = j.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "passage", "score"))).alias("_s"))
+    return g.join(queries, "qid").select("qid", "query", F.transform("_s", lambda x: x["passage"]).alias("passages"),
+                                         F.transform("_s", lambda x: x["score"]).alias("scores"))
+
+
+def canonical_question(rows: DataFrame, mapping: DataFrame, q: str = "question") -> DataFrame:
+    """Replace a question by its canonical form when the mapping has one (left join)."""
+    return rows.join(mapping, q, "left").withColumn(q + "_canonical", F.coalesce(F.col("canonical"), F.col(q))).drop("canonical")
+
+
+def chunk_of_pid(pids: DataFrame, chunks: DataFrame, pid: str = "pid") -> DataFrame:
+    """J13 (range join): chunk with ``offset <= pid < offset + n``; a pid in no chunk gets null
+    (the reference raises). The chunk table is small (one row per chunk of 25,000 passages) and
+    sorted once; each task binary-searches it (``np.searchsorted``) instead of a nested loop."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    spark = pids.sparkSession
+    pdf = chunks.select("chunk", "offset", "n").orderBy("offset").toPandas()
+    bc = spark.sparkContext.broadcast((pdf["offset"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64),
+                                       pdf["chunk"].to_numpy(np.int64)))
+    schema = T.StructType(list(pids.schema.fields) + [T.StructField("chunk", T.LongType())])
+
+    def kernel(it):
+        off, n, ch = bc.value
+        for p in it:
+            x = p[pid].to_numpy(np.int64)
+            i = np.searchsorted(off, x, side="right") - 1
+            ok = (i >= 0) & (x < off[np.maximum(i, 0)] + n[np.maximum(i, 0)])
+            p = p.copy()
+            p["chunk"] = pd.array(np.where(ok, ch[np.maximum(i, 0)], 0), dtype="Int64")
+            p.loc[~ok, "chunk"] = pd.NA
+            yield p
+
+    return pids.mapInPandas(kernel, schema)
+
+
+@F.pandas_udf(DoubleType())
+def overlap_scorer(queries, passages):
+    """J16 built-in test scorer (a user scorer has the same shape: two text Series -> scores):
+    number of distinct lower-cased tokens shared by query and passage."""
+    import pandas as pd
+    import regex
+    pat = regex.compile(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]")
+    out = []
+    for q, p in zip(queries, passages):
+        if q is None or p is None:
+            out.append(None)
+            continue
+        out.append(float(len({t.lower() for t in pat.findall(q)} & {t.lower() for t in pat.findall(p)})))
+    return pd.Series(out)
+
+
+def score_pairs(pairs: DataFrame, queries: DataFrame, passages: DataFrame, scorer=overlap_scorer) -> DataFrame:
+    """Query and passage text per ``(qid, pid)`` pair, scored by a batch scorer (Arrow
+    batches, ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows each); order-free output."""
+    j = pairs.join(queries, "qid").join(passages, "pid")
+    return j.select("qid", "pid", scorer(F.col("query"), F.col("passage")).alias("score"))
