@@ -254,3 +254,90 @@ def margin_report(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg(F.when(F.col("is_pos"), F.col("score"))).alias("avg_pos"),
                       F.avg(F.when(~F.col("is_pos"), F.col("score"))).alias("avg_neg")).withColumn(
         "margin", F.col("avg_pos") - F.col("avg_neg"))
+
+
+def rouge_tokens(c) -> "Column":
+    """Tokens for ROUGE: lower-case, every run of characters other than a-z/0-9 is a separator."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda t: t != "")
+
+
+def _ngram_counts(df: DataFrame, key: str, tokens: str, n: int, side: str) -> DataFrame:
+    toks = F.col(tokens)
+    grams = F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(0), F.size(toks) - n),
+                                                  lambda i: F.array_join(F.slice(toks, i + 1, n), " "))).otherwise(F.array())
+    return df.select(key, F.explode(grams).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(side))
+
+
+def rouge_n(pairs: DataFrame, n: int, key: str = "id", pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """A13 (ROUGE-1/2): per pair, F-measure x100 of the n-gram multiset overlap
+    (``sum(min(count_pred, count_ref))``). Distributed: explode n-grams, group, join by (pair, gram)."""
+    p = pairs.select(key, rouge_tokens(F.col(pred)).alias("_p"), rouge_tokens(F.col(ref)).alias("_r"))
+    cp = _ngram_counts(p, key, "_p", n, "cp")
+    cr = _ngram_counts(p, key, "_r", n, "cr")
+    ov = cp.join(cr, [key, "g"]).groupBy(key).agg(F.sum(F.least("cp", "cr")).alias("_ov"))
+    lens = p.select(key, F.greatest(F.size("_p") - n + 1, F.lit(0)).alias("_lp"), F.greatest(F.size("_r") - n + 1, F.lit(0)).alias("_lr"))
+    j = lens.join(ov, key, "left").fillna(0, ["_ov"])
+    prec = F.when(F.col("_lp") > 0, F.col("_ov") / F.col("_lp")).otherwise(0.0)
+    rec = F.when(F.col("_lr") > 0, F.col("_ov") / F.col("_lr")).otherwise(0.0)
+    f = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0) * 100
+    return j.select(key, f.alias(f"rouge{n}"))
+
+
+def _lcs_udf():
+    import pandas as pd
+    from pyspark.sql.types import DoubleType
+
+    @F.pandas_udf(DoubleType())
+    def lcs_f(a, b):
+        import numpy as np
+        out = []
+        for x, y in zip(a, b):
+            x = list(x) if x is not None else []
+            y = list(y) if y is not None else []
+            if not x or not y:
+                out.append(0.0)
+                continue
+            prev = np.zeros(len(y) + 1, np.int32)
+            for t in x:
+                cur = np.zeros_like(prev)
+                for j, u in enumerate(y, 1):
+                    cur[j] = prev[j - 1] + 1 if t == u else max(prev[j], cur[j - 1])
+                prev = cur
+            lcs = prev[-1]
+            p, r = lcs / len(x), lcs / len(y)
+            out.append(0.0 if lcs == 0 else 100 * 2 * p * r / (p + r))
+        return pd.Series(out)
+    return lcs_f
+
+
+def rouge_l(pairs: DataFrame, key: str = "id", pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """A13 (ROUGE-L): F-measure x100 from the longest common subsequence (dynamic programme per
+    pair in an Arrow-batched helper; pairs are independent rows)."""
+    return pairs.select(key, _lcs_udf()(rouge_tokens(F.col(pred)), rouge_tokens(F.col(ref))).alias("rougeL"))
+
+
+def marginal_span_nll(losses: DataFrame) -> DataFrame:
+    """``losses(qid, passage, slot, loss)``: per (question, answer slot) the max over passages;
+    per question ``-log(sum over slots of exp(-loss))`` ignoring zero losses (log 1 when nothing
+    is left); summed over questions."""
+    m = losses.groupBy("qid", "slot").agg(F.max("loss").alias("_l"))
+    ml = m.groupBy("qid").agg(F.sum(F.when(F.col("_l") != 0, F.exp(-F.col("_l"))).otherwise(0.0)).alias("_ml"))
+    return ml.agg(F.sum(-F.log(F.when(F.col("_ml") == 0, F.lit(1.0)).otherwise(F.col("_ml")))).alias("span_nll"))
+
+
+def inbatch_multivector_loss(scores: DataFrame, nway: int) -> DataFrame:
+    """``scores(batch, qidx, pidx, score)`` with passages ``pidx = nway*q + j`` of query q
+    (j = 0 is its positive). For query q the other passages of its own group are left out; its
+    positive and every other query's passages stay; loss = logsumexp(kept) - score(own positive)."""
+    own = F.floor(F.col("pidx") / nway) == F.col("qidx")
+    kept = scores.filter(~own | (F.col("pidx") == F.col("qidx") * nway))
+    lse = logsumexp_by(kept, ["batch", "qidx"], "score")
+    pos = scores.filter(F.col("pidx") == F.col("qidx") * nway).select("batch", "qidx", F.col("score").alias("_s"))
+    return lse.join(pos, ["batch", "qidx"]).select("batch", "qidx", (F.col("lse") - F.col("_s")).alias("loss"))
+
+
+def reader_prep_stats(samples: DataFrame) -> DataFrame:
+    """Samples without positives, and samples with a positive taken from the gold passage
+    (score = -1). ``samples(qid, positives array<struct<pid, score>>)``."""
+    return samples.agg(F.sum((F.size("positives") == 0).cast("long")).alias("no_positive"),
+                       F.sum(F.exists("positives", lambda p: p["score"] == -1).cast("long")).alias("positives_from_gold"))
