@@ -204,9 +204,10 @@ def pad_or_cut(ids: Column, maxlen: int, pad, sep) -> Column:
 
 
 def segment_ids(ids: Column, sep) -> Column:
-    """P20: 0 up to and including the first ``sep``, 1 after."""
+    """P20: 0 up to and including the first ``sep``, 1 after (no sep: all 0). Linear: two repeats."""
     first = F.array_position(ids, F.lit(sep))
-    return F.transform(ids, lambda x, i: F.when((first > 0) & (i + 1 > first), 1).otherwise(0))
+    n0 = F.when(first > 0, first).otherwise(F.size(ids)).cast("int")
+    return F.concat(F.array_repeat(F.lit(0), n0), F.array_repeat(F.lit(1), (F.size(ids) - n0).cast("int")))
 
 
 def pair_concat(q_ids: Column, p_ids: Column) -> Column:
@@ -250,9 +251,10 @@ def table_text_for_match(rows: Column, caption: Column | None = None) -> Column:
 
 
 def mask_target_padding(ids: Column, end_id) -> Column:
-    """Label ids after the first ``end_id`` become -100."""
+    """Label ids after the first ``end_id`` become -100 (linear: slice + repeat)."""
     pos = F.array_position(ids, F.lit(end_id))
-    return F.transform(ids, lambda x, i: F.when((pos > 0) & (i + 1 > pos), F.lit(-100)).otherwise(x))
+    keep = F.when(pos > 0, pos).otherwise(F.size(ids)).cast("int")
+    return F.concat(F.slice(ids, 1, keep), F.array_repeat(F.lit(-100), (F.size(ids) - keep).cast("int")))
 
 
 def ragged_pad(arr: Column, maxlen: Column, pad) -> Column:

@@ -36,9 +36,12 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def l2_normalize(a: str | Column) -> Column:
-    """V3: ``a / |a|`` (a zero vector stays zero)."""
-    n = norm(a)
-    return F.transform(as_double(a), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    """V3: ``a / |a|`` (a zero vector stays zero). The norm is the accumulator of ``aggregate``
+    and is used in its finish function, so it is computed once per vector (a norm column used
+    inside a lambda would be inlined and recomputed per element)."""
+    v = as_double(a)
+    return F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x,
+                       lambda acc: F.transform(v, lambda x: F.when(acc > 0, x / F.sqrt(acc)).otherwise(F.lit(0.0))))
 
 
 def sq_l2(a: str | Column, b: str | Column) -> Column:

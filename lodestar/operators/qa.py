@@ -34,29 +34,24 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return (h % dim).cast("int")
 
 
-def _bag(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    """Per id: ``(b, n)`` bucket counts (at most ``dim`` entries) and their L2 norm, one pass."""
-    toks = df.select(id_col, F.explode(tokenize(F.lower(F.col(text_col)))).alias("_t"))
-    counts = toks.groupBy(id_col, token_bucket(F.col("_t"), dim).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    g = counts.groupBy(id_col).agg(F.collect_list(F.struct("b", "n")).alias("_bn"))          # <= dim entries
-    return g.withColumn("_nn", F.sqrt(F.aggregate("_bn", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"])))
-
-
 def hashed_bag_weights(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """V29 built-in test encoder (sparse form): lower-cased tokens hashed into ``dim`` buckets,
-    counts L2-normalised: ``(id, b, w)``. JVM-side: explode, two grouped aggregates."""
-    g = _bag(df, id_col, text_col, dim)
-    return g.select(id_col, "_nn", F.explode("_bn").alias("x")).select(
-        id_col, F.col("x.b").alias("b"), (F.col("x.n") / F.col("_nn")).alias("w"))
+    counts L2-normalised: ``(id, b, w)``. JVM-side: explode, one aggregate, a per-id window
+    over at most ``dim`` rows for the norm (no lambdas: Catalyst would inline a norm computed
+    outside a lambda into every element)."""
+    from pyspark.sql import Window
+    toks = df.select(id_col, F.explode(tokenize(F.lower(F.col(text_col)))).alias("_t"))
+    counts = toks.groupBy(id_col, token_bucket(F.col("_t"), dim).alias("b")).agg(F.count(F.lit(1)).alias("_n"))
+    norm = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(id_col)))
+    return counts.select(id_col, "b", (F.col("_n") / norm).alias("w"))
 
 
 def encode_hashed_bag(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """V29 built-in test encoder (dense form): ``(id, embedding array<double>)`` of length ``dim``."""
-    g = _bag(df, id_col, text_col, dim)
-    m = F.map_from_entries(F.transform("_bn", lambda x: F.struct(x["b"], x["n"] / F.col("_nn"))))
-    g = g.withColumn("_m", m)
+    w = hashed_bag_weights(df, id_col, text_col, dim)
+    g = w.groupBy(id_col).agg(F.collect_list(F.struct("b", "w")).alias("_bw"))      # <= dim entries
     return g.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("embedding"))
+                                        lambda i: F.coalesce(F.element_at(F.map_from_entries("_bw"), i), F.lit(0.0))).alias("embedding"))
 
 
 def results_with_passages(ranked: DataFrame, passages: DataFrame, pid: str = "pid") -> DataFrame:
