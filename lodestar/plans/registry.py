@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module (each registers itself)."""
-    from . import q_index, q_io, q_maint, q_metrics, q_qa, q_ranking, q_reader, q_text, q_vectors, q_weak  # noqa: F401
+    from . import q_index, q_io, q_maint, q_metrics, q_qa, q_ranking, q_reader, q_tables, q_text, q_vectors, q_weak  # noqa: F401
