@@ -65,8 +65,6 @@ def extract_tables_one(doc_id, tokens, title, table_tags=("table",), row_tags=("
                     if t["cell"] is not None:
                         t["row"].append(" ".join(t["cell"]))
                     t["rows"].append(t["row"])
-                if t["extra"]:
-                    t["caption"] = (t["caption"] + " " + " ".join(t["extra"])).strip()
                 non_empty = [r for r in t["rows"] if len(", ".join(r)) > 1]
                 if len(non_empty) > 1:
                     out.append({"table_id": t["table_id"], "parent_table_id": t["parent"], "caption": t["caption"],
@@ -95,8 +93,8 @@ def extract_tables_one(doc_id, tokens, title, table_tags=("table",), row_tags=("
             t = stack[-1]
             if t["cell"] is not None:
                 t["cell"].append(tok)
-            else:
-                t["extra"].append(tok)        # text outside rows goes to the caption
+            else:                             # text outside rows goes to the caption
+                t["caption"] = (t["caption"] + " " + tok).strip()
     return out
 
 

@@ -96,7 +96,7 @@ def st1(spark, d):
 @register("ST2_stream_metrics", B.with_ctes(B.SQL_RANKING_EVENTS) + """, lab AS (SELECT r.qid, r.rank, CASE WHEN e.event_type = 'purchase' THEN 1 ELSE 0 END AS label
   FROM ranking r JOIN events e ON r.pid = e.event_id),
 a AS (SELECT qid, MIN(CASE WHEN label = 1 THEN rank END) AS f, SUM(CASE WHEN label = 1 AND rank <= 10 THEN 1 ELSE 0 END) AS h, SUM(label) AS n FROM lab GROUP BY qid)
-SELECT qid, round(CASE WHEN f <= 10 THEN 1.0 / f ELSE 0 END, 6) AS mrr_10, CASE WHEN f <= 10 THEN 1.0 ELSE 0 END AS success_10,
+SELECT qid, round(CASE WHEN f <= 10 THEN 1.0 / f ELSE 0 END, 6) AS mrr_10, CAST(CASE WHEN f <= 10 THEN 1.0 ELSE 0 END AS DOUBLE) AS success_10,
  round(CASE WHEN n > 0 THEN h * 1.0 / n ELSE 0 END, 6) AS recall_10 FROM a""")
 def st2(spark, d):
     from ..streaming.metrics_stream import current_metrics, stream_metrics

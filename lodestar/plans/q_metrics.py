@@ -84,8 +84,8 @@ agg AS (SELECT qid, MIN(rank) AS f, SUM(CASE WHEN rank <= 10 THEN 1 ELSE 0 END)
 ng AS (SELECT qid, COUNT(*) AS n FROM (SELECT DISTINCT qid, pid FROM gold) GROUP BY qid),
 per AS (SELECT q.qid,
           CASE WHEN a.f <= 10 THEN 1.0 / a.f ELSE 0 END AS mrr_10,
-          CASE WHEN a.f <= 5 THEN 1.0 ELSE 0 END AS success_5,
-          CASE WHEN a.f <= 10 THEN 1.0 ELSE 0 END AS success_10,
+          CAST(CASE WHEN a.f <= 5 THEN 1.0 ELSE 0 END AS DOUBLE) AS success_5,
+          CAST(CASE WHEN a.f <= 10 THEN 1.0 ELSE 0 END AS DOUBLE) AS success_10,
           CASE WHEN ng.n > 0 THEN COALESCE(a.h10, 0) * 1.0 / ng.n ELSE 0 END AS recall_10
         FROM queries q LEFT JOIN agg a ON q.qid = a.qid LEFT JOIN ng ON q.qid = ng.qid)
 """
