@@ -40,7 +40,9 @@ def hashed_bag_weights(df: DataFrame, id_col: str, text_col: str, dim: int = 64)
     over at most ``dim`` rows for the norm (no lambdas: Catalyst would inline a norm computed
     outside a lambda into every element)."""
     from pyspark.sql import Window
-    toks = df.select(id_col, F.explode(tokenize(F.lower(F.col(text_col)))).alias("_t"))
+
+    from .vectors import spread_scan
+    toks = spread_scan(df.select(id_col, text_col)).select(id_col, F.explode(tokenize(F.lower(F.col(text_col)))).alias("_t"))
     counts = toks.groupBy(id_col, token_bucket(F.col("_t"), dim).alias("b")).agg(F.count(F.lit(1)).alias("_n"))
     norm = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(id_col)))
     return counts.select(id_col, "b", (F.col("_n") / norm).alias("w"))
@@ -93,6 +95,8 @@ def answer_in_passage(pairs: DataFrame, mode: str = "string", text: str = "text"
     * ``regex``: any answer pattern found (NFD, case-insensitive, multiline); a bad pattern is no match;
     * ``kilt``: normalised answer is a substring of the normalised passage (no NFD).
     Answers with no tokens never match unless ``empty_matches``."""
+    from .vectors import spread
+    pairs = spread(pairs)   # text work per pair: one task per core even when the pair list is small
     if mode == "string":
         pairs = pairs.withColumn("_doc", match_tokens(F.col(text))).withColumn("_ans", nfd_array(F.col(answers)))
         ans = F.transform(F.col("_ans"), lambda a: F.array_join(tokenize(a, lower=True), " "))

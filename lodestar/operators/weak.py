@@ -42,7 +42,9 @@ def frequent_token_generator(docs: DataFrame, id_col: str, text_col: str, n: int
     ties alphabetical) form the pseudo query; ``loss = 1/(1+count of the top token)``."""
     from ..functions.text import tokenize
     from .ranking import topk_per_query
-    t = docs.select(id_col, F.explode(tokenize(F.lower(F.col(text_col)))).alias("tok")).filter(F.length("tok") >= min_len)
+    from .vectors import spread_scan
+    t = spread_scan(docs.select(id_col, text_col)).select(id_col, F.explode(tokenize(F.lower(F.col(text_col)))).alias("tok")) \
+        .filter(F.length("tok") >= min_len)
     c = t.groupBy(id_col, "tok").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
     top = topk_per_query(c, n, id_col, "cnt", "tok", rank_col="_r")
     g = top.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_r", "tok", "cnt"))).alias("_s"))

@@ -27,7 +27,9 @@ def sql_norm_answer(x: str) -> str:
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    """Documents for per-row text work; a scan with fewer splits than cores is spread first."""
+    from ..operators.vectors import spread_scan
+    return spread_scan(table(spark, d, "documents"))
 
 
 @register("P1_strip_control", "SELECT doc_id, replace(replace(replace(text, chr(13), ' '), chr(10), ' '), chr(9), ' ') AS t FROM documents")
