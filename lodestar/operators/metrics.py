@@ -37,16 +37,15 @@ def ndcg_cut(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = (5, 10)) -> D
         "g", F.greatest(F.coalesce(F.col("rel"), F.lit(0)), F.lit(0)).cast("double") / _log2(F.col("rank") + 1))
     dcg = gains.groupBy("qid").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("g")).otherwise(0.0)).alias(f"dcg{k}")
                                      for k in ks])
-    ideal_rows = topk_per_query(qrels.filter(F.col("rel") > 0).select("qid", "docid", "rel"), kmax,
-                                "qid", "rel", "docid", rank_col="irank")
+    # ideal ranking over every judged document (rel <= 0 adds nothing); its per-query rows also
+    # give the set of judged queries, so qrels is read once for both
+    ideal_rows = topk_per_query(qrels.select("qid", "docid", "rel"), kmax, "qid", "rel", "docid", rank_col="irank")
     idcg = ideal_rows.groupBy("qid").agg(
-        *[F.sum(F.when(F.col("irank") <= k, F.col("rel") / _log2(F.col("irank") + 1)).otherwise(0.0)).alias(f"idcg{k}")
-          for k in ks])
-    judged_q = qrels.select("qid").distinct()
-    out = dcg.join(judged_q, "qid", "left_semi").join(idcg, "qid", "left")
-    return out.select("qid", *[F.when(F.coalesce(F.col(f"idcg{k}"), F.lit(0.0)) > 0,
-                                      F.col(f"dcg{k}") / F.col(f"idcg{k}")).otherwise(0.0).alias(f"ndcg_cut_{k}")
-                               for k in ks])
+        *[F.sum(F.when((F.col("irank") <= k) & (F.col("rel") > 0), F.col("rel") / _log2(F.col("irank") + 1))
+                .otherwise(0.0)).alias(f"idcg{k}") for k in ks])
+    out = dcg.join(idcg, "qid")   # inner: queries both ranked and judged
+    return out.select("qid", *[F.when(F.col(f"idcg{k}") > 0, F.col(f"dcg{k}") / F.col(f"idcg{k}")).otherwise(0.0)
+                               .alias(f"ndcg_cut_{k}") for k in ks])
 
 
 def map_cut(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = (5, 10), min_rel: int = 1) -> DataFrame:
