@@ -178,3 +178,25 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, passages: DataFrame, score
     batches, ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows each); order-free output."""
     j = pairs.join(queries, "qid").join(passages, "pid")
     return j.select("qid", "pid", scorer(F.col("query"), F.col("passage")).alias("score"))
+
+
+def inject_gold(positives: DataFrame, gold: DataFrame) -> DataFrame:
+    """``positives(qid, pid, pos)`` mined in rank order; ``gold(qid, gpos, pid, has_answer)`` the
+    gold candidates in file order. The first gold candidate holding an answer is put first
+    (``pos = -1``, ``gold_match``)."""
+    first = gold.filter("has_answer").groupBy("qid").agg(F.min_by("pid", "gpos").alias("pid"))
+    g = first.select("qid", "pid", F.lit(-1).cast("long").alias("pos"), F.lit(True).alias("gold_match"))
+    return positives.select("qid", "pid", F.col("pos").cast("long"), F.lit(False).alias("gold_match")).unionByName(g)
+
+
+def assemble_training_tables(positives: DataFrame, hard_negatives: DataFrame, gold_tables: DataFrame) -> DataFrame:
+    """Per question the positives (injected gold first, then mined), followed by the gold
+    page's tables that hold an answer, and the hard negatives; lists are ordered and bounded by
+    the mining stop rule. ``gold_tables(qid, tpos, pid, has_answer)``."""
+    gt = gold_tables.filter("has_answer").select("qid", "pid", (F.col("tpos") + 1_000_000).alias("pos"))
+    allpos = positives.select("qid", "pid", "pos").unionByName(gt)
+    p = allpos.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "pid"))).alias("_p"))
+    n = hard_negatives.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "pid"))).alias("_n"))
+    return p.join(n, "qid", "full").select(
+        "qid", F.transform(F.coalesce("_p", F.array()), lambda x: x["pid"]).alias("positive_ids"),
+        F.transform(F.coalesce("_n", F.array()), lambda x: x["pid"]).alias("hard_negative_ids"))

@@ -319,7 +319,8 @@ def s24(spark, d):
     return out
 
 
-@register("S25_read_source_by_name")
+@register("S25_read_source_by_name", """SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS id, CAST(length(text) AS INTEGER) AS n FROM documents
+ UNION ALL SELECT 'page:' || CAST(page_id AS VARCHAR), CAST(length(html) AS INTEGER) FROM pages""")
 def s25(spark, d):
     RD.register_source("documents", lambda s: table(s, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"),
                                                                                   F.col("text")))
@@ -328,7 +329,7 @@ def s25(spark, d):
     return RD.read_source_by_name(spark, ["documents", "pages"]).select("id", F.length("text").alias("n"))
 
 
-@register("S27_read_index")
+@register("S27_read_index", "SELECT vec_id // 8 AS pid, CAST(COUNT(*) AS BIGINT) AS doclen FROM embeddings GROUP BY 1")
 def s27(spark, d):
     from ..operators import index as I
     from .q_index import index
@@ -357,7 +358,11 @@ def _qa_hits(spark, d):
     return answer_in_passage(_pairs(spark, d), "string")
 
 
-@register("K3_write_results_nested", None)
+from .q_qa import _ENC  # noqa: E402
+
+
+@register("K3_write_results_nested", f"""WITH {_ENC} SELECT qid, CAST(COUNT(*) AS BIGINT) AS n_ctxs,
+ CAST(MIN(CASE WHEN rank = 1 THEN pid END) AS VARCHAR) AS top_id FROM top GROUP BY qid""")
 def k3(spark, d):
     path = scratch_dir(spark, "k3")
     hits = _qa_hits(spark, d).select("qid", "pid", "rank", "score", "has_answer")
@@ -368,7 +373,7 @@ def k3(spark, d):
     return back.select("qid", F.size("ctxs").cast("long").alias("n_ctxs"), F.col("ctxs")[0]["id"].alias("top_id"))
 
 
-@register("K4_write_results_from_meta", None)
+@register("K4_write_results_from_meta", f"WITH {_ENC} SELECT qid, CAST(COUNT(*) AS BIGINT) AS n_ctxs FROM top GROUP BY qid")
 def k4(spark, d):
     path = scratch_dir(spark, "k4")
     hits = _qa_hits(spark, d).select("qid", "pid", "rank", "score", "has_answer", F.col("source").alias("title"), "text")
@@ -418,7 +423,8 @@ def k9(spark, d):
     return spark.read.json(path)
 
 
-@register("K12_write_ctxmatch_shards", None)
+@register("K12_write_ctxmatch_shards", """SELECT CAST(shard AS INTEGER) AS shard, COUNT(*) AS n FROM (SELECT (row_number() OVER (ORDER BY u.conv_id * 1000 + u.turn) - 1) // 100 AS shard
+ FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant') GROUP BY shard""")
 def k12(spark, d):
     path = scratch_dir(spark, "k12")
     pairs = _conv_pairs(spark, d).select(F.col("qid").alias("id"), F.col("query").alias("question"), F.col("passage").alias("context"))
@@ -426,7 +432,8 @@ def k12(spark, d):
     return spark.read.json(path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("K13_write_qas_tsv", None)
+@register("K13_write_qas_tsv", f"""SELECT row_number() OVER (ORDER BY {p1('text')}) AS id, {p1('text')} AS question,
+ '["' || CAST(item_id AS VARCHAR) || '"]' AS answers FROM benchmark""")
 def k13(spark, d):
     path = scratch_dir(spark, "k13")
     qas = _bench(spark, d).select(strip_control("text").alias("question"), F.array(F.col("item_id").cast("string")).alias("answers"))

@@ -66,7 +66,7 @@ def v33(spark, d):
     return I.index_check(m, (n + 15) // 16)
 
 
-@register("K11_write_index")
+@register("K11_write_index", "SELECT CAST(vec_id // 8 // 25000 AS BIGINT) AS chunk, COUNT(*) AS n FROM embeddings GROUP BY 1")
 def k11(spark, d):
     from .q_index import index
     path = scratch_dir(spark, "k11")

@@ -170,7 +170,7 @@ def j9(spark, d):
     return RDR.gold_page_match(hits, gold).select("qid", "pid", F.col("gold_page").cast("long"))
 
 
-@register("K10_write_reader_predictions")
+@register("K10_write_reader_predictions", "SELECT item_id AS qid, CAST(3 AS INTEGER) AS n FROM benchmark")
 def k10(spark, d):
     path = scratch_dir(spark, "k10")
     preds = w11(spark, d)
@@ -179,7 +179,7 @@ def k10(spark, d):
     return spark.read.json(path).select("qid", F.size("predictions").alias("n"))
 
 
-@register("K5_write_kilt")
+@register("K5_write_kilt", f"WITH {_ENC} SELECT qid AS id, CAST(COUNT(*) AS INTEGER) AS n FROM top GROUP BY qid")
 def k5(spark, d):
     from ..sources import sinks as SK
     path = scratch_dir(spark, "k5")
@@ -190,3 +190,55 @@ def k5(spark, d):
                                                   F.lit(0).alias("end_paragraph_id"))
     SK.write_kilt(res, mapping, path)
     return spark.read.json(path).select("id", F.size(F.col("output")[0]["provenance"]).alias("n"))
+
+
+def _mined(spark, d):
+    from ..operators.qa import answer_in_passage
+    from ..operators.weak import mine_from_ranking
+    hits = answer_in_passage(_pairs(spark, d), "string").select("qid", "pid", "rank", "has_answer")
+    return mine_from_ranking(hits)
+
+
+def _gold(spark, d):
+    from ..operators.corpus import answers_in_corpus
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
+    ans = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer"))
+    return answers_in_corpus(ans, docs).select("qid", "pid", F.col("pid").alias("gpos"), F.lit(True).alias("has_answer"))
+
+
+_MINED_SQL = _J8_STRING + """, h AS (SELECT qid, pid, rank, length(trim(am)) > 0 AND contains(dm, am) AS hit FROM j),
+x AS (SELECT *, COALESCE(SUM(CAST(hit AS INTEGER)) OVER w, 0) AS p, COALESCE(SUM(CAST(NOT hit AS INTEGER)) OVER w, 0) AS n FROM h
+  WINDOW w AS (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+mined AS (SELECT qid, pid, rank, hit FROM x WHERE NOT ((p >= 10 AND n >= 10) OR n >= 30)),
+am2 AS (SELECT item_id, ' ' || array_to_string(""" + sql_tok("lower(nfc_normalize(text))") + """, ' ') || ' ' AS am FROM benchmark),
+dm2 AS (SELECT doc_id, ' ' || array_to_string(""" + sql_tok("lower(nfc_normalize(text))") + """, ' ') || ' ' AS dm FROM documents),
+gold AS (SELECT am2.item_id AS qid, MIN(dm2.doc_id) AS pid FROM am2, dm2 WHERE length(trim(am2.am)) > 0 AND contains(dm2.dm, am2.am) GROUP BY 1)"""
+
+
+@register("D6_inject_gold", _MINED_SQL + """
+SELECT qid, pid, CAST(rank AS BIGINT) AS pos, CAST(0 AS BIGINT) AS gold_match FROM mined WHERE hit
+UNION ALL SELECT qid, pid, CAST(-1 AS BIGINT), CAST(1 AS BIGINT) FROM gold""")
+def d6(spark, d):
+    from ..operators.weak import inject_gold
+    mined = _mined(spark, d)
+    pos = mined.filter("has_answer").select("qid", "pid", F.col("rank").alias("pos"))
+    out = inject_gold(pos, _gold(spark, d))
+    return out.select("qid", "pid", "pos", F.col("gold_match").cast("long"))
+
+
+@register("D7_assemble_training_tables", _MINED_SQL + """,
+pos AS (SELECT qid, pid, rank AS pos FROM mined WHERE hit UNION ALL SELECT qid, pid, -1 FROM gold),
+neg AS (SELECT qid, pid, rank AS pos FROM mined WHERE NOT hit),
+pa AS (SELECT qid, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pos, pid) AS positive_ids FROM pos GROUP BY qid),
+na AS (SELECT qid, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pos, pid) AS hard_negative_ids FROM neg GROUP BY qid)
+SELECT COALESCE(pa.qid, na.qid) AS qid, COALESCE(positive_ids, '') AS positive_ids, COALESCE(hard_negative_ids, '') AS hard_negative_ids
+FROM pa FULL JOIN na ON pa.qid = na.qid""")
+def d7(spark, d):
+    from ..operators.weak import assemble_training_tables, inject_gold
+    mined = _mined(spark, d)
+    pos = inject_gold(mined.filter("has_answer").select("qid", "pid", F.col("rank").alias("pos")), _gold(spark, d))
+    neg = mined.filter(~F.col("has_answer")).select("qid", "pid", F.col("rank").alias("pos"))
+    empty_gold_tables = pos.limit(0).select("qid", "pid", F.lit(0).alias("tpos"), F.lit(True).alias("has_answer"))
+    out = assemble_training_tables(pos, neg, empty_gold_tables)
+    return out.select("qid", F.array_join(F.transform("positive_ids", lambda x: x.cast("string")), ",").alias("positive_ids"),
+                      F.array_join(F.transform("hard_negative_ids", lambda x: x.cast("string")), ",").alias("hard_negative_ids"))
