@@ -30,6 +30,8 @@ def answers_in_corpus(answers: DataFrame, passages: DataFrame, qid: str = "qid",
         return spark.createDataFrame([], T.StructType([answers.schema[qid], passages.schema[pid]]))
     groups = max(1, -(-nbytes // MAX_ANSWER_BYTES))
     if groups > 1:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
         ans = zip_index(ans, [qid], "_i").withColumn("_g", F.col("_i") % groups).checkpoint()
     else:
         ans = ans.withColumn("_g", F.lit(0))

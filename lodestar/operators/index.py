@@ -311,6 +311,8 @@ def build_index(tokens: DataFrame, codec: Codec, vec: str = "embedding", materia
     doclens and every later search read it instead of re-running compression."""
     codes = compress(tokens.select("pid", "tok_pos", vec), codec, vec)
     if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(codes.sparkSession)
         cached = codes.persist()
         codes = cached.checkpoint()   # reliable copy in spark.checkpoint.dir; lineage cut
         cached.unpersist()

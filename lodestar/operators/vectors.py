@@ -76,6 +76,8 @@ def _query_groups(queries: DataFrame, keys: Sequence[str], vec: str, max_bytes:
     if n <= per_group:
         yield queries.select(*keys, vec).toPandas()
         return
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(queries.sparkSession)
     idx = zip_index(queries.select(*keys, vec), list(keys), "_i")
     idx = idx.withColumn("_g", F.floor(F.col("_i") / per_group)).checkpoint()
     for g in range((n + per_group - 1) // per_group):

@@ -98,7 +98,7 @@ def compose_batch(samples: DataFrame, num_hard: int, num_other: int, batch: str
     from .ranking import running_offsets
     hard = F.when(F.size("hard_negatives") == 0, F.slice("negatives", 1, num_hard)).otherwise(
         F.slice("hard_negatives", 1, num_hard))
-    s = samples.select(batch, "qid", F.col("positives")[0].alias("positive"),
+    s = samples.select(batch, "qid", F.get(F.col("positives"), 0).alias("positive"),
                        F.slice("negatives", 1, num_other).alias("negs"), hard.alias("hards"))
     s = s.withColumn("_n", (1 + F.size("negs") + F.size("hards")).cast("long"))
     s = running_offsets(s, "_n", ["qid"], partition_by=[batch], offset_col="positive_idx")
@@ -138,7 +138,10 @@ def chunk_of_pid(pids: DataFrame, chunks: DataFrame, pid: str = "pid") -> DataFr
     import pandas as pd
     from pyspark.sql import types as T
     spark = pids.sparkSession
-    pdf = chunks.select("chunk", "offset", "n").orderBy("offset").toPandas()
+    max_chunks = 10_000_000          # 24 bytes per chunk: the broadcast stays under 256 MB
+    pdf = chunks.select("chunk", "offset", "n").orderBy("offset").limit(max_chunks + 1).toPandas()
+    if len(pdf) > max_chunks:
+        raise ValueError("chunk table exceeds the broadcast bound")
     bc = spark.sparkContext.broadcast((pdf["offset"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64),
                                        pdf["chunk"].to_numpy(np.int64)))
     schema = T.StructType(list(pids.schema.fields) + [T.StructField("chunk", T.LongType())])

@@ -197,7 +197,7 @@ def s16(spark, d):
              F.array(F.struct(F.lower("text").alias("answer")), F.struct(F.lit(None).cast("string").alias("answer"))).alias("output")) \
         .write.json(path)
     q = RD.read_kilt_qa(spark, path)
-    return q.select("id", "question", F.col("answers")[0].alias("answer"))
+    return q.select("id", "question", F.get("answers", 0).alias("answer"))
 
 
 @register("S17_read_asr_qa", f"SELECT CAST(item_id AS VARCHAR) AS id, lower(trim({p1('text')})) AS question FROM benchmark")
@@ -370,7 +370,7 @@ def k3(spark, d):
     qs = _bench(spark, d).select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.array("text").alias("answers"))
     SK.write_json(SK.results_nested(hits, qs, passages), path)
     back = spark.read.json(path)
-    return back.select("qid", F.size("ctxs").cast("long").alias("n_ctxs"), F.col("ctxs")[0]["id"].alias("top_id"))
+    return back.select("qid", F.size("ctxs").cast("long").alias("n_ctxs"), F.get("ctxs", 0)["id"].alias("top_id"))
 
 
 @register("K4_write_results_from_meta", f"WITH {_ENC} SELECT qid, CAST(COUNT(*) AS BIGINT) AS n_ctxs FROM top GROUP BY qid")

@@ -118,7 +118,7 @@ def d15(spark, d):
 def j5(spark, d):
     p = _pairs(spark, d)
     return p.select("qid", "pid", "rank", F.length("text").cast("long").alias("passage_chars"),
-                    F.length(F.col("answers")[0]).cast("long").alias("answer_chars"))
+                    F.length(F.get("answers", 0)).cast("long").alias("answer_chars"))
 
 
 _CURVE = """, fh AS (SELECT qid, MIN(CASE WHEN hit THEN rank END) AS f FROM h GROUP BY qid),
@@ -147,8 +147,8 @@ def a8(spark, d):
 def d10(spark, d):
     from ..functions.text import tokenize
     p = _pairs(spark, d)
-    sp = QA.answer_spans(tokenize(F.lower("text")), tokenize(F.lower(F.col("answers")[0])))
-    return p.select("qid", "pid", F.size(sp).cast("long").alias("n_spans"), sp[0]["start"].alias("first_start"))
+    sp = QA.answer_spans(tokenize(F.lower("text")), tokenize(F.lower(F.get("answers", 0))))
+    return p.select("qid", "pid", F.size(sp).cast("long").alias("n_spans"), F.get(sp, 0)["start"].alias("first_start"))
 
 
 @register("A12_exact_match_by_topk", f"""WITH {_ENC}, p AS (SELECT t.qid, n.n, d.text AS prediction FROM top t JOIN documents d ON t.pid = d.doc_id,

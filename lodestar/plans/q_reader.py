@@ -109,7 +109,7 @@ def _logits(spark, d):
 @register("W10_best_spans")
 def w10(spark, d):
     sp = RDR.best_spans(_logits(spark, d).select("qid", "pid", "tokens", "start_logits", "end_logits"), max_len=10, top=10)
-    return sp.select("qid", "pid", F.size("spans").alias("n_spans"), F.col("spans")[0]["start"].alias("best_start"))
+    return sp.select("qid", "pid", F.size("spans").alias("n_spans"), F.get("spans", 0)["start"].alias("best_start"))
 
 
 _LONGEST = f"""lt AS (SELECT t.qid, t.pid, t.score, row_number() OVER (PARTITION BY t.qid ORDER BY t.pid) - 1 AS passage_idx,
@@ -189,7 +189,7 @@ def k5(spark, d):
     mapping = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("ctx_id"), F.col("source").alias("wikipedia_id"),
                                                   F.lit(0).alias("end_paragraph_id"))
     SK.write_kilt(res, mapping, path)
-    return spark.read.json(path).select("id", F.size(F.col("output")[0]["provenance"]).alias("n"))
+    return spark.read.json(path).select("id", F.size(F.get("output", 0)["provenance"]).alias("n"))
 
 
 def _mined(spark, d):

@@ -95,8 +95,8 @@ def read_topk_pids(spark: SparkSession, path: str, has_label: bool) -> tuple[Dat
     """``qid, pid, rest...``; with labels the last column is 0/1 and label-1 rows are the
     positives; every qid gets a (possibly empty) positive list. Returns (ranking, positives)."""
     lines = spark.read.text(path).select(F.split("value", "\t").alias("f"))
-    df = lines.select(F.col("f")[0].cast("long").alias("qid"), F.col("f")[1].cast("long").alias("pid"),
-                      (F.element_at("f", -1).cast("int") if has_label else F.lit(None).cast("int")).alias("label"))
+    df = lines.select(F.get("f", 0).cast("long").alias("qid"), F.get("f", 1).cast("long").alias("pid"),
+                      (F.try_element_at("f", F.lit(-1)).cast("int") if has_label else F.lit(None).cast("int")).alias("label"))
     pos = df.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("label") == 1, F.col("pid")))).alias("positives"))
     return df.select("qid", "pid"), pos
 
@@ -106,10 +106,10 @@ def read_ranking(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.split("value", "\t").alias("f"))
 
     def typed(i):
-        v = F.col("f")[i]
+        v = F.get("f", i)
         return F.when(v.contains("."), v.cast("double")).otherwise(v.cast("long").cast("double"))
-    return lines.select(F.col("f")[0].cast("long").alias("qid"), F.col("f")[1].cast("long").alias("pid"),
-                        F.col("f")[2].cast("long").alias("rank"), typed(3).alias("score"))
+    return lines.select(F.get("f", 0).cast("long").alias("qid"), F.get("f", 1).cast("long").alias("pid"),
+                        F.get("f", 2).cast("long").alias("rank"), typed(3).alias("score"))
 
 
 def read_trec_run(spark: SparkSession, path: str) -> DataFrame:
@@ -126,9 +126,9 @@ def read_examples(spark: SparkSession, path: str, nway: int) -> DataFrame:
 
     def item(x):
         arr = F.from_json(x, "array<double>")
-        return F.when(x.startswith("["), F.struct(arr[0].cast("long").alias("pid"), arr[1].alias("score"))) \
+        return F.when(x.startswith("["), F.struct(F.get(arr, 0).cast("long").alias("pid"), F.get(arr, 1).alias("score"))) \
             .otherwise(F.struct(x.cast("long").alias("pid"), F.lit(None).cast("double").alias("score")))
-    return raw.select(F.col("a")[0].cast("long").alias("qid"), F.transform(items, item).alias("pids"))
+    return raw.select(F.get("a", 0).cast("long").alias("qid"), F.transform(items, item).alias("pids"))
 
 
 def read_text_triples(spark: SparkSession, path: str) -> DataFrame:
