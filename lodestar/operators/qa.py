@@ -144,3 +144,28 @@ def exact_match_by_topk(preds: DataFrame, answers: DataFrame) -> DataFrame:
     j = preds.join(answers, "qid")
     best = j.groupBy("n", "qid").agg(F.max(exact_match(F.col("prediction"), F.col("answer")).cast("int")).alias("_em"))
     return best.groupBy("n").agg(F.avg("_em").alias("em"))
+
+
+def answer_in_ranked(ranked: DataFrame, passages: DataFrame, answers: DataFrame, mode: str = "string",
+                     pid: str = "pid", text: str = "text", out: str = "has_answer") -> DataFrame:
+    """J8 over a ranking: the passage side is normalised once per distinct passage (not once per
+    (question, passage) pair: a passage retrieved by many questions is tokenised once), the
+    answers once per question; the check itself is a substring test on the joined rows.
+    ``ranked(qid, pid, ...)``, ``passages(pid, text)``, ``answers(qid, answers array<string>)``."""
+    from .vectors import spread
+    needed = ranked.select(pid).distinct()
+    docs = spread(passages.join(needed, pid, "left_semi").select(pid, text))
+    if mode == "string":
+        dnorm = docs.select(pid, match_tokens(F.col(text)).alias("_doc"))
+        a = answers.select("qid", nfd_array(F.col("answers")).alias("_a")).select(
+            "qid", F.transform("_a", lambda x: F.array_join(tokenize(x, lower=True), " ")).alias("_ans"))
+        hit = F.exists("_ans", lambda x: (F.length(x) > 0) & F.col("_doc").contains(F.concat(F.lit(" "), x, F.lit(" "))))
+    elif mode == "kilt":
+        dnorm = docs.select(pid, normalize_answer(F.col(text)).alias("_doc"))
+        a = answers.select("qid", F.transform("answers", lambda x: normalize_answer(x)).alias("_ans"))
+        hit = F.exists("_ans", lambda x: (F.length(x) > 0) & F.col("_doc").contains(x))
+    else:
+        j = ranked.join(docs, pid).join(answers, "qid")
+        return answer_in_passage(j, mode, text, "answers", out).drop(text, "answers")
+    j = ranked.join(dnorm, pid).join(a, "qid")
+    return j.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_doc", "_ans")

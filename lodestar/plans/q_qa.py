@@ -76,17 +76,30 @@ j AS (SELECT t.qid, t.pid, t.rank, {_mt('d.text')} AS dm, {_mt('b.text')} AS am
 """
 
 
+def _ranked_inputs(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
+    ans = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array("text").alias("answers"))
+    return ranked(spark, d), docs, ans
+
+
 @register("J8_answer_in_passage", _J8_STRING + "SELECT qid, pid, CAST(length(trim(am)) > 0 AND contains(dm, am) AS BIGINT) AS has_answer FROM j")
 def j8(spark, d):
     out = QA.answer_in_passage(_pairs(spark, d), "string")
     return out.select("qid", "pid", F.col("has_answer").cast("long"))
 
 
+@register("J8_answer_in_ranked", _J8_STRING + "SELECT qid, pid, CAST(length(trim(am)) > 0 AND contains(dm, am) AS BIGINT) AS has_answer FROM j")
+def j8r2(spark, d):
+    """The same check with each passage normalised once however many questions retrieved it."""
+    out = QA.answer_in_ranked(*_ranked_inputs(spark, d), mode="string")
+    return out.select("qid", "pid", F.col("has_answer").cast("long"))
+
+
 @register("J8_answer_in_passage_kilt", f"""WITH {_ENC},
 j AS (SELECT t.qid, t.pid, {sql_norm_answer('d.text')} AS dn, {sql_norm_answer('b.text')} AS an FROM top t JOIN documents d ON t.pid = d.doc_id JOIN benchmark b ON t.qid = b.item_id)
 SELECT qid, pid, CAST(length(an) > 0 AND contains(dn, an) AS BIGINT) AS has_answer FROM j""")
 def j8k(spark, d):
-    out = QA.answer_in_passage(_pairs(spark, d), "kilt")
+    out = QA.answer_in_ranked(*_ranked_inputs(spark, d), mode="kilt")
     return out.select("qid", "pid", F.col("has_answer").cast("long"))
 
 
