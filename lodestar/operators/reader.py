@@ -7,7 +7,6 @@ Passages are independent rows, so the greedy span search (W10) is a per-row nump
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +59,8 @@ def best_spans(passages: DataFrame, max_len: int = 10, top: int = 10) -> DataFra
                             for a, b, t in zip(p["start_logits"], p["end_logits"], p["tokens"])]
             yield out
 
-    from .vectors import spread_scan
-    return spread_scan(passages).mapInPandas(kernel, schema)
+    from .vectors import spread
+    return spread(passages).mapInPandas(kernel, schema)
 
 
 def best_prediction_by_threshold(preds: DataFrame, thresholds: list[int]) -> DataFrame:

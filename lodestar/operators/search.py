@@ -22,7 +22,7 @@ import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
-from .index import Index, _stack, decompress  # noqa: E402
+from .index import Index, decompress  # noqa: E402
 from .vectors import maxsim, pack_vectors, spread  # noqa: E402
 
 

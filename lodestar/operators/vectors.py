@@ -34,7 +34,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def spread_scan(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores (small files) is spread before numpy kernels; a large
-    scan already has many splits and is left alone (no shuffle)."""
+    scan already has many splits and is left alone (no shuffle). Plans that already shuffle are
+    left alone too (their partition count is the shuffle's; asking an adaptive plan for its
+    partitions would run its stages)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 

@@ -181,7 +181,6 @@ def _stage_sql_default():
 @register("V20_probe_cells", BASE + stage_sql(1, 0.5, 256) + "SELECT qid, CAST(code AS INTEGER) AS code FROM probes")
 def v20(spark, d):
     ix = index(spark, d)
-    qp = I.__dict__  # noqa: F841
     from ..operators.vectors import pack_vectors
     qpacked = pack_vectors(queries(spark, d), "qid", "qtok", "embedding", "qvecs")
     return S.probe_cells(qpacked, ix, 1)

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as VF
-from ..operators import metrics as M
 from ..operators import vectors as V
-from ..operators.ranking import topk_per_query
 from ..session import table
 from .registry import register
 
