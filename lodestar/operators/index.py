@@ -303,6 +303,7 @@ class Index:
     codes: DataFrame      # pid, tok_pos, code, residual
     ivf: DataFrame        # code, pid
     doclens: DataFrame    # pid, doclen
+    pid_codes: DataFrame | None = None   # pid, codes (distinct codes of the passage), built with the index
 
 
 def build_index(tokens: DataFrame, codec: Codec, vec: str = "embedding", materialize: bool = True) -> Index:
@@ -317,7 +318,10 @@ def build_index(tokens: DataFrame, codec: Codec, vec: str = "embedding", materia
         codes = cached.checkpoint()   # reliable copy in spark.checkpoint.dir; lineage cut
         cached.unpersist()
     ivf, _ = build_inverted_lists(codes, codec.centroids)
-    return Index(codec, codes, ivf, doclens(codes))
+    pid_codes = codes.groupBy("pid").agg(F.array_distinct(F.collect_list("code")).alias("codes"))
+    if materialize:
+        pid_codes = pid_codes.checkpoint()   # the per-passage code lists every search reads
+    return Index(codec, codes, ivf, doclens(codes), pid_codes)
 
 
 def lookup_embeddings(index: Index, pids: DataFrame) -> DataFrame:

@@ -84,7 +84,9 @@ def filter_candidates(cands: DataFrame, allowed: DataFrame | None = None, predic
 
 
 def doc_codes(index: Index) -> DataFrame:
-    """Distinct codes per passage (bounded by the passage length)."""
+    """Distinct codes per passage (bounded by the passage length); stored with a built index."""
+    if index.pid_codes is not None:
+        return index.pid_codes
     return index.codes.groupBy("pid").agg(F.array_distinct(F.collect_list("code")).alias("codes"))
 
 
