@@ -275,8 +275,14 @@ def s22(spark, d):
         "conv_id", "turn", F.struct("question", F.array_join(F.split("question", " "), " ").alias("question_tokens"),
                                     F.concat(F.lit("Conv "), F.col("conv_id").cast("string")).alias("title"), "context",
                                     (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("example_id")).alias("g"))
-    g.agg(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "g"))), lambda x: x["g"]).alias("data")) \
-        .write.json(path)   # one JSON document holding every gold record (the reference's file shape)
+    recs = g.orderBy("conv_id", "turn").select(F.to_json("g").alias("j"))
+
+    def as_doc(it):   # one {"data": [...]} document per task (the reference's file shape), bounded by the partition
+        import pandas as pd
+        parts = [x for pdf in it for x in pdf["j"].tolist()]
+        if parts:
+            yield pd.DataFrame({"value": ['{"data": [' + ",".join(parts) + "]}"]})
+    recs.mapInPandas(as_doc, "value string").write.text(path)
     return RD.read_gold_passages(spark, path)
 
 

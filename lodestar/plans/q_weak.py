@@ -116,13 +116,19 @@ _SAMPLES_SQL = """s AS (SELECT user_id AS qid, user_id // 8 AS batch,
   FROM events GROUP BY user_id HAVING COUNT(*) FILTER (WHERE event_type = 'purchase') > 0)"""
 
 
-def _samples(spark, d):
+def _samples(spark, d, keep: int = 4):
+    """Per user: purchases (positives), views (negatives), clicks (hard negatives), in id order.
+    Only the first ``keep`` of each list can be used by the batch, so rows are cut per
+    (user, type) with a window limit before grouping: a user holding a third of all events still
+    forms a bounded list."""
     e = table(spark, d, "events")
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    cut = e.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep)
 
     def ids(t):
         return F.array_sort(F.collect_list(F.when(F.col("event_type") == t, F.col("event_id"))))
-    g = e.groupBy(F.col("user_id").alias("qid")).agg(ids("purchase").alias("positives"), ids("view").alias("negatives"),
-                                                     ids("click").alias("hard_negatives"))
+    g = cut.groupBy(F.col("user_id").alias("qid")).agg(ids("purchase").alias("positives"), ids("view").alias("negatives"),
+                                                       ids("click").alias("hard_negatives"))
     return g.filter(F.size("positives") > 0).withColumn("batch", F.floor(F.col("qid") / 8).cast("long"))
 
 

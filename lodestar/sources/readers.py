@@ -244,7 +244,8 @@ def read_gold_passages(spark: SparkSession, path: str) -> DataFrame:
     passage (title lower-cased); the last duplicate wins."""
     schema = "data array<struct<question:string,question_tokens:string,title:string,context:string,example_id:string>>"
     df = spark.read.schema(schema).option("multiLine", "true").json(path)
-    ex = df.select(F.posexplode("data").alias("pos", "g"))
+    ex = df.withColumn("_f", F.input_file_name()).select("_f", F.posexplode("data").alias("_p", "g")) \
+        .select(F.struct("_f", "_p").alias("pos"), "g")      # last = greatest (file, position)
     keys = ex.select(F.col("g.question").alias("key"), "pos", "g").unionByName(
         ex.select(F.col("g.question_tokens").alias("key"), "pos", "g"))
     best = keys.groupBy("key").agg(F.max_by("g", "pos").alias("g"))
