@@ -34,12 +34,15 @@ def topk_per_query(df: DataFrame, k: int, key: str = "qid", score: str = "score"
 
 
 def check_contiguous_ranks(ranking: DataFrame, key: str = "qid", rank: str = "rank") -> DataFrame:
-    """Rows whose rank is not previous rank + 1 (first rank must be 1). Empty = valid."""
-    w = Window.partitionBy(key).orderBy(rank)
-    prev = F.lag(rank).over(w)
-    return (ranking.withColumn("prev_rank", prev)
-            .filter(F.coalesce(F.col("prev_rank") + 1, F.lit(1)) != F.col(rank))
-            .select(key, rank, "prev_rank"))
+    """Ranks must run 1, 2, 3, ... per key. Returns the distinct ``(key, rank)`` that break it:
+    a rank other than 1 whose predecessor is missing, or a rank that repeats. Equi-joins and
+    aggregates on ``(key, rank)`` only, so a key holding a third of all rows is still spread over
+    many tasks (a ``lag`` window would sort it in one)."""
+    kr = ranking.select(key, rank)
+    prev = kr.select(key, (F.col(rank) + 1).alias(rank)).distinct()
+    gaps = kr.filter(F.col(rank) != 1).join(prev, [key, rank], "left_anti")
+    dups = kr.groupBy(key, rank).count().filter("count > 1").select(key, rank)
+    return gaps.unionByName(dups).distinct()
 
 
 def zip_index(df: DataFrame, order_by: Sequence[str | Column], index_col: str = "idx") -> DataFrame:

@@ -24,9 +24,10 @@ def w2(spark, d):
     return W.topk_per_query(e, 5, "qid", "score", "pid").select("qid", "pid", "rank")
 
 
-@register("W3_check_contiguous_ranks", """WITH r AS (SELECT user_id AS qid, CAST(rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS BIGINT) AS rank FROM events),
-l AS (SELECT qid, rank, lag(rank) OVER (PARTITION BY qid ORDER BY rank) AS prev_rank FROM r)
-SELECT qid, rank, prev_rank FROM l WHERE COALESCE(prev_rank + 1, 1) <> rank""")
+@register("W3_check_contiguous_ranks", """WITH r AS (SELECT user_id AS qid, CAST(rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS BIGINT) AS rank FROM events)
+SELECT DISTINCT qid, rank FROM (
+  SELECT qid, rank FROM r x WHERE rank <> 1 AND NOT EXISTS (SELECT 1 FROM r y WHERE y.qid = x.qid AND y.rank = x.rank - 1)
+  UNION ALL SELECT qid, rank FROM r GROUP BY qid, rank HAVING COUNT(*) > 1)""")
 def w3(spark, d):
     e = table(spark, d, "events")
     r = e.select(F.col("user_id").alias("qid"),

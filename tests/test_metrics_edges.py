@@ -52,9 +52,9 @@ def test_mrr_success_recall_with_empty_queries(spark):
 
 def test_contiguous_ranks_and_duplicates(spark):
     from lodestar.operators.ranking import check_contiguous_ranks
-    r = spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, 2)], "qid long, rank long")
+    r = spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, 2), (3, 1), (3, 1), (3, 2)], "qid long, rank long")
     bad = sorted((x.qid, x.rank) for x in check_contiguous_ranks(r).collect())
-    assert bad == [(1, 4), (2, 2)]
+    assert bad == [(1, 4), (2, 2), (3, 1)]
     ranking = spark.createDataFrame([(1, 5, 1), (1, 5, 2)], "qid long, pid long, rank long")
     gold = spark.createDataFrame([(1, 5)], "qid long, pid long")
     c = M.check_rankings(ranking, gold).first()
