@@ -68,14 +68,28 @@ def mine_from_ranking(hits: DataFrame, key: str = "qid", order: str = "rank", po
                       min_each: int = 10, max_neg: int = 30) -> DataFrame:
     """Walk the hits in order; stop before a hit once ``(pos >= min_each and neg >= min_each)
     or neg >= max_neg`` (counts of earlier hits); a hit with the answer is a positive, else a hard
-    negative. The counts only grow, so 'before the first stop' = 'rule false on this row'."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    pos = F.coalesce(F.sum(F.col(positive).cast("int")).over(w), F.lit(0))
-    neg = F.coalesce(F.sum((~F.col(positive)).cast("int")).over(w), F.lit(0))
-    x = hits.withColumn("_p", pos).withColumn("_n", neg)
-    stop = ((F.col("_p") >= min_each) & (F.col("_n") >= min_each)) | (F.col("_n") >= max_neg)
-    return x.filter(~stop).drop("_p", "_n")
+    negative. ``order`` must be distinct within a key (a rank).
+
+    The counts only grow, so the kept rows are those with
+    ``rank <= min(r_neg[max_neg], max(r_pos[min_each], r_neg[min_each]))`` where ``r_x[k]`` is the
+    rank of the k-th such hit (infinite when there are fewer). Those k-th ranks come from top-k cuts
+    (a partial ``WindowGroupLimit`` before the shuffle), so a query holding a third of all rows
+    never lands in one sorted window; the cut-off table has one row per query."""
+    big = F.lit(2 ** 62).cast("long")
+
+    def kth(rows: DataFrame, k: int, name: str) -> DataFrame:
+        from .ranking import topk_per_query
+        top = topk_per_query(rows.select(key, F.col(order).cast("long").alias("_o")).withColumn("_s", -F.col("_o")),
+                             k, key, "_s", "_o", rank_col="_k")
+        return top.groupBy(key).agg(F.when(F.max("_k") >= k, F.max("_o")).alias(name))
+
+    pos = hits.filter(F.col(positive))
+    neg = hits.filter(~F.col(positive))
+    cut = (kth(neg, max_neg, "_n30").join(kth(neg, min_each, "_n10"), key, "full")
+           .join(kth(pos, min_each, "_p10"), key, "full"))
+    limit = F.least(F.coalesce("_n30", big), F.greatest(F.coalesce("_p10", big), F.coalesce("_n10", big)))
+    cut = cut.select(key, limit.alias("_limit"))
+    return hits.join(cut, key, "left").filter(F.col(order) <= F.coalesce("_limit", big)).drop("_limit")
 
 
 def make_triples(ranking: DataFrame, max_best: int, max_depth: int, depth: int) -> DataFrame:
