@@ -79,3 +79,25 @@ def test_logsumexp_losses(spark):
     s = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (1, 2, -1.0)], "qid long, pos long, score double")
     loss = M.nway_cross_entropy(s).first().loss
     assert loss == pytest.approx(math.log(math.exp(2) + math.exp(1) + math.exp(-1)) - 2)
+
+
+def test_mine_from_ranking_equals_sequential_walk(spark):
+    """The cut-off formulation equals walking the hits one by one (random labelled rankings)."""
+    import random
+
+    from lodestar.operators.weak import mine_from_ranking
+    rnd = random.Random(7)
+    rows, expect = [], set()
+    for q in range(40):
+        n = rnd.randint(0, 80)
+        labels = [rnd.random() < rnd.choice([0.1, 0.5, 0.9]) for _ in range(n)]
+        pos = neg = 0
+        for r, lab in enumerate(labels, 1):
+            rows.append((q, r, lab))
+            if (pos >= 10 and neg >= 10) or neg >= 30:
+                continue
+            expect.add((q, r))
+            pos, neg = pos + lab, neg + (not lab)
+    hits = spark.createDataFrame(rows, "qid long, rank long, has_answer boolean")
+    got = {(r.qid, r.rank) for r in mine_from_ranking(hits).collect()}
+    assert got == expect
