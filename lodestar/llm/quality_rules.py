@@ -37,7 +37,8 @@ FUNCTION_WORDS = (
 def repeat_words(words: Column) -> Column:
     """Words that lie in a 5-word window found twice or more in the text, the first one included."""
     def windows(h):
-        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+        n = F.size(h) - (WINDOW - 1)
+        return F.transform(F.arrays_zip(*[F.slice(h, F.lit(k + 1), n).alias(f"w{k}") for k in range(WINDOW)]), lambda x: F.xxhash64(x))
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     found = F.when(F.size(words) >= WINDOW, bind(hashes, windows)).otherwise(F.array().cast("array<bigint>"))
@@ -46,14 +47,23 @@ def repeat_words(words: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW)))),
                            F.lit(0), lambda a, x: a + x)
 
-    def places(s):
+    def again(s):
+        return F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1)))
+
+    def pairs(s):
         same = F.transform(s, lambda x, i: F.when(
             (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]), x["i"]))
         return F.array_sort(F.filter(same, lambda p: p.isNotNull()))
 
-    def total(w):
+    def places(w, twice):
+        """Positions of the windows that occur again: by search in a short list, else by sorting pairs."""
+        few = F.filter(F.transform(w, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda p: p.isNotNull())
         ordered = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0)).otherwise(bind(bind(ordered, places), covered))
+        return F.when(F.size(twice) <= 16, few).otherwise(bind(ordered, pairs))
+
+    def total(w):
+        counted = bind(bind(F.sort_array(w), again), lambda twice: bind(places(w, twice), covered))
+        return F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0)).otherwise(counted)
 
     return bind(found, total).cast("long")
 
