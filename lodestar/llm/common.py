@@ -76,3 +76,57 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     return raw, offsets - offsets[0]
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64, kept for the next call."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 21)
+        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            steps = np.full(size, np.uint64(base))
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers (the finaliser of splitmix64: its constants are fixed values)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SEPARATES = np.zeros(256, bool)
+_SEPARATES[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, documents)``: the 64-bit hash of each word in the buffer and the text it stands in.
+
+    Words are runs without white space; equal bytes give equal hashes. All texts at once: a word's hash is the
+    difference of two prefix sums of a polynomial, shifted back to the word's start.
+    """
+    n = len(raw)
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = ~_SEPARATES[raw]
+    before = np.empty(n, bool)
+    before[0], before[1:] = False, inside[:-1]
+    heads = offsets[:-1]
+    before[heads[heads < n]] = False
+    starts = np.flatnonzero(inside & ~before)
+    after = np.empty(n, bool)
+    after[-1], after[:-1] = False, inside[1:]
+    tails = offsets[1:]
+    after[tails[tails > 0] - 1] = False
+    ends = np.flatnonzero(inside & ~after) + 1
+    up, down = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return hashes, np.searchsorted(offsets, starts, side="right") - 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, license_scan, mixing, pii, quality_rules, sharding
+from . import chat, jaccard_join, license_scan, mixing, pii, quality_rules, sharding, spotsigs, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,18 @@ def op5(spark, sf_dir):
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], talks.schema)
     return chat.digest_chat(chat.format_chat(chat.as_parts(talks.unionByName(extra))))
+
+
+@register("op9_spotsigs")
+def op9(spark, sf_dir):
+    return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op1_sentencepiece")
+def op1(spark, sf_dir):
+    return tokens.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op8_jaccard_join")
+def op8(spark, sf_dir):
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
