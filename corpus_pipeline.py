@@ -1,33 +1,64 @@
 """A training-corpus pipeline over ``documents``: five stages, each one operator of ``lodestar.llm``.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. Nulls, empty texts, repeated rows, empty tables and extra
+columns are handled as each operator's module states.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import pii
+from lodestar.llm import jaccard_join, mixing, pii, quality_rules, tokens
+from lodestar.session import ensure_checkpoint_dir
 
 
-def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (Jaccard similarity of word 5-grams 0.75 or more) stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets in the texts are replaced by the name of their kind."""
     return pii.redact_documents(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as the target weights of their sources ask, up to three times."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as token ids."""
+    return tokens.encode_documents(docs)
+
+
 STAGES = [
-    ("pii", remove_personal_data),
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mixture),
+    ("sentencepiece", tokenised),
 ]
 #: Expectation-maximisation, pivots and tokenisation have no SQL form; the tests hold brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    for _, stage in STAGES:
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(os.path.join(folder, name))
+            docs = spark.read.parquet(os.path.join(folder, name))
     return docs

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut_lineage, hash_words, mix64, shuffle_partitions, small_batches, text_of, utf8_buffer
+from .common import LOWER, WORD_CLASS, cut_lineage, hash_words, mix64, shuffle_partitions, small_batches, text_of, utf8_buffer
 
 GRAM = 5
 THRESHOLD = 0.75
@@ -93,8 +93,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = utf8_buffer(batch.column("text"))
         grams, owner = gram_sets(raw, offsets)
         size, key = set_keys(grams, owner, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.int64())],
-                                         names=["doc_id", "n", "key"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(size, pa.int64()), pa.array(key, pa.int64())],
+                                         names=["doc_id", "uid", "n", "key"])
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -395,11 +395,9 @@ def _join_large(sets: DataFrame, cell_sets: int, pivots: int) -> DataFrame:
 
 
 def join_sets(docs: DataFrame, region_sets: int = REGION_SETS, region_grams: int = REGION_GRAMS, pivots: int = 64) -> DataFrame:
-    """``(key, part)``: the component of each set that has a partner, for ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    buckets = max(16, shuffle_partitions(spark))
-    texts = docs.select("doc_id", text_of(docs).alias("text"))
-    sent = texts.mapInArrow(_send(buckets), _PACKED)
+    """``(key, part)``: the component of each set that has a partner, for ``docs(text)``."""
+    buckets = max(16, shuffle_partitions(docs.sparkSession))
+    sent = docs.select(text_of(docs).alias("text")).mapInArrow(_send(buckets), _PACKED)
     answered = sent.groupBy("bucket").applyInArrow(_answer(buckets), _PACKED)
     sets = cut_lineage(answered.groupBy("bucket").applyInArrow(_settle, "key long, n long, prefix int, grams array<long>"))
     rare = sets.select("key", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"))
@@ -415,14 +413,35 @@ def join_sets(docs: DataFrame, region_sets: int = REGION_SETS, region_grams: int
     return small.unionAll(_join_large(cut_lineage(sets.join(large, "region", "left_semi")), region_sets, pivots))
 
 
+def _placed(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, uid, n, part`` for each row of ``docs(doc_id, uid, text)``: its set's size and its component."""
+    sized = cut_lineage(docs.mapInArrow(_sizes, "doc_id long, uid long, n long, key long"))
+    parts = cut_lineage(join_sets(docs, **options))
+    return (sized.join(parts.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
+            .select("doc_id", "uid", "n", F.coalesce("part", "key").alias("part")))
+
+
 def link_documents(docs: DataFrame, **options) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    thin = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    sized = cut_lineage(thin.mapInArrow(_sizes, "doc_id long, n long, key long"))
-    parts = cut_lineage(join_sets(thin, **options))
-    told = (sized.join(parts.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
-            .select("doc_id", "n", F.coalesce("part", "key").alias("part")))
+    told = _placed(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lit(0).cast("long").alias("uid"), text_of(docs).alias("text")), **options)
     least = told.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("least"))
     return (told.join(least, "part", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents with one of each component left, the one with the least ``doc_id``; all columns are kept.
+
+    Rows are told apart by a hash of id and text, so ids that repeat with other texts are other documents;
+    rows that repeat as a whole are copies. Texts without words all stay.
+    """
+    text = text_of(docs)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
+                       F.xxhash64(docs["doc_id"], F.md5(text)).alias("uid"), text.alias("text"), text.rlike(WORD_CLASS).alias("worded"))
+    told = _placed(rows.select("doc_id", "uid", "text"), **options).where("n > 0")
+    first = told.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
+    stays = first.select(F.col("first.uid").alias("stays"))
+    once = rows.where("worded").select("row", "uid").withColumn("at", F.row_number().over(Window.partitionBy("uid").orderBy(F.lit(0)))).where("at = 1")
+    kept = once.join(stays, F.col("uid") == F.col("stays"), "left_semi").select("row")
+    return rows.where("not worded").select("row").unionAll(kept).select("row.*")

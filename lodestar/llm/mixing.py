@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_of, word_count
+from .common import SPACE_CLASS, WORD_CLASS, cut_lineage, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -97,7 +97,7 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     b = F.lit(block_tokens)
     docs = (sizes.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
             .withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards))))
-    cells = docs.groupBy("source", "_shard").agg(F.sum("size").alias("cell_size"))
+    cells = cut_lineage(docs.groupBy("source", "_shard").agg(F.sum("size").alias("cell_size")))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     targets = source_targets(sources, weights, max_epochs)
     seats = F.round(F.sum("target").over(Window.partitionBy()) / b)
@@ -156,3 +156,30 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return mix(sizes, **options).select("doc_id", "size", "source_size", "target", "taken", "source",
                                         F.col("rounds").cast("long").alias("rounds"), F.col("part").cast("long").alias("part"),
                                         F.col("part_from").cast("long").alias("part_from"))
+
+
+def _cut(text: Column, size: Column, start: Column, length: Column) -> Column:
+    """``length`` words of a text from word ``start`` on, with the white space before each; wraps to the first word."""
+    words = F.split(text, rf"(?<={WORD_CLASS})(?={SPACE_CLASS})")
+    tail = F.least(length, size - start)
+    return F.concat(F.array_join(F.slice(words, (start + 1).cast("int"), tail.cast("int")), ""),
+                    F.array_join(F.slice(words, F.lit(1), (length - tail).cast("int")), ""))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, whole or (at an arc's ends) in part.
+
+    All columns are kept; ``n_chars``, if there, is set anew. The texts are shuffled once, to their
+    source's shards.
+    """
+    source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"),
+                       source.alias("source"), word_count(text_of(docs)).alias("size"))
+    taken = mix(rows, **options).where("taken > 0").select("row", "size", "rounds", "part", "part_from")
+    whole = F.array_repeat(F.lit(True), F.col("rounds").cast("int"))
+    copies = F.concat(whole, F.when(F.col("part") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    out = taken.withColumn("whole", F.explode(copies))
+    text = F.when(F.col("whole"), F.col("row.text")).otherwise(_cut(F.col("row.text"), F.col("size"), F.col("part_from"), F.col("part")))
+    out = out.withColumn("cut", text)
+    made = {"text": F.col("cut")} | ({"n_chars": F.char_length("cut").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

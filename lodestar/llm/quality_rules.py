@@ -68,17 +68,19 @@ def repeat_words(words: Column) -> Column:
     return bind(found, total).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the numbers that the rules look at, from one pass over the texts."""
-    rows = docs.select("doc_id", text_of(docs).alias("t"))
-    rows = rows.select("doc_id", "t", words_of(F.col("t")).alias("w"),
+def features(docs: DataFrame, *carried: Column) -> DataFrame:
+    """``carried`` columns and the numbers that the rules look at, from one pass over the texts."""
+    given = [c.alias(f"_c{i}") for i, c in enumerate(carried)]
+    names = [f"_c{i}" for i in range(len(given))]
+    rows = docs.select(*given, text_of(docs).alias("t"))
+    rows = rows.select(*names, "t", words_of(F.col("t")).alias("w"),
                        F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD_CLASS)).alias("l"))
 
     def count(pattern):
         return (F.char_length("t") - F.char_length(F.regexp_replace("t", pattern, ""))).cast("long")
 
     return rows.select(
-        "doc_id", F.size("w").cast("long").alias("n_words"),
+        *names, F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
@@ -150,23 +152,32 @@ def estimate(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
     return model
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row per document: the features, ``base_failed``, each rule's vote, ``posterior`` and ``kept``."""
-    given = rules()
-    names = [n for n, _, _ in given]
-    rows = features(docs)
-    for name, low, high in given:
+def _voted(rows: DataFrame) -> DataFrame:
+    for name, low, high in rules():
         rows = rows.withColumn(f"v_{name}", F.when(low, F.lit(-1)).when(high, F.lit(1)).otherwise(F.lit(0)))
-    rows = cut_lineage(rows)
-    model = estimate(rows, names)
+    return rows
+
+
+def _verdict(rows: DataFrame, model: dict, threshold: float) -> DataFrame:
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    names = [n for n, _, _ in rules()]
     return (rows.withColumn("base_failed", failed).withColumn("posterior", _posterior(names, model))
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)))
 
 
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row per document: the features, ``base_failed``, each rule's vote, ``posterior`` and ``kept``."""
+    rows = cut_lineage(_voted(features(docs, F.col("doc_id"))).withColumnRenamed("_c0", "doc_id"))
+    return _verdict(rows, estimate(rows, [n for n, _, _ in rules()]), threshold)
+
+
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that the rules keep, with all their columns; a document's verdict joins by its text's hash."""
-    keyed = docs.withColumn("_at", F.xxhash64(F.col("doc_id"), F.md5(text_of(docs))))
-    verdict = judge(keyed.select(F.col("_at").alias("doc_id"), text_of(docs).alias("text")), threshold)
-    good = verdict.where("kept").select(F.col("doc_id").alias("_at")).distinct()
-    return keyed.join(good, "_at", "left_semi").drop("_at")
+    """The documents that the rules keep, with all their columns.
+
+    The estimated rules are a few numbers, so the verdict is worked out again beside each row: the texts are
+    read twice and never shuffled.
+    """
+    names = [n for n, _, _ in rules()]
+    model = estimate(_voted(features(docs)).select(*[f"v_{n}" for n in names]), names)
+    rows = features(docs, F.struct(*[docs[c] for c in docs.columns]))
+    return _verdict(_voted(rows), model, threshold).where("kept").select("_c0.*")

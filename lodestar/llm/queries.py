@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, jaccard_join, license_scan, mixing, pii, quality_rules, sharding, spotsigs, tokens
+from . import chat, jaccard_join, knn_quality, license_scan, mixing, pii, quality_rules, sharding, spotsigs, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +70,9 @@ def op1(spark, sf_dir):
 @register("op8_jaccard_join")
 def op8(spark, sf_dir):
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op6_knn_quality")
+def op6(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return knn_quality.score_documents(table(spark, sf_dir, "documents"), labels)
