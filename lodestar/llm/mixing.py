@@ -9,9 +9,10 @@
    seeded place. A document's share is the overlap of its words with the arc, so the number of
    blocks costs nothing.
 
-Scale: documents are only read as ``(doc_id, source, size)``; a source is split into ``shards`` by
-a hash of ``doc_id``, so a source with a third of all rows is ordered in many tasks. Only one row
-per source, or per source and shard, is ever gathered.
+Scale: documents are only read as ``(doc_id, source, size)``; sources are split into shards by a hash
+of ``doc_id``, as many as leave about ``cell_rows`` documents of the largest source in each, so a
+source with a third of all rows is ordered in many tasks. Only one row per source, or per source
+and shard, is ever gathered.
 
 Defined cases: null source is a source of its own, last in order; null text has size 0 and takes
 nothing; null ``doc_id`` and repeated rows are documents like others; sources without words get
@@ -27,7 +28,7 @@ from .common import SPACE_CLASS, WORD_CLASS, cut_lineage, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-SHARDS = 256
+CELL_ROWS = 8192
 BLOCK_TOKENS = 8
 
 
@@ -87,14 +88,16 @@ def highest_quotients(parties: DataFrame, by: list[str], weight: str, seats: Col
             .drop("_seats", "_m", "_sum", "_low", "_high", "_left", "_won"))
 
 
-def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS,
-        block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
+def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
+        cell_rows: int = CELL_ROWS, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
     """``sizes(doc_id, source, size, ...)`` plus ``source_size, target, taken`` and the arc's parts.
 
     ``taken = rounds * size + part``; ``part`` words are the document's words from ``part_from``
     (from 0) on, going on at its first word if it wraps (``part_from + part > size``).
     """
     b = F.lit(block_tokens)
+    most = sizes.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    shards = most // cell_rows + 1
     docs = (sizes.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
             .withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards))))
     cells = cut_lineage(docs.groupBy("source", "_shard").agg(F.sum("size").alias("cell_size")))
@@ -163,7 +166,7 @@ def _cut(text: Column, size: Column, start: Column, length: Column) -> Column:
     words = F.split(text, rf"(?<={WORD_CLASS})(?={SPACE_CLASS})")
     tail = F.least(length, size - start)
     return F.concat(F.array_join(F.slice(words, (start + 1).cast("int"), tail.cast("int")), ""),
-                    F.array_join(F.slice(words, F.lit(1), (length - tail).cast("int")), ""))
+                    F.when((tail > 0) & (length > tail), "\n").otherwise(""), F.array_join(F.slice(words, F.lit(1), (length - tail).cast("int")), ""))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
