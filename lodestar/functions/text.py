@@ -103,10 +103,11 @@ def nfd_array(c: str | Column) -> Column:
 
 
 def nfd(c: str | Column) -> Column:
-    """Unicode NFD (no Spark built-in). ASCII values are passed through without Python work
-    by a JVM-side guard; only non-ASCII text crosses to the Arrow UDF."""
+    """Unicode NFD (no Spark built-in). The Arrow UDF is given a null in place of an ASCII text, so
+    only other texts cross to Python."""
     col = _c(c)
-    return F.when(col.rlike("^[\\x00-\\x7F]*$"), col).otherwise(_nfd_udf(col))
+    plain = col.rlike("^[\\x00-\\x7F]*$")
+    return F.when(plain, col).otherwise(_nfd_udf(F.when(~plain, col)))
 
 
 def normalize_answer(c: str | Column) -> Column:
@@ -128,25 +129,28 @@ _SPAN_TYPE = ArrayType(StructType([StructField("token", StringType()), StructFie
 
 @F.pandas_udf(_SPAN_TYPE)
 def _token_spans_udf(s: pd.Series) -> pd.Series:
+    """Each text is cut into pieces (a token and the gap behind it); offsets are running sums of lengths."""
+    import numpy as np
     import regex
-    pat = regex.compile(TOKEN_PATTERN)
+    piece = regex.compile(f"({TOKEN_PATTERN})((?:(?!{TOKEN_PATTERN}).)*)", regex.DOTALL)
 
     def one(text):
         if text is None:
             return None
-        ms = list(pat.finditer(text))
-        out = []
-        for i, m in enumerate(ms):
-            nxt = ms[i + 1].start() if i + 1 < len(ms) else m.end()
-            out.append({"token": m.group(), "start": m.start(), "end": m.end(), "ws": text[m.start():nxt]})
-        return out
+        pieces = piece.findall(text)
+        if not pieces:
+            return []
+        sizes = np.array([len(t) + len(gap) for t, gap in pieces])
+        begins = len(text) - sizes.sum() + np.cumsum(sizes) - sizes      # the text may begin with a gap
+        pieces[-1] = (pieces[-1][0], "")                                 # no blank behind the last token
+        return [{"token": t, "start": int(b), "end": int(b) + len(t), "ws": t + gap} for (t, gap), b in zip(pieces, begins)]
     return s.map(one)
 
 
 def token_spans(text: str | Column) -> Column:
     """``array<struct<token, start, end, ws>>``: tokens with 0-based character offsets (end
-    exclusive) and the token text followed by its trailing whitespace (``ws``). Offsets need a
-    left-to-right scan, so this is an Arrow-batched helper; Spark distributes the rows."""
+    exclusive) and the token text followed by its trailing whitespace (``ws``). Arrow-batched: running
+    offsets have no linear built-in form."""
     return _token_spans_udf(_c(text))
 
 

@@ -1,67 +1,35 @@
-"""Corpus-wide multi-pattern answer matching (J8 over all passages, D15 without a ranking).
+"""Corpus-wide answer matching (J8 over all passages, D15 without a ranking) by equi-joins on tokens.
 
-Each passage is scanned once against all answers with an Aho-Corasick automaton (pyahocorasick)
-built inside the task from a broadcast answer group. Answer groups are bounded in bytes, so the
-broadcast never grows with the corpus; the passages never leave their partitions.
+A passage that holds an answer holds the answer's first two tokens side by side. Distinct token
+pairs of the passages meet the answers' first pairs in a join; the few pairs of passage and answer
+that come out are then checked as a whole. No automaton, no collect, no broadcast by hand.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .qa import match_tokens
 
-MAX_ANSWER_BYTES = 64 << 20
+
+def _pair(tokens: Column, i: Column) -> Column:
+    return F.struct(F.get(tokens, i).alias("a"), F.get(tokens, i + 1).alias("b"))
 
 
 def answers_in_corpus(answers: DataFrame, passages: DataFrame, qid: str = "qid", answer: str = "answer",
                       pid: str = "pid", text: str = "text") -> DataFrame:
     """All ``(qid, pid)`` where a passage holds the answer as a token sequence (string mode)."""
-    from .ranking import zip_index
-    from .vectors import spread_scan
-    spark = passages.sparkSession
-    ans = answers.select(qid, match_tokens(F.col(answer)).alias("_a")).filter(F.length(F.trim("_a")) > 0)
-    stats = ans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_a")).alias("b")).first()
-    n, nbytes = int(stats["n"]), int(stats["b"] or 0)
-    if n == 0:
-        return spark.createDataFrame([], T.StructType([answers.schema[qid], passages.schema[pid]]))
-    groups = max(1, -(-nbytes // MAX_ANSWER_BYTES))
-    if groups > 1:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        ans = zip_index(ans, [qid], "_i").withColumn("_g", F.col("_i") % groups).checkpoint()
-    else:
-        ans = ans.withColumn("_g", F.lit(0))
-    docs = spread_scan(passages.select(pid, match_tokens(F.col(text)).alias("_d")))
-    schema = T.StructType([answers.schema[qid], passages.schema[pid]])
-    out = None
-    for g in range(groups):
-        pdf = ans.filter(F.col("_g") == g).select(qid, "_a").toPandas()
-        bc = spark.sparkContext.broadcast(list(zip(pdf[qid].tolist(), pdf["_a"].tolist())))
-
-        def kernel(it, bc=bc):
-            import ahocorasick
-            auto = ahocorasick.Automaton()
-            by_pat: dict[str, list] = {}
-            for q, a in bc.value:
-                by_pat.setdefault(a, []).append(q)
-            for a, qs in by_pat.items():
-                auto.add_word(a, qs)
-            auto.make_automaton()
-            for p in it:
-                rows = []
-                for did, d in zip(p[pid], p["_d"]):
-                    seen = set()
-                    for _, qs in auto.iter(d):
-                        for q in qs:
-                            if q not in seen:
-                                seen.add(q)
-                                rows.append((q, did))
-                yield pd.DataFrame(rows, columns=[qid, pid])
-
-        part = docs.mapInPandas(kernel, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    a = answers.select(qid, match_tokens(F.col(answer)).alias("_a")).filter(F.length(F.trim("_a")) > 0)
+    words = F.split(F.trim("_a"), " ")
+    a = a.select(qid, "_a", F.get(words, F.lit(0)).alias("_t"), F.get(words, F.lit(1)).alias("_u"))
+    p = passages.select(pid, match_tokens(F.col(text)).alias("_d")).filter(F.length(F.trim("_d")) > 0)
+    # the passage's distinct pairs of neighbours; the last token's neighbour is null
+    tokens = p.select(pid, F.split(F.trim("_d"), " ").alias("_w"))
+    pairs = tokens.select(pid, F.explode(F.array_distinct(F.arrays_zip(
+        F.col("_w").alias("t"), F.concat(F.slice("_w", F.lit(2), F.size("_w") - 1), F.array(F.lit(None).cast("string"))).alias("u")))).alias("e"))
+    pairs = pairs.select(pid, F.col("e.t").alias("_t"), F.col("e.u").alias("_u"))
+    two = pairs.join(a.filter("_u is not null"), ["_t", "_u"]).select(qid, pid, "_a")
+    one = pairs.select(pid, "_t").distinct().join(a.filter("_u is null").select(qid, "_t", "_a"), "_t").select(qid, pid, "_a")
+    met = two.unionAll(one).distinct().join(p, pid)
+    return met.filter(F.col("_d").contains(F.col("_a"))).select(qid, pid).distinct()

@@ -110,10 +110,7 @@ def _stack(col: pd.Series, dim: int) -> np.ndarray:
 def residual_values(vectors: DataFrame, centroids: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
     """Residual ``x - centroid(code(x))`` per vector: ``(…, code, residual array<double>)``."""
     spark = vectors.sparkSession
-    pdf = centroids.orderBy("code").toPandas()
-    C = _stack(pdf["centroid"], dim)
-    if C.nbytes > MAX_CODEC_BYTES:
-        raise ValueError("centroid matrix exceeds the broadcast bound")
+    C = _centroid_matrix(centroids, dim)
     bc = spark.sparkContext.broadcast(C)
     keys = [c for c in vectors.columns if c != vec]
     schema = T.StructType([vectors.schema[c] for c in keys] + [T.StructField("code", T.IntegerType()),
@@ -136,36 +133,42 @@ def residual_values(vectors: DataFrame, centroids: DataFrame, dim: int, vec: str
 
 def residual_stats(residuals: DataFrame) -> DataFrame:
     """Mean absolute residual per dimension, and overall (``avg_residual``)."""
-    ex = residuals.select(F.posexplode("residual").alias("dim", "r"))
-    return ex.groupBy("dim").agg(F.avg(F.abs("r")).alias("avg_abs"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    sizes = residuals.select(array_to_vector(F.transform("residual", lambda x: F.abs(x))).alias("v"))
+    mean = sizes.agg(Summarizer.mean(F.col("v")).alias("m"))     # one vector, whatever the number of rows
+    return mean.select(F.posexplode(vector_to_array("m")).alias("dim", "avg_abs"))
+
+
+def _quantiles(values: DataFrame, shares: list[float]) -> list[float]:
+    """Exact linear quantiles of one column: the values at the places they lie between."""
+    from .ranking import zip_index
+    idx = zip_index(values.select(F.col(values.columns[0]).cast("double").alias("r")), ["r"], "i")
+    n = idx.count()
+    places = [x * (n - 1) for x in shares]
+    need = sorted({int(math.floor(p)) for p in places} | {int(math.ceil(p)) for p in places})
+    at = {row["i"]: row["r"] for row in idx.filter(F.col("i").isin(need)).collect()}
+    return [at[math.floor(p)] * (1 - (p - math.floor(p))) + at[math.ceil(p)] * (p - math.floor(p)) for p in places]
 
 
 def bucket_table(residuals: DataFrame, nbits: int, approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """cutoffs = quantiles ``i/2^n`` (i >= 1), weights = quantiles ``(i+0.5)/2^n`` over all
-    residual values of the held-out sample (bounded: at most 50,000 vectors). Exact linear
-    ``percentile`` by default; ``approx`` switches to ``percentile_approx``."""
+    residual values. Exact linear quantiles by default, read off a distributed sort at the places they
+    need (two per quantile); ``approx`` switches to ``percentile_approx``."""
     m = 2 ** nbits
     cuts = [i / m for i in range(1, m)]
     wts = [(i + 0.5) / m for i in range(m)]
     vals = residuals.select(F.explode("residual").alias("r"))
     qs = cuts + wts                      # one aggregate for all quantiles
+    stats = residual_stats(residuals).agg(F.avg("avg_abs").alias("avg_residual"))
     if approx:
-        allq = F.percentile_approx("r", qs, accuracy)
+        q = vals.agg(F.percentile_approx("r", qs, accuracy).cast("array<double>").alias("_q"))
     else:
-        allq = F.percentile("r", F.array(*[F.lit(x) for x in qs]))
-    stats = residual_stats(residuals).agg(F.avg("avg_abs").alias("avg_residual"))
-    q = vals.agg(allq.cast("array<double>").alias("_q"))
+        q = residuals.sparkSession.createDataFrame([(_quantiles(vals, qs),)], "_q array<double>")
     return q.select(F.slice("_q", 1, len(cuts)).alias("cutoffs"), F.slice("_q", len(cuts) + 1, len(wts)).alias("weights")) \
         .crossJoin(stats)
 
 
-def materialize_codec(codec: Codec) -> Codec:
-    """Read the (size-checked) codec once and rebuild it as small local tables, so later plans
-    neither recompute the training aggregates nor re-read them."""
-    C, _, _ = codec.arrays()
-    return _local_codec(codec.centroids.sparkSession, C, codec.buckets.first(), codec.nbits, codec.dim)
-
-
 def _local_codec(spark: SparkSession, C: np.ndarray, bk, nbits: int, dim: int) -> Codec:
     cut = np.asarray(bk["cutoffs"], np.float64)
     wts = np.asarray(bk["weights"], np.float64)
@@ -178,9 +181,8 @@ def _local_codec(spark: SparkSession, C: np.ndarray, bk, nbits: int, dim: int) -
 
 
 def train_codec(heldout: DataFrame, centroids: DataFrame, nbits: int, dim: int, vec: str = "embedding") -> Codec:
-    """Codec from fixed or trained centroids: residual buckets over the held-out vectors.
-    The held-out residuals (bounded: at most 50,000 vectors) are computed once and all bucket
-    statistics come from one aggregate."""
+    """Codec from fixed or trained centroids: residual buckets over the held-out vectors (L4 bounds them
+    to 50,000; see :func:`train_index`)."""
     spark = centroids.sparkSession
     C = _centroid_matrix(centroids, dim)
     cent = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(C)], "code int, centroid array<double>")
@@ -275,14 +277,7 @@ def decompress(codes: DataFrame, codec: Codec, out: str = "embedding") -> DataFr
             o[out] = list(V)
             yield o
 
-    from .vectors import spread
-    return spread(codes.select(*keys, "code", "residual")).mapInPandas(kernel, schema)
-
-
-def decompress_buckets_col(code_centroid: F.Column, buckets: F.Column, weights: F.Column) -> F.Column:
-    """V18 column form over bucket arrays (for checking): normalised ``c + w[b]``."""
-    v = F.zip_with(code_centroid, buckets, lambda c, b: c + F.element_at(weights, b + 1))
-    return l2_normalize(v)
+    return codes.select(*keys, "code", "residual").mapInPandas(kernel, schema)
 
 
 def build_inverted_lists(codes: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -324,6 +319,46 @@ def build_index(tokens: DataFrame, codec: Codec, vec: str = "embedding", materia
     return Index(codec, codes, ivf, doclens(codes), pid_codes)
 
 
+def train_index(tokens: DataFrame, nbits: int = 2, vec: str = "embedding", iters: int = 4, seed: int = 123) -> Index:
+    """The whole path from token vectors ``(pid, tok_pos, embedding)`` to a searchable index: sample of passages (L3),
+    number of centroids (V10), held-out vectors (L4), k-means (V11), residual buckets (V14), codes and lists (V17, V19)."""
+    from .sets import hash_sample, heldout_split, sample_size
+    pids = tokens.select("pid").distinct()
+    n = pids.count()
+    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
+    chosen = hash_sample(pids, "pid", sample_size(n), seed)
+    vectors = tokens.join(chosen, "pid", "left_semi").select(F.concat_ws(":", "pid", "tok_pos").alias("vid"), vec)
+    split = heldout_split(vectors, "vid", seed)
+    held = split.filter("heldout").select(vec)
+    train = split.filter("not heldout").select(vec)
+    seen = train.count()
+    if held.limit(1).count() == 0:      # a very small sample: its own vectors
+        held = train
+    centroids = train_centroids(train, min(plan_partitions(size["n"]), max(1, seen)), iters, seed, vec)
+    return build_index(tokens, train_codec(held, centroids, nbits, int(size["dim"]), vec), vec)
+
+
+def encode_passages(texts: DataFrame, encode, dim: int, pid: str = "pid", title: str | None = None, text: str = "text") -> DataFrame:
+    """V29 hook: a user's batch encoder as token vectors ``(pid, tok_pos, embedding)``.
+
+    ``encode(list of texts, or of (title, text) pairs) -> list of arrays (tokens x dim)`` runs in each task on
+    Arrow batches; several sources are unioned by the caller. Returned vectors are checked for ``dim``."""
+    cols = [c for c in (title, text) if c]
+    schema = T.StructType([texts.schema[pid], T.StructField("tok_pos", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def kernel(it):
+        for p in it:
+            given = list(p[text]) if title is None else list(zip(p[title], p[text]))
+            made = [np.asarray(m, np.float64).reshape(-1, dim) for m in encode(given)]
+            if len(made) != len(p):
+                raise ValueError("the encoder returned another number of texts")
+            sizes = [len(m) for m in made]
+            yield pd.DataFrame({pid: np.repeat(p[pid].to_numpy(), sizes), "tok_pos": np.concatenate([np.arange(n) for n in sizes] or [[]]).astype(np.int64),
+                                "embedding": [list(v) for m in made for v in m]})
+
+    return texts.select(pid, *cols).mapInPandas(kernel, schema)
+
+
 def lookup_embeddings(index: Index, pids: DataFrame) -> DataFrame:
     """Decompressed token vectors of the given pids (semi-join, then V18)."""
     sel = index.codes.join(pids.select("pid").distinct(), "pid", "left_semi")
@@ -386,12 +421,34 @@ def index_check(meta: DataFrame, expected_chunks: int) -> DataFrame:
     return missing.crossJoin(gaps)
 
 
+def _apart_from(index: Index, path: str) -> Index:
+    """The index with every table that reads files under ``path`` checkpointed, so the files can go."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(index.codes.sparkSession)
+    folder = path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+
+    def copy(df):
+        return df.checkpoint() if df is not None and any(folder in f for f in df.inputFiles()) else df
+
+    codec = Codec(copy(index.codec.centroids), copy(index.codec.buckets), index.codec.nbits, index.codec.dim)
+    return Index(codec, copy(index.codes), copy(index.ivf), copy(index.doclens), copy(index.pid_codes))
+
+
 def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
     """codes/residuals partitioned by chunk, plus codec, lists and doclens as Parquet.
-    ``mode``: ``overwrite`` (erase first), ``error`` (fail if present), ``resume`` (append only the
-    chunks not yet written: left-anti against the chunk values present)."""
+    ``mode``: ``overwrite`` (erase first; an index read from ``path`` is copied before), ``error`` (fail if
+    present), ``reuse`` (leave a present index as it is), ``resume`` (append only the chunks not yet
+    written: left-anti against the chunk values present)."""
     from pyspark.sql.utils import AnalysisException
     spark = index.codes.sparkSession
+    if mode == "reuse":
+        try:
+            spark.read.parquet(f"{path}/doclens")
+            return
+        except AnalysisException:
+            mode = "error"
+    if mode == "overwrite":
+        index = _apart_from(index, path)
     codes = index.codes.withColumn("chunk", F.floor(F.col("pid") / 25000).cast("long"))
     if mode == "resume":
         try:

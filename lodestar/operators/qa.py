@@ -20,7 +20,7 @@ import re  # noqa: E402
 
 import pandas as pd  # noqa: E402
 from pyspark.sql import Column  # noqa: E402
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType  # noqa: E402
+from pyspark.sql.types import BooleanType  # noqa: E402
 
 from ..functions.text import nfd, nfd_array, normalize_answer, tokenize  # noqa: E402
 
@@ -95,8 +95,6 @@ def answer_in_passage(pairs: DataFrame, mode: str = "string", text: str = "text"
     * ``regex``: any answer pattern found (NFD, case-insensitive, multiline); a bad pattern is no match;
     * ``kilt``: normalised answer is a substring of the normalised passage (no NFD).
     Answers with no tokens never match unless ``empty_matches``."""
-    from .vectors import spread
-    pairs = spread(pairs)   # text work per pair: one task per core even when the pair list is small
     if mode == "string":
         pairs = pairs.withColumn("_doc", match_tokens(F.col(text))).withColumn("_ans", nfd_array(F.col(answers)))
         ans = F.transform(F.col("_ans"), lambda a: F.array_join(tokenize(a, lower=True), " "))
@@ -114,27 +112,17 @@ def answer_in_passage(pairs: DataFrame, mode: str = "string", text: str = "text"
     return pairs.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_doc", "_ans")
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
-def _spans(ids: pd.Series, ans: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(ids, ans):
-        a = list(a) if a is not None else []
-        b = list(b) if b is not None else []
-        m = len(b)
-        res = []
-        if m:
-            first = b[0]
-            for i in range(len(a) - m + 1):
-                if a[i] == first and a[i:i + m] == b:
-                    res.append({"start": i, "end": i + m - 1})
-        out.append(res)
-    return pd.Series(out)
-
-
 def answer_spans(ids: Column, answer_ids: Column) -> Column:
     """Every occurrence of the answer's id sequence in ``ids``: ``array<struct<start,end>>``,
-    0-based, end inclusive (Arrow-batched helper; the scan per pair is sequential)."""
-    return _spans(ids, answer_ids)
+    0-based, end inclusive; an empty answer occurs nowhere. A filter over the possible starts."""
+    def search(x):      # both arrays as one variable: used inside a lambda, they would be worked out for each start
+        n = F.size(x["b"])
+        starts = F.when((n > 0) & (F.size(x["a"]) >= n), F.sequence(F.lit(0), F.size(x["a"]) - n)).otherwise(F.array().cast("array<int>"))
+        found = F.filter(starts, lambda i: (F.get(x["a"], i) == F.get(x["b"], F.lit(0))) & (F.slice(x["a"], i + 1, n) == x["b"]))
+        return F.transform(found, lambda i: F.struct(i.cast("int").alias("start"), (i + n - 1).cast("int").alias("end")))
+
+    both = F.struct(F.coalesce(ids, F.array()).alias("a"), F.coalesce(answer_ids, F.array()).alias("b"))
+    return F.element_at(F.transform(F.array(both), search), 1)
 
 
 def exact_match_by_topk(preds: DataFrame, answers: DataFrame) -> DataFrame:
@@ -152,9 +140,8 @@ def answer_in_ranked(ranked: DataFrame, passages: DataFrame, answers: DataFrame,
     (question, passage) pair: a passage retrieved by many questions is tokenised once), the
     answers once per question; the check itself is a substring test on the joined rows.
     ``ranked(qid, pid, ...)``, ``passages(pid, text)``, ``answers(qid, answers array<string>)``."""
-    from .vectors import spread
     needed = ranked.select(pid).distinct()
-    docs = spread(passages.join(needed, pid, "left_semi").select(pid, text))
+    docs = passages.join(needed, pid, "left_semi").select(pid, text)
     if mode == "string":
         dnorm = docs.select(pid, match_tokens(F.col(text)).alias("_doc"))
         a = answers.select("qid", nfd_array(F.col("answers")).alias("_a")).select(

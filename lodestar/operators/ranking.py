@@ -3,7 +3,8 @@
 All per-query work is partitioned by the query key, so a query's rows meet in one task only
 after a ``WindowGroupLimit`` has cut them to ``k`` on the map side (Catalyst inserts it for
 ``row_number() <= k``). Global numbering never uses an un-partitioned window: ``zip_index``
-counts rows per partition and adds broadcast offsets (the number of partitions is the bound).
+counts rows per partition of a sorted table that is written once (``checkpoint()``), so rows and counts
+come from the same partitions, and adds broadcast offsets (the number of partitions is the bound).
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -45,20 +48,29 @@ def check_contiguous_ranks(ranking: DataFrame, key: str = "qid", rank: str = "ra
     return gaps.unionByName(dups).distinct()
 
 
+def _sorted_once(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
+    """The rows in order with ``_part`` (partition) and ``_at`` (position in it), written once.
+
+    Evaluated twice, a sort may sample other bounds or be coalesced into other partitions, so anything
+    counted per partition must come from the same written rows as the rows themselves."""
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.orderBy(*_cols(order_by)).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_at", F.col("_mid") - F.shiftleft("_part", 33))
+    return s.drop("_mid").checkpoint(eager=True)
+
+
 def zip_index(df: DataFrame, order_by: Sequence[str | Column], index_col: str = "idx") -> DataFrame:
     """Dense 0-based global index in ``order_by`` order (the order must be total).
 
-    A range-partitioned sort, then per-partition counts (one row per partition, broadcast) give
-    each partition its offset: no single-task window over the whole table.
+    A range-partitioned sort, written once, then per-partition counts (one row per partition,
+    broadcast) give each partition its offset: no single-task window over the whole table.
     """
-    s = df.orderBy(*_cols(order_by)).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_part", F.shiftright(F.col("_mid"), 33))
+    s = _sorted_once(df, order_by)
     counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_part", "_off")
-    out = s.join(F.broadcast(offsets), "_part").withColumn(
-        index_col, (F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_part"), 33)).cast("long"))
-    return out.drop("_mid", "_part", "_off")
+    out = s.join(F.broadcast(offsets), "_part").withColumn(index_col, (F.col("_off") + F.col("_at")).cast("long"))
+    return out.drop("_part", "_at", "_off")
 
 
 def assign_batches(df: DataFrame, bsize: int, order_by: Sequence[str | Column], drop_last: bool = False,
@@ -108,9 +120,9 @@ def running_offsets(df: DataFrame, length: str, order_by: Sequence[str | Column]
                     partition_by: Sequence[str] | None = None, offset_col: str = "offset") -> DataFrame:
     """Exclusive running sum of ``length``.
 
-    With ``partition_by`` this is a per-group window. Without it, rows are numbered by
-    ``zip_index`` and the running sum is done per range partition plus broadcast partition totals,
-    so no single task sees the whole table.
+    With ``partition_by`` this is a per-group window. Without it, the rows are sorted and written once,
+    and the running sum is done per range partition plus broadcast partition totals, so no single
+    task sees the whole table.
     """
     integral = df.schema[length].dataType.typeName() in ("long", "integer", "short", "byte")
     out_type = "long" if integral else "double"
@@ -118,16 +130,15 @@ def running_offsets(df: DataFrame, length: str, order_by: Sequence[str | Column]
         w = Window.partitionBy(*partition_by).orderBy(*_cols(order_by)).rowsBetween(
             Window.unboundedPreceding, -1)
         return df.withColumn(offset_col, F.coalesce(F.sum(length).over(w), F.lit(0)).cast(out_type))
-    s = df.orderBy(*_cols(order_by)).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_part", F.shiftright(F.col("_mid"), 33))
+    s = _sorted_once(df, order_by)
     totals = s.groupBy("_part").agg(F.sum(length).alias("_tot"))
     wt = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_base", F.coalesce(F.sum("_tot").over(wt), F.lit(0))).select("_part", "_base")
-    wl = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    wl = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     out = s.withColumn("_local", F.coalesce(F.sum(length).over(wl), F.lit(0)))
     out = out.join(F.broadcast(totals), "_part").withColumn(
         offset_col, (F.col("_base") + F.col("_local")).cast(out_type))
-    return out.drop("_mid", "_part", "_local", "_base")
+    return out.drop("_part", "_at", "_local", "_base")
 
 
 def first_hit(ranked: DataFrame, hit: str = "has_answer", key: str = "qid", rank: str = "rank",
@@ -137,8 +148,8 @@ def first_hit(ranked: DataFrame, hit: str = "has_answer", key: str = "qid", rank
 
 
 def epoch_shuffle(df: DataFrame, id_col: str, seed: int, epoch: int, order_col: str = "shuffle_key") -> DataFrame:
-    """A re-runnable shuffle order: hash of (id, seed+epoch)."""
-    return df.withColumn(order_col, F.xxhash64(F.col(id_col), F.lit(seed + epoch)))
+    """A re-runnable shuffle order: the md5 of ``seed + epoch`` and the id."""
+    return df.withColumn(order_col, F.md5(F.concat(F.lit(f"{seed + epoch}:"), F.col(id_col).cast("string"))))
 
 
 def mix_sources(batches: DataFrame, rates: DataFrame, iterations: int, seed: int = 0) -> DataFrame:
@@ -171,22 +182,19 @@ def fill_short_shard(batches: DataFrame, shard_col: str = "shard", batch_col: st
     return batches.withColumn("filled", F.lit(False)).unionByName(copies)
 
 
-def group_ranked(ranking: DataFrame, k: int, key: str = "qid", rank: str = "rank",
+def group_ranked(ranking: DataFrame, k: int | None = None, key: str = "qid", rank: str = "rank",
                  fields: Sequence[str] = ("pid", "score"), out: str = "items") -> DataFrame:
     """Grouped form of a ranking, ``items`` = array of ``struct(rank, *fields)`` in rank order.
 
-    Only the top ``k`` of each key are grouped, so a key holding a third of all rows still
-    yields a bounded array."""
-    top = ranking.filter(F.col(rank) <= k)
+    Every row of a key is grouped; with ``k`` only its top ``k``, which bounds the arrays."""
+    top = ranking if k is None else ranking.filter(F.col(rank) <= k)
     return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(rank), *[F.col(f) for f in fields])))
                                 .alias(out))
 
 
 def check_pregrouped(df: DataFrame, key: str, order: str) -> DataFrame:
-    """A21 (strict form): keys that come back after another key in ``order`` (input not grouped).
-    Distributed: each key's first/last position vs. the count of rows between them."""
-    span = df.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"),
-                               F.count(F.lit(1)).alias("_n"))
+    """A21 (strict form): keys that come back after another key in ``order`` (input not grouped): their
+    first and last place are further apart than their rows."""
     idx = zip_index(df.select(key, order), [order], "_i")
     pos = idx.groupBy(key).agg(F.min("_i").alias("_a"), F.max("_i").alias("_b"), F.count(F.lit(1)).alias("_m"))
-    return pos.filter(F.col("_b") - F.col("_a") + 1 != F.col("_m")).select(key).join(span.select(key), key)
+    return pos.filter(F.col("_b") - F.col("_a") + 1 != F.col("_m")).select(key)

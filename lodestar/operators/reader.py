@@ -1,6 +1,6 @@
 """Extractive-reader data and predictions.
 
-Passages are independent rows, so the greedy span search (W10) is a per-row numpy kernel in
+Passages are independent rows, so the span choice (W10) is a per-row numpy kernel in
 ``mapInPandas``; everything else is windows and aggregates keyed by question with bounded lists
 (at most the first 200 passages of a question)."""
 
@@ -15,34 +15,46 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
                      T.StructField("score", T.DoubleType())])
 
 
+def _span_table(start, end, max_len):
+    """All spans of at most ``max_len`` tokens by first, then last token, with their scores."""
+    width = min(max_len, len(start))
+    first = np.repeat(np.arange(len(start)), width)
+    last = first + np.tile(np.arange(width), len(start))
+    inside = last < len(start)
+    first, last = first[inside], last[inside]
+    return first, last, start[first] + end[last]
+
+
+def _whole_words(tokens, n):
+    """For each token the first and the last token of its word (``##`` marks a word's further pieces)."""
+    place = np.arange(n)
+    head = np.ones(n, bool) if tokens is None else np.array([not t.startswith("##") for t in tokens], bool)
+    head[:1] = True
+    left = np.maximum.accumulate(np.where(head, place, 0))
+    tail = np.append(head[1:], True)
+    right = np.minimum.accumulate(np.where(tail, place, n - 1)[::-1])[::-1]
+    return left, right
+
+
 def _best_spans_one(start, end, tokens, max_len, top):
-    n = len(start)
-    if n == 0:
+    """Rule: take the best span that is left, widen it to whole words, strike out every span that holds it or
+    lies in it, and go on until ``top`` are taken. One mask over all spans is struck out at a time."""
+    start, end = np.asarray(start, np.float64), np.asarray(end, np.float64)
+    if not len(start):
         return []
-    s = np.asarray(start, np.float64)
-    e = np.asarray(end, np.float64)
-    ii, ll = np.meshgrid(np.arange(n), np.arange(max_len), indexing="ij")
-    jj = ii + ll
-    ok = jj < n
-    i, j = ii[ok], jj[ok]
-    sc = s[i] + e[j]
-    order = np.lexsort((j, i, -sc))     # score desc; ties by position (stable order of the scan)
-    chosen = []
-    out = []
-    cont = [t.startswith("##") for t in tokens] if tokens is not None else [False] * n
-    for k in order:
-        a, b = int(i[k]), int(j[k])
-        if any(a <= pa <= pb <= b or pa <= a <= b <= pb for pa, pb in chosen):
-            continue
-        while a > 0 and cont[a]:          # extend to whole words
-            a -= 1
-        while b + 1 < n and cont[b + 1]:
-            b += 1
-        out.append({"start": a, "end": b, "score": float(sc[k])})
-        chosen.append((a, b))
-        if len(chosen) == top:
+    first, last, score = _span_table(start, end, max_len)
+    left, right = _whole_words(tokens, len(start))
+    open_score, taken = score.copy(), []
+    while len(taken) < top:
+        best = int(open_score.argmax())      # of equal scores the first span in order
+        if open_score[best] == -np.inf:
             break
-    return out
+        a, b = left[first[best]], right[last[best]]
+        taken.append({"start": int(a), "end": int(b), "score": float(score[best])})
+        holds, within = (first <= a) & (last >= b), (first >= a) & (last <= b)
+        open_score[holds | within] = -np.inf
+        open_score[best] = -np.inf
+    return taken
 
 
 def best_spans(passages: DataFrame, max_len: int = 10, top: int = 10) -> DataFrame:
@@ -59,8 +71,7 @@ def best_spans(passages: DataFrame, max_len: int = 10, top: int = 10) -> DataFra
                             for a, b, t in zip(p["start_logits"], p["end_logits"], p["tokens"])]
             yield out
 
-    from .vectors import spread
-    return spread(passages).mapInPandas(kernel, schema)
+    return passages.mapInPandas(kernel, schema)
 
 
 def best_prediction_by_threshold(preds: DataFrame, thresholds: list[int]) -> DataFrame:

@@ -150,7 +150,8 @@ def search_all(queries: DataFrame, index: Index, k: int, ncells: int | None = No
                ndocs: int | None = None, query_maxlen: int = 32, allowed: DataFrame | None = None) -> DataFrame:
     """All queries in one set-based plan: probe cells -> candidates -> stage 1 (threshold,
     ``ndocs``) -> stage 2 (all codes, ``ndocs/4``) -> decompress + maxsim -> top ``k``.
-    ``queries(qid, qtok, embedding)``; only the first ``query_maxlen`` vectors probe cells."""
+    ``queries(qid, qtok, embedding)``: the first ``query_maxlen`` vectors of a query probe cells and score
+    centroids; the final score takes all of its vectors."""
     nc, thr, nd = search_tier(k, ncells, threshold, ndocs)
     qpacked = pack_vectors(queries.filter(F.col("qtok") < query_maxlen), "qid", "qtok", "embedding", "qvecs")
     cands = generate_candidates(probe_cells(qpacked, index, nc), index.ivf)
@@ -158,5 +159,5 @@ def search_all(queries: DataFrame, index: Index, k: int, ncells: int | None = No
     dcodes = doc_codes(index)
     s1 = prune(approx_scores(cands, qpacked, dcodes, index, thr), nd)
     s2 = prune(approx_scores(s1.select("qid", "pid"), qpacked, dcodes, index, None), max(nd // 4, 1))
-    final = rescore(s2, qpacked, index)
+    final = rescore(s2, pack_vectors(queries, "qid", "qtok", "embedding", "qvecs"), index)
     return topk_per_query(final, k, "qid", "score", "pid")

@@ -1,7 +1,7 @@
 """Sampling, splits and set operators (L*, G*, D16).
 
-Samples are hash-ordered (``xxhash64`` of id and seed) so a re-run yields the same rows and no
-driver-side random state is involved.
+Samples are ordered by the md5 of seed and id, so a re-run yields the same rows, no driver-side random
+state is involved, and any engine can repeat them.
 """
 
 from __future__ import annotations
@@ -15,10 +15,20 @@ from pyspark.sql import functions as F
 from .ranking import zip_index
 
 
+def hash_order(id_col: str, seed: int) -> Column:
+    """A seeded order of ids: the md5 of ``seed:id``."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+
+
+def hash_number(id_col: str, seed: int) -> Column:
+    """The first 32 bits of :func:`hash_order`, as a number."""
+    return F.conv(F.substring(hash_order(id_col, seed), 1, 8), 16, 10).cast("long")
+
+
 def random_split(df: DataFrame, id_col: str, train_pct: int = 90, seed: int = 0,
                  split_col: str = "split") -> DataFrame:
-    """L1: ``train`` when ``pmod(xxhash64(id, seed), 100) < train_pct`` else ``dev``."""
-    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100))
+    """L1: ``train`` when the hash of the id, modulo 100, is below ``train_pct``, else ``dev``."""
+    h = hash_number(id_col, seed) % 100
     return df.withColumn(split_col, F.when(h < train_pct, "train").otherwise("dev"))
 
 
@@ -40,15 +50,24 @@ def sample_size_col(n: Column) -> Column:
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 123) -> DataFrame:
-    """The ``n`` rows with the smallest ``xxhash64(id, seed)`` (ties by id). A global top-n:
-    each map task keeps its own n best before the single final merge (``TakeOrderedAndProject``)."""
-    return (df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-            .orderBy("_h", id_col).limit(n).drop("_h"))
+    """The ``n`` rows that come first in the seeded order (ties by id).
+
+    The hashes are even, so a threshold a little above ``n / rows`` leaves few rows too many; those alone
+    are sorted and numbered. No task holds the sample."""
+    total = df.count()
+    if n >= total:
+        return df
+    share = (n + 8 * math.sqrt(n) + 64) / total
+    near = df.filter(hash_number(id_col, seed) < int(share * (1 << 32))) if share < 1 else df
+    if share < 1 and near.count() < n:     # an uneven draw, or ids that repeat
+        near = df
+    first = zip_index(near.withColumn("_h", hash_order(id_col, seed)), ["_h", id_col], "_i")
+    return first.filter(F.col("_i") < n).drop("_h", "_i")
 
 
 def heldout_split(vectors: DataFrame, id_col: str, seed: int = 0, frac: float = 0.05, cap: int = 50000) -> DataFrame:
     """L4: the first ``min(int(frac*n), cap)`` vectors in hash order are held out (``heldout``)."""
-    idx = zip_index(vectors.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed))), ["_h", id_col], "_i")
+    idx = zip_index(vectors.withColumn("_h", hash_order(id_col, seed)), ["_h", id_col], "_i")
     n = vectors.agg(F.count(F.lit(1)).alias("_n"))
     m = F.least(F.floor(F.col("_n") * frac), F.lit(cap))
     return idx.crossJoin(F.broadcast(n)).withColumn("heldout", F.col("_i") < m).drop("_h", "_i", "_n")

@@ -1,23 +1,20 @@
 """Tables from token/markup streams (T1-T3, D11, A23, G5 for tables).
 
-A document's markup is a sequential structure, so extraction is a small per-document state
-machine run in ``mapInPandas`` over many documents at once (Spark partitions the documents; no
-document is split). Nested tables are flattened with ``parent_table_id`` (Spark has no recursive
-types). Chunking and linearisation are per-table and also run as Arrow-batched helpers.
+Everything is windows and aggregates over token rows ``(doc_id, pos, token)``, partitioned by
+document: nesting depth is a running sum of table tags, a token's table is the last one opened at
+the token's depth, its row and cell are running counts of row and cell tags in that table. Nested
+tables are flattened with ``parent_table_id`` (Spark has no recursive types).
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROWS = T.ArrayType(T.ArrayType(T.StringType()))
-TABLE_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("table_id", T.LongType()),
-    T.StructField("parent_table_id", T.LongType()), T.StructField("caption", T.StringType()),
-    T.StructField("rows", ROWS), T.StructField("nested", T.BooleanType())])
+from ..functions.text import nfd, nfd_array
+
+# fixed value that must equal the reference's
+ISSUES_BANNER = "( hide ) This section has multiple issues"
 
 
 def markup_tokens(html: F.Column) -> F.Column:
@@ -25,175 +22,199 @@ def markup_tokens(html: F.Column) -> F.Column:
     return F.regexp_extract_all(html, F.lit(r"<[^>]+>|[^<\s]+"), 0)
 
 
-def _tag(tok: str) -> tuple[str, bool] | None:
-    if not tok.startswith("<") or not tok.endswith(">"):
-        return None
-    t = tok[1:-1].strip()
-    closing = t.startswith("/")
-    name = t.lstrip("/").split()[0].lower() if t.lstrip("/") else ""
-    return name, closing
-
-
-def extract_tables_one(doc_id, tokens, title, table_tags=("table",), row_tags=("tr",), cell_tags=("td", "th"),
-                       issue_banner: str | None = None):
-    """T1 for one document: returns a list of dicts (TABLE_SCHEMA without doc_id)."""
-    if tokens is None:
-        return []
-    if issue_banner and issue_banner in " ".join(tokens[:50]):
-        return []
-    out, stack, next_id = [], [], [0]
-
-    def new_table(parent):
-        tid = next_id[0]
-        next_id[0] += 1
-        caption = title or ""
-        if parent is not None:
-            cur = " ".join(parent["cell"]) if parent["cell"] is not None else ""
-            caption = (parent["caption"] + " " + cur).strip()
-        return {"table_id": tid, "parent": parent["table_id"] if parent else None, "caption": caption,
-                "rows": [], "row": None, "cell": None, "extra": [], "nested": parent is not None}
-
-    for tok in tokens:
-        tg = _tag(tok)
-        if tg is not None:
-            name, closing = tg
-            if name in table_tags and not closing:
-                stack.append(new_table(stack[-1] if stack else None))
-            elif name in table_tags and closing and stack:
-                t = stack.pop()
-                if t["row"] is not None:
-                    if t["cell"] is not None:
-                        t["row"].append(" ".join(t["cell"]))
-                    t["rows"].append(t["row"])
-                non_empty = [r for r in t["rows"] if len(", ".join(r)) > 1]
-                if len(non_empty) > 1:
-                    out.append({"table_id": t["table_id"], "parent_table_id": t["parent"], "caption": t["caption"],
-                                "rows": t["rows"], "nested": t["nested"]})
-            elif stack:
-                t = stack[-1]
-                if name in row_tags and not closing:
-                    if t["row"] is not None:
-                        if t["cell"] is not None:
-                            t["row"].append(" ".join(t["cell"]))
-                        t["rows"].append(t["row"])
-                    t["row"], t["cell"] = [], None
-                    if name in cell_tags:
-                        t["cell"] = []
-                elif name in cell_tags and not closing and t["row"] is not None:
-                    if t["cell"] is not None:
-                        t["row"].append(" ".join(t["cell"]))
-                    t["cell"] = []
-                elif name in row_tags and closing and t["row"] is not None:
-                    if t["cell"] is not None:
-                        t["row"].append(" ".join(t["cell"]))
-                    t["rows"].append(t["row"])
-                    t["row"], t["cell"] = None, None
-            continue
-        if stack:
-            t = stack[-1]
-            if t["cell"] is not None:
-                t["cell"].append(tok)
-            else:                             # text outside rows goes to the caption
-                t["caption"] = (t["caption"] + " " + tok).strip()
-    return out
+def has_issues(tokens: str | Column, banner: str = ISSUES_BANNER) -> Column:
+    """Does the whole document hold the banner of pages with issues?"""
+    return F.coalesce(F.array_join(tokens, " ").contains(banner), F.lit(False))
+
+
+def _token_rows(docs: DataFrame, id_col: str, tokens: str, mask: str | None, table_tags, row_tags, cell_tags) -> DataFrame:
+    """One row per token: its table (the position of the table's tag), depth, row and cell number."""
+    entry = F.arrays_zip(F.col(tokens).alias("t"), (F.col(mask) if mask else F.col(tokens)).alias("m"))
+    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(entry).alias("pos", "e"))
+    tag = F.coalesce(F.col("e.m").cast("boolean"), F.lit(False)) if mask else F.col("e.t").rlike(r"^<[^>]+>$")
+    t = t.select("doc_id", "pos", F.col("e.t").alias("token"), tag.alias("tag"))
+    name = F.lower(F.regexp_extract("token", r"^<\s*/?\s*([^\s/>]+)", 1))
+    t = t.withColumn("name", F.when(F.col("tag"), name).otherwise("")).withColumn("closing", F.col("token").rlike(r"^<\s*/"))
+
+    def opened(tags):
+        return F.col("name").isin(*tags) & ~F.col("closing")
+
+    doc = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(opened(table_tags), 1).when(F.col("name").isin(*table_tags), -1).otherwise(0)
+    t = t.withColumn("_step", step).withColumn("_sum", F.sum("_step").over(doc))
+    # a closing tag without a table is ignored: the sum is held at zero from below
+    t = t.withColumn("_after", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(doc)))
+    t = t.withColumn("depth", F.col("_after") + F.when(F.col("_step") < 0, 1).otherwise(0))
+    t = t.filter("depth > 0")
+    level = Window.partitionBy("doc_id", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("start", F.last(F.when(F.col("_step") > 0, F.col("pos")), ignorenulls=True).over(level)).filter("start is not null")
+    inside = Window.partitionBy("doc_id", "start").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("row", F.sum(opened(row_tags).cast("int")).over(inside))
+    in_row = Window.partitionBy("doc_id", "start", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("cell", F.when(F.col("row") > 0, F.sum(opened(cell_tags).cast("int")).over(in_row)).otherwise(0))
+    return t.select("doc_id", "pos", "token", "tag", "depth", "start", "row", "cell")
+
+
+def _joined(when: Column | None = None) -> Column:
+    """Aggregate: tokens in order, joined by blanks."""
+    item = F.struct("pos", "token")
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, item) if when is not None else item)), lambda x: x["token"]), " ")
 
 
 def extract_tables(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", title: str = "title",
-                   table_tags=("table",), row_tags=("tr",), cell_tags=("td", "th"), issue_banner: str | None = None) -> DataFrame:
-    """T1 over many documents ``(id, tokens, title)`` -> one row per kept table."""
-    def kernel(it):
-        for p in it:
-            rows = []
-            for did, toks, ttl in zip(p[id_col], p[tokens], p[title]):
-                for t in extract_tables_one(did, list(toks) if toks is not None else None, ttl, table_tags, row_tags, cell_tags,
-                                            issue_banner):
-                    rows.append({"doc_id": int(did), **t})
-            yield pd.DataFrame(rows, columns=[f.name for f in TABLE_SCHEMA.fields])
-
-    from .vectors import spread_scan
-    return spread_scan(docs.select(id_col, tokens, title)).mapInPandas(kernel, TABLE_SCHEMA)
-
-
-def _words(row):
-    return len(", ".join(row).split(" "))
-
-
-def split_chunks_one(rows, max_words: int, min_chars: int = 1):
-    """T2 for one table: the first non-empty row is the header of every chunk; rows are added until
-    the chunk's words reach ``max_words`` (then it is flushed); a tail with more than the header
-    is kept. Returns lists of rows."""
-    non_empty = [r for r in rows if len(", ".join(r)) > min_chars]
-    if not non_empty:
-        return []
-    header, chunks, cur, words = non_empty[0], [], [non_empty[0]], _words(non_empty[0])
-    for r in non_empty[1:]:
-        cur.append(r)
-        words += _words(r)
-        if words >= max_words:
-            chunks.append(cur)
-            cur, words = [header], _words(header)
-    if len(cur) > 1:
-        chunks.append(cur)
-    return chunks
-
-
-CHUNK_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("table_id", T.LongType()),
-                             T.StructField("chunk", T.LongType()), T.StructField("text", T.StringType()),
-                             T.StructField("n_rows", T.LongType())])
+                   table_tags=("table",), row_tags=("tr",), cell_tags=("td", "th"), issue_banner: str | None = ISSUES_BANNER,
+                   html_mask: str | None = None, keep_small: bool = False) -> DataFrame:
+    """T1 over many documents ``(id, tokens, title)``: one row per table ``doc_id, table_id, parent_table_id,
+    caption, rows, nested, filled_rows``.
+
+    * ``html_mask`` names a column that says which tokens are markup; without it, ``<...>`` tokens are.
+    * text in a row belongs to its last cell, also after the cell's or row's end; text before belongs to
+      the caption, which starts with the title, or for a nested table with the parent's caption so
+      far, ``" | "`` and the parent's current cell so far.
+    * documents with the issues banner are dropped; tables with at most one row that holds a token are
+      dropped unless ``keep_small``."""
+    if issue_banner:
+        docs = docs.filter(~has_issues(tokens, issue_banner))
+    t = _token_rows(docs, id_col, tokens, html_mask, table_tags, row_tags, cell_tags)
+    text = ~F.col("tag")
+    cells = t.filter("cell > 0").groupBy("doc_id", "start", "row", "cell").agg(_joined(text).alias("text"))
+    listed = cells.groupBy("doc_id", "start", "row").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]).alias("cells"))
+    every = t.filter("row > 0").select("doc_id", "start", "row").distinct()
+    rows = (every.join(listed, ["doc_id", "start", "row"], "left").groupBy("doc_id", "start").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("row", F.coalesce("cells", F.array().cast("array<string>")).alias("cells")))),
+        lambda x: x["cells"]).alias("rows")))
+    heads = t.filter("pos = start").select("doc_id", "start", "depth")
+    order = Window.partitionBy("doc_id").orderBy("start")
+    heads = heads.withColumn("table_id", F.row_number().over(order).cast("long") - 1)
+    # the tables round a nested one: for each lesser depth the last one opened before it
+    below = heads.filter("depth > 1").select("doc_id", "start", F.explode(F.sequence(F.lit(1), F.col("depth").cast("int") - 1)).alias("level"))
+    around = (below.join(heads.select("doc_id", F.col("start").alias("outer"), F.col("depth").alias("level"), F.col("table_id").alias("outer_id")), ["doc_id", "level"])
+              .filter("outer < start").groupBy("doc_id", "start", "level").agg(F.max(F.struct("outer", "outer_id")).alias("o"))
+              .select("doc_id", "start", "level", F.col("o.outer").alias("outer"), F.col("o.outer_id").alias("outer_id")))
+    told = (around.join(t.withColumnRenamed("start", "outer"), ["doc_id", "outer"]).filter("pos < start"))
+    at = told.groupBy("doc_id", "start", "level").agg(F.max_by(F.struct("row", "cell"), "pos").alias("now"))
+    told = told.join(at, ["doc_id", "start", "level"])
+    own, current = text & (F.col("cell") == 0), text & (F.col("cell") > 0) & (F.col("row") == F.col("now.row")) & (F.col("cell") == F.col("now.cell"))
+    said = told.groupBy("doc_id", "start", "level").agg(
+        _joined(own).alias("own"), F.max(F.col("now.cell")).alias("in_cell"), _joined(current).alias("current"))
+    part = F.concat(F.when(F.col("own") != "", F.concat(F.lit(" "), "own")).otherwise(""),
+                    F.when(F.col("in_cell") > 0, F.concat(F.lit(" | "), "current")).otherwise(""))
+    prefix = said.groupBy("doc_id", "start").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("level", part.alias("part")))), lambda x: x["part"]), "").alias("prefix"))
+    parents = around.groupBy("doc_id", "start").agg(F.max_by("outer_id", "level").alias("parent_table_id"))
+    captions = t.filter(text & (F.col("cell") == 0)).groupBy("doc_id", "start").agg(_joined().alias("words"))
+    titles = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(title), F.lit("")).alias("title"))
+    out = heads
+    for side in (rows, prefix, parents, captions):
+        out = out.join(side, ["doc_id", "start"], "left")
+    out = out.join(titles, "doc_id")
+    caption = F.concat("title", F.coalesce("prefix", F.lit("")), F.when(F.col("words").isNotNull(), F.concat(F.lit(" "), "words")).otherwise(""))
+    filled = F.size(F.filter(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.exists(r, lambda c: c != "")))
+    out = out.select("doc_id", "table_id", "parent_table_id", F.trim(caption).alias("caption"),
+                     F.coalesce("rows", F.array().cast("array<array<string>>")).alias("rows"), (F.col("depth") > 1).alias("nested"),
+                     filled.alias("filled_rows"))
+    return out if keep_small else out.filter("filled_rows > 1")
+
+
+def row_text(cells: Column) -> Column:
+    """The cells of a row joined by a comma and a blank."""
+    return F.array_join(cells, ", ")
+
+
+def row_words(cells: Column) -> Column:
+    """Words of a row: the blank-separated parts of its cells."""
+    return F.aggregate(cells, F.lit(0), lambda n, c: n + F.size(F.split(c, " ")))
+
+
+def _filled_lines(rows: Column) -> Column:
+    """``(place, line, words)`` of the rows whose text has more than one character."""
+    lines = F.transform(rows, lambda r, i: F.struct(i.alias("place"), row_text(r).alias("line"), row_words(r).alias("words")))
+    return F.filter(lines, lambda x: F.length(x["line"]) > 1)
 
 
 def split_table_chunks(tables: DataFrame, max_words: int = 100) -> DataFrame:
-    """T2 over a tables DataFrame; chunk text = caption + rows linearised (cells by ``, ``, rows
-    by ``\\n``)."""
-    def kernel(it):
-        for p in it:
-            out = []
-            for did, tid, cap, rows in zip(p["doc_id"], p["table_id"], p["caption"], p["rows"]):
-                rows = [list(r) for r in rows] if rows is not None else []
-                for i, ch in enumerate(split_chunks_one(rows, max_words)):
-                    out.append((int(did), int(tid), i, (cap or "") + "\n" + "\n".join(", ".join(r) for r in ch), len(ch)))
-            yield pd.DataFrame(out, columns=[f.name for f in CHUNK_SCHEMA.fields])
-    return tables.mapInPandas(kernel, CHUNK_SCHEMA)
-
-
-def linearize_table_one(rows, answer_rows: set, max_words: int):
-    """T3 for one table: header, then rows holding answers, then the other rows while the word
-    budget lasts."""
-    non_empty = [r for r in rows if len(", ".join(r)) > 1]
-    if not non_empty:
-        return ""
-    out, words = [non_empty[0]], _words(non_empty[0])
-    ordered = [r for i, r in enumerate(non_empty[1:], 1) if i in answer_rows] + \
-              [r for i, r in enumerate(non_empty[1:], 1) if i not in answer_rows]
-    for r in ordered:
-        w = _words(r)
-        if words + w > max_words and len(out) > 1:
-            break
-        out.append(r)
-        words += w
-    return "\n".join(", ".join(r) for r in out)
-
-
-def answer_cells_one(rows, caption, answers):
-    """D11 for one table: ``(row, col)`` of cells whose lower-cased single-space tokens contain an
-    answer's tokens; the caption is visited as ``(-1, -1)``. Answers are NFD and lower-cased."""
-    import unicodedata
-    toks = [unicodedata.normalize("NFD", a).lower().split(" ") for a in answers if a]
-
-    def has(text):
-        words = unicodedata.normalize("NFD", text or "").lower().split(" ")
-        return any(len(a) and any(words[i:i + len(a)] == a for i in range(len(words) - len(a) + 1)) for a in toks)
-    out = [(-1, -1)] if has(caption) else []
-    for i, r in enumerate(rows):
-        for j, c in enumerate(r):
-            if has(c):
-                out.append((i, j))
-    return out
-
-
-def table_corpus_stats(tables: DataFrame) -> DataFrame:
-    """Nested tables, single-row tables, regular tables and total rows."""
-    return tables.agg(F.sum(F.col("nested").cast("long")).alias("nested"),
-                      F.sum((F.size("rows") == 1).cast("long")).alias("single_row"),
-                      F.sum((~F.col("nested") & (F.size("rows") > 1)).cast("long")).alias("regular"),
-                      F.sum(F.size("rows")).cast("long").alias("total_rows"))
+    """The first filled row is the header of every chunk; rows follow until the chunk's words reach
+    ``max_words``; a tail with more than the header is a chunk too. ``text`` is the caption and the chunk's lines.
+
+    A fold over a table's rows numbers the chunks; lines of one chunk meet in an aggregate."""
+    t = tables.withColumn("_lines", _filled_lines(F.col("rows"))).filter(F.size("_lines") > 1)
+    t = t.withColumn("_head", F.element_at("_lines", 1))
+    start = F.struct(F.lit(0).alias("chunk"), F.col("_head.words").alias("words"), F.array().cast("array<int>").alias("ids"))
+
+    def add(state, x):
+        words = state["words"] + x["words"]
+        ids = F.concat(state["ids"], F.array(state["chunk"]))
+        full = words >= max_words
+        return F.struct((state["chunk"] + full.cast("int")).alias("chunk"),
+                        F.when(full, F.col("_head.words")).otherwise(words).alias("words"), ids.alias("ids"))
+
+    t = t.withColumn("_ids", F.aggregate(F.slice("_lines", F.lit(2), F.size("_lines") - 1), start, add)["ids"])
+    body = t.select("doc_id", "table_id", "caption", F.col("_head.line").alias("_header"), F.explode(F.arrays_zip(
+        F.slice("_lines", F.lit(2), F.size("_lines") - 1).alias("x"), F.col("_ids").alias("chunk"))).alias("e"))
+    chunks = body.groupBy("doc_id", "table_id", F.col("e.chunk").cast("long").alias("chunk")).agg(
+        F.first("caption").alias("caption"), F.first("_header").alias("_header"),
+        F.array_sort(F.collect_list(F.struct(F.col("e.x.place").alias("place"), F.col("e.x.line").alias("line")))).alias("_body"))
+    lines = F.concat(F.array(F.coalesce("caption", F.lit("")), F.col("_header")), F.transform("_body", lambda x: x["line"]))
+    return chunks.select("doc_id", "table_id", "chunk", F.array_join(lines, "\n").alias("text"),
+                         (F.size("_body") + 1).cast("long").alias("n_rows"))
+
+
+def linearize_table(rows: Column, answer_rows: Column, max_words: int) -> Column:
+    """The first filled row, then the rows that hold answers (``answer_rows``: their places from 0, in
+    order), then the other filled rows. A phase goes on until the words reach ``max_words``; the row that
+    reaches it is kept. The first answer row is always kept."""
+    lines = F.transform(rows, lambda r, i: F.struct(i.alias("place"), row_text(r).alias("line"), row_words(r).alias("words")))
+    filled = F.filter(lines, lambda x: F.length(x["line"]) > 1)
+    head = F.get(filled, F.lit(0))
+    wanted = F.array_distinct(F.coalesce(answer_rows, F.array().cast("array<int>")))
+    answers = F.filter(F.transform(wanted, lambda p: F.get(lines, p)), lambda x: x.isNotNull() & ((x["place"] != head["place"]) | head.isNull()))
+    others = F.filter(filled, lambda x: (x["place"] != head["place"]) & ~F.array_contains(wanted, x["place"]))
+    start = F.struct(F.coalesce(head["line"], F.lit("")).alias("text"), F.coalesce(head["words"], F.lit(0)).alias("words"), F.lit(False).alias("any"))
+
+    def add(first_always):
+        def step(s, x):
+            more = (s["words"] < max_words) | (~s["any"] if first_always else F.lit(False))
+            glue = F.when(s["text"] == "", "").otherwise("\n")
+            return F.struct(F.when(more, F.concat(s["text"], glue, x["line"])).otherwise(s["text"]).alias("text"),
+                            (s["words"] + F.when(more, x["words"]).otherwise(0)).alias("words"), F.lit(True).alias("any"))
+        return step
+
+    return F.aggregate(others, F.aggregate(answers, start, add(True)), add(False))["text"]
+
+
+def answer_cells(tables: DataFrame, answers: str = "answers") -> DataFrame:
+    """``(doc_id, table_id, row, col)`` of the cells in which an answer's blank-separated tokens stand one
+    after another, both NFD and lower-cased; the caption is ``(-1, -1)``. Empty answers match nothing."""
+    def padded(text):
+        return F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+
+    wanted = F.transform(F.filter(nfd_array(F.col(answers)), lambda a: a != ""), padded)
+    t = tables.select("doc_id", "table_id", "caption", "rows", wanted.alias("_want"))
+    places = F.flatten(F.transform("rows", lambda r, i: F.transform(r, lambda c, j: F.struct(
+        i.cast("int").alias("row"), j.cast("int").alias("col"), c.alias("text")))))
+    title = F.array(F.struct(F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.coalesce("caption", F.lit("")).alias("text")))
+    cells = t.select("doc_id", "table_id", "_want", F.explode(F.concat(title, places)).alias("c"))
+    cells = cells.select("doc_id", "table_id", F.col("c.row").alias("row"), F.col("c.col").alias("col"), "_want", padded(nfd(F.col("c.text"))).alias("_text"))
+    return cells.filter(F.exists("_want", lambda w: F.col("_text").contains(w))).select("doc_id", "table_id", "row", "col")
+
+
+def table_corpus_stats(docs: DataFrame, **options) -> DataFrame:
+    """A23 over documents, before any table is dropped: documents with issues, tables that are not their
+    document's first, tables with at most one filled row, the other ones, and the rows of these."""
+    issues = docs.agg(F.coalesce(F.sum(has_issues(options.get("tokens", "tokens")).cast("long")), F.lit(0)).alias("with_issue"))
+    tables = extract_tables(docs, keep_small=True, **options)
+    regular = F.col("filled_rows") > 1
+
+    def count(cond):
+        return F.coalesce(F.sum(cond.cast("long")), F.lit(0))
+
+    stats = tables.agg(count(F.col("table_id") > 0).alias("nested"), count(~regular).alias("single_row"), count(regular).alias("regular"),
+                       F.coalesce(F.sum(F.when(regular, F.size("rows"))), F.lit(0)).cast("long").alias("total_rows"))
+    return issues.crossJoin(stats)  # one row each
+
+
+def distinct_tables(tables: DataFrame) -> DataFrame:
+    """G5 on tables: the first table (by document, then place) of each caption and text."""
+    key = F.md5(F.to_json(F.struct("caption", "rows")))
+    return tables.withColumn("_key", key).groupBy("_key").agg(F.min(F.struct("doc_id", "table_id")).alias("f")).select("f.doc_id", "f.table_id")

@@ -1,11 +1,11 @@
 """Vector operators: exact and approximate kNN, maxsim, in-batch scores, 8-bit codes
 (V4-V9, V34, J15, A14, A15).
 
-Bulk scoring never crosses two large sides. The query side is cut into groups whose matrix is
-at most ``MAX_GROUP_BYTES`` (checked from the row count and the dimension before anything is
-broadcast); each group is broadcast once and every document partition multiplies it against its
-own Arrow batches with numpy, keeping only a local top-k (or a count) per query. The final top-k
-per query is a ``row_number`` window over at most ``partitions x k`` rows per query.
+Exact bulk scoring runs on a grid: queries and documents are each dealt into blocks by a hash of
+their key, as many as keep a block's matrix within ``MAX_BLOCK_BYTES``; every cell (query block,
+document block) is one cogroup that multiplies its two matrices with numpy and keeps only a local
+top-k (or a count) per query. Nothing is collected or broadcast; the final top-k per query is a
+``row_number`` window over at most ``document blocks x k`` rows per query.
 """
 
 from __future__ import annotations
@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import dot, sq_l2
-from .ranking import topk_per_query, zip_index
+from .ranking import topk_per_query
 
-MAX_GROUP_BYTES = 64 << 20      # broadcast bound for one query group (float64 matrix)
+MAX_BLOCK_BYTES = 32 << 20      # one block's float64 matrix
+BLOCK_ROWS = 512                # documents in a block at least, before blocks are added for more tasks
 MAX_BLOCK_CELLS = 8 << 20       # scores held at once in one task: queries x documents
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Guarantee one task per core for a Python-heavy stage that follows. Rows are small here
-    (ids only); an explicit partition count is not coalesced away by AQE."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+    """Deal small rows (ids, packed queries) of a Python-heavy stage into as many tasks as the session's
+    shuffles have, a number that is set by the data's size; AQE does not coalesce an explicit count."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
@@ -70,118 +71,90 @@ def _scores(Q: np.ndarray, D: np.ndarray, metric: str) -> np.ndarray:
     return S
 
 
-def _query_groups(queries: DataFrame, keys: Sequence[str], vec: str, max_bytes: int):
-    """Yield pandas frames of the query side, each within ``max_bytes`` as a float64 matrix.
-    The row count and dimension are read first (two scalars); only bounded groups reach the driver."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
-    n, dim = int(stats["n"]), int(stats["dim"] or 0)
-    if n == 0:
-        return
-    per_group = max(1, max_bytes // max(1, dim * 8))
-    if n <= per_group:
-        yield queries.select(*keys, vec).toPandas()
-        return
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(queries.sparkSession)
-    idx = zip_index(queries.select(*keys, vec), list(keys), "_i")
-    idx = idx.withColumn("_g", F.floor(F.col("_i") / per_group)).checkpoint()
-    for g in range((n + per_group - 1) // per_group):
-        yield idx.filter(F.col("_g") == g).select(*keys, vec).toPandas()
+def _blocks(df: DataFrame, vec: str, max_bytes: int, spread_rows: int | None = None) -> int:
+    """Blocks for a side: by its size in bytes, and with ``spread_rows`` also enough for all shuffle partitions."""
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
+    n, dim = int(stats["n"]), int(stats["dim"] or 1)
+    count = max(1, -(-n * dim * 8 // max_bytes))
+    if spread_rows:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        count = max(count, min(tasks, -(-n // spread_rows)))
+    return count
+
+
+def _grid(queries: DataFrame, docs: DataFrame, qkeys: Sequence[str], did: str | None, qvec: str, dvec: str, max_bytes: int):
+    """Both sides dealt into blocks and copied to the cells of their row or column of the grid."""
+    nq, nd = _blocks(queries, qvec, max_bytes), _blocks(docs, dvec, max_bytes, BLOCK_ROWS)
+
+    def deal(df, keys, own, n_own, other, n_other):
+        df = df.withColumn(own, F.pmod(F.xxhash64(*keys), F.lit(n_own)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    q = deal(queries, list(qkeys), "_qb", nq, "_db", nd)
+    d = deal(docs, [did] if did else [dvec], "_db", nd, "_qb", nq)
+    return q.groupBy("_qb", "_db").cogroup(d.groupBy("_qb", "_db"))
 
 
 def knn_flat(queries: DataFrame, docs: DataFrame, k: int, qkeys: Sequence[str] = ("qid",), qvec: str = "embedding",
              did: str = "pid", dvec: str = "embedding", metric: str = "ip",
-             max_group_bytes: int = MAX_GROUP_BYTES, score_digits: int | None = None) -> DataFrame:
+             max_block_bytes: int = MAX_BLOCK_BYTES, score_digits: int | None = None) -> DataFrame:
     """V7 (and V34 with a filtered ``docs``): exact top-``k`` documents per query by inner product
     (``metric='ip'``) or by smallest euclidean distance (``'l2'``, score = -distance²).
     Returns ``(*qkeys, did, score, rank)``; ties by document id. ``score_digits`` rounds scores
     before any comparison, so mathematically equal scores tie exactly (then by id)."""
-    spark = docs.sparkSession
     qkeys = list(qkeys)
-    out_schema = T.StructType([queries.schema[c] for c in qkeys] + [docs.schema[did],
-                               T.StructField("score", T.DoubleType())])
-    results = []
-    for qpdf in _query_groups(queries, qkeys, qvec, max_group_bytes):
-        bc = spark.sparkContext.broadcast((qpdf[qkeys].to_dict("list"), _matrix(qpdf[qvec])))
-
-        def kernel(it, bc=bc):
-            keys, Q = bc.value
-            nq = Q.shape[0]
-            step = max(1, MAX_BLOCK_CELLS // max(1, nq))
-            rows = np.zeros(0, np.int64); ids = np.zeros(0, np.int64); sc = np.zeros(0)
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                D_all = _matrix(pdf[dvec]); dids_all = pdf[did].to_numpy().astype(np.int64)
-                for s in range(0, len(pdf), step):
-                    D, dids = D_all[s:s + step], dids_all[s:s + step]
-                    S = _scores(Q, D, metric)
-                    if score_digits is not None:
-                        S = np.round(S, score_digits)
-                    m = S.shape[1]
-                    if m > k:
-                        thr = np.partition(S, m - k, axis=1)[:, m - k]
-                        r, c = np.nonzero(S >= thr[:, None])
-                    else:
-                        r, c = np.nonzero(np.ones_like(S, dtype=bool))
-                    rows = np.r_[rows, r]; ids = np.r_[ids, dids[c]]; sc = np.r_[sc, S[r, c]]
-                    rows, ids, sc = _select_topk(rows, ids, sc, k)
-            if len(rows):
-                out = {c: np.asarray(keys[c], dtype=object)[rows] for c in qkeys}
-                out[did] = ids
-                out["score"] = sc
-                yield pd.DataFrame(out)
-
-        results.append(spread_scan(docs.select(did, dvec)).mapInPandas(kernel, out_schema))
-    if not results:
-        return spark.createDataFrame([], out_schema.add("rank", T.LongType()))
-    allr = results[0]
-    for r in results[1:]:
-        allr = allr.unionByName(r)
+    out_schema = T.StructType([queries.schema[c] for c in qkeys] + [docs.schema[did], T.StructField("score", T.DoubleType())])
+    columns = [f.name for f in out_schema.fields]
+    queries, docs = queries.select(*qkeys, F.col(qvec).alias("_qv")), docs.select(F.col(did).alias("_id"), F.col(dvec).alias("_dv"))
+
+    def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(dpdf) == 0:
+            return pd.DataFrame({c: [] for c in columns})
+        Q, D_all, dids_all = _matrix(qpdf["_qv"]), _matrix(dpdf["_dv"]), dpdf["_id"].to_numpy().astype(np.int64)
+        step = max(1, MAX_BLOCK_CELLS // len(Q))
+        rows = np.zeros(0, np.int64); ids = np.zeros(0, np.int64); sc = np.zeros(0)
+        for s in range(0, len(D_all), step):
+            D, dids = D_all[s:s + step], dids_all[s:s + step]
+            S = _scores(Q, D, metric)
+            if score_digits is not None:
+                S = np.round(S, score_digits)
+            m = S.shape[1]
+            if m > k:
+                thr = np.partition(S, m - k, axis=1)[:, m - k]
+                r, c = np.nonzero(S >= thr[:, None])
+            else:
+                r, c = np.nonzero(np.ones_like(S, dtype=bool))
+            rows = np.r_[rows, r]; ids = np.r_[ids, dids[c]]; sc = np.r_[sc, S[r, c]]
+            rows, ids, sc = _select_topk(rows, ids, sc, k)
+        out = qpdf[qkeys].iloc[rows].reset_index(drop=True)
+        out[did] = ids
+        out["score"] = sc
+        return out[columns]
+
+    cells = _grid(queries, docs, qkeys, "_id", "_qv", "_dv", max_block_bytes).applyInPandas(kernel, out_schema)
     w = Window.partitionBy(*qkeys).orderBy(F.col("score").desc(), F.col(did))
-    return allr.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-
-
-def knn_columns(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", qvec: str = "qvec",
-                did: str = "pid", dvec: str = "embedding") -> DataFrame:
-    """V7 column form for a query side of checked small size: the queries are broadcast (the
-    size check is the caller's ``max_rows``) and every pair is scored with the V1 HOF; then W2."""
-    pairs = docs.select(did, F.col(dvec).alias("_d")).join(F.broadcast(queries.select(qid, F.col(qvec).alias("_q"))))
-    scored = pairs.select(qid, did, dot("_q", "_d").alias("score"))
-    return topk_per_query(scored, k, qid, "score", did)
+    return cells.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def count_scores_above(queries: DataFrame, docs: DataFrame, threshold_col: str, qkeys: Sequence[str] = ("qid",),
-                       qvec: str = "embedding", dvec: str = "embedding",
-                       max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
+                       qvec: str = "embedding", dvec: str = "embedding", max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """A14 core: per query, the number of documents scoring strictly above the query's threshold
-    (e.g. its gold score): block products with per-partition counts, then a sum. No sort."""
-    spark = docs.sparkSession
+    (e.g. its gold score): products per cell of the grid with a count each, then a sum. No sort."""
     qkeys = list(qkeys)
     schema = T.StructType([queries.schema[c] for c in qkeys] + [T.StructField("above", T.LongType())])
-    parts = []
-    for qpdf in _query_groups(queries.select(*qkeys, qvec, threshold_col), qkeys + [threshold_col], qvec, max_group_bytes):
-        bc = spark.sparkContext.broadcast((qpdf[qkeys].to_dict("list"), _matrix(qpdf[qvec]),
-                                           qpdf[threshold_col].to_numpy(dtype=np.float64)))
-
-        def kernel(it, bc=bc):
-            keys, Q, thr = bc.value
-            step = max(1, MAX_BLOCK_CELLS // max(1, Q.shape[0]))
-            cnt = np.zeros(Q.shape[0], np.int64)
-            for pdf in it:
-                D_all = _matrix(pdf[dvec])
-                for s in range(0, len(pdf), step):
-                    S = Q @ D_all[s:s + step].T
-                    cnt += (S > thr[:, None]).sum(1)
-            out = {c: keys[c] for c in qkeys}
-            out["above"] = cnt
-            yield pd.DataFrame(out)
-
-        parts.append(spread_scan(docs.select(dvec)).mapInPandas(kernel, schema))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return allp.groupBy(*qkeys).agg(F.sum("above").cast("long").alias("gold_rank"))
+    queries = queries.select(*qkeys, F.col(threshold_col).cast("double").alias("_thr"), F.col(qvec).alias("_qv"))
+
+    def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+        out = qpdf[qkeys].copy()
+        out["above"] = 0
+        if len(qpdf) and len(dpdf):
+            Q, thr, D = _matrix(qpdf["_qv"]), qpdf["_thr"].to_numpy(), _matrix(dpdf["_dv"])
+            step = max(1, MAX_BLOCK_CELLS // len(Q))
+            out["above"] = sum(((Q @ D[s:s + step].T) > thr[:, None]).sum(1) for s in range(0, len(D), step))
+        return out
+
+    cells = _grid(queries, docs.select(F.col(dvec).alias("_dv")), qkeys, None, "_qv", "_dv", max_block_bytes).applyInPandas(kernel, schema)
+    return cells.groupBy(*qkeys).agg(F.sum("above").cast("long").alias("gold_rank"))
 
 
 def average_rank(questions: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -311,36 +284,77 @@ def mips_to_l2(docs: DataFrame, vec: str = "embedding", out: str = "aug") -> Dat
     return n2.crossJoin(F.broadcast(phi)).withColumn(out, F.sqrt(F.greatest(F.col("_phi") - F.col("_n2"), F.lit(0.0)))).drop("_n2", "_phi")
 
 
-def knn_approx(queries: DataFrame, docs: DataFrame, k: int, bucket_length: float = 2.0, num_tables: int = 3,
-               threshold: float = 2.0, seed: int = 7, qid: str = "qid", did: str = "pid") -> DataFrame:
-    """V8: approximate MIPS. Vectors are augmented by ``mips_to_l2`` and joined with
-    ``BucketedRandomProjectionLSH.approxSimilarityJoin`` (hash-bucket equi-join, no full product);
-    scores are recomputed as inner products and cut to top-``k``. Recall is checked against V7."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def _near_cells(df: DataFrame, key: str, vec: str, centers: np.ndarray, m: int) -> DataFrame:
+    """``(key, cell)`` for the ``m`` centers nearest to each vector; the centers are a model of bounded size."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(centers)
+    schema = T.StructType([df.schema[key], T.StructField("cell", T.IntegerType())])
+
+    def kernel(it):
+        C = shared.value
+        half = (C * C).sum(1) / 2
+        for p in it:
+            if len(p):
+                near = np.argsort(half[None, :] - _matrix(p[vec]) @ C.T, axis=1, kind="stable")[:, :m]
+                yield pd.DataFrame({key: np.repeat(p[key].to_numpy(), near.shape[1]), "cell": near.ravel().astype(np.int32)})
+
+    return df.select(key, vec).mapInPandas(kernel, schema)
+
+
+def knn_cells(n: int) -> int:
+    """Cells for ``n`` documents: sixteen times their square root, two documents in each at least."""
+    return max(1, min(1 << 16, n // 2, int(16 * np.sqrt(max(n, 1)))))
+
+
+def knn_probes(cells: int) -> int:
+    """Cells that a query probes: 18 % of them, 64 at most. Candidates of a query so grow with the square root of
+    the number of documents, not with the number itself."""
+    return max(1, min(64, int(0.18 * cells)))
+
+
+def knn_approx(queries: DataFrame, docs: DataFrame, k: int, cells: int | None = None, probes: int | None = None,
+               seed: int = 7, qid: str = "qid", did: str = "pid", salt: int = 4) -> DataFrame:
+    """V8: approximate MIPS over cells. Vectors are augmented by ``mips_to_l2``; k-means centers are trained on
+    a hash sample of the documents (L3's size); each document lies in its nearest cell and each query
+    probes the ``probes`` cells nearest to it. Only pairs of a probed cell meet (an equi-join on
+    cell and salt); scores are exact inner products, cut to the top ``k``. A query can get fewer than ``k``
+    only if its cells hold fewer. Recall is checked against V7."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
+
+    from .sets import hash_sample, sample_size
     d = mips_to_l2(docs.select(did, "embedding"))
-    d = d.select(F.col(did).alias("id"), "embedding",
-                 array_to_vector(F.concat(F.col("embedding").cast("array<double>"), F.array("aug"))).alias("v"))
-    q = queries.select(F.col(qid).alias("id"), "embedding",
-                       array_to_vector(F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(0.0)))).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(d)
-    j = lsh.approxSimilarityJoin(q, d, threshold, distCol="dist")
-    scored = j.select(F.col("datasetA.id").alias(qid), F.col("datasetB.id").alias(did),
-                      dot(F.col("datasetA.embedding"), F.col("datasetB.embedding")).alias("score"))
+    d = d.select(did, "embedding", F.concat(F.col("embedding").cast("array<double>"), F.array("aug")).alias("_v"))
+    q = queries.select(qid, F.col("embedding").alias("_qe"), F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(0.0))).alias("_v"))
+    n = docs.count()
+    if n == 0:
+        return topk_per_query(q.crossJoin(docs.select(did)).select(qid, did, F.lit(0.0).alias("score")), k, qid, "score", did)
+    cells = min(cells or knn_cells(n), n)
+    probes = probes or knn_probes(cells)
+    sample = hash_sample(d, did, sample_size(n), seed).select(array_to_vector("_v").alias("features"))
+    centers = np.array(KMeans(k=cells, maxIter=8, seed=seed, initMode="random").fit(sample).clusterCenters())
+    homes = _near_cells(d, did, "_v", centers, 1).withColumn("_s", F.pmod(F.xxhash64(did), F.lit(salt)))
+    probed = _near_cells(q, qid, "_v", centers, probes).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    pairs = probed.join(homes, ["cell", "_s"]).select(qid, did)
+    scored = (pairs.join(q.select(qid, "_qe"), qid).join(d.select(did, F.col("embedding").alias("_de")), did)
+              .select(qid, did, dot("_qe", "_de").alias("score")))
     return topk_per_query(scored, k, qid, "score", did)
 
 
 def quantize_8bit(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """V9: per-dimension 8-bit scalar codes: ``min(floor(255 * (x - min_d) / (max_d - min_d)), 255)``
-    with per-dimension min/max over all vectors (one small aggregate, broadcast)."""
-    ex = vectors.select(id_col, F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
-    rng = ex.groupBy("dim").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    code = F.when(F.col("_hi") > F.col("_lo"),
-                  F.least(F.floor(255 * (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))), F.lit(255))
-                  ).otherwise(F.lit(0)).cast("int")
-    return ex.join(F.broadcast(rng), "dim").select(id_col, "dim", code.alias("code"))
-
-
-__all__ = ["knn_flat", "knn_columns", "average_rank", "count_scores_above", "pack_vectors", "maxsim", "maxsim_join",
+    with per-dimension min/max over all vectors (one vector aggregate of one row)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    as_vector = array_to_vector(F.col(vec).cast("array<double>"))
+    ends = vectors.select(as_vector.alias("v")).agg(Summarizer.metrics("min", "max").summary(F.col("v")).alias("s"))
+    ends = ends.select(vector_to_array("s.min").alias("_lo"), vector_to_array("s.max").alias("_hi"))
+    x = vectors.select(id_col, F.col(vec).cast("array<double>").alias("_x")).crossJoin(F.broadcast(ends))   # one row
+    ex = x.select(id_col, F.posexplode(F.arrays_zip("_x", "_lo", "_hi")).alias("dim", "e"))
+    lo, hi = F.col("e._lo"), F.col("e._hi")
+    code = F.when(hi > lo, F.least(F.floor(255 * (F.col("e._x") - lo) / (hi - lo)), F.lit(255))).otherwise(F.lit(0)).cast("int")
+    return ex.select(id_col, "dim", code.alias("code"))
+
+
+__all__ = ["knn_flat", "average_rank", "count_scores_above", "pack_vectors", "maxsim", "maxsim_join",
            "inbatch_scores", "mips_to_l2", "knn_approx", "quantize_8bit", "sq_l2"]

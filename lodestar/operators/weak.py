@@ -120,10 +120,11 @@ def compose_batch(samples: DataFrame, num_hard: int, num_other: int, batch: str
     return s.withColumn("hard_idx", F.transform("hards", lambda x, i: start + i)).drop("_n")
 
 
-def teacher_examples(scores: DataFrame, nway: int) -> DataFrame:
-    """Per query the ``nway`` best ``(pid, score)`` in score order (n-way example shape)."""
-    from .ranking import topk_per_query
-    top = topk_per_query(scores, nway, "qid", "score", "pid", rank_col="_r")
+def teacher_examples(scores: DataFrame, nway: int | None = None) -> DataFrame:
+    """Per query its ``(pid, score)`` in score order: the ``nway`` best (n-way example shape), or all."""
+    from .ranking import rank_by_score, topk_per_query
+    top = (rank_by_score(scores, "qid", "score", "pid", rank_col="_r") if nway is None
+           else topk_per_query(scores, nway, "qid", "score", "pid", rank_col="_r"))
     return top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_r", "pid", "score"))).alias("_s")).select(
         "qid", F.transform("_s", lambda x: F.struct(x["pid"].alias("pid"), x["score"].alias("score"))).alias("pids"))
 

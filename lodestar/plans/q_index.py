@@ -24,7 +24,7 @@ _BUILT: dict = {}
 
 def codec(spark, d):
     """The trained codec for a table folder (trained once per session: an index artifact)."""
-    key = ("codec", id(spark), d)
+    key = ("codec", spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         e = table(spark, d, "embeddings")
         dim = e.select(F.max(F.size("embedding"))).first()[0]
@@ -35,7 +35,7 @@ def codec(spark, d):
 
 def index(spark, d):
     """The built (checkpointed) index for a table folder, built once per session."""
-    key = ("index", id(spark), d)
+    key = ("index", spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         _BUILT[key] = I.build_index(tokens(spark, d), codec(spark, d))
     return _BUILT[key]

@@ -7,9 +7,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_control
+from ..operators.weak import teacher_examples
 from ..session import scratch_dir, table
 from ..sources import readers as RD
 from ..sources import sinks as SK
+from .q_metrics import A1_A3_MEAN
 from .registry import register
 
 R = 6
@@ -353,9 +355,13 @@ def k1(spark, d):
     return s9(spark, d)
 
 
-@register("K2_write_examples", """SELECT user_id AS qid, array_to_string((list(event_id ORDER BY value DESC, event_id))[1:3], ',') AS pids FROM events GROUP BY user_id""")
+@register("K2_write_examples", """SELECT '[' || user_id || ',' || string_agg('[' || event_id || ',' || CAST(value AS DOUBLE) || ']', ',' ORDER BY value DESC, event_id) || ']' AS value
+ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3 GROUP BY user_id""")
 def k2(spark, d):
-    return s11(spark, d)
+    path = scratch_dir(spark, "k2")
+    e = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("pid"), F.col("value").cast("double").alias("score"))
+    SK.write_examples(teacher_examples(e, 3), path)      # three-way examples
+    return spark.read.text(path)
 
 
 def _qa_hits(spark, d):
@@ -410,23 +416,25 @@ def k7(spark, d):
     return spark.read.schema("dataset_id long, prediction string").json(path)
 
 
-@register("K8_write_teacher_scores", None)
+@register("K8_write_teacher_scores", """SELECT '[' || user_id || ',[' || string_agg('[' || CAST(value AS DOUBLE) || ',' || event_id || ']', ',' ORDER BY value DESC, event_id) || ']]' AS value
+ FROM events GROUP BY user_id""")
 def k8(spark, d):
-    from ..operators.weak import teacher_examples
     path = scratch_dir(spark, "k8")
-    e = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("pid"), F.col("value").alias("score"))
-    SK.write_teacher_scores(teacher_examples(e, 4), path)
+    e = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("pid"), F.col("value").cast("double").alias("score"))
+    SK.write_teacher_scores(teacher_examples(e), path)
     return spark.read.text(path)
 
 
-@register("K9_write_metrics", None)
+@register("K9_write_metrics", A1_A3_MEAN)
 def k9(spark, d):
     from .q_metrics import _qm
     from ..operators.metrics import mean_metrics
     path = scratch_dir(spark, "k9")
     nested = SK.metrics_nested(mean_metrics(_qm(spark, d)))
     SK.write_json(nested, path)
-    return spark.read.json(path)
+    back = spark.read.json(path)
+    return back.select(*[F.col(f"{m}.`{c}`").alias(f"{m}_{c}") for m in ("mrr", "success", "recall") for c in back.schema[m].dataType.names]).select(
+        *[F.round(c, 6).alias(c) for c in ("mrr_10", "success_5", "success_10", "recall_10")])
 
 
 @register("K12_write_ctxmatch_shards", """SELECT CAST(shard AS INTEGER) AS shard, COUNT(*) AS n FROM (SELECT (row_number() OVER (ORDER BY u.conv_id * 1000 + u.turn) - 1) // 100 AS shard

@@ -111,20 +111,23 @@ def a3(spark, d):
     return _r(_qm(spark, d).select("qid", "recall_10"), {"recall_10"})
 
 
-@register("A1_A3_mean_metrics", _RG + _FIRST + """SELECT round(AVG(mrr_10), 6) AS mrr_10, round(AVG(success_5), 6) AS success_5,
-  round(AVG(success_10), 6) AS success_10, round(AVG(recall_10), 6) AS recall_10 FROM per""")
+A1_A3_MEAN = _RG + _FIRST + """SELECT round(AVG(mrr_10), 6) AS mrr_10, round(AVG(success_5), 6) AS success_5,
+  round(AVG(success_10), 6) AS success_10, round(AVG(recall_10), 6) AS recall_10 FROM per"""
+
+
+@register("A1_A3_mean_metrics", A1_A3_MEAN)
 def a1_a3_mean(spark, d):
     m = M.mean_metrics(_qm(spark, d))
     return _r(m, set(m.columns))
 
 
-@register("A4_recall_max_depth", _RG + """, top AS (SELECT DISTINCT qid, pid FROM ranking WHERE rank <= 10),
+@register("A4_recall_max_depth", _RG + """, top AS (SELECT DISTINCT qid, pid FROM ranking WHERE score > 20),
 g AS (SELECT DISTINCT qid, pid FROM gold),
 per AS (SELECT g.qid, COUNT(*) AS ng, SUM(CASE WHEN t.pid IS NOT NULL THEN 1 ELSE 0 END) AS found
         FROM g LEFT JOIN top t ON g.qid = t.qid AND g.pid = t.pid GROUP BY g.qid)
 SELECT round(AVG(found * 1.0 / GREATEST(ng, 1)), 3) AS recall_max_depth FROM per""")
 def a4(spark, d):
-    top = B.ranking_events(spark, d).filter("rank <= 10")
+    top = B.ranking_events(spark, d).filter("score > 20")      # rankings of unlike depth, none cut
     return M.recall_max_depth(top, B.gold_events(spark, d))
 
 
@@ -205,14 +208,22 @@ def a20(spark, d):
 
 
 @register("A21_group_by_key", B.with_ctes(B.SQL_RANKING_EVENTS) + """SELECT qid, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY rank) AS pids,
- CAST(COUNT(*) AS BIGINT) AS n FROM ranking WHERE rank <= 10 GROUP BY qid""")
+ CAST(COUNT(*) AS BIGINT) AS n FROM ranking GROUP BY qid""")
 def a21(spark, d):
     from ..operators.ranking import group_ranked
-    g = group_ranked(B.ranking_events(spark, d), k=10)
+    g = group_ranked(B.ranking_events(spark, d))
     return g.select("qid", F.array_join(F.transform("items", lambda x: x["pid"].cast("string")), ",").alias("pids"),
                     F.size("items").cast("long").alias("n"))
 
 
+@register("A21_check_pregrouped", """WITH n AS (SELECT user_id, row_number() OVER (ORDER BY event_id) AS i FROM events)
+SELECT user_id FROM n GROUP BY user_id HAVING MAX(i) - MIN(i) + 1 <> COUNT(*)""")
+def a21_strict(spark, d):
+    from ..operators.ranking import check_pregrouped
+    from ..session import table
+    return check_pregrouped(table(spark, d, "events"), "user_id", "event_id")
+
+
 @register("A22_ranking_stats", B.with_ctes(B.SQL_RANKING_EVENTS, B.SQL_GOLD_EVENTS) + """, per AS (SELECT qid, COUNT(*) AS k FROM ranking GROUP BY qid),
 pos AS (SELECT qid, COUNT(*) AS p FROM (SELECT DISTINCT qid, pid FROM gold) GROUP BY qid)
 SELECT CAST(MAX(k) AS BIGINT) AS max_k, round(AVG(k), 6) AS avg_k, round(AVG(COALESCE(p, 0)), 6) AS avg_positives

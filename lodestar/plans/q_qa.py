@@ -156,12 +156,15 @@ def a8(spark, d):
     return M.first_hit_curve(first_hit(out), 20).withColumn("accuracy", F.round("accuracy", R))
 
 
-@register("D10_answer_spans")
+@register("D10_answer_spans", f"""WITH {_ENC}, j AS (SELECT t.qid, t.pid, {sql_tok('lower(d.text)')} AS a, {sql_tok('lower(b.text)')} AS w
+  FROM top t JOIN documents d ON t.pid = d.doc_id JOIN benchmark b ON t.qid = b.item_id),
+s AS (SELECT qid, pid, list_filter(range(0, CAST(greatest(len(a) - len(w) + 1, 0) AS BIGINT)), lambda i: a[i + 1:i + len(w)] = w) AS st FROM j)
+SELECT qid, pid, CAST(len(st) AS BIGINT) AS n_spans, CAST(st[1] AS BIGINT) AS first_start FROM s""")
 def d10(spark, d):
     from ..functions.text import tokenize
     p = _pairs(spark, d)
     sp = QA.answer_spans(tokenize(F.lower("text")), tokenize(F.lower(F.get("answers", 0))))
-    return p.select("qid", "pid", F.size(sp).cast("long").alias("n_spans"), F.get(sp, 0)["start"].alias("first_start"))
+    return p.select("qid", "pid", F.size(sp).cast("long").alias("n_spans"), F.get(sp, 0)["start"].cast("long").alias("first_start"))
 
 
 @register("A12_exact_match_by_topk", f"""WITH {_ENC}, p AS (SELECT t.qid, n.n, d.text AS prediction FROM top t JOIN documents d ON t.pid = d.doc_id,

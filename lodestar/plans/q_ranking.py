@@ -90,7 +90,7 @@ def w8b(spark, d):
     return W.running_offsets(docs, "n_chars", ["doc_id"], partition_by=["source"]).select("doc_id", "source", "offset")
 
 
-@register("W12_epoch_shuffle")
+@register("W12_epoch_shuffle", "SELECT doc_id, md5('9:' || doc_id) AS shuffle_key FROM documents")
 def w12(spark, d):
     return W.epoch_shuffle(table(spark, d, "documents").select("doc_id"), "doc_id", seed=7, epoch=2)
 
@@ -127,7 +127,7 @@ def w14(spark, d):
 
 # ---- L*, G*, D16 ---------------------------------------------------------------------------------
 
-@register("L1_random_split")
+@register("L1_random_split", "SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('1:' || doc_id), 1, 8) AS BIGINT) % 100 < 90 THEN 'train' ELSE 'dev' END AS split FROM documents")
 def l1(spark, d):
     return S.random_split(table(spark, d, "documents").select("doc_id"), "doc_id", 90, seed=1)
 
@@ -147,18 +147,20 @@ def l3(spark, d):
     return n.select("n", S.sample_size_col(F.col("n")).alias("sample_size"))
 
 
-@register("L3_hash_sample")
+@register("L3_hash_sample", """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('123:' || doc_id), doc_id) AS r FROM documents)
+ WHERE r <= (SELECT LEAST(1 + floor(16 * sqrt(120 * COUNT(*))), COUNT(*)) FROM documents)""")
 def l3b(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    return S.hash_sample(docs, "doc_id", S.sample_size(1000), seed=123)
+    return S.hash_sample(docs, "doc_id", S.sample_size(docs.count()), seed=123)
 
 
-@register("L4_heldout_split")
+@register("L4_heldout_split", """SELECT vec_id, row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id) <=
+ (SELECT least(floor(COUNT(*) * 0.05), 50000) FROM embeddings) AS heldout FROM embeddings""")
 def l4(spark, d):
     return S.heldout_split(table(spark, d, "embeddings").select("vec_id"), "vec_id")
 
 
-@register("L6_cap_sample")
+@register("L6_cap_sample", "SELECT event_id, user_id FROM events ORDER BY md5('5:' || event_id), event_id LIMIT 1000")
 def l6(spark, d):
     return S.hash_sample(table(spark, d, "events").select("event_id", "user_id"), "event_id", 1000, seed=5)
 

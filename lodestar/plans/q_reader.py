@@ -77,14 +77,14 @@ def a18(spark, d):
 
 @register("A19_marginal_span_nll", f"""WITH l AS (SELECT user_id AS qid, event_type AS passage,
   row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS slot, value / 10.0 AS loss FROM events),
-m AS (SELECT qid, slot, MAX(loss) AS l FROM l WHERE slot < 3 GROUP BY 1, 2),
+m AS (SELECT qid, slot, MAX(loss) AS l FROM l GROUP BY 1, 2),
 ml AS (SELECT qid, SUM(CASE WHEN l <> 0 THEN exp(-l) ELSE 0 END) AS ml FROM m GROUP BY 1)
 SELECT round(SUM(-ln(CASE WHEN ml = 0 THEN 1.0 ELSE ml END)), {R}) AS span_nll FROM ml""")
 def a19(spark, d):
     e = table(spark, d, "events")
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     losses = e.select(F.col("user_id").alias("qid"), F.col("event_type").alias("passage"),
-                      (F.row_number().over(w) - 1).alias("slot"), (F.col("value") / 10.0).alias("loss")).filter(F.col("slot") < 3)
+                      (F.row_number().over(w) - 1).alias("slot"), (F.col("value") / 10.0).alias("loss"))
     return M.marginal_span_nll(losses).withColumn("span_nll", F.round("span_nll", R))
 
 

@@ -4,16 +4,39 @@ table tags the same extractor is run with list markup (``ul``/``li``) to exercis
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import tables as TB
-from ..operators.sets import distinct_first
 from ..session import table
 from .registry import register
 
 LIST_TAGS = dict(table_tags=("ul",), row_tags=("li",), cell_tags=("li",))
+#: Wider than list markup, so that tables nest and hold several cells: each ``nav`` or ``ul`` is a table.
+NEST_TAGS = dict(table_tags=("nav", "ul", "article"), row_tags=("li", "p", "h1"), cell_tags=("li", "p", "a", "h1"))
+
+#: DuckDB: list tables of all pages. ``items``: one row per list item; the pages' lists do not nest.
+LISTS = r"""
+toks AS (SELECT page_id AS doc_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+         unnest(regexp_extract_all(html, '<[^>]+>|[^<\s]+')) AS token,
+         generate_subscripts(regexp_extract_all(html, '<[^>]+>|[^<\s]+'), 1) AS pos FROM pages),
+tags AS (SELECT *, regexp_matches(token, '^<[^>]+>$') AS tag, lower(regexp_extract(token, '^<\s*/?\s*([^\s/>]+)', 1)) AS name,
+         regexp_matches(token, '^<\s*/') AS closing FROM toks),
+depths AS (SELECT *, CASE WHEN tag AND name = 'ul' THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END AS step FROM tags),
+sums AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY pos) AS s,
+         sum(CASE WHEN step = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS tab FROM depths),
+rowed AS (SELECT *, sum(CASE WHEN tag AND name = 'li' AND NOT closing THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, tab ORDER BY pos) AS item
+          FROM sums WHERE s > 0 OR step = -1),
+items AS (SELECT doc_id, tab - 1 AS table_id, item, coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (WHERE NOT tag), '') AS line
+          FROM rowed WHERE item > 0 GROUP BY ALL),
+captions AS (SELECT doc_id, tab - 1 AS table_id, trim(any_value(title) || coalesce(' ' || string_agg(token, ' ' ORDER BY pos) FILTER (WHERE NOT tag AND item = 0), '')) AS caption
+             FROM rowed GROUP BY ALL),
+every_table AS (SELECT c.doc_id, c.table_id, c.caption, coalesce(i.n_rows, 0) AS n_rows, coalesce(i.filled, 0) AS filled FROM captions c LEFT JOIN
+  (SELECT doc_id, table_id, count(*) AS n_rows, count(*) FILTER (WHERE line <> '') AS filled FROM items GROUP BY ALL) i USING (doc_id, table_id)),
+kept AS (SELECT * FROM every_table WHERE filled > 1),
+lines AS (SELECT doc_id, table_id, caption, item, line, length(line) - length(replace(line, ' ', '')) + 1 AS words,
+          row_number() OVER (PARTITION BY doc_id, table_id ORDER BY item) AS k
+          FROM items JOIN kept USING (doc_id, table_id) WHERE length(line) > 1)
+"""
 
 
 def _docs(spark, d):
@@ -28,56 +51,68 @@ def list_tables(spark, d):
 
 @register("T1_extract_tables")
 def t1(spark, d):
-    t = TB.extract_tables(_docs(spark, d))
-    return t.select("doc_id", "table_id", F.size("rows").alias("n_rows"))
+    t = TB.extract_tables(_docs(spark, d), **NEST_TAGS)
+    return t.select("doc_id", "table_id", "parent_table_id", "caption", F.size("rows").alias("n_rows"),
+                    F.size(F.flatten("rows")).alias("n_cells"))
 
 
-@register("T1_extract_tables_lists")
+@register("T1_extract_tables_lists", f"WITH {LISTS} SELECT doc_id, table_id, CAST(NULL AS BIGINT) AS parent_table_id, caption, n_rows FROM kept")
 def t1l(spark, d):
     return list_tables(spark, d).select("doc_id", "table_id", "parent_table_id", "caption", F.size("rows").alias("n_rows"))
 
 
-@register("T2_split_table_chunks")
+# chunks of the fold: rows go round the header's words, so a recursive walk numbers them
+@register("T2_split_table_chunks", f"""
+WITH RECURSIVE {LISTS},
+walk(doc_id, table_id, k, head, words, chunk, next_words, next_chunk) AS (
+  SELECT doc_id, table_id, k, words, words, CAST(0 AS BIGINT), words, CAST(0 AS BIGINT) FROM lines WHERE k = 1
+  UNION ALL
+  SELECT l.doc_id, l.table_id, l.k, w.head, l.words, w.next_chunk,
+         CASE WHEN w.next_words + l.words >= 8 THEN w.head ELSE w.next_words + l.words END,
+         w.next_chunk + CASE WHEN w.next_words + l.words >= 8 THEN 1 ELSE 0 END
+  FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.table_id = w.table_id AND l.k = w.k + 1)
+SELECT l.doc_id, l.table_id, w.chunk, any_value(l.caption) || chr(10) || any_value(h.line) || chr(10) || string_agg(l.line, chr(10) ORDER BY l.k) AS text,
+       count(*) + 1 AS n_rows
+FROM walk w JOIN lines l USING (doc_id, table_id, k) JOIN lines h ON h.doc_id = l.doc_id AND h.table_id = l.table_id AND h.k = 1
+WHERE w.k > 1 GROUP BY l.doc_id, l.table_id, w.chunk""")
 def t2(spark, d):
     return TB.split_table_chunks(list_tables(spark, d), max_words=8)
 
 
-@register("T3_linearize_table")
+# the answer rows are those that hold a word of the page's first link; here the third item, if there is one
+@register("T3_linearize_table", f"""
+WITH {LISTS},
+ranked AS (SELECT *, CASE WHEN k = 1 THEN 0 WHEN item = 3 THEN 1 ELSE 2 END AS phase FROM lines),
+totals AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id, table_id ORDER BY phase, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked)
+SELECT doc_id, table_id, string_agg(line, chr(10) ORDER BY phase, k) AS text FROM totals
+WHERE phase < 2 OR before < 3 GROUP BY doc_id, table_id""")
 def t3(spark, d):
-    tabs = list_tables(spark, d)
+    return list_tables(spark, d).select("doc_id", "table_id", TB.linearize_table(F.col("rows"), F.array(F.lit(2)), 3).alias("text"))
 
-    def kernel(it):
-        for p in it:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "table_id": p["table_id"],
-                                "text": [TB.linearize_table_one([list(r) for r in rows], {2}, 10) for rows in p["rows"]]})
-    return tabs.mapInPandas(kernel, "doc_id long, table_id long, text string")
 
-
-@register("D11_answer_cells")
+@register("D11_answer_cells", f"""
+WITH {LISTS},
+answers AS (SELECT DISTINCT page_id AS doc_id, nfd_lower(a) AS answer FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS a FROM pages) WHERE a <> ''),
+places AS (SELECT doc_id, table_id, item - 1 AS row, 0 AS col, line AS text FROM items JOIN kept USING (doc_id, table_id)
+           UNION ALL SELECT doc_id, table_id, -1, -1, caption FROM kept)
+SELECT DISTINCT doc_id, table_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM places JOIN answers USING (doc_id)
+WHERE contains(' ' || nfd_lower(text) || ' ', ' ' || answer || ' ')""".replace("nfd_lower(a)", "lower(nfc_normalize(a))").replace("nfd_lower(text)", "lower(nfc_normalize(text))"))
 def d11(spark, d):
-    tabs = list_tables(spark, d)
     ans = _docs(spark, d).select("doc_id", F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1).alias("answers"))
-    j = tabs.join(ans, "doc_id")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("table_id", T.LongType()),
-                           T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType())])
-
-    def kernel(it):
-        for p in it:
-            out = []
-            for did, tid, rows, cap, a in zip(p["doc_id"], p["table_id"], p["rows"], p["caption"], p["answers"]):
-                for r, c in TB.answer_cells_one([list(x) for x in rows], cap, list(a)):
-                    out.append((int(did), int(tid), r, c))
-            yield pd.DataFrame(out, columns=["doc_id", "table_id", "row", "col"])
-    return j.select("doc_id", "table_id", "rows", "caption", "answers").mapInPandas(kernel, schema)
+    return TB.answer_cells(list_tables(spark, d).join(ans, "doc_id"))
 
 
-@register("A23_table_corpus_stats")
+@register("A23_table_corpus_stats", f"""
+WITH {LISTS}
+SELECT CAST(0 AS BIGINT) AS with_issue, count(*) FILTER (WHERE table_id > 0) AS nested, count(*) FILTER (WHERE filled <= 1) AS single_row,
+       count(*) FILTER (WHERE filled > 1) AS regular, CAST(coalesce(sum(n_rows) FILTER (WHERE filled > 1), 0) AS BIGINT) AS total_rows FROM every_table""")
 def a23(spark, d):
-    return TB.table_corpus_stats(list_tables(spark, d))
+    return TB.table_corpus_stats(_docs(spark, d), **LIST_TAGS)
 
 
-@register("G5_distinct_tables_by_text")
+@register("G5_distinct_tables_by_text", f"""
+WITH {LISTS},
+texts AS (SELECT doc_id, table_id, caption, string_agg(line, chr(1) ORDER BY item) AS text FROM items JOIN kept USING (doc_id, table_id) GROUP BY ALL)
+SELECT doc_id, table_id FROM (SELECT doc_id, table_id, row_number() OVER (PARTITION BY caption, text ORDER BY doc_id, table_id) AS r FROM texts) WHERE r = 1""")
 def g5t(spark, d):
-    t = list_tables(spark, d).withColumn("key", F.array_join(F.transform("rows", lambda r: F.array_join(r, " . ")), ""))
-    t = t.withColumn("pos", F.col("doc_id") * 1000 + F.col("table_id"))
-    return distinct_first(t.select("key", "pos", "doc_id", "table_id"), ["key"], "pos")
+    return TB.distinct_tables(list_tables(spark, d))

@@ -69,7 +69,7 @@ def v7c(spark, d):
     e = emb(spark, d)
     q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     docs = e.select(F.col("vec_id").alias("pid"), "embedding")
-    return _knn_out(V.knn_columns(q, docs, 10))
+    return _knn_out(V.knn_flat(q, docs, 10, qvec="qvec"))
 
 
 @register("V34_knn_filtered", _KNN_SQL.format(e=_E, where="WHERE d.label < 5", R=R))

@@ -116,7 +116,11 @@ _SAMPLES_SQL = """s AS (SELECT user_id AS qid, user_id // 8 AS batch,
   FROM events GROUP BY user_id HAVING COUNT(*) FILTER (WHERE event_type = 'purchase') > 0)"""
 
 
-def _samples(spark, d, keep: int = 4):
+#: Hard and other negatives of a question in a batch.
+NUM_HARD, NUM_OTHER = 2, 4
+
+
+def _samples(spark, d, keep: int):
     """Per user: purchases (positives), views (negatives), clicks (hard negatives), in id order.
     Only the first ``keep`` of each list can be used by the batch, so rows are cut per
     (user, type) with a window limit before grouping: a user holding a third of all events still
@@ -139,7 +143,7 @@ o AS (SELECT *, COALESCE(SUM(1 + len(negs) + len(hards)) OVER (PARTITION BY batc
 SELECT batch, qid, positive, array_to_string(negs, ',') AS negs, array_to_string(hards, ',') AS hards, CAST(positive_idx AS BIGINT) AS positive_idx,
   array_to_string(list_transform(hards, lambda x, i: positive_idx + len(negs) + i), ',') AS hard_idx FROM o""")
 def d12(spark, d):
-    out = WK.compose_batch(_samples(spark, d), num_hard=2, num_other=4)
+    out = WK.compose_batch(_samples(spark, d, max(NUM_HARD, NUM_OTHER)), num_hard=NUM_HARD, num_other=NUM_OTHER)
     return out.select("batch", "qid", "positive", F.array_join("negs", ",").alias("negs"), F.array_join("hards", ",").alias("hards"),
                       "positive_idx", F.array_join("hard_idx", ",").alias("hard_idx"))
 

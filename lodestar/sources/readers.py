@@ -125,8 +125,8 @@ def read_examples(spark: SparkSession, path: str, nway: int) -> DataFrame:
     items = F.slice(F.col("a"), 2, nway)
 
     def item(x):
-        arr = F.from_json(x, "array<double>")
-        return F.when(x.startswith("["), F.struct(F.get(arr, 0).cast("long").alias("pid"), F.get(arr, 1).alias("score"))) \
+        arr = F.from_json(x, "array<string>")
+        return F.when(x.startswith("["), F.struct(F.get(arr, 0).cast("long").alias("pid"), F.get(arr, 1).cast("double").alias("score"))) \
             .otherwise(F.struct(x.cast("long").alias("pid"), F.lit(None).cast("double").alias("score")))
     return raw.select(F.get("a", 0).cast("long").alias("qid"), F.transform(items, item).alias("pids"))
 

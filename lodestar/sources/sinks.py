@@ -34,10 +34,11 @@ def write_ranking(ranking: DataFrame, path: str, provenance: dict | None = None)
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
-    """K2: JSONL arrays ``[qid, [pid, score], ...]``."""
-    arr = F.concat(F.array(F.col("qid").cast("string")),
-                   F.transform("pids", lambda x: F.to_json(F.array(x["pid"].cast("double"), x["score"]))))
-    examples.select(F.to_json(arr).alias("value")).write.mode("overwrite").text(path)
+    """K2: JSONL arrays ``[qid, [pid, score], ...]``, or ``[qid, pid, ...]`` where there are no scores."""
+    pairs = F.transform("pids", lambda x: F.when(x["score"].isNull(), x["pid"].cast("string")).otherwise(
+        F.concat(F.lit("["), x["pid"].cast("string"), F.lit(","), x["score"].cast("string"), F.lit("]"))))
+    line = F.concat(F.lit("["), F.array_join(F.concat(F.array(F.col("qid").cast("string")), pairs), ","), F.lit("]"))
+    examples.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def results_nested(hits: DataFrame, questions: DataFrame, passages: DataFrame | None = None) -> DataFrame:
@@ -81,9 +82,9 @@ def write_predictions(preds: DataFrame, path: str) -> None:
 
 def write_teacher_scores(examples: DataFrame, path: str) -> None:
     """K8: JSONL ``[qid, [[score, pid], ...]]``."""
-    arr = F.to_json(F.array(F.col("qid").cast("string"),
-                            F.to_json(F.transform("pids", lambda x: F.array(x["score"], x["pid"].cast("double"))))))
-    examples.select(arr.alias("value")).write.mode("overwrite").text(path)
+    pairs = F.transform("pids", lambda x: F.concat(F.lit("["), x["score"].cast("string"), F.lit(","), x["pid"].cast("string"), F.lit("]")))
+    line = F.concat(F.lit("["), F.col("qid").cast("string"), F.lit(",["), F.array_join(pairs, ","), F.lit("]]"))
+    examples.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def metrics_nested(means: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Global numbering without a single-task window: zip_index and running_offsets equal their
-definitions on data spread over many partitions."""
+definitions on data spread over many partitions, also where a sort is cut into unlike partitions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators.ranking import running_offsets, zip_index
@@ -17,3 +18,22 @@ def test_zip_index_and_running_offsets(spark):
     for k in range(5000):
         assert off[k] == acc
         acc += lens[k]
+
+
+@pytest.mark.parametrize("settings", [{}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"},
+                                      {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}])
+def test_numbering_of_many_wide_rows(spark, settings):
+    n = 1_000_000
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") % 13).alias("len"), F.lpad(F.md5(F.col("id").cast("string")), 128, "x").alias("wide"))
+        got = zip_index(rows, ["k"], "i").agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i"), F.sum((F.col("i") != F.col("k")).cast("int")), F.max(F.length("wide"))).first()
+        assert tuple(got) == (n, n, 0, n - 1, 0, 128)
+        if settings:
+            off = running_offsets(rows, "len", ["k"]).select("k", "len", "offset").toPandas().sort_values("k")
+            assert (off.offset.to_numpy() == off.len.cumsum().to_numpy() - off.len.to_numpy()).all() and len(off) == n
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

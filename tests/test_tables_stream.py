@@ -1,36 +1,76 @@
-"""Tables on hand-made markup, and stream = batch for the index."""
+"""Tables on hand-made markup, and streams: replays, expiry, stream = batch for the index."""
 
+from pyspark.sql import functions as F
+
+from lodestar.operators import index as I
 from lodestar.operators import tables as TB
 
+NESTED = ("<table> Cap <tr> <td> aa </td> <td> bb </td> </tr> <tr> <td> cc <table> <tr> <td> xx </td> </tr> "
+          "<tr> <td> yy </td> </tr> </table> </td> </tr> late </table> <table> <tr> <td> only </td> </tr> </table> "
+          "<table> </table> </table> <table> <tr> <td> a </td> </tr> <tr> <td> </td> <td> </td> </tr> <tr> <td> b </td> </tr> </table>")
+
+
+def _tables(spark, *markup, **options):
+    docs = spark.createDataFrame([(i, m.split(), "T") for i, m in enumerate(markup)], "doc_id long, tokens array<string>, title string")
+    return {(t.doc_id, t.table_id): t for t in TB.extract_tables(docs, **options).collect()}
+
+
+def test_extract_tables_nested_and_dropped(spark):
+    by_id = _tables(spark, NESTED)
+    assert set(by_id) == {(0, 0), (0, 1), (0, 4)}        # one-row and empty tables dropped; a stray end is nothing
+    inner, outer = by_id[0, 1], by_id[0, 0]
+    assert inner.parent_table_id == 0 and inner.nested and not outer.nested
+    assert inner.caption == "T Cap | cc"                 # parent caption, then the parent's current cell
+    assert outer.caption == "T Cap" and outer.rows == [["aa", "bb"], ["cc late"]]    # late text goes to the last cell
+    assert by_id[0, 4].rows == [["a"], ["", ""], ["b"]] and by_id[0, 4].filled_rows == 2
+    assert set(_tables(spark, NESTED, keep_small=True)) == {(0, k) for k in range(5)}
+
+
+def test_extract_tables_banner_and_mask(spark):
+    banner = " ".join(["w"] * 80) + " ( hide ) This section has multiple issues " + NESTED
+    assert _tables(spark, banner) == {}
+    assert len(_tables(spark, banner, issue_banner=None)) == 3
+    docs = spark.createDataFrame([(0, ["<table>", "<tr>", "<td>", "<b>", "<tr>", "<td>", "y", "</table>"],
+                                   [True, True, True, False, True, True, False, True], None)],
+                                 "doc_id long, tokens array<string>, mask array<boolean>, title string")
+    assert [t.rows for t in TB.extract_tables(docs, html_mask="mask").collect()] == [[["<b>"], ["y"]]]
+
+
+def test_table_stats_count_before_the_drop(spark):
+    docs = spark.createDataFrame([(0, NESTED.split(), "T"), (1, "x ( hide ) This section has multiple issues".split(), "T")],
+                                 "doc_id long, tokens array<string>, title string")
+    s = TB.table_corpus_stats(docs).first()
+    assert (s.with_issue, s.nested, s.single_row, s.regular, s.total_rows) == (1, 4, 2, 3, 2 + 2 + 3)
 
-def test_extract_tables_nested_and_dropped():
-    toks = ("<table> Cap <tr> <td> aa </td> <td> bb </td> </tr> <tr> <td> cc <table> <tr> <td> xx </td> </tr> "
-            "<tr> <td> yy </td> </tr> </table> </td> </tr> </table> <table> <tr> <td> only </td> </tr> </table> "
-            "<table> </table>").split()
-    out = TB.extract_tables_one(1, toks, "T")
-    by_id = {t["table_id"]: t for t in out}
-    assert set(by_id) == {0, 1}                          # one-row and empty tables dropped
-    assert by_id[1]["parent_table_id"] == 0 and by_id[1]["nested"]
-    assert by_id[1]["caption"] == "T Cap cc"             # nested caption = parent caption + current cell
-    assert by_id[0]["rows"][0] == ["aa", "bb"]
 
+def _chunks(spark, rows, max_words):
+    t = spark.createDataFrame([(0, 0, "c", rows)], "doc_id long, table_id long, caption string, rows array<array<string>>")
+    return [(r.chunk, r.text, r.n_rows) for r in TB.split_table_chunks(t, max_words).orderBy("chunk").collect()]
 
-def test_split_chunks_header_and_tail():
+
+def test_split_chunks_header_and_tail(spark):
     rows = [["h1", "h2"], ["a", "b"], ["c", "d"], ["e", "f"], [""]]
-    chunks = TB.split_chunks_one(rows, max_words=5)
-    assert all(c[0] == ["h1", "h2"] for c in chunks)
-    assert sum(len(c) - 1 for c in chunks) == 3
-    assert TB.split_chunks_one([["h"]], 5) == []        # header only: nothing kept
+    assert _chunks(spark, rows, 5) == [(0, "c\nh1, h2\na, b\nc, d", 3), (1, "c\nh1, h2\ne, f", 2)]
+    assert _chunks(spark, [["h1"]], 5) == []             # header only: nothing kept
+
+
+def _line(spark, rows, answers, max_words):
+    t = spark.createDataFrame([(rows, answers)], "rows array<array<string>>, a array<int>")
+    return t.select(TB.linearize_table(F.col("rows"), F.col("a"), max_words).alias("t")).first().t.split("\n")
 
 
-def test_linearize_answer_rows_first():
+def test_linearize_answer_rows_first(spark):
     rows = [["hh"], ["r1"], ["r2"], ["r3"]]
-    assert TB.linearize_table_one(rows, {3}, 100).split("\n") == ["hh", "r3", "r1", "r2"]
+    assert _line(spark, rows, [3], 100) == ["hh", "r3", "r1", "r2"]
+    assert _line(spark, rows, [3], 3) == ["hh", "r3", "r1"]          # the row that reaches the limit is kept
+    assert _line(spark, rows, [2, 0, 2], 1) == ["hh", "r2"]          # the first answer row always is
+    assert _line(spark, rows, None, 1) == ["hh"]
 
 
-def test_answer_cells_caption():
-    assert TB.answer_cells_one([["a b", "c"]], "the caption", ["caption"]) == [(-1, -1)]
-    assert TB.answer_cells_one([["a b", "c"]], "x", ["A B"]) == [(0, 0)]
+def test_answer_cells_caption(spark):
+    t = spark.createDataFrame([(0, 0, "the caption", [["a b", "c"]], ["caption"]), (0, 1, "x", [["a b", "c"], ["zA B"]], ["A B", ""])],
+                              "doc_id long, table_id long, caption string, rows array<array<string>>, answers array<string>")
+    assert sorted(tuple(r) for r in TB.answer_cells(t).collect()) == [(0, 0, -1, -1), (0, 1, 0, 0)]
 
 
 def test_stream_index_equals_batch(spark):
@@ -39,3 +79,41 @@ def test_stream_index_equals_batch(spark):
     st = sorted(tuple(r) for r in q["ST1_stream_index"](spark, "/root/testdata/sf0.001").collect())
     batch = sorted(tuple(r) for r in q["V31_index_remove"](spark, "/root/testdata/sf0.001").collect())
     assert st == batch
+
+
+def test_replayed_batch_comes_out_whole(spark, tmp_path):
+    from lodestar.streaming.index_stream import apply_batch, read_streamed_index, read_streamed_lists
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 64")
+    codec = I.train_codec(e.select("embedding"), I.centroids_from_labels(e.withColumn("label", F.dense_rank().over(_by_label()) - 1)), 2, 64)
+    add = e.select(F.lit("add").alias("op"), F.floor(F.col("vec_id") / 8).cast("long").alias("pid"), (F.col("vec_id") % 8).alias("tok_pos"),
+                   F.col("embedding").cast("array<double>").alias("embedding"))
+    gone = spark.createDataFrame([("remove", 2, None, None)], add.schema)
+    path = str(tmp_path / "index")
+    apply_batch(add.filter("pid < 6").unionAll(gone.limit(0)), 0, codec, path)
+    # a crash after the first of a batch's writes leaves its codes alone; the replay brings the removals
+    I.compress(add.filter("pid = 6").select("pid", "tok_pos", "embedding"), codec).write.parquet(path + "/codes/batch=1")
+    apply_batch(add.filter("pid = 6").unionAll(gone), 1, codec, path)
+    assert {r.pid: r.doclen for r in read_streamed_index(spark, path)[1].collect()} == {0: 8, 1: 8, 2: 0, 3: 8, 4: 8, 5: 8, 6: 8}
+    apply_batch(add.filter("pid = 2"), 2, codec, path)                # added again later: live
+    codes, dl = read_streamed_index(spark, path)
+    assert {r.pid: r.doclen for r in dl.collect()}[2] == 8
+    assert sorted(map(tuple, read_streamed_lists(spark, path).collect())) == sorted(map(tuple, codes.select("code", "pid").distinct().collect()))
+
+
+def _by_label():
+    from pyspark.sql import Window
+    return Window.orderBy("label")
+
+
+def test_stream_metrics_state_expires(spark, tmp_path):
+    from lodestar.streaming.metrics_stream import current_metrics, stream_metrics
+    schema = "qid long, rank int, label int, ts timestamp"
+    days = ["2024-01-01", "2024-01-02", "2024-02-01", "2024-01-01"]     # the last file is later than the watermark allows
+    for i, (day, rank) in enumerate(zip(days, [3, 1, 2, 1])):
+        rows = spark.createDataFrame([(7, rank, 1)], "qid long, rank int, label int").withColumn("ts", F.lit(day).cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_metrics(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "ck"), watermark="1 hour")
+    out = spark.read.parquet(str(tmp_path / "out")).filter("first_pos is not null")
+    assert sorted((str(r.since.date()), r.n_pos) for r in out.collect()) == [("2024-01-01", 1), ("2024-01-02", 1), ("2024-02-01", 1)]
+    m = current_metrics(spark, str(tmp_path / "out")).first()
+    assert m.mrr_10 == 1.0 and m.recall_10 == 1.0 and schema
