@@ -214,9 +214,17 @@ def segment_ids(ids: Column, sep) -> Column:
     return F.concat(F.array_repeat(F.lit(0), n0), F.array_repeat(F.lit(1), (F.size(ids) - n0).cast("int")))
 
 
-def pair_concat(q_ids: Column, p_ids: Column) -> Column:
-    """``struct(ids, offset)``: the pair's ids and where the passage starts."""
-    return F.struct(F.concat(q_ids, p_ids).alias("ids"), F.size(q_ids).alias("offset"))
+def pair_concat(q_ids: Column, p_ids: Column, spans: Column | None = None) -> Column:
+    """``struct(ids, offset[, spans])``: the pair's ids, where the passage starts, and the passage's spans
+    (``array<struct<start, end>>``) moved by that offset."""
+    fields = [F.concat(q_ids, p_ids).alias("ids"), F.size(q_ids).alias("offset")]
+    if spans is not None:
+        # one variable for both arrays, so that neither is worked out again for each span
+        both = F.array(F.struct(F.size(q_ids).alias("n"), spans.alias("s")))
+        moved = F.transform(both, lambda x: F.transform(x["s"], lambda v: F.struct(
+            (v["start"] + x["n"]).alias("start"), (v["end"] + x["n"]).alias("end"))))
+        fields.append(F.element_at(moved, 1).alias("spans"))
+    return F.struct(*fields)
 
 
 def window_around_token(ids: Column, tok, maxlen: int) -> Column:

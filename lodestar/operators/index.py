@@ -288,6 +288,16 @@ def build_inverted_lists(codes: DataFrame, centroids: DataFrame) -> tuple[DataFr
     return ivf, lengths
 
 
+def lists_from_embeddings(lists: DataFrame, doclens_df: DataFrame) -> DataFrame:
+    """Old inverted lists ``(code, emb_id)``, embedding ids counted through all passages in pid order, as
+    ``(code, pid)`` lists: a running sum of the passage lengths, then a range join."""
+    from .ranking import running_offsets
+    from .weak import chunk_of_pid
+    spans = running_offsets(doclens_df, "doclen", ["pid"], offset_col="offset")
+    spans = spans.select(F.col("pid").alias("chunk"), "offset", F.col("doclen").alias("n"))
+    return chunk_of_pid(lists, spans, "emb_id").select("code", F.col("chunk").alias("pid")).distinct()
+
+
 def doclens(codes: DataFrame) -> DataFrame:
     return codes.groupBy("pid").agg(F.count(F.lit(1)).cast("long").alias("doclen"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import topk_per_query
@@ -26,42 +26,60 @@ def trec_rank(run: DataFrame, k: int) -> DataFrame:
     return topk_per_query(run, k, "qid", "score", "docid", tie_desc=True)
 
 
+def _judged_run(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """The run's top ``k`` per query in trec order with each document's judgement (``rel``, null if unjudged)."""
+    ranked = trec_rank(run.select("qid", "docid", "score"), k)
+    return ranked.join(qrels.select("qid", "docid", "rel"), ["qid", "docid"], "left")
+
+
+def _dcg_sums(ks: Sequence[int]) -> list[Column]:
+    gain = F.greatest(F.coalesce(F.col("rel"), F.lit(0)), F.lit(0)).cast("double") / _log2(F.col("rank") + 1)
+    return [F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg{k}") for k in ks]
+
+
+def _ideal(qrels: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """Per judged query the ideal DCG over every judged document (not only retrieved ones) and the relevant ones."""
+    top = topk_per_query(qrels.select("qid", "docid", "rel"), max(ks), "qid", "rel", "docid", rank_col="irank")
+    return top.groupBy("qid").agg(*[F.sum(F.when((F.col("irank") <= k) & (F.col("rel") > 0), F.col("rel") / _log2(F.col("irank") + 1))
+                                          .otherwise(0.0)).alias(f"idcg{k}") for k in ks])
+
+
+def _ndcg(ks: Sequence[int]) -> list[Column]:
+    return [F.when(F.col(f"idcg{k}") > 0, F.col(f"dcg{k}") / F.col(f"idcg{k}")).otherwise(0.0).alias(f"ndcg_cut_{k}") for k in ks]
+
+
+def _with_precision(judged: DataFrame, min_rel: int) -> DataFrame:
+    """Precision at each rank of a judged run."""
+    w = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    hit = (F.coalesce(F.col("rel"), F.lit(0)) >= min_rel).cast("int")
+    return judged.withColumn("hit", hit).withColumn("p", F.sum("hit").over(w) / F.col("rank"))
+
+
+def _precision_sums(ks: Sequence[int]) -> list[Column]:
+    return [F.sum(F.when((F.col("rank") <= k) & (F.col("hit") == 1), F.col("p")).otherwise(0.0)).alias(f"s{k}") for k in ks]
+
+
+def _map(ks: Sequence[int]) -> list[Column]:
+    return [F.when(F.col("nrel") > 0, F.col(f"s{k}") / F.col("nrel")).otherwise(0.0).alias(f"map_cut_{k}") for k in ks]
+
+
+def _relevant(qrels: DataFrame, min_rel: int) -> DataFrame:
+    return qrels.groupBy("qid").agg(F.sum((F.col("rel") >= min_rel).cast("long")).alias("nrel"))
+
+
 def ndcg_cut(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:
     """nDCG@k per query (linear gain, ``log2(rank+1)``), over queries in both run and qrels.
 
     The ideal ranking uses every judged document of the query (not only retrieved ones).
     """
-    kmax = max(ks)
-    ranked = trec_rank(run.select("qid", "docid", "score"), kmax)
-    gains = ranked.join(qrels.select("qid", "docid", "rel"), ["qid", "docid"], "left").withColumn(
-        "g", F.greatest(F.coalesce(F.col("rel"), F.lit(0)), F.lit(0)).cast("double") / _log2(F.col("rank") + 1))
-    dcg = gains.groupBy("qid").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("g")).otherwise(0.0)).alias(f"dcg{k}")
-                                     for k in ks])
-    # ideal ranking over every judged document (rel <= 0 adds nothing); its per-query rows also
-    # give the set of judged queries, so qrels is read once for both
-    ideal_rows = topk_per_query(qrels.select("qid", "docid", "rel"), kmax, "qid", "rel", "docid", rank_col="irank")
-    idcg = ideal_rows.groupBy("qid").agg(
-        *[F.sum(F.when((F.col("irank") <= k) & (F.col("rel") > 0), F.col("rel") / _log2(F.col("irank") + 1))
-                .otherwise(0.0)).alias(f"idcg{k}") for k in ks])
-    out = dcg.join(idcg, "qid")   # inner: queries both ranked and judged
-    return out.select("qid", *[F.when(F.col(f"idcg{k}") > 0, F.col(f"dcg{k}") / F.col(f"idcg{k}")).otherwise(0.0)
-                               .alias(f"ndcg_cut_{k}") for k in ks])
+    dcg = _judged_run(run, qrels, max(ks)).groupBy("qid").agg(*_dcg_sums(ks))
+    return dcg.join(_ideal(qrels, ks), "qid").select("qid", *_ndcg(ks))   # inner: queries both ranked and judged
 
 
 def map_cut(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = (5, 10), min_rel: int = 1) -> DataFrame:
     """A10: MAP@k per query: sum of precision at each relevant rank <= k, over all relevant."""
-    kmax = max(ks)
-    ranked = trec_rank(run.select("qid", "docid", "score"), kmax)
-    judged = ranked.join(qrels.select("qid", "docid", "rel"), ["qid", "docid"], "left").withColumn(
-        "hit", (F.coalesce(F.col("rel"), F.lit(0)) >= min_rel).cast("int"))
-    w = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    prec = judged.withColumn("p", F.sum("hit").over(w) / F.col("rank"))
-    sums = prec.groupBy("qid").agg(*[F.sum(F.when((F.col("rank") <= k) & (F.col("hit") == 1), F.col("p"))
-                                           .otherwise(0.0)).alias(f"s{k}") for k in ks])
-    nrel = qrels.groupBy("qid").agg(F.sum((F.col("rel") >= min_rel).cast("long")).alias("nrel"))
-    out = sums.join(nrel, "qid")  # inner: queries judged and ranked
-    return out.select("qid", *[F.when(F.col("nrel") > 0, F.col(f"s{k}") / F.col("nrel")).otherwise(0.0)
-                               .alias(f"map_cut_{k}") for k in ks])
+    sums = _with_precision(_judged_run(run, qrels, max(ks)), min_rel).groupBy("qid").agg(*_precision_sums(ks))
+    return sums.join(_relevant(qrels, min_rel), "qid").select("qid", *_map(ks))
 
 
 def mean_over_fixed_n(per_query: DataFrame, measures: Sequence[str], n: int | None = None,
@@ -76,11 +94,13 @@ def mean_over_fixed_n(per_query: DataFrame, measures: Sequence[str], n: int | No
     return sums.crossJoin(cnt).select(*[(F.coalesce(F.col(m), F.lit(0.0)) / F.col("_n")).alias(m) for m in measures])
 
 
-def trec_evaluate(run: DataFrame, qrels: DataFrame, n: int | None = None) -> DataFrame:
-    """The evaluation script: ndcg_cut_5/10 and map_cut_5/10 averaged over ``n`` queries."""
-    per = ndcg_cut(run, qrels).join(map_cut(run, qrels), "qid", "full")
-    measures = ["ndcg_cut_5", "ndcg_cut_10", "map_cut_5", "map_cut_10"]
-    return mean_over_fixed_n(per, measures, n, qrels)
+def trec_evaluate(run: DataFrame, qrels: DataFrame, n: int | None = None, ks: Sequence[int] = (5, 10), min_rel: int = 1) -> DataFrame:
+    """The evaluation script: ndcg_cut and map_cut averaged over ``n`` queries. The run is ranked and joined
+    to the judgements once; both measures come from one aggregate."""
+    rows = _with_precision(_judged_run(run, qrels, max(ks)), min_rel)
+    sums = rows.groupBy("qid").agg(*_dcg_sums(ks), *_precision_sums(ks))
+    per = sums.join(_ideal(qrels, ks).join(_relevant(qrels, min_rel), "qid"), "qid").select("qid", *_ndcg(ks), *_map(ks))
+    return mean_over_fixed_n(per, [f"{m}_cut_{k}" for m in ("ndcg", "map") for k in ks], n, qrels)
 
 
 # ---- binary-gold ranking metrics (A1-A5, A22, A26, A27) ----------------------------------------
@@ -137,19 +157,16 @@ def em_success_counts(labelled: DataFrame, judged_queries: DataFrame,
     """A5: per cutoff (and ``all`` = no cutoff, coded as -1): share of judged queries with a
     label=1 row within the cutoff, and mean count of label=1 rows within it.
     ``mismatch`` is true when judged and ranked query counts differ."""
-    spark = labelled.sparkSession
-    cuts = spark.createDataFrame([(int(c),) for c in cutoffs] + [(-1,)], "cutoff long")
-    pos = labelled.filter(F.col("label") == 1).select("qid", "rank")
-    per = (pos.crossJoin(F.broadcast(cuts))  # cutoffs: a fixed handful of rows
-           .filter((F.col("cutoff") < 0) | (F.col("rank") <= F.col("cutoff")))
-           .groupBy("cutoff", "qid").agg(F.count(F.lit(1)).alias("_cnt")))
-    tot = per.groupBy("cutoff").agg(F.count(F.lit(1)).alias("_succ"), F.sum("_cnt").alias("_cnt"))
+    within = {int(c): (F.col("rank") <= c) for c in cutoffs} | {-1: F.lit(True)}
+    per = labelled.groupBy("qid").agg(*[F.sum((cond & (F.col("label") == 1)).cast("long")).alias(f"c{c}") for c, cond in within.items()])
+    sums = per.agg(F.count(F.lit(1)).alias("_nr"), *[x for c in within for x in (
+        F.sum((F.col(f"c{c}") > 0).cast("long")).alias(f"s{c}"), F.sum(f"c{c}").alias(f"n{c}"))])
     nj = judged_queries.select("qid").distinct().agg(F.count(F.lit(1)).alias("_nj"))
-    nr = labelled.select("qid").distinct().agg(F.count(F.lit(1)).alias("_nr"))
-    out = cuts.join(tot, "cutoff", "left").crossJoin(nj).crossJoin(nr)
-    return out.select("cutoff",
-                      (F.coalesce(F.col("_succ"), F.lit(0)) / F.col("_nj")).alias("success"),
-                      (F.coalesce(F.col("_cnt"), F.lit(0)) / F.col("_nj")).alias("counts"),
+    rows = F.array(*[F.struct(F.lit(c).cast("long").alias("cutoff"), F.col(f"s{c}").alias("s"), F.col(f"n{c}").alias("n")) for c in within])
+    out = sums.crossJoin(nj).select("_nr", "_nj", F.explode(rows).alias("e"))     # one row a side, then one per cutoff
+    return out.select(F.col("e.cutoff").alias("cutoff"),
+                      (F.coalesce(F.col("e.s"), F.lit(0)) / F.col("_nj")).alias("success"),
+                      (F.coalesce(F.col("e.n"), F.lit(0)) / F.col("_nj")).alias("counts"),
                       (F.col("_nj") != F.col("_nr")).alias("mismatch"))
 
 
@@ -282,30 +299,31 @@ def rouge_n(pairs: DataFrame, n: int, key: str = "id", pred: str = "prediction",
     return j.select(key, f.alias(f"rouge{n}"))
 
 
+def _lcs_length(a, b) -> int:
+    """Longest common subsequence with a row of the table held in the bits of one integer."""
+    if not len(a) or not len(b):
+        return 0
+    places: dict = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for t in b:
+        hit = row & places.get(t, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
 def _lcs_udf():
     import pandas as pd
     from pyspark.sql.types import DoubleType
 
     @F.pandas_udf(DoubleType())
     def lcs_f(a, b):
-        import numpy as np
-        out = []
-        for x, y in zip(a, b):
-            x = list(x) if x is not None else []
-            y = list(y) if y is not None else []
-            if not x or not y:
-                out.append(0.0)
-                continue
-            prev = np.zeros(len(y) + 1, np.int32)
-            for t in x:
-                cur = np.zeros_like(prev)
-                for j, u in enumerate(y, 1):
-                    cur[j] = prev[j - 1] + 1 if t == u else max(prev[j], cur[j - 1])
-                prev = cur
-            lcs = prev[-1]
-            p, r = lcs / len(x), lcs / len(y)
-            out.append(0.0 if lcs == 0 else 100 * 2 * p * r / (p + r))
-        return pd.Series(out)
+        def one(x, y):
+            lcs = _lcs_length(x, y) if x is not None and y is not None else 0
+            return 200.0 * lcs / (len(x) + len(y)) if lcs else 0.0
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
     return lcs_f
 
 
@@ -315,6 +333,13 @@ def rouge_l(pairs: DataFrame, key: str = "id", pred: str = "prediction", ref: st
     return pairs.select(key, _lcs_udf()(rouge_tokens(F.col(pred)), rouge_tokens(F.col(ref))).alias("rougeL"))
 
 
+def rouge_mean(pairs: DataFrame, key: str = "id", pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """``rouge1, rouge2, rougeL`` averaged over all pairs, and ``avg``, the mean of the three (one row)."""
+    each = rouge_n(pairs, 1, key, pred, ref).join(rouge_n(pairs, 2, key, pred, ref), key).join(rouge_l(pairs, key, pred, ref), key)
+    means = each.agg(*[F.avg(c).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
+    return means.withColumn("avg", (F.col("rouge1") + F.col("rouge2") + F.col("rougeL")) / 3)
+
+
 def marginal_span_nll(losses: DataFrame) -> DataFrame:
     """``losses(qid, passage, slot, loss)``: per (question, answer slot) the max over passages;
     per question ``-log(sum over slots of exp(-loss))`` ignoring zero losses (log 1 when nothing

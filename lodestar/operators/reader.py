@@ -87,19 +87,30 @@ def best_prediction_by_threshold(preds: DataFrame, thresholds: list[int]) -> Dat
 
 
 def select_reader_passages(ranked: DataFrame, is_train: bool, max_passages: int = 200, max_fallback_pos: int = 20,
-                           eval_negatives: int = 100) -> DataFrame:
+                           eval_negatives: int = 100, spans: str | None = None, gold: DataFrame | None = None) -> DataFrame:
     """``ranked(qid, pid, rank, has_answer, gold_page)``. First ``max_passages`` by rank.
     Training: positives are answer hits on the gold page; when there are none, any answer hits,
     first ``max_fallback_pos``; negatives are non-hits, ``min(max(10*pos, 50), 150)`` of them;
-    questions without positives are dropped. Evaluation: the first ``eval_negatives`` passages."""
+    questions without positives are dropped. Evaluation: the first ``eval_negatives`` passages.
+
+    ``spans`` names a boolean column, true where answer spans were found: only such hits are positives.
+    ``gold(qid, pid)`` adds a question's gold passages in training, as positives of rank 0, and keeps the question."""
     r = ranked.filter(F.col("rank") <= max_passages)
     if not is_train:
         return r.filter(F.col("rank") <= eval_negatives).withColumn("role", F.lit("passage"))
-    w = Window.partitionBy("qid").orderBy("rank")
-    gold = F.col("has_answer") & F.col("gold_page")
-    x = r.withColumn("_ngold", F.sum(gold.cast("int")).over(Window.partitionBy("qid")))
-    x = x.withColumn("_hitrank", F.sum(F.col("has_answer").cast("int")).over(w))
-    pos = F.when(F.col("_ngold") > 0, gold).otherwise(F.col("has_answer") & (F.col("_hitrank") <= max_fallback_pos))
+    if gold is not None:
+        extra = {c: F.lit(None).cast(r.schema[c].dataType) for c in r.columns} | {
+            "qid": F.col("qid"), "pid": F.col("pid"), "rank": F.lit(0).cast(r.schema["rank"].dataType), "has_answer": F.lit(True), "gold_page": F.lit(True)}
+        if spans:
+            extra[spans] = F.lit(True)
+        given = gold.select("qid", "pid").distinct()
+        r = r.join(given, ["qid", "pid"], "left_anti").select(r.columns).unionByName(given.select(*[c.alias(n) for n, c in extra.items()]))
+    w = Window.partitionBy("qid").orderBy("rank", "pid")
+    usable = F.col("has_answer") & (F.coalesce(F.col(spans), F.lit(False)) if spans else F.lit(True))
+    on_page = usable & F.col("gold_page")
+    x = r.withColumn("_ngold", F.sum(on_page.cast("int")).over(Window.partitionBy("qid")))
+    x = x.withColumn("_hitrank", F.sum(usable.cast("int")).over(w))
+    pos = F.when(F.col("_ngold") > 0, on_page).otherwise(usable & (F.col("_hitrank") <= max_fallback_pos))
     x = x.withColumn("_pos", pos)
     x = x.withColumn("_npos", F.sum(F.col("_pos").cast("int")).over(Window.partitionBy("qid")))
     x = x.withColumn("_negrank", F.sum((~F.col("has_answer")).cast("int")).over(w))
@@ -110,9 +121,12 @@ def select_reader_passages(ranked: DataFrame, is_train: bool, max_passages: int
     return out.filter(F.col("role").isNotNull()).drop("_ngold", "_hitrank", "_pos", "_npos", "_negrank")
 
 
-def compose_reader_batch(selected: DataFrame, n: int) -> DataFrame:
+def compose_reader_batch(selected: DataFrame, n: int, fits: str | None = None) -> DataFrame:
     """Per question one positive (the best ranked), then negatives, padded with empty slots
-    (pid -1) to ``n`` passages."""
+    (pid -1) to ``n`` passages. ``fits`` names a boolean column, true where an answer span lies within the
+    input's length: other positives are passed over, and a question without one is left out."""
+    if fits:
+        selected = selected.filter((F.col("role") != "positive") | F.coalesce(F.col(fits), F.lit(False)))
     w = Window.partitionBy("qid").orderBy(F.when(F.col("role") == "positive", 0).otherwise(1), "rank")
     first_pos = selected.filter(F.col("role") == "positive").groupBy("qid").agg(F.min("rank").alias("_pr"))
     s = selected.join(first_pos, "qid").filter((F.col("role") == "negative") | (F.col("rank") == F.col("_pr")))

@@ -73,6 +73,13 @@ def generate_candidates(probes: DataFrame, ivf: DataFrame, salt: int = 8) -> Dat
     return pr.join(ivf_s, ["code", "_salt"]).select("qid", "pid").distinct()
 
 
+def generate_embedding_candidates(probes: DataFrame, codes: DataFrame, salt: int = 8) -> DataFrame:
+    """V21 (embedding level): distinct ``(qid, pid, tok_pos)`` of the token vectors in the probed cells."""
+    c = codes.select("code", "pid", "tok_pos").withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(salt)))
+    pr = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    return pr.join(c, ["code", "_salt"]).select("qid", "pid", "tok_pos").distinct()
+
+
 def filter_candidates(cands: DataFrame, allowed: DataFrame | None = None, predicate=None) -> DataFrame:
     """Keep candidates in ``allowed(pid)`` (semi-join) and/or matching a Column predicate."""
     out = cands

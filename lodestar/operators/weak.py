@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def background_text(lists: DataFrame, passages: DataFrame, extra_key: str | None = None) -> DataFrame:
@@ -52,6 +51,29 @@ def frequent_token_generator(docs: DataFrame, id_col: str, text_col: str, n: int
                     (1.0 / (1.0 + F.col("_s")[0]["cnt"])).alias("loss"))
 
 
+def generate_queries(docs: DataFrame, generate, id_col: str = "dataset_id", text_col: str = "document",
+                     judged: DataFrame | None = None, fold: str | None = None, field: str | None = None) -> DataFrame:
+    """D2 hook: a user's generator over all documents that were not judged (J2), in Arrow batches.
+
+    ``generate(list of texts) -> (predictions, losses)``, one of each per text; ``fold`` and ``field`` name the
+    run and are added as columns, so runs of several folds and fields can be unioned."""
+    import pandas as pd
+    rows = docs if judged is None else unannotated(docs, judged, id_col)
+
+    def kernel(it):
+        for p in it:
+            predictions, losses = generate(list(p[text_col]))
+            if len(predictions) != len(p) or len(losses) != len(p):
+                raise ValueError("the generator returned another number of texts")
+            yield pd.DataFrame({id_col: p[id_col], "prediction": list(predictions), "loss": [float(x) for x in losses]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = rows.select(id_col, text_col).mapInPandas(kernel, f"{id_col} {kind}, prediction string, loss double")
+    for name, value in (("fold", fold), ("field", field)):
+        out = out if value is None else out.withColumn(name, F.lit(value))
+    return out
+
+
 def confidence_filter(preds: DataFrame, threshold: float) -> DataFrame:
     """D3: drop a prediction when ``threshold > 0 and loss > threshold``."""
     if threshold > 0:
@@ -147,48 +169,22 @@ def canonical_question(rows: DataFrame, mapping: DataFrame, q: str = "question")
 
 def chunk_of_pid(pids: DataFrame, chunks: DataFrame, pid: str = "pid") -> DataFrame:
     """J13 (range join): chunk with ``offset <= pid < offset + n``; a pid in no chunk gets null
-    (the reference raises). The chunk table is small (one row per chunk of 25,000 passages) and
-    sorted once; each task binary-searches it (``np.searchsorted``) instead of a nested loop."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-    spark = pids.sparkSession
-    max_chunks = 10_000_000          # 24 bytes per chunk: the broadcast stays under 256 MB
-    pdf = chunks.select("chunk", "offset", "n").orderBy("offset").limit(max_chunks + 1).toPandas()
-    if len(pdf) > max_chunks:
-        raise ValueError("chunk table exceeds the broadcast bound")
-    bc = spark.sparkContext.broadcast((pdf["offset"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64),
-                                       pdf["chunk"].to_numpy(np.int64)))
-    schema = T.StructType(list(pids.schema.fields) + [T.StructField("chunk", T.LongType())])
-
-    def kernel(it):
-        off, n, ch = bc.value
-        for p in it:
-            x = p[pid].to_numpy(np.int64)
-            i = np.searchsorted(off, x, side="right") - 1
-            ok = (i >= 0) & (x < off[np.maximum(i, 0)] + n[np.maximum(i, 0)])
-            p = p.copy()
-            p["chunk"] = pd.array(np.where(ok, ch[np.maximum(i, 0)], 0), dtype="Int64")
-            p.loc[~ok, "chunk"] = pd.NA
-            yield p
-
-    return pids.mapInPandas(kernel, schema)
-
-
-@F.pandas_udf(DoubleType())
-def overlap_scorer(queries, passages):
-    """J16 built-in test scorer (a user scorer has the same shape: two text Series -> scores):
-    number of distinct lower-cased tokens shared by query and passage."""
-    import pandas as pd
-    import regex
-    pat = regex.compile(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]")
-    out = []
-    for q, p in zip(queries, passages):
-        if q is None or p is None:
-            out.append(None)
-            continue
-        out.append(float(len({t.lower() for t in pat.findall(q)} & {t.lower() for t in pat.findall(p)})))
-    return pd.Series(out)
+    (the reference raises). An equi-join on ``pid // width``: with the width of the largest chunk, a
+    chunk lies in two buckets at most."""
+    width = chunks.agg(F.max("n")).first()[0] or 1
+    c = chunks.filter("n > 0").select("chunk", "offset", "n")
+    c = c.withColumn("_b", F.explode(F.sequence(F.floor(F.col("offset") / width), F.floor((F.col("offset") + F.col("n") - 1) / width))))
+    p = pids.withColumn("_b", F.floor(F.col(pid) / width))
+    inside = (p["_b"] == c["_b"]) & (p[pid] >= c["offset"]) & (p[pid] < c["offset"] + c["n"])
+    return p.join(c, inside, "left").select(*[p[x] for x in pids.columns], c["chunk"])
+
+
+def overlap_scorer(query: Column, passage: Column) -> Column:
+    """J16 built-in test scorer (a user scorer has the same shape, e.g. a pandas UDF of two text columns):
+    number of distinct lower-cased tokens shared by query and passage; null for a null text."""
+    from ..functions.text import tokenize
+    shared = F.size(F.array_intersect(tokenize(F.lower(query)), tokenize(F.lower(passage))))
+    return F.when(query.isNotNull() & passage.isNotNull(), shared.cast("double"))
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, passages: DataFrame, scorer=overlap_scorer) -> DataFrame:

@@ -194,6 +194,22 @@ def v21(spark, d):
     return S.generate_candidates(S.probe_cells(qpacked, ix, 2), ix.ivf)
 
 
+@register("V21_generate_embedding_candidates", BASE + stage_sql(1, 0.5, 256) + """SELECT DISTINCT p.qid, a.pid, a.tp AS tok_pos
+ FROM probes p JOIN asg a ON p.code = a.code""")
+def v21e(spark, d):
+    ix = index(spark, d)
+    from ..operators.vectors import pack_vectors
+    qpacked = pack_vectors(queries(spark, d), "qid", "qtok", "embedding", "qvecs")
+    return S.generate_embedding_candidates(S.probe_cells(qpacked, ix, 1), ix.codes)
+
+
+@register("S27_lists_from_embeddings", BASE + "SELECT CAST(code AS INTEGER) AS code, pid FROM ivf")
+def s27_old(spark, d):
+    ix = index(spark, d)
+    old = ix.codes.select("code", (F.col("pid") * 8 + F.col("tok_pos")).alias("emb_id"))     # eight vectors a passage
+    return I.lists_from_embeddings(old, ix.doclens)
+
+
 @register("J11_probe_inverted_lists", BASE + stage_sql(1, 0.5, 256) + "SELECT qid, pid FROM cands")
 def j11(spark, d):
     ix = index(spark, d)

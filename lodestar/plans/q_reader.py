@@ -50,6 +50,11 @@ def a13_2(spark, d):
     return M.rouge_n(_conv_pairs(spark, d), 2).withColumn("rouge2", F.round("rouge2", R))
 
 
+@register("A13_rouge_mean")
+def a13_mean(spark, d):
+    return M.rouge_mean(_conv_pairs(spark, d))
+
+
 @register("A13_rouge_l")
 def a13_l(spark, d):
     return M.rouge_l(_conv_pairs(spark, d))
@@ -149,7 +154,14 @@ def d9(spark, d):
     return _selected(spark, d).select("qid", "pid", "rank", "role")
 
 
-@register("D13_compose_reader_batch")
+@register("D13_compose_reader_batch", _J8_STRING + """, h AS (SELECT qid, pid, rank, length(trim(am)) > 0 AND contains(dm, am) AS hit FROM j),
+x AS (SELECT *, SUM(CAST(hit AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank) AS hr,
+  SUM(CAST(NOT hit AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank) AS nr FROM h),
+y AS (SELECT *, SUM(CASE WHEN hit AND hr <= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS npos FROM x),
+s AS (SELECT qid, pid, rank, hit, row_number() OVER (PARTITION BY qid ORDER BY NOT hit, rank) AS slot FROM y
+ WHERE npos > 0 AND ((hit AND hr = 1) OR (NOT hit AND nr <= LEAST(GREATEST(10 * npos, 50), 150)))),
+g AS (SELECT qid, list(CAST(pid AS VARCHAR) ORDER BY slot) AS pids FROM s WHERE slot <= 8 GROUP BY qid)
+SELECT qid, array_to_string(list_concat(pids, list_transform(range(0, 8 - len(pids)), lambda i: '-1')), ',') AS pids FROM g""")
 def d13(spark, d):
     out = RDR.compose_reader_batch(_selected(spark, d), n=8)
     return out.select("qid", F.array_join(F.transform("pids", lambda x: x.cast("string")), ",").alias("pids"))

@@ -91,13 +91,20 @@ def read_topk(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return df, multi_q.unionByName(dup_p)
 
 
-def read_topk_pids(spark: SparkSession, path: str, has_label: bool) -> tuple[DataFrame, DataFrame]:
+def read_topk_pids(spark: SparkSession, path: str, has_label: bool, qrels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``qid, pid, rest...``; with labels the last column is 0/1 and label-1 rows are the
-    positives; every qid gets a (possibly empty) positive list. Returns (ranking, positives)."""
+    positives, otherwise ``qrels(qid, pid)`` are (labels and separate judgements exclude each other); every
+    qid gets a (possibly empty) positive list. Returns (ranking, positives)."""
+    if has_label and qrels is not None:
+        raise ValueError("a labelled file has its own judgements: give no qrels")
     lines = spark.read.text(path).select(F.split("value", "\t").alias("f"))
     df = lines.select(F.get("f", 0).cast("long").alias("qid"), F.get("f", 1).cast("long").alias("pid"),
                       (F.try_element_at("f", F.lit(-1)).cast("int") if has_label else F.lit(None).cast("int")).alias("label"))
-    pos = df.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("label") == 1, F.col("pid")))).alias("positives"))
+    if qrels is not None:
+        given = qrels.groupBy("qid").agg(F.array_sort(F.collect_list("pid")).alias("positives"))
+        pos = df.select("qid").distinct().join(given, "qid", "left").select("qid", F.coalesce("positives", F.array().cast("array<bigint>")).alias("positives"))
+    else:
+        pos = df.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("label") == 1, F.col("pid")))).alias("positives"))
     return df.select("qid", "pid"), pos
 
 
@@ -194,6 +201,13 @@ def read_kilt_qa(spark: SparkSession, path: str) -> DataFrame:
                      F.filter(F.transform("output", lambda o: o["answer"]), lambda a: a.isNotNull()).alias("answers"))
 
 
+def read_kilt_qa_csv(spark: SparkSession, csv_path: str, kilt_path: str) -> DataFrame:
+    """S16 (CSV form): the questions and answer lists of a QA file with the ids of the KILT records, matched by
+    question text; records without answers in the CSV are left out."""
+    gold = read_kilt_qa(spark, kilt_path).select("id", "question")
+    return read_qa_csv(spark, csv_path).join(gold, "question").select("id", "question", "answers")
+
+
 def read_asr_qa(spark: SparkSession, transcripts: str, originals: DataFrame) -> DataFrame:
     """Transcript lines ``text(None-<id>)``: id after ``(None-``; text lower-cased and trimmed;
     joined to the original questions on that id (the id, not a character offset)."""
@@ -207,10 +221,16 @@ CTX = "struct<id:string,title:string,text:string,score:double>"
 BIENC_SCHEMA = f"question string, answers array<string>, positive_ctxs array<{CTX}>, negative_ctxs array<{CTX}>, hard_negative_ctxs array<{CTX}>"
 
 
-def read_biencoder_jsonl(spark: SparkSession, path: str, exclude_gold: bool = False) -> DataFrame:
+def read_biencoder_jsonl(spark: SparkSession, path: str, exclude_gold: bool = False, whole_file: bool = False,
+                         start: int | None = None, size: int | None = None) -> DataFrame:
     """Samples without positives are dropped; with ``exclude_gold`` only positives that have
-    a score are kept when there is at least one."""
-    df = spark.read.schema(BIENC_SCHEMA).json(path).filter(F.size("positive_ctxs") > 0)
+    a score are kept when there is at least one. ``whole_file``: each file is one JSON array. ``start`` and
+    ``size`` take a range of the lines, before any are dropped."""
+    df = spark.read.schema(BIENC_SCHEMA).option("multiLine", whole_file).json(path)
+    if start is not None:
+        from ..operators.sets import row_range
+        df = row_range(df.withColumn("_o", line_order()), ["_o"], start, start + (size or 1 << 62)).drop("_o")
+    df = df.filter(F.size("positive_ctxs") > 0)
     if exclude_gold:
         scored = F.filter("positive_ctxs", lambda c: c["score"].isNotNull())
         df = df.withColumn("positive_ctxs", F.when(F.size(scored) > 0, scored).otherwise(F.col("positive_ctxs")))

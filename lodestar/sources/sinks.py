@@ -57,9 +57,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_kilt(results: DataFrame, mapping: DataFrame, path: str) -> DataFrame:
-    """K5: ctx ids mapped to ``(wikipedia_id, end_paragraph_id)``; id/input from the gold file
-    (matched on the question id)."""
+def write_kilt(results: DataFrame, mapping: DataFrame, path: str, gold: DataFrame | None = None, order: str = "qid") -> DataFrame:
+    """K5: ctx ids mapped to ``(wikipedia_id, end_paragraph_id)``; id/input from the results, or from
+    ``gold(pos, id, input)`` by position: result number ``pos`` (from 0, by ``order``); sizes must agree."""
+    if gold is not None:
+        from ..operators.ranking import zip_index
+        placed = zip_index(results, [order], "_pos")
+        if placed.count() != gold.count():
+            raise ValueError("results and gold file differ in size")
+        results = placed.join(gold, F.col("_pos") == F.col("pos")).drop("qid", "question", "_pos", "pos") \
+            .withColumnsRenamed({"id": "qid", "input": "question"})
     ex = results.select("qid", "question", F.posexplode("ctxs").alias("pos", "c"))
     j = ex.join(mapping, F.col("c.id") == mapping["ctx_id"], "left")
     g = j.groupBy("qid", "question").agg(F.array_sort(F.collect_list(F.struct("pos", "wikipedia_id", "end_paragraph_id"))).alias("_p"))
@@ -119,6 +126,31 @@ def write_collection(coll: DataFrame, path: str) -> None:
     write_tsv(coll.orderBy("pid"), path, ["pid", strip_control("passage")])
 
 
+def write_queries(queries: DataFrame, path: str) -> None:
+    """``qid, query`` TSV (control characters replaced)."""
+    write_tsv(queries.orderBy("qid"), path, ["qid", strip_control("query")])
+
+
+def write_qas(qas: DataFrame, path: str) -> None:
+    """JSON lines ``{qid, question, answers}`` in ascending id."""
+    write_json(qas.orderBy("qid").select("qid", "question", "answers"), path)
+
+
+def write_tables_csv(tables: DataFrame, path: str) -> DataFrame:
+    """``id (from 1), table text, caption`` TSV; the text is the rows' cells joined by `` . ``, closed by one."""
+    from ..operators.ranking import zip_index
+    numbered = zip_index(tables, ["doc_id", "table_id"], "_i")
+    text = F.concat(F.array_join(F.transform("rows", lambda r: F.array_join(r, " . ")), ""), F.lit(" . "))
+    out = numbered.select((F.col("_i") + 1).alias("id"), strip_control(text).alias("text"), strip_control("caption").alias("caption"))
+    write_tsv(out, path, ["id", "text", "caption"])
+    return out
+
+
+def write_ranking_columns(ranking: DataFrame, path: str) -> None:
+    """K1 (column form): the ranking as Parquet, types kept."""
+    ranking.write.mode("overwrite").parquet(path)
+
+
 def write_vectors(vectors: DataFrame, path: str, num_shards: int) -> DataFrame:
     """``(id, embedding)`` Parquet, one folder per range shard."""
     from ..operators.ranking import assign_shards_range
