@@ -9,8 +9,10 @@ linear in the text.
 Kinds, in the order in which spans are listed: ``email``, ``ip``, ``card``, ``phone`` (the base
 kinds: leftmost, non-overlapping per kind, a match that fails its check is dropped without another
 try), then ``url`` (scheme, ``://``, then characters other than blanks, quotes and brackets),
-``secret`` (a cue, ``=`` or ``:``, then 8 or more token characters, quoted or not) and ``account``
-(a cue, then 8 to 34 capitals and digits with a digit). Offsets are code points, end exclusive.
+``secret`` (a cue, ``=`` or ``:``, then 8 or more token characters, quoted or not), ``account`` (a cue, then 8
+to 34 capitals and digits with a digit), and what a failed base match hides: ``card_part`` (whole
+groups of a longer digit chain that make a card) and ``phone_part`` (the first whole groups of a
+longer run that make a phone number). Offsets are code points, end exclusive.
 
 Defined cases: null and empty texts have no spans; very long texts are read whole; repeated rows
 give repeated results; only ``doc_id`` and ``text`` are read, other columns may have any name.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = BASE_KINDS + ("url", "secret", "account")
+KINDS = BASE_KINDS + ("url", "secret", "account", "card_part", "phone_part")
 
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _LOCAL = frozenset(_ALNUM + "._%+-")
@@ -130,6 +132,43 @@ def _card(text: str, start: int):
         return digits, i
 
 
+def _card_parts(text: str, start: int, end: int):
+    """Cards among the groups of a chain: from each group on, the first 16 to 19 digits that pass, without overlaps."""
+    groups, i = [], start
+    while i < end:
+        j = i
+        while j < end and text[j] in _DIGITS:
+            j += 1
+        groups.append((i, j))
+        i = j + 1
+    k = 0
+    while k < len(groups):
+        digits, last, found = "", k, None
+        while last < len(groups) and len(digits) < 20:
+            digits += text[groups[last][0]:groups[last][1]]
+            if 16 <= len(digits) <= 19 and _luhn(digits):
+                found = last
+                break
+            last += 1
+        if found is None:
+            k += 1
+        else:
+            yield groups[k][0], groups[found][1]
+            k = found + 1
+
+
+def _phone_part(text: str, plus: int, end: int):
+    """The longest start of a run that ends before a blank and has 8 to 15 digits."""
+    count, best = 0, None
+    for i in range(plus + 1, end):
+        count += text[i] in _DIGITS
+        if count > 15:
+            break
+        if 8 <= count and text[i] in _DIGITS and (i + 1 == end or text[i + 1] == " "):
+            best = i + 1
+    return best
+
+
 def _phone(text: str, plus: int):
     """From a plus sign to the last digit of the run that follows, if 8 to 15 digits come out."""
     n, i = len(text), plus + 2
@@ -203,6 +242,8 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 digits, card_end = _card(text, at)
                 if 16 <= len(digits) <= 19 and _luhn("".join(digits)):
                     out.setdefault("card", []).append((at, card_end))
+                elif len(digits) > 16 and (parts := list(_card_parts(text, at, card_end))):
+                    out.setdefault("card_part", []).extend(parts)
         elif kind == "@":
             if (span := _email(text, at, email_end)) is not None:
                 out.setdefault("email", []).append(span)
@@ -212,6 +253,8 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 phone_end = span[1]
                 if span[2]:
                     out.setdefault("phone", []).append(span[:2])
+                elif (end := _phone_part(text, at, span[1])) is not None:
+                    out.setdefault("phone_part", []).append((at, end))
         elif kind == "url":
             if at >= url_end and (span := _url(text, at, url_end)) is not None:
                 out.setdefault("url", []).append(span)

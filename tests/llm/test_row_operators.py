@@ -68,6 +68,14 @@ def test_redaction_leaves_clean_texts(spark):
     assert pii.redact('token = "0123456789abcdef" at https://a.b/c.', pii.find_spans('token = "0123456789abcdef" at https://a.b/c.')) == 'token = "[SECRET]" at [URL].'
 
 
+def test_numbers_behind_failed_matches():
+    text = "+1 (706) 555-3138 4644348398010899 x 12 4111 1111 1111 1111 7"
+    spans = pii.find_spans(text)
+    assert "phone" not in spans and [text[s:e] for s, e in spans["phone_part"]] == ["+1 (706) 555-3138"]
+    assert [text[s:e] for s, e in spans["card_part"]] == ["4644348398010899", "4111 1111 1111 1111"]
+    assert pii.redact(text, spans) == "[PHONE_PART] [CARD_PART] x 12 [CARD_PART] 7"
+
+
 def test_licences_equal_scan(spark):
     docs = edge_docs(spark)
     word = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
