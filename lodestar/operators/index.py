@@ -444,7 +444,7 @@ def _apart_from(index: Index, path: str) -> Index:
     return Index(codec, copy(index.codes), copy(index.ivf), copy(index.doclens), copy(index.pid_codes))
 
 
-def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
+def write_index(index: Index, path: str, mode: str = "overwrite", chunk_size: int = 25000) -> None:
     """codes/residuals partitioned by chunk, plus codec, lists and doclens as Parquet.
     ``mode``: ``overwrite`` (erase first; an index read from ``path`` is copied before), ``error`` (fail if
     present), ``reuse`` (leave a present index as it is), ``resume`` (append only the chunks not yet
@@ -459,7 +459,7 @@ def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
             mode = "error"
     if mode == "overwrite":
         index = _apart_from(index, path)
-    codes = index.codes.withColumn("chunk", F.floor(F.col("pid") / 25000).cast("long"))
+    codes = index.codes.withColumn("chunk", F.floor(F.col("pid") / chunk_size).cast("long"))
     if mode == "resume":
         try:
             done = spark.read.parquet(f"{path}/codes").select("chunk").distinct()
@@ -478,6 +478,42 @@ def write_index(index: Index, path: str, mode: str = "overwrite") -> None:
         .write.mode(wmode).parquet(f"{path}/buckets")
 
 
+def persist_changes(spark: SparkSession, path: str, removed: DataFrame | None = None, added: Index | None = None,
+                    chunk_size: int = 25000) -> None:
+    """Apply removals ``(pid)`` and the tables of newly added passages to a written index.
+
+    Only the chunks that hold a removed or an added pid are rewritten (the last chunk is filled up by the first
+    added pids, further ones open new chunks); a chunk that is left empty goes. Lists and lengths are small
+    beside the codes and are written anew. Everything that is read from ``path`` is copied to the
+    checkpoint folder before it is overwritten, so a failed run can be repeated."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    old = read_index(spark, path)
+    none = old.doclens.select("pid").limit(0)
+    gone = (removed.select("pid").distinct() if removed is not None else none).checkpoint()
+    fresh = added.codes.select("pid", "tok_pos", "code", "residual").checkpoint() if added is not None else old.codes.select("pid", "tok_pos", "code", "residual").limit(0)
+
+    def chunk(df):
+        return df.withColumn("chunk", F.floor(F.col("pid") / chunk_size).cast("long"))
+
+    touched = chunk(gone.unionByName(fresh.select("pid"))).select("chunk").distinct().checkpoint()
+    codes = spark.read.parquet(f"{path}/codes").select("pid", "tok_pos", "code", "residual", F.col("chunk").cast("long").alias("chunk"))
+    kept = codes.join(touched, "chunk", "left_semi").join(gone, "pid", "left_anti").select("pid", "tok_pos", "code", "residual", "chunk")
+    new = kept.unionByName(chunk(fresh)).checkpoint()
+    lists = old.ivf.join(gone, "pid", "left_anti").select("code", "pid").unionByName(fresh.select("code", "pid").distinct()).checkpoint()
+    flags = gone.withColumn("_gone", F.lit(True))
+    lengths = (old.doclens.join(flags, "pid", "left").select("pid", F.when(F.col("_gone"), F.lit(0).cast("long")).otherwise(F.col("doclen")).alias("doclen"))
+               .unionByName(doclens(fresh).select("pid", "doclen"))).checkpoint()
+    emptied = touched.join(new.select("chunk").distinct(), "chunk", "left_anti")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/codes")
+    lists.write.mode("overwrite").parquet(f"{path}/ivf")
+    lengths.write.mode("overwrite").parquet(f"{path}/doclens")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for row in emptied.toLocalIterator():      # one row per chunk that lost all its passages
+        place = folder(f"{path}/codes/chunk={row['chunk']}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     """The five tables; a missing or empty doclens table is an error."""
     b = spark.read.parquet(f"{path}/buckets")

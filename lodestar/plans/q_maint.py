@@ -47,9 +47,21 @@ meta AS (SELECT chunk, MIN(pid) AS passage_offset, COUNT(*) AS num_passages, SUM
 
 
 def _meta(spark, d):
+    """The index without its odd passages written in chunks of 16, then the odd ones added and the removed ones taken away on disk."""
     from .q_index import index
-    dl = I.index_remove(index(spark, d), _removed(spark, d)).doclens
-    return I.chunk_metadata(I.assign_chunks(dl, 16))
+    ix, path = index(spark, d), scratch_dir(spark, "v32")
+    odd = F.col("pid") % 2 == 1
+
+    def half(cond):
+        return I.Index(ix.codec, ix.codes.filter(cond), ix.ivf.filter(cond), ix.doclens.filter(cond))
+
+    I.write_index(half(~odd), path, chunk_size=16)
+    I.persist_changes(spark, path, _removed(spark, d).filter(~odd), half(odd), chunk_size=16)
+    I.persist_changes(spark, path, _removed(spark, d).filter(odd), chunk_size=16)
+    back = I.read_index(spark, path)
+    found = back.codes.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))     # lengths as the written codes have them
+    lengths = back.doclens.join(found, "pid", "left").select("pid", F.coalesce("n", F.lit(0)).cast("long").alias("doclen"))
+    return I.chunk_metadata(I.assign_chunks(lengths, 16))
 
 
 @register("V32_index_persist", _CHUNKS + """ SELECT CAST(chunk AS BIGINT) AS chunk, passage_offset, CAST(num_passages AS BIGINT) AS num_passages,
@@ -66,6 +78,14 @@ def v33(spark, d):
     return I.index_check(m, (n + 15) // 16)
 
 
+@register("V33_index_check_gap", _CHUNKS + """, m AS (SELECT * FROM meta WHERE chunk <> 1)
+SELECT (SELECT COUNT(*) FROM meta) - (SELECT COUNT(*) FROM m) AS missing_chunks, (SELECT COUNT(*) FROM (SELECT passage_offset,
+ lag(passage_offset + num_passages) OVER (ORDER BY chunk) AS e FROM m) WHERE e <> passage_offset) AS offset_gaps""")
+def v33_gap(spark, d):
+    n = tokens(spark, d).select("pid").distinct().count()
+    return I.index_check(_meta(spark, d).filter("chunk <> 1"), (n + 15) // 16)
+
+
 @register("K11_write_index", "SELECT CAST(vec_id // 8 // 25000 AS BIGINT) AS chunk, COUNT(*) AS n FROM embeddings GROUP BY 1")
 def k11(spark, d):
     from .q_index import index
