@@ -374,7 +374,7 @@ from .q_qa import _ENC  # noqa: E402
 
 
 @register("K3_write_results_nested", f"""WITH {_ENC} SELECT qid, CAST(COUNT(*) AS BIGINT) AS n_ctxs,
- CAST(MIN(CASE WHEN rank = 1 THEN pid END) AS VARCHAR) AS top_id FROM top GROUP BY qid""")
+ string_agg(CAST(pid AS VARCHAR), ',' ORDER BY rank) AS ids, md5(string_agg(text, '|' ORDER BY rank)) AS texts FROM top JOIN documents ON pid = doc_id GROUP BY qid""")
 def k3(spark, d):
     path = scratch_dir(spark, "k3")
     hits = _qa_hits(spark, d).select("qid", "pid", "rank", "score", "has_answer")
@@ -382,10 +382,12 @@ def k3(spark, d):
     qs = _bench(spark, d).select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.array("text").alias("answers"))
     SK.write_json(SK.results_nested(hits, qs, passages), path)
     back = spark.read.json(path)
-    return back.select("qid", F.size("ctxs").cast("long").alias("n_ctxs"), F.get("ctxs", 0)["id"].alias("top_id"))
+    return back.select("qid", F.size("ctxs").cast("long").alias("n_ctxs"), F.array_join(F.transform("ctxs", lambda c: c["id"]), ",").alias("ids"),
+                       F.md5(F.array_join(F.transform("ctxs", lambda c: c["text"]), "|")).alias("texts"))
 
 
-@register("K4_write_results_from_meta", f"WITH {_ENC} SELECT qid, CAST(COUNT(*) AS BIGINT) AS n_ctxs FROM top GROUP BY qid")
+@register("K4_write_results_from_meta", f"""WITH {_ENC} SELECT qid, CAST(COUNT(*) AS BIGINT) AS n_ctxs, string_agg(source, ',' ORDER BY rank) AS titles,
+ md5(string_agg(text, '|' ORDER BY rank)) AS texts FROM top JOIN documents ON pid = doc_id GROUP BY qid""")
 def k4(spark, d):
     path = scratch_dir(spark, "k4")
     hits = _qa_hits(spark, d).select("qid", "pid", "rank", "score", "has_answer", F.col("source").alias("title"), "text")
@@ -393,7 +395,8 @@ def k4(spark, d):
     out = SK.results_nested(hits, qs).withColumn("ctxs", F.transform("ctxs", lambda c: c.withField("is_wiki", c["title"].startswith("src"))))
     SK.write_json(out, path)
     back = spark.read.json(path)
-    return back.select("qid", F.size("ctxs").cast("long").alias("n_ctxs"))
+    return back.select("qid", F.size("ctxs").cast("long").alias("n_ctxs"), F.array_join(F.transform("ctxs", lambda c: c["title"]), ",").alias("titles"),
+                       F.md5(F.array_join(F.transform("ctxs", lambda c: c["text"]), "|")).alias("texts"))
 
 
 from .q_text import _TRIPLES_SQL  # noqa: E402

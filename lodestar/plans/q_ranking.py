@@ -202,9 +202,9 @@ def g3(spark, d):
     return S.question_overlap(table(spark, d, "benchmark").select(fw), table(spark, d, "documents").select(fw))
 
 
-@register("G4_queries_without_positives", "SELECT DISTINCT user_id AS qid FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'")
+@register("G4_queries_without_positives", "SELECT DISTINCT user_id AS qid FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0")
 def g4(spark, d):
-    return S.without_positives(B.queries_events(spark, d), B.gold_events(spark, d))
+    return S.without_positives(B.queries_events(spark, d), B.gold_events(spark, d).filter("pid % 50 = 0"))
 
 
 @register("G5_distinct_tables", "SELECT text, MIN(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -212,9 +212,12 @@ def g5(spark, d):
     return S.distinct_first(table(spark, d, "documents").select("text", "doc_id"), ["text"], "doc_id")
 
 
-@register("D16_fold_assignment_check", """SELECT CAST(0 AS BIGINT) AS multi_fold,
- (SELECT COUNT(*) FROM (SELECT DISTINCT user_id FROM events) q WHERE user_id % 5 NOT IN (0,1,2,3,4)) AS missing""")
+# folds with two faults: users divisible by 10 are in fold 0 and fold 4, odd ones of fold 3 are in none
+@register("D16_fold_assignment_check", """SELECT (SELECT COUNT(DISTINCT user_id) FROM events WHERE user_id % 10 = 0) AS multi_fold,
+ (SELECT COUNT(DISTINCT user_id) FROM events WHERE user_id % 5 = 3 AND user_id % 2 = 1) AS missing""")
 def d16(spark, d):
     q = B.queries_events(spark, d)
-    folds = [q.filter(F.col("qid") % 5 == f).withColumn("fold", F.lit(f)) for f in range(5)]
+    member = [F.col("qid") % 5 == f for f in range(5)]
+    member[3], member[4] = member[3] & (F.col("qid") % 2 == 0), member[4] | (F.col("qid") % 10 == 0)
+    folds = [q.filter(m).withColumn("fold", F.lit(f)) for f, m in enumerate(member)]
     return S.fold_assignment_check(S.union_folds(folds), q)

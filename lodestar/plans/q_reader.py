@@ -12,7 +12,7 @@ from ..operators import reader as RDR
 from ..session import scratch_dir, table
 from .q_qa import _ENC, _J8_STRING, _pairs
 from .q_text import sql_tok
-from .registry import register
+from .registry import ORACLE, register
 
 R = 6
 
@@ -182,13 +182,15 @@ def j9(spark, d):
     return RDR.gold_page_match(hits, gold).select("qid", "pid", F.col("gold_page").cast("long"))
 
 
-@register("K10_write_reader_predictions", "SELECT item_id AS qid, CAST(3 AS INTEGER) AS n FROM benchmark")
+@register("K10_write_reader_predictions", "SELECT qid, CAST(COUNT(*) AS INTEGER) AS n, string_agg(prediction, '|' ORDER BY n) AS predictions FROM ("
+          + ORACLE["W11_best_prediction_by_threshold"] + ") GROUP BY qid")
 def k10(spark, d):
     path = scratch_dir(spark, "k10")
     preds = w11(spark, d)
     nested = preds.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("top_k"), "prediction"))).alias("predictions"))
     nested.write.json(path)
-    return spark.read.json(path).select("qid", F.size("predictions").alias("n"))
+    return spark.read.json(path).select("qid", F.size("predictions").alias("n"),
+                                        F.array_join(F.transform("predictions", lambda p: p["prediction"]), "|").alias("predictions"))
 
 
 @register("K5_write_kilt", f"WITH {_ENC} SELECT qid AS id, CAST(COUNT(*) AS INTEGER) AS n FROM top GROUP BY qid")
