@@ -46,7 +46,7 @@ BITS = 56
 REGION_SETS = 4096
 REGION_GRAMS = 8 << 20
 #: Grams that a task holds before it sends them on.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _WEIGHTS = mix64(np.arange(1, GRAM + 1, dtype=np.uint64))
 
 
@@ -125,8 +125,10 @@ def _send(buckets: int):
             grams = np.concatenate([g for g, _, _, _ in held])
             local = np.concatenate([np.repeat(np.arange(len(s), dtype=np.uint32) + b, s) for _, s, _, b in held])
             sizes, keys = np.concatenate([s for _, s, _, _ in held]), np.concatenate([k for _, _, k, _ in held])
+            held.clear()
             order = np.argsort(grams, kind="stable")
             grams, local = grams[order], local[order]
+            del order
             cuts = np.searchsorted(grams, (np.arange(buckets + 1, dtype=np.float64) * (float(1 << BITS) / buckets)).astype(np.uint64))
             cuts[-1] = len(grams)
             rows = []
@@ -136,7 +138,6 @@ def _send(buckets: int):
                     here, at = np.unique(local[lo:hi], return_inverse=True)  # the sets that this bucket needs to know
                     gaps = np.diff(grams[lo:hi], prepend=np.uint64(0))
                     rows.append((b, hi - lo, len(here), _pack(gaps, at.astype(np.uint32)), _pack(keys[here], sizes[here].astype(np.uint32))))
-            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
                 (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=_PACKED_NAMES)
 
@@ -166,13 +167,13 @@ def _gather(rows: pa.Table):
         gaps, local = _unpack(packed, n, np.uint64, np.uint32)
         k, s = _unpack(table, sets, np.int64, np.uint32)
         grams.append(np.cumsum(gaps))
-        at.append(local.astype(np.int64) + base)
+        at.append(local + np.uint32(base))
         keys.append(k)
         sizes.append(s)
         base += sets
     keys, sizes = np.concatenate(keys), np.concatenate(sizes)
     own, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    return np.concatenate(grams), number[np.concatenate(at)], own, sizes[first]
+    return np.concatenate(grams), number.astype(np.uint32)[np.concatenate(at)], own, sizes[first]
 
 
 def _answer(buckets: int):
@@ -181,13 +182,14 @@ def _answer(buckets: int):
         grams, number, keys, sizes = _gather(rows)
         order = np.lexsort((number, grams))
         grams, number = grams[order], number[order]
+        del order
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]) | (number[1:] != number[:-1])
         grams, number = grams[new], number[new]
         head = np.ones(len(grams), bool)
         head[1:] = grams[1:] != grams[:-1]
         starts = np.flatnonzero(head)
-        df = np.diff(np.append(starts, len(grams)))
+        df = np.diff(np.append(starts, len(grams))).astype(np.uint32)
         df = np.repeat(df, df)
         shared = df > 1
         grams, number, df = grams[shared], number[shared], df[shared]
