@@ -226,27 +226,6 @@ def logsumexp_by(df: DataFrame, keys: Sequence[str], score: str, out: str = "lse
             .select(*keys, (F.col("_mx") + F.log(F.col("_s"))).alias(out)))
 
 
-def inbatch_nll(scores: DataFrame) -> DataFrame:
-    """``scores(batch, qid, cid, score, is_gold)``: NLL of the gold context under a softmax
-    over all contexts of the batch, and whether the arg-max (ties: smallest cid) is the gold."""
-    lse = logsumexp_by(scores, ["batch", "qid"], "score")
-    gold = scores.filter("is_gold").select("batch", "qid", F.col("score").alias("_gs"), F.col("cid").alias("_gcid"))
-    best = scores.groupBy("batch", "qid").agg(
-        F.max_by("cid", F.struct(F.col("score"), -F.col("cid"))).alias("_best"))
-    per = lse.join(gold, ["batch", "qid"]).join(best, ["batch", "qid"])
-    return per.select("batch", "qid", (F.col("lse") - F.col("_gs")).alias("nll"),
-                      (F.col("_best") == F.col("_gcid")).cast("long").alias("correct"))
-
-
-def average_rank(scores: DataFrame) -> DataFrame:
-    """0-based rank of the gold context among all contexts of the set, by counting
-    contexts scoring strictly higher (no sort). ``scores(qid, cid, score, is_gold)``."""
-    gold = scores.filter("is_gold").select("qid", F.col("score").alias("_gs"))
-    per = scores.join(gold, "qid").groupBy("qid").agg(
-        F.sum((F.col("score") > F.col("_gs")).cast("long")).alias("gold_rank"))
-    return per
-
-
 def nway_cross_entropy(scores: DataFrame, key: str = "qid", pos_col: str = "pos") -> DataFrame:
     """Gold is position 0 of each n-way group: ``lse(scores) - score[0]`` per group."""
     lse = logsumexp_by(scores, [key], "score")

@@ -70,20 +70,21 @@ def match_tokens(text: Column) -> Column:
 
 @F.pandas_udf(BooleanType())
 def _regex_any(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    import functools
     import unicodedata
 
+    @functools.lru_cache(4096)
+    def compiled(pattern):      # once for each pattern of a batch
+        try:
+            return re.compile(unicodedata.normalize("NFD", pattern), flags=re.IGNORECASE | re.UNICODE | re.MULTILINE)
+        except Exception:  # noqa: BLE001 - an invalid pattern is "no match"
+            return None
+
     def one(text, pats):
         if text is None or pats is None:
             return False
         t = unicodedata.normalize("NFD", text)
-        for p in pats:
-            try:
-                rx = re.compile(unicodedata.normalize("NFD", p), flags=re.IGNORECASE | re.UNICODE | re.MULTILINE)
-            except Exception:  # noqa: BLE001 - an invalid pattern is "no match"
-                continue
-            if rx.search(t):
-                return True
-        return False
+        return any(rx is not None and rx.search(t) is not None for rx in map(compiled, pats))
     return pd.Series([one(t, p) for t, p in zip(texts, patterns)])
 
 

@@ -114,6 +114,18 @@ def j4(spark, d):
     return DOC.term_label_lookup(terms, pid, rdf_term, dedup)
 
 
+@register("P3_explode_snippet", """SELECT l_orderkey AS dataset_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos,
+ l_orderkey AS sub, CAST(l_linenumber AS BIGINT) AS pre, l_partkey AS obj FROM lineitem""")
+def p3_snippet(spark, d):
+    """Snippets ``"s p o,s p o"`` of an order's lines, parsed back into term ids."""
+    from ..operators.documents import explode_snippet
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    line = F.concat_ws(" ", "l_orderkey", "l_linenumber", "l_partkey")
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("t"))))
+    snippets = li.groupBy(F.col("l_orderkey").alias("dataset_id")).agg(F.array_join(F.transform(lines, lambda x: x["t"]), ",").alias("snippet"))
+    return explode_snippet(snippets)
+
+
 @register("P4_truncate_tokens", f"SELECT doc_id, array_to_string(({sql_tok('text')})[1:45], ' ') AS t FROM documents")
 def p4(spark, d):
     return _docs(spark, d).select("doc_id", T.truncate_tokens(T.tokenize("text"), 45).alias("t"))
