@@ -103,10 +103,14 @@ def j8k(spark, d):
     return out.select("qid", "pid", F.col("has_answer").cast("long"))
 
 
-@register("J8_answer_in_passage_regex")
+# the answers as patterns: special characters escaped, any white space between words
+@register("J8_answer_in_passage_regex", f"""WITH {_ENC}, p AS (SELECT item_id, regexp_replace(regexp_replace(nfc_normalize(text),
+  '([.^$*+?()\\[\\]{{}}|])', '\\\\\\1', 'g'), '\\s+', '\\\\s+', 'g') AS pat FROM benchmark)
+SELECT t.qid, t.pid, CAST(regexp_matches(nfc_normalize(d.text), p.pat, 'i') AS BIGINT) AS has_answer
+FROM top t JOIN documents d ON t.pid = d.doc_id JOIN p ON t.qid = p.item_id""")
 def j8r(spark, d):
     p = _pairs(spark, d).withColumn("answers", F.transform("answers", lambda a: F.regexp_replace(
-        F.regexp_replace(a, r"([\\.\\^\\$\\*\\+\\?\\(\\)\\[\\]\\{\\}\\|])", r"\\\\$1"), r"\s+", r"\\\\s+")))
+        F.regexp_replace(a, r"([.^$*+?()\[\]{}|])", r"\\$1"), r"\s+", r"\\s+")))
     out = QA.answer_in_passage(p, "regex")
     return out.select("qid", "pid", F.col("has_answer").cast("long"))
 
