@@ -170,7 +170,11 @@ def l7(spark, d):
     return S.row_range(table(spark, d, "documents").select("doc_id"), ["doc_id"], 100, 300)
 
 
-@register("L5_mini_corpus")
+@register("L5_mini_corpus", B.with_ctes(B.SQL_RANKING_EVENTS) + """, q AS (SELECT DISTINCT user_id AS qid FROM events),
+qs AS ((SELECT qid FROM q ORDER BY md5('12345:' || qid), qid LIMIT 300) UNION (SELECT qid FROM q ORDER BY md5('12345:' || qid), qid LIMIT 20)),
+top AS (SELECT qid, pid, rank FROM ranking WHERE rank <= 5 AND qid IN (SELECT qid FROM qs)),
+m AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS new_pid FROM (SELECT DISTINCT pid FROM top))
+SELECT qid, pid, new_pid, rank FROM top JOIN m USING (pid)""")
 def l5(spark, d):
     rk = B.ranking_events(spark, d)
     q = B.queries_events(spark, d)

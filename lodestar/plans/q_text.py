@@ -183,7 +183,10 @@ def p12(spark, d):
                                   F.array_join(T.tokenize("text", lower=True), " ").alias("lower_tokens"))
 
 
-@register("P13_token_offsets")
+@register("P13_token_offsets", f"""WITH t AS (SELECT doc_id, text, len({sql_tok('text')}) AS n,
+ regexp_extract(text, '^[\\pZ\\pC]*((?:(?:[\\pL\\pN\\pM]+|[^\\pZ\\pC])[\\pZ\\pC]*){{1,10}})', 1) AS cap FROM documents)
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, trim(CASE WHEN n <= 10 THEN regexp_replace(cap, '[\\pZ\\pC]+$', '') ELSE cap END) AS first10,
+ CAST(length(regexp_replace(text, '[\\pZ\\pC]+$', '')) AS INTEGER) AS last_end FROM t""")
 def p13(spark, d):
     sp = T.token_spans("text")
     return _docs(spark, d).select("doc_id", F.size(sp).cast("long").alias("n_tokens"),
@@ -326,12 +329,16 @@ def p29(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(T.mask_target_padding(ids, 1), " ").alias("labels"))
 
 
-@register("P30_subword_merge_span")
+# every third piece continues a word; spans of one piece at unlike places
+@register("P30_subword_merge_span", f"""WITH t AS (SELECT item_id, item_id % 7 AS s, len({sql_tok('text')}) AS n FROM benchmark)
+SELECT item_id, CAST(s - CASE WHEN s % 3 = 1 THEN 1 ELSE 0 END AS INTEGER) AS start,
+ CAST(s + CASE WHEN (s + 1) % 3 = 1 AND s + 1 < n THEN 1 ELSE 0 END AS INTEGER) AS "end" FROM t""")
 def p30(spark, d):
     b = table(spark, d, "benchmark")
     pieces = F.transform(T.tokenize("text"), lambda t, i: F.when(i % 3 == 1, F.concat(F.lit("##"), t)).otherwise(t))
     x = b.select("item_id", pieces.alias("t"))
-    sp = T.subword_merge_span(F.col("t"), F.lit(1), F.lit(1))
+    at = (F.col("item_id") % 7).cast("int")
+    sp = T.subword_merge_span(F.col("t"), at, at)
     return x.select("item_id", sp["start"].alias("start"), sp["end"].alias("end"))
 
 
