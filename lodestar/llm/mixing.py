@@ -28,7 +28,7 @@ from .common import SPACE_CLASS, WORD_CLASS, cut_lineage, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-CELL_ROWS = 8192
+CELL_ROWS = 2048
 BLOCK_TOKENS = 8
 
 
@@ -54,10 +54,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
         .withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
                     / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
         .withColumn("_capped", F.min(F.col("_level") > F.col("_ratio")).over(upto))
-        .withColumn("_last", F.min(F.when(~F.col("_capped"), F.col("_level"))).over(everything))
         .withColumn("_first_free", F.first(F.when(~F.col("_capped"), F.col("_level")), ignorenulls=True).over(
             ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .select("source", "source_size", "_at",
+        .select("source", "_key", "source_size", "_at",
                 F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_first_free") * F.col("_w")).alias("target"))
     )
 
@@ -98,34 +97,33 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     b = F.lit(block_tokens)
     most = sizes.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     shards = most // cell_rows + 1
+    # one key that is never null, so that windows and joins on it share a single shuffle
     docs = (sizes.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-            .withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards))))
-    cells = cut_lineage(docs.groupBy("source", "_shard").agg(F.sum("size").alias("cell_size")))
-    sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
-    targets = source_targets(sources, weights, max_epochs)
+            .withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards)))
+            .withColumn("_key", F.concat_ws(":", F.col("source").isNull().cast("string"), "source")))
+    cells = cut_lineage(docs.groupBy("source", "_key", "_shard").agg(F.sum("size").alias("cell_size")))
+    sources = cells.groupBy("source", "_key").agg(F.sum("cell_size").alias("source_size"))
+    targets = cut_lineage(source_targets(sources, weights, max_epochs))  # small tables, each used more than once
     seats = F.round(F.sum("target").over(Window.partitionBy()) / b)
-    quotas = highest_quotients(targets.withColumn("_all", F.lit(0)), ["_all"], "target", seats, "_at", "quota").drop("_all")
-    quotas = quotas.withColumnRenamed("source", "_source")
-    cells = cells.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    quotas = cut_lineage(highest_quotients(targets.withColumn("_all", F.lit(0)), ["_all"], "target", seats, "_at", "quota").drop("_all"))
+    cells = cells.join(quotas.drop("source"), "_key")
     # a shard owns the blocks that begin in it; the source's last block may be short
     line = Window.partitionBy("_at").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     cells = (cells.withColumn("_start", F.coalesce(F.sum("cell_size").over(line), F.lit(0)))
              .withColumn("_block0", F.ceil(F.col("_start") / b))
              .withColumn("_blocks", F.ceil((F.col("_start") + F.col("cell_size")) / b) - F.col("_block0")))
-    cells = highest_quotients(cells, ["_at"], "_blocks", F.col("quota"), "_shard", "cell_quota")
+    cells = highest_quotients(cut_lineage(cells), ["_at"], "_blocks", F.col("quota"), "_shard", "cell_quota")
     cells = cells.withColumn("cell_quota", F.least("cell_quota", F.col("_blocks") * max_epochs))
     # rounds over the whole shard, then an arc of blocks from a seeded place
     cells = (cells.withColumn("rounds", F.when(F.col("_blocks") > 0, F.floor(F.col("cell_quota") / F.col("_blocks"))).otherwise(0))
              .withColumn("_rest", F.col("cell_quota") - F.col("rounds") * F.col("_blocks"))
              .withColumn("_from", F.when(F.col("_blocks") > 0, F.pmod(
                  F.xxhash64(F.lit(seed), "source", "_shard"), F.col("_blocks"))).otherwise(0)))
-    cells = cells.select("source", F.col("_shard"), "source_size", "target", "cell_size", "_start", "_block0", "_blocks",
+    cells = cells.select("_key", "_shard", "source_size", "target", "cell_size", "_start", "_block0", "_blocks",
                          "rounds", "_rest", "_from")
-    order = Window.partitionBy("source", "_shard").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_key", "_shard").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("_in", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    rows = (docs.join(cells.withColumnRenamed("source", "_source").withColumnRenamed("_shard", "_cell"),
-                      F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_cell"))))
-    return _overlaps(rows, b)
+    return _overlaps(docs.join(cells, ["_key", "_shard"]), b)
 
 
 def _overlaps(rows: DataFrame, b: Column) -> DataFrame:
@@ -148,7 +146,7 @@ def _overlaps(rows: DataFrame, b: Column) -> DataFrame:
     rows = (rows.withColumn("part", F.col("_tail") + F.col("_head"))
             .withColumn("part_from", F.when(F.col("_tail") > 0, F.greatest(F.col("_begin") - first, F.lit(0))).otherwise(0)))
     return (rows.withColumn("taken", (F.col("rounds") * F.col("size") + F.col("part")).cast("long"))
-            .drop("_order", "_shard", "_in", "_source", "_cell", "cell_size", "_start", "_block0", "_blocks", "_rest", "_from",
+            .drop("_order", "_shard", "_in", "_key", "cell_size", "_start", "_block0", "_blocks", "_rest", "_from",
                   "_len", "_begin", "_tail", "_head"))
 
 

@@ -30,7 +30,7 @@ def targets(sizes):
     return out
 
 
-@pytest.mark.parametrize("cell_rows", [2, 8192])
+@pytest.mark.parametrize("cell_rows", [2, 2048])
 def test_mixing(spark, cell_rows):
     docs = edge_docs(spark)
     got = mixing.mix_documents(docs, cell_rows=cell_rows).collect()
