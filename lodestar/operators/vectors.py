@@ -2,8 +2,9 @@
 (V4-V9, V34, J15, A14, A15).
 
 Exact bulk scoring runs on a grid: queries and documents are each dealt into blocks by a hash of
-their key, as many as keep a block's matrix within ``MAX_BLOCK_BYTES``; every cell (query block,
-document block) is one cogroup that multiplies its two matrices with numpy and keeps only a local
+their key. Query blocks are as many as keep a block's matrix within ``MAX_BLOCK_BYTES``, document
+blocks as many as the session's shuffles have partitions, the setting that follows the data's size
+(no pass over the documents is spent on counting them); every cell (query block, document block) is one cogroup that multiplies its two matrices with numpy and keeps only a local
 top-k (or a count) per query. Nothing is collected or broadcast; the final top-k per query is a
 ``row_number`` window over at most ``document blocks x k`` rows per query.
 """
@@ -21,8 +22,7 @@ from pyspark.sql import types as T
 from ..functions.vectors import dot, sq_l2
 from .ranking import topk_per_query
 
-MAX_BLOCK_BYTES = 32 << 20      # one block's float64 matrix
-BLOCK_ROWS = 512                # documents in a block at least, before blocks are added for more tasks
+MAX_BLOCK_BYTES = 32 << 20      # one query block's float64 matrix
 MAX_BLOCK_CELLS = 8 << 20       # scores held at once in one task: queries x documents
 
 
@@ -71,20 +71,15 @@ def _scores(Q: np.ndarray, D: np.ndarray, metric: str) -> np.ndarray:
     return S
 
 
-def _blocks(df: DataFrame, vec: str, max_bytes: int, spread_rows: int | None = None) -> int:
-    """Blocks for a side: by its size in bytes, and with ``spread_rows`` also enough for all shuffle partitions."""
+def _blocks(df: DataFrame, vec: str, max_bytes: int) -> int:
+    """Blocks for the query side, by its size in bytes."""
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
-    n, dim = int(stats["n"]), int(stats["dim"] or 1)
-    count = max(1, -(-n * dim * 8 // max_bytes))
-    if spread_rows:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        count = max(count, min(tasks, -(-n // spread_rows)))
-    return count
+    return max(1, -(-int(stats["n"]) * int(stats["dim"] or 1) * 8 // max_bytes))
 
 
 def _grid(queries: DataFrame, docs: DataFrame, qkeys: Sequence[str], did: str | None, qvec: str, dvec: str, max_bytes: int):
     """Both sides dealt into blocks and copied to the cells of their row or column of the grid."""
-    nq, nd = _blocks(queries, qvec, max_bytes), _blocks(docs, dvec, max_bytes, BLOCK_ROWS)
+    nq, nd = _blocks(queries, qvec, max_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(df, keys, own, n_own, other, n_other):
         df = df.withColumn(own, F.pmod(F.xxhash64(*keys), F.lit(n_own)).cast("int"))
