@@ -24,6 +24,9 @@ from .ranking import topk_per_query
 
 MAX_BLOCK_BYTES = 32 << 20      # one query block's float64 matrix
 MAX_BLOCK_CELLS = 8 << 20       # scores held at once in one task: queries x documents
+MAX_COPIES = 1 << 14            # rows of queries, copied to blocks, that are sent on at once
+RECALL_QUERIES = 512            # queries that approximate kNN's recall is measured on
+RECALL_HITS = 1 << 16           # and their exact hits, which the driver gathers
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -279,21 +282,55 @@ def mips_to_l2(docs: DataFrame, vec: str = "embedding", out: str = "aug") -> Dat
     return n2.crossJoin(F.broadcast(phi)).withColumn(out, F.sqrt(F.greatest(F.col("_phi") - F.col("_n2"), F.lit(0.0)))).drop("_n2", "_phi")
 
 
-def _near_cells(df: DataFrame, key: str, vec: str, centers: np.ndarray, m: int) -> DataFrame:
-    """``(key, cell)`` for the ``m`` centers nearest to each vector; the centers are a model of bounded size."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(centers)
-    schema = T.StructType([df.schema[key], T.StructField("cell", T.IntegerType())])
+def _in_steps(vectors: pd.Series, centers: np.ndarray):
+    """``(rows, distances)`` in steps that hold a bounded number of vector-center distances."""
+    half, step = (centers * centers).sum(1) / 2, max(1, MAX_BLOCK_CELLS // len(centers))
+    for s in range(0, len(vectors), step):
+        part = slice(s, s + step)
+        yield part, half[None, :] - _matrix(vectors.iloc[part]) @ centers.T
+
+
+def _with_units(df: DataFrame, vec: str, centers: np.ndarray, cuts: np.ndarray, hashed: str) -> DataFrame:
+    """``df`` plus ``_unit``: the nearest center's first unit, and on from there by ``hashed`` where a cell is cut."""
+    shared = df.sparkSession.sparkContext.broadcast((centers, cuts))
+    schema = T.StructType([*df.schema.fields, T.StructField("_unit", T.IntegerType())])
 
     def kernel(it):
-        C = shared.value
-        half = (C * C).sum(1) / 2
+        C, n = shared.value
+        first = np.cumsum(n) - n
         for p in it:
             if len(p):
-                near = np.argsort(half[None, :] - _matrix(p[vec]) @ C.T, axis=1, kind="stable")[:, :m]
-                yield pd.DataFrame({key: np.repeat(p[key].to_numpy(), near.shape[1]), "cell": near.ravel().astype(np.int32)})
+                cell = np.concatenate([far.argmin(1) for _, far in _in_steps(p[vec], C)])
+                yield p.assign(_unit=(first[cell] + p[hashed].to_numpy() % n[cell]).astype(np.int32))
+
+    return df.mapInPandas(kernel, schema)
+
 
-    return df.select(key, vec).mapInPandas(kernel, schema)
+def _probed_units(df: DataFrame, vec: str, centers: np.ndarray, cuts: np.ndarray, probes: int, blocks: int) -> DataFrame:
+    """``df`` (without ``vec``) once for each block that holds units of the ``probes`` nearest cells: plus ``_db`` and ``_units``."""
+    shared = df.sparkSession.sparkContext.broadcast((centers, cuts))
+    kept = [f for f in df.schema.fields if f.name != vec]
+    schema = T.StructType([*kept, T.StructField("_db", T.IntegerType()), T.StructField("_units", T.ArrayType(T.IntegerType()))])
+
+    def kernel(it):
+        C, n = shared.value
+        first = np.cumsum(n) - n
+        for p in it:
+            for part, far in _in_steps(p[vec], C):
+                cell = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                count = n[cell.ravel()]
+                row = np.repeat(np.repeat(np.arange(len(cell)), cell.shape[1]), count)
+                unit = np.repeat(first[cell.ravel()] - (np.cumsum(count) - count), count) + np.arange(len(row))
+                order = np.lexsort((unit, unit % blocks, row))
+                row, unit = row[order], unit[order].astype(np.int32)
+                starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(unit % blocks) != 0)])
+                lists, own = np.split(unit, starts[1:]), p[[f.name for f in kept]].iloc[part]
+                for s in range(0, len(starts), MAX_COPIES):   # a query's vector is copied to each of its blocks
+                    at = starts[s:s + MAX_COPIES]
+                    yield own.iloc[row[at]].reset_index(drop=True).assign(
+                        _db=unit[at] % blocks, _units=pd.Series(lists[s:s + MAX_COPIES], dtype=object))
+
+    return df.mapInPandas(kernel, schema)
 
 
 def knn_cells(n: int) -> int:
@@ -302,18 +339,53 @@ def knn_cells(n: int) -> int:
 
 
 def knn_probes(cells: int) -> int:
-    """Cells that a query probes: 18 % of them, 64 at most. Candidates of a query so grow with the square root of
-    the number of documents, not with the number itself."""
+    """Fewest cells that a query probes: 18 % of them, 64 at most. ``measured_probes`` raises the number."""
     return max(1, min(64, int(0.18 * cells)))
 
 
+def measured_probes(queries: DataFrame, docs: DataFrame, k: int, centers: np.ndarray, recall: float, qid: str, did: str, seed: int) -> int:
+    """Fewest probes (``knn_probes`` at least) whose recall at ``k`` reaches ``recall`` on a sample of the queries.
+
+    The sample meets all ``docs(did, embedding, _v)`` exactly (V7). A hit is found with ``m`` probes if its cell is
+    among the ``m`` nearest to the query, so the cells' places give the recall of every ``m``. Two standard errors
+    are left for the queries that are not in the sample; with all cells probed the recall is 1."""
+    from .sets import hash_sample
+    n = max(16, min(RECALL_QUERIES, RECALL_HITS // k))
+    sample = hash_sample(queries, qid, n, seed).select(qid, F.col("_qe").alias("embedding"), "_v").collect()
+    if not sample:
+        return 1
+    spark = queries.sparkSession
+    asked = spark.createDataFrame([(i, r["embedding"]) for i, r in enumerate(sample)], T.StructType(
+        [T.StructField("_row", T.LongType()), T.StructField("embedding", queries.schema["_qe"].dataType)]))
+    hits = [(r["_row"], r[did]) for r in knn_flat(asked, docs, k, ["_row"], did=did).collect()]
+    found = spark.createDataFrame([(i,) for i in {h for _, h in hits}], T.StructType([docs.schema[did]]))
+    whole = docs.select(did, "_v", F.lit(0).alias("_h")).join(F.broadcast(found), did, "left_semi")
+    home = {r[did]: r["_unit"] for r in _with_units(whole, "_v", centers, np.ones(len(centers), np.int64), "_h").select(did, "_unit").collect()}
+    place = np.empty((len(sample), len(centers)), np.int64)
+    for part, far in _in_steps(pd.Series([r["_v"] for r in sample]), centers):
+        np.put_along_axis(place[part], np.argsort(far, axis=1, kind="stable"), np.arange(len(centers))[None, :], axis=1)
+    row = np.array([r for r, _ in hits])
+    at, of = place[row, [home[h] for _, h in hits]], np.bincount(row, minlength=len(sample))
+    m = knn_probes(len(centers))
+    while m < len(centers):
+        share = np.bincount(row, at < m, len(sample))[of > 0] / of[of > 0]
+        error = share.std() / np.sqrt(len(share)) if len(sample) >= n else 0.0
+        if share.mean() - 2 * error >= recall:
+            break
+        m = min(len(centers), m + max(1, m // 32))
+    return m
+
+
 def knn_approx(queries: DataFrame, docs: DataFrame, k: int, cells: int | None = None, probes: int | None = None,
-               seed: int = 7, qid: str = "qid", did: str = "pid", salt: int = 4) -> DataFrame:
+               seed: int = 7, qid: str = "qid", did: str = "pid", recall: float = 0.9) -> DataFrame:
     """V8: approximate MIPS over cells. Vectors are augmented by ``mips_to_l2``; k-means centers are trained on
     a hash sample of the documents (L3's size); each document lies in its nearest cell and each query
-    probes the ``probes`` cells nearest to it. Only pairs of a probed cell meet (an equi-join on
-    cell and salt); scores are exact inner products, cut to the top ``k``. A query can get fewer than ``k``
-    only if its cells hold fewer. Recall is checked against V7."""
+    probes the ``probes`` cells nearest to it, by default as many as ``measured_probes`` finds to reach ``recall``
+    at ``k`` on this table. Only pairs of a probed cell are scored (exact inner products, cut to the top ``k``).
+
+    Cells are dealt whole into as many blocks as shuffles have partitions; one that holds more than a quarter of a
+    block's share of documents is cut into units by a hash of ``did``. A query goes once to each block that holds
+    a unit of its cells. A query can get fewer than ``k`` only if its cells hold fewer."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -325,14 +397,57 @@ def knn_approx(queries: DataFrame, docs: DataFrame, k: int, cells: int | None =
     if n == 0:
         return topk_per_query(q.crossJoin(docs.select(did)).select(qid, did, F.lit(0.0).alias("score")), k, qid, "score", did)
     cells = min(cells or knn_cells(n), n)
-    probes = probes or knn_probes(cells)
     sample = hash_sample(d, did, sample_size(n), seed).select(array_to_vector("_v").alias("features"))
     centers = np.array(KMeans(k=cells, maxIter=8, seed=seed, initMode="random").fit(sample).clusterCenters())
-    homes = _near_cells(d, did, "_v", centers, 1).withColumn("_s", F.pmod(F.xxhash64(did), F.lit(salt)))
-    probed = _near_cells(q, qid, "_v", centers, probes).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    pairs = probed.join(homes, ["cell", "_s"]).select(qid, did)
-    scored = (pairs.join(q.select(qid, "_qe"), qid).join(d.select(did, F.col("embedding").alias("_de")), did)
-              .select(qid, did, dot("_qe", "_de").alias("score")))
+    probes = probes or measured_probes(q, d, k, centers, recall, qid, did, seed)
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = d.select(did, "embedding", "_v", F.xxhash64(did).alias("_h"))
+    cuts = np.ones(len(centers), np.int64)
+    for r in _with_units(hashed.select("_v", "_h"), "_v", centers, cuts, "_h").groupBy("_unit").count().collect():
+        cuts[r["_unit"]] = 1 + r["count"] // (n // (4 * blocks) + 1)
+    nq = _blocks(q, "_qe", MAX_BLOCK_BYTES)
+    homes = (_with_units(hashed, "_v", centers, cuts, "_h").select(F.col(did).alias("_id"), F.col("embedding").alias("_dv"), "_unit")
+             .withColumn("_db", F.col("_unit") % blocks).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
+    asked = _probed_units(q, "_v", centers, cuts, probes, blocks).select(
+        qid, F.col("_qe").alias("_qv"), "_db", "_units", F.pmod(F.xxhash64(qid), F.lit(nq)).cast("int").alias("_qb"))
+    schema = T.StructType([queries.schema[qid], docs.schema[did], T.StructField("score", T.DoubleType())])
+
+    def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(dpdf) == 0:
+            return pd.DataFrame({c: [] for c in (qid, did, "score")})
+        dpdf = dpdf.sort_values("_unit", kind="stable")
+        Q, D, dids = _matrix(qpdf["_qv"]), _matrix(dpdf["_dv"]), dpdf["_id"].to_numpy().astype(np.int64)
+        units, starts = np.unique(dpdf["_unit"].to_numpy(), return_index=True)
+        probed = np.concatenate(qpdf["_units"].to_list())
+        asks = np.repeat(np.arange(len(Q)), qpdf["_units"].map(len))[np.argsort(probed, kind="stable")]
+        probed = np.sort(probed)
+        low, high = np.searchsorted(probed, units), np.searchsorted(probed, units, side="right")
+        least, full = np.full(len(Q), -np.inf), max(1 << 20, 4 * k * len(Q))
+        held, size = [], 0
+
+        def best():
+            out = _select_topk(*(np.concatenate(x) for x in zip(*held)), k)
+            count = np.bincount(out[0], minlength=len(Q))
+            least[count == k] = out[2][np.cumsum(count)[count == k] - 1]   # a lower score is of no use any more
+            return out
+
+        for s, e, a, b in zip(starts, [*starts[1:], len(D)], low, high):
+            step = max(1, MAX_BLOCK_CELLS // (e - s))
+            for t in range(a, b, step):
+                r = asks[t:min(b, t + step)]
+                S = Q[r] @ D[s:e].T
+                x, y = np.nonzero(S >= least[r][:, None])
+                held.append((r[x], dids[s + y], S[x, y]))
+                size += len(x)
+                if size > full:
+                    held = [best()]
+                    size = len(held[0][0])
+        if not held:
+            return pd.DataFrame({c: [] for c in (qid, did, "score")})
+        rows, ids, scores = best()
+        return pd.DataFrame({qid: qpdf[qid].to_numpy()[rows], did: ids, "score": scores})
+
+    scored = asked.groupBy("_qb", "_db").cogroup(homes.groupBy("_qb", "_db")).applyInPandas(kernel, schema)
     return topk_per_query(scored, k, qid, "score", did)
 
 

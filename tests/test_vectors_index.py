@@ -184,6 +184,34 @@ def test_approx_knn_joins_few_pairs(spark):
     assert V.knn_probes(V.knn_cells(10 ** 8)) / V.knn_cells(10 ** 8) < 0.001
 
 
+@pytest.mark.parametrize("table", ["sf0.1", "unclustered"])
+def test_approx_knn_recall_at_the_query_k(spark, table):
+    """Recall at ten on larger tables: the probes follow the table, without a fixed most."""
+    if table == "sf0.1":
+        e = spark.read.parquet(f"{SF.replace('sf0.001', table)}/embeddings.parquet")
+        d = e.select(F.col("vec_id").alias("pid"), "embedding")
+    else:
+        X = np.random.default_rng(8).normal(size=(8000, 24))
+        d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(X)], "pid long, embedding array<double>")
+    q = d.select(F.col("pid").alias("qid"), "embedding")
+    got = V.knn_approx(q, d, 10).collect()
+    exact = {(r.qid, r.pid) for r in V.knn_flat(q, d, 10).collect()}
+    assert len(got) == len({(r.qid, r.pid) for r in got}) == len(exact)
+    found = len(exact & {(r.qid, r.pid) for r in got}) / len(exact)
+    print("recall", table, found)
+    assert found >= 0.9
+
+
+def test_approx_knn_cuts_hot_cells(spark):
+    """Many equal vectors lie in one cell, which is cut; with all cells probed the result is exact."""
+    X = np.random.default_rng(9).normal(size=(600, 8)).round(3)
+    X[200:] = X[0]
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(X)], "pid long, embedding array<double>")
+    q = d.select(F.col("pid").alias("qid"), "embedding")
+    got = {(r.qid, r.pid) for r in V.knn_approx(q, d, 10, cells=40, probes=40).collect()}
+    assert got == {(r.qid, r.pid) for r in V.knn_flat(q, d, 10, score_digits=9).collect()}
+
+
 def test_long_query_is_rescored_with_all_vectors(spark, built):
     toks, codecs = built
     ix = I.build_index(toks, codecs[4], materialize=False)
