@@ -11,9 +11,13 @@ DataFrame functions only. The texts are read once; the features (numbers only) a
 Repeated 5-word windows are found by the 64-bit hashes of the windows; only a text that has a
 repeat at all sorts them.
 
+The list of function words is of four languages. Where it does not apply, its rule does not vote LOW: texts mostly in
+letters outside the Latin script, rows whose ``lang`` is another language, and rows without a ``lang`` that hold no
+listed word at all.
+
 Defined cases: null and blank texts have no words and fail the base rule; texts of any length are
 read whole; repeated rows get equal verdicts; an empty table gives an empty result; ``judge`` reads
-``doc_id`` and ``text`` only and ``keep_good`` keeps all columns, whatever their names.
+``doc_id``, ``text`` and, if there, ``lang`` only and ``keep_good`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ FUNCTION_WORDS = (
     "der die das und von mit den ist zu im ein eine für auf nicht sich dem des als auch "
     "le la les de et un une que qui est dans pour des du en pas au avec sur "
     "el los las y del se por con una su para es no al lo").split()
+LISTED_LANGS = ("en", "de", "fr", "es")
 
 
 def repeat_words(words: Column) -> Column:
@@ -72,8 +77,10 @@ def features(docs: DataFrame, *carried: Column) -> DataFrame:
     """``carried`` columns and the numbers that the rules look at, from one pass over the texts."""
     given = [c.alias(f"_c{i}") for i, c in enumerate(carried)]
     names = [f"_c{i}" for i in range(len(given))]
-    rows = docs.select(*given, text_of(docs).alias("t"))
-    rows = rows.select(*names, "t", words_of(F.col("t")).alias("w"),
+    lang = F.lower(F.trim(text_of(docs, "lang")))
+    listed = F.when(lang != "", F.regexp_extract(lang, "^[a-z]*", 0).isin(*LISTED_LANGS))
+    rows = docs.select(*given, listed.alias("listed"), text_of(docs).alias("t"))
+    rows = rows.select(*names, "listed", "t", words_of(F.col("t")).alias("w"),
                        F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD_CLASS)).alias("l"))
 
     def count(pattern):
@@ -87,6 +94,7 @@ def features(docs: DataFrame, *carried: Column) -> DataFrame:
         repeat_words(F.col("w")).alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"), count(r"\p{Lu}+").alias("n_upper"), count("!").alias("n_marks"),
         F.size(F.filter("w", lambda w: w.isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
+        "listed", count(r"[\p{L}\p{M}&&[^\p{IsLatin}]]+").alias("n_other"),
     )
 
 
@@ -94,6 +102,7 @@ def rules() -> list[tuple[str, Column, Column]]:
     """``(name, votes LOW, votes HIGH)``; both false: the rule abstains."""
     n, chars = F.col("n_words"), F.col("word_chars")
     some, never = n >= 10, F.lit(False)
+    applies = (F.col("n_other") * 2 <= chars) & F.coalesce(F.col("listed"), F.col("n_function") > 0)
     return [
         ("symbols", some & (F.col("n_symbols") * 10 > n), never),
         ("capitals", some & (F.col("n_upper") * 2 > chars), some & (F.col("n_upper") * 5 < chars)),
@@ -101,7 +110,7 @@ def rules() -> list[tuple[str, Column, Column]]:
         ("repeats", some & (F.col("n_repeat_words") * 4 > n), never),
         ("lines", (F.col("n_lines") >= 4) & (F.col("n_dup_lines") * 2 > F.col("n_lines")), never),
         ("word_length", some & ((chars < n * 2) | (chars > n * 20)), some & (chars >= n * 3) & (chars <= n * 12)),
-        ("function_words", (n >= 40) & (F.col("n_function") * 100 < n), some & (F.col("n_function") * 20 >= n)),
+        ("function_words", applies & (n >= 40) & (F.col("n_function") * 100 < n), some & (F.col("n_function") * 20 >= n)),
     ]
 
 

@@ -125,6 +125,25 @@ def test_quality_rules_verdicts(spark):
     assert sorted(r.doc_id for r in stays.collect()) == sorted(r.doc_id for r in got if r.kept)
 
 
+def test_quality_rules_keep_other_languages(spark):
+    """Clean documents of languages without a word list stay; junk of a listed language still goes."""
+    r = random.Random(4)
+    alphabets = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνοπρστ", "hi": "कखगघचजटडतदनपबमयरलवसह", "fi": "aehijklmnoprstuvyäö"}
+
+    def text(lang):
+        return "\n".join(" ".join("".join(r.choice(alphabets[lang]) for _ in range(r.randint(4, 9))) for _ in range(12)) + "." for _ in range(8))
+
+    other = [(10 ** 6 + i, text(lang), known) for i, (lang, known) in enumerate(
+        [(lang, known) for lang in alphabets for known in (lang, None, "en" if lang != "fi" else "fi-FI")] * 3)]
+    junk = [(2 * 10 ** 6 + i, " | ".join(text("fi").split()), "en") for i in range(3)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame(other + junk, "doc_id long, text string, lang string"))
+    kept = {x.doc_id: x.kept for x in quality_rules.judge(docs).collect()}
+    assert all(kept[i] for i, _, _ in other) and not any(kept[i] for i, _, _ in junk)
+    stays = {x.doc_id for x in quality_rules.keep_good(docs).collect()}
+    assert stays == {i for i, good in kept.items() if good}
+
+
 def test_estimate_equals_plain_em(spark):
     """EM on the pattern table is EM on the documents one by one."""
     import math
