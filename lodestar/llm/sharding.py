@@ -9,9 +9,10 @@ its own (there can be fewer than ``FINE`` of those); all smaller groups are pool
 their key into ``POOLS`` items. The items are aggregated by Spark; the driver holds at most
 ``FINE + POOLS`` sizes whatever the table's size, and sends back one shard number per item.
 
-A group larger than ``total / (8 * n_shards)`` cannot go whole into near-equal shards once it
-outgrows a shard, and one group may hold a third of all rows: such a group is dealt by a hash of
-``doc_id`` into pieces of about that size, each an item. All other groups stay whole.
+Groups stay whole as long as near-equal shards (``SLACK`` above the mean) can hold them. A group larger than that
+is dealt over as few near-equal pieces as fit; if the large groups (above ``total / (8 * n_shards)``) still do not
+pack, the largest group of the fullest shard is cut into one piece more, and so on. A cut deals ``BUCKETS`` hashes of
+``doc_id`` to pieces by their bytes; equal ``doc_id`` stay together.
 
 Defined cases: null text has no bytes (size 1) and groups with the empty text; null ``doc_id`` and
 repeated rows are kept, each with its own slot; an empty table gives an empty result; columns other
@@ -28,6 +29,8 @@ from .common import cut_lineage, text_of
 FINE = 1 << 16
 POOLS = 1 << 13
 SLOT_BUCKETS = 512
+BUCKETS = 512
+SLACK = 1.02
 
 
 class _Tree:
@@ -110,6 +113,43 @@ def pack(sizes: list[int], n_bins: int) -> list[int]:
     return best
 
 
+def cut_buckets(buckets: dict[int, int], n: int) -> dict[int, int]:
+    """Piece of each bucket: ``n`` runs of buckets of near-equal bytes (fewer if a bucket is larger than a piece)."""
+    total, before, out = sum(buckets.values()), 0, {}
+    for b in sorted(buckets):
+        out[b] = min(n - 1, (2 * before + buckets[b]) * n // (2 * total))
+        before += buckets[b]
+    return out
+
+
+def plan_cuts(groups: list[dict[int, int]], mean: float, n_shards: int) -> list[dict[int, int]]:
+    """Pieces of the large groups' buckets: all zero for a group that stays whole."""
+    target = max([int(mean * SLACK) + 1, *(max(g.values()) for g in groups)])
+    sizes = [sum(g.values()) for g in groups]
+    most = [min(len(g), -(-8 * s // max(1, int(mean)))) for g, s in zip(groups, sizes)]
+    cuts = [min(m, -(-s // target)) for m, s in zip(most, sizes)]
+    pieces = [cut_buckets(g, c) for g, c in zip(groups, cuts)]
+    while True:
+        loads: dict[tuple[int, int], int] = {}
+        for i, g in enumerate(groups):
+            for b, p in pieces[i].items():
+                loads[i, p] = loads.get((i, p), 0) + g[b]
+        items = sorted(loads, key=lambda x: (-loads[x], x))
+        order = [loads[x] for x in items]
+        if best_fit(order, target, n_shards) is not None:
+            return pieces
+        shard = pack(order, n_shards)
+        full = [0] * n_shards
+        for size, s in zip(order, shard):
+            full[s] += size
+        free = [(-full[s], k) for k, s in enumerate(shard) if cuts[items[k][0]] < most[items[k][0]]]
+        if not free:
+            return pieces
+        i = items[min(free)[1]][0]
+        cuts[i] += 1
+        pieces[i] = cut_buckets(groups[i], cuts[i])
+
+
 def _pool(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(POOLS)).cast("int")
 
@@ -119,15 +159,23 @@ def assign_shards(thin: DataFrame, n_shards: int = 16) -> DataFrame:
     spark = thin.sparkSession
     groups = thin.groupBy("key").agg(F.sum("size").alias("bytes"))
     total = thin.agg(F.sum("size")).first()[0] or 0
-    piece = max(1, total // (8 * n_shards))
-    # fewer than 8 * n_shards groups can be larger than a piece
-    large = {bytes(r["key"]): -(-r["bytes"] // piece) for r in groups.where(F.col("bytes") > piece).collect()}
+    # fewer than 8 * n_shards groups can be large
+    large = sorted(bytes(r["key"]) for r in groups.where(F.col("bytes") > max(1, total // (8 * n_shards))).collect())
+    bucket = F.coalesce(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(BUCKETS)), F.lit(0)).cast("int")
+    cut = []
     if large:
-        cuts = spark.createDataFrame([(bytearray(k), int(v)) for k, v in large.items()], "key binary, cuts long")
-        thin = thin.join(F.broadcast(cuts), "key", "left")
+        names = spark.createDataFrame([(bytearray(k),) for k in large], "key binary")
+        found: dict[bytes, dict[int, int]] = {k: {} for k in large}
+        for r in thin.join(F.broadcast(names), "key").groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("bytes")).collect():
+            found[bytes(r["key"])][r["bucket"]] = r["bytes"]
+        pieces = plan_cuts([found[k] for k in large], total / n_shards, n_shards)
+        cut = [(bytearray(k), b, p) for k, own in zip(large, pieces) for b, p in own.items() if p]
+    if cut:
+        table = spark.createDataFrame(cut, "key binary, bucket int, piece long")
+        thin = thin.withColumn("bucket", bucket).join(F.broadcast(table), ["key", "bucket"], "left").drop("bucket")
+        thin = thin.withColumn("piece", F.coalesce("piece", F.lit(0).cast("long")))
     else:
-        thin = thin.withColumn("cuts", F.lit(None).cast("long"))
-    thin = thin.withColumn("piece", F.coalesce(F.pmod(F.xxhash64(F.lit(7), "doc_id"), "cuts"), F.lit(0))).drop("cuts")
+        thin = thin.withColumn("piece", F.lit(0).cast("long"))
     items = thin.groupBy("key", "piece").agg(F.sum("size").alias("bytes"))
     fine = F.col("bytes") > F.lit(total // FINE)
     packed = items.groupBy(
@@ -144,7 +192,7 @@ def assign_shards(thin: DataFrame, n_shards: int = 16) -> DataFrame:
     own = spark.createDataFrame(named, "key binary, piece long, own int")
     table = F.lit("".join(f"{s:06d}" for s in pools))  # six digits for each pool
     pooled = F.substring(table, _pool(F.col("key")) * 6 + 1, F.lit(6)).cast("int")
-    return (thin.join(own, ["key", "piece"], "left")
+    return (thin.join(F.broadcast(own), ["key", "piece"], "left")
             .withColumn("shard", F.coalesce("own", pooled)).drop("own", "piece"))
 
 

@@ -115,6 +115,23 @@ def test_hot_group_is_split(spark):
     assert len(load) == 16 and max(load.values()) < 1.2 * min(load.values())
 
 
+@pytest.mark.parametrize("hot, share, whole", [(1, 0.5, 1), (24, 2 / 3, 16), (1, 1.5, 0)])
+def test_groups_that_fit_stay_whole(spark, hot, share, whole):
+    """Groups of half a shard and of two thirds have a single home, as far as they fit; others lie in two."""
+    n = 19200
+    mine = int(share * n / 16)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < hot * mine, F.format_string(
+        "%05d", (F.col("id") / mine).cast("int"))).otherwise(F.format_string("%05d", F.col("id") + 100)).alias("text"))
+    load, homes, count = Counter(), defaultdict(set), Counter()
+    for r in sharding.shard_documents(docs).collect():
+        load[r.shard] += r["size"]
+        homes[r.text_crc32].add(r.shard)
+        count[r.text_crc32] += 1
+    large = [len(homes[k]) for k, c in count.items() if c > 1]
+    assert len(large) == hot and large.count(1) >= whole and max(large) <= 2
+    assert len(load) == 16 and max(load.values()) < 1.05 * sum(load.values()) / 16
+
+
 def grams(text):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if len(words) < 5:
