@@ -4,13 +4,14 @@
    ``max_epochs`` times its source's size and the excess is shared anew by weight.
 2. Quotas: each source's documents lie end to end in a seeded order and are cut into blocks of
    ``block_tokens`` words. The blocks to take are allocated to sources by the highest quotients
-   ``target / (2 k + 1)``, then each source's blocks to its shards in the same way.
-3. Selection: in a shard the quota is taken in whole rounds plus an arc of blocks that starts at a
-   seeded place. A document's share is the overlap of its words with the arc, so the number of
+   ``target / (2 k + 1)``, then the words of each source's blocks to its shards in the same way, so that
+   a block's words count in every shard they lie in.
+3. Selection: in a shard the quota is taken in whole rounds plus an arc of words that starts at a
+   seeded block. A document's share is the overlap of its words with the arc, so the number of
    blocks costs nothing.
 
 Scale: documents are only read as ``(doc_id, source, size)``; sources are split into shards by a hash
-of ``doc_id``, as many as leave about ``cell_rows`` documents of the largest source in each, so a
+of ``doc_id``, as many as leave about ``cell_rows`` of its own documents in each, so a
 source with a third of all rows is ordered in many tasks. Only one row per source, or per source
 and shard, is ever gathered.
 
@@ -95,32 +96,28 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     (from 0) on, going on at its first word if it wraps (``part_from + part > size``).
     """
     b = F.lit(block_tokens)
-    most = sizes.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    shards = most // cell_rows + 1
     # one key that is never null, so that windows and joins on it share a single shuffle
     docs = (sizes.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-            .withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards)))
             .withColumn("_key", F.concat_ws(":", F.col("source").isNull().cast("string"), "source")))
+    # only sources of several shards are listed: one row for every cell_rows documents at most
+    several = cut_lineage(docs.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= cell_rows))
+    docs = (docs.join(F.broadcast(several), "_key", "left")
+            .withColumn("_shard", F.pmod(F.xxhash64("_order"), F.coalesce(F.floor(F.col("_n") / cell_rows) + 1, F.lit(1)))).drop("_n"))
     cells = cut_lineage(docs.groupBy("source", "_key", "_shard").agg(F.sum("size").alias("cell_size")))
     sources = cells.groupBy("source", "_key").agg(F.sum("cell_size").alias("source_size"))
     targets = cut_lineage(source_targets(sources, weights, max_epochs))  # small tables, each used more than once
     seats = F.round(F.sum("target").over(Window.partitionBy()) / b)
     quotas = cut_lineage(highest_quotients(targets.withColumn("_all", F.lit(0)), ["_all"], "target", seats, "_at", "quota").drop("_all"))
     cells = cells.join(quotas.drop("source"), "_key")
-    # a shard owns the blocks that begin in it; the source's last block may be short
-    line = Window.partitionBy("_at").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (cells.withColumn("_start", F.coalesce(F.sum("cell_size").over(line), F.lit(0)))
-             .withColumn("_block0", F.ceil(F.col("_start") / b))
-             .withColumn("_blocks", F.ceil((F.col("_start") + F.col("cell_size")) / b) - F.col("_block0")))
-    cells = highest_quotients(cut_lineage(cells), ["_at"], "_blocks", F.col("quota"), "_shard", "cell_quota")
-    cells = cells.withColumn("cell_quota", F.least("cell_quota", F.col("_blocks") * max_epochs))
-    # rounds over the whole shard, then an arc of blocks from a seeded place
-    cells = (cells.withColumn("rounds", F.when(F.col("_blocks") > 0, F.floor(F.col("cell_quota") / F.col("_blocks"))).otherwise(0))
-             .withColumn("_rest", F.col("cell_quota") - F.col("rounds") * F.col("_blocks"))
-             .withColumn("_from", F.when(F.col("_blocks") > 0, F.pmod(
-                 F.xxhash64(F.lit(seed), "source", "_shard"), F.col("_blocks"))).otherwise(0)))
-    cells = cells.select("_key", "_shard", "source_size", "target", "cell_size", "_start", "_block0", "_blocks",
-                         "rounds", "_rest", "_from")
+    cells = highest_quotients(cut_lineage(cells), ["_at"], "cell_size", F.col("quota") * b, "_shard", "cell_quota")
+    cells = cells.withColumn("cell_quota", F.least("cell_quota", F.col("cell_size") * max_epochs))
+    # rounds over the whole shard, then an arc of words from a seeded block
+    some = F.col("cell_size") > 0
+    cells = (cells.withColumn("rounds", F.when(some, F.floor(F.col("cell_quota") / F.col("cell_size"))).otherwise(0))
+             .withColumn("_rest", F.col("cell_quota") - F.col("rounds") * F.col("cell_size"))
+             .withColumn("_from", F.when(some, F.pmod(
+                 F.xxhash64(F.lit(seed), "source", "_shard"), F.ceil(F.col("cell_size") / b))).otherwise(0)))
+    cells = cells.select("_key", "_shard", "source_size", "target", "cell_size", "rounds", "_rest", "_from")
     order = Window.partitionBy("_key", "_shard").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("_in", F.coalesce(F.sum("size").over(order), F.lit(0)))
     return _overlaps(docs.join(cells, ["_key", "_shard"]), b)
@@ -129,12 +126,8 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 def _overlaps(rows: DataFrame, b: Column) -> DataFrame:
     """Words of each document that lie in the arc, on the shard's line of words."""
     size = F.col("cell_size")
-    # the arc in words of the shard's line; blocks wrap round, and the words before the shard's first
-    # block boundary belong to the block that the shard before it began: here they close the circle
-    lead = F.least(F.col("_block0") * b - F.col("_start"), size)
-    tokens = F.when(F.col("_blocks") > 0, F.least(F.col("_rest") * b, size)).otherwise(F.lit(0))
-    begin = F.when(size > 0, F.pmod(lead + F.col("_from") * b, size)).otherwise(F.lit(0))
-    rows = rows.withColumn("_len", tokens.cast("long")).withColumn("_begin", begin.cast("long"))
+    # the arc in words of the shard's line, which closes to a circle
+    rows = rows.withColumn("_len", F.col("_rest").cast("long")).withColumn("_begin", (F.col("_from") * b).cast("long"))
     first, last = F.col("_in"), F.col("_in") + F.col("size")
 
     def cover(lo, hi):
@@ -146,8 +139,7 @@ def _overlaps(rows: DataFrame, b: Column) -> DataFrame:
     rows = (rows.withColumn("part", F.col("_tail") + F.col("_head"))
             .withColumn("part_from", F.when(F.col("_tail") > 0, F.greatest(F.col("_begin") - first, F.lit(0))).otherwise(0)))
     return (rows.withColumn("taken", (F.col("rounds") * F.col("size") + F.col("part")).cast("long"))
-            .drop("_order", "_shard", "_in", "_key", "cell_size", "_start", "_block0", "_blocks", "_rest", "_from",
-                  "_len", "_begin", "_tail", "_head"))
+            .drop("_order", "_shard", "_in", "_key", "cell_size", "_rest", "_from", "_len", "_begin", "_tail", "_head"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -48,6 +48,19 @@ def test_mixing(spark, cell_rows):
     assert mixing.mix_documents(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [1, 2, 7, 64])
+def test_small_sources_meet_their_targets(spark, cell_rows):
+    """Short texts beside a hot source: within a few blocks of the target whatever the size of cells."""
+    rows = [(i, "hot", 20) for i in range(3000)] + [(10000 + i, "tiny", i % 5 + 1) for i in range(200)] + [(20000 + i, None, i % 3) for i in range(300)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix(sizes, cell_rows=cell_rows).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r["size"] and r.taken == r.rounds * r["size"] + r.part for r in got)
+    taken, want = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 3 * mixing.BLOCK_TOKENS for s in want), (taken, want)
+
+
 def test_highest_quotients(spark):
     weights = [50.0, 31.0, 11.0, 7.5, 0.5, 0.0]
     for seats in (0, 1, 3, 10, 37, 500):
