@@ -9,8 +9,9 @@ linear in the text.
 Kinds, in the order in which spans are listed: ``email``, ``ip``, ``card``, ``phone`` (the base
 kinds: leftmost, non-overlapping per kind, a match that fails its check is dropped without another
 try), then ``url`` (scheme, ``://``, then characters other than blanks, quotes and brackets),
-``secret`` (a cue, ``=`` or ``:``, then 8 or more token characters, quoted or not), ``account`` (a cue, then 8
-to 34 capitals and digits with a digit), and what a failed base match hides: ``card_part`` (whole
+``secret`` (a cue, ``=`` or ``:``, then 8 or more token characters, quoted or not), ``account`` (an IBAN of its country's length
+whose remainder modulo 97 is 1, with or without a cue; or a cue, words such as ``number`` or ``no``, then 8 to 34
+capitals and digits with a digit, in one run or in groups with single blanks or hyphens between), and what a failed base match hides: ``card_part`` (whole
 groups of a longer digit chain that make a card) and ``phone_part`` (the first whole groups of a
 longer run that make a phone number). Offsets are code points, end exclusive.
 
@@ -44,6 +45,13 @@ _TOKEN = frozenset(_ALNUM + "+/=_.-")
 _ACCOUNT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key")
 _ACCOUNT_CUES = ("iban", "account", "acct")
+_ACCOUNT_WORDS = frozenset(("number", "numbers", "num", "no", "nos", "nr", "is", "code", "id"))
+#: Lengths of IBANs by country (fixed values of the registry).
+_IBAN = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -213,15 +221,52 @@ def _secret(text: str, cue_end: int):
     return (start, i) if i - start >= 8 else None
 
 
-def _account(text: str, cue_end: int):
-    n, i = len(text), cue_end
-    while i < n and text[i] in " :#.=" and i < cue_end + 8:
-        i += 1
-    start = i
-    while i < n and text[i] in _ACCOUNT:
+def _iban(text: str, start: int):
+    """An IBAN from its country code on: single blanks or hyphens may part it, length and check digits must hold."""
+    want, n, i, found = _IBAN.get(text[start:start + 2]), len(text), start, []
+    if want is None or start and text[start - 1].isalnum():
+        return None
+    while i < n and len(found) < want:
+        if text[i] in _ACCOUNT:
+            found.append(text[i])
+        elif text[i] not in " -" or text[i - 1] not in _ACCOUNT:
+            return None
         i += 1
-    good = 8 <= i - start <= 34 and any(c in _DIGITS for c in text[start:i])
-    return (start, i) if good and (i == n or text[i] not in _LABEL) else None
+    if len(found) < want or i < n and text[i].isalnum() or not (found[2] in _DIGITS and found[3] in _DIGITS):
+        return None
+    return (start, i) if int("".join(str(int(c, 36)) for c in found[4:] + found[:4])) % 97 == 1 else None
+
+
+def _account(text: str, cue_end: int):
+    n, i, words = len(text), cue_end, 0
+    while True:
+        gap = i
+        while i < n and text[i] in " :#.=-" and i < gap + 8:
+            i += 1
+        if (span := _iban(text, i)) is not None:   # NO is a country, too
+            return span
+        end = i
+        while end < n and end < i + 8 and text[end].isalpha():
+            end += 1
+        if words == 3 or i == gap or text[i:end].lower() not in _ACCOUNT_WORDS:
+            break
+        i, words = end, words + 1
+    start, count, end, group = i, 0, i, 0
+    while True:
+        begin = i
+        while i < n and text[i] in _ACCOUNT:
+            i += 1
+        group = i - begin
+        # a further group holds a digit, is whole and does not make the number too long; else the number ended before it
+        if begin > start and (count + group > 34 or not any(c in _DIGITS for c in text[begin:i]) or i < n and text[i].isalnum()):
+            break
+        count, end = count + group, i
+        if i + 1 < n and text[i + 1] in _ACCOUNT and (text[i] == "-" or text[i] == " " and group <= 6):
+            i += 1
+            continue
+        break
+    good = 8 <= count <= 34 and any(c in _DIGITS for c in text[start:end])
+    return (start, end) if good and (end == n or text[end] not in _LABEL) else None
 
 
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -244,6 +289,10 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                     out.setdefault("card", []).append((at, card_end))
                 elif len(digits) > 16 and (parts := list(_card_parts(text, at, card_end))):
                     out.setdefault("card_part", []).extend(parts)
+            # the first of an IBAN's two check digits
+            if at >= account_end + 2 and text[at - 2:at] in _IBAN and (span := _iban(text, at - 2)) is not None:
+                out.setdefault("account", []).append(span)
+                account_end = span[1]
         elif kind == "@":
             if (span := _email(text, at, email_end)) is not None:
                 out.setdefault("email", []).append(span)

@@ -76,6 +76,23 @@ def test_numbers_behind_failed_matches():
     assert pii.redact(text, spans) == "[PHONE_PART] [CARD_PART] x 12 [CARD_PART] 7"
 
 
+def test_account_numbers_as_written():
+    def accounts(text):
+        return [text[s:e] for s, e in pii.find_spans(text).get("account", [])]
+
+    iban = "DE89 3704 0044 0532 0130 00"
+    for written in (iban, iban.replace(" ", ""), iban.replace(" ", "-"), "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"):
+        for before in ("IBAN ", "IBAN: ", "pay to ", "", "Account No. ", "("):
+            for after in ("", " please", ".", ", BIC X", ")"):
+                assert accounts(before + written + after) == [written], before + written + after
+    for cue in ("account number ", "Account No. ", "Acct Nr. ", "account no: ", "ACCOUNT NUMBER: ", "account number is ", "Account #"):
+        for number in ("12345678", "1234 5678 9012", "12-34-56 12345678", "1234-5678-9012", "AB12345678"):
+            assert accounts(cue + number + " AND more") == [number], cue + number
+    assert accounts("account 12345678 2024 IBAN " + iban) == ["12345678", iban]
+    assert accounts("DE89 3704 0044 0532 0130 01 XDE89370400440532013000 account number none, accounts 2024") == []
+    assert pii.redact("to " + iban + ".", pii.find_spans("to " + iban + ".")) == "to [ACCOUNT]."
+
+
 def test_licences_equal_scan(spark):
     docs = edge_docs(spark)
     word = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
