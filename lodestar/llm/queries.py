@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, jaccard_join, knn_quality, license_scan, mixing, pii, quality_rules, sharding, spotsigs, tokens
+from . import (chat, conversation_repair, jaccard_join, knn_quality, license_scan, mixing, periodic_runs, pii, quality_rules, sharding, simhash,
+               spotsigs, tokens)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +97,19 @@ def op8(spark, sf_dir):
 def op6(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return knn_quality.score_documents(table(spark, sf_dir, "documents"), labels)
+
+
+@register("op11_simhash")
+def op11(spark, sf_dir):
+    return simhash.link_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest_runs(periodic_runs.collapse_runs(docs))
+
+
+@register("op13_conversation_repair")
+def op13(spark, sf_dir):
+    return conversation_repair.repair_conversations(conversation_repair.with_damage(table(spark, sf_dir, "conversations")))
