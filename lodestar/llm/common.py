@@ -82,13 +82,17 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2 ** 64, kept for the next call."""
+    """Powers of an odd base and of its inverse, modulo 2 ** 64; the first half million are kept for the next call."""
+    size = max(n, 1 << 19)
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
-        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+        made = []
+        for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
             steps = np.full(size, np.uint64(base))
             steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
+            made.append(np.multiply.accumulate(steps))
+        if size > 1 << 19:
+            return made[0], made[1]
+        _POWERS[:] = made
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

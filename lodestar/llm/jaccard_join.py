@@ -37,16 +37,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_CLASS, cut_lineage, hash_words, mix64, shuffle_partitions, small_batches, text_of, utf8_buffer
+from .common import LOWER, WORD_CLASS, cut_lineage, hash_words, mix64, small_batches, text_of, utf8_buffer
 
 GRAM = 5
 THRESHOLD = 0.75
 BITS = 56
 #: A region with more sets or grams than this is worked on in cells.
 REGION_SETS = 4096
-REGION_GRAMS = 8 << 20
-#: Grams that a task holds before it sends them on.
-CHUNK = 1 << 20
+REGION_GRAMS = 2 << 20
+#: Grams that a task holds before it sends them on, for each bucket of grams, and in all at least and at most.
+SENT, CHUNK, MOST = 1 << 13, 1 << 20, 1 << 22
+#: Bytes of text whose grams make a bucket, and bytes whose grams are worked out at a time.
+BUCKET_BYTES, SLICE = 8 << 20, 1 << 19
 _WEIGHTS = mix64(np.arange(1, GRAM + 1, dtype=np.uint64))
 
 
@@ -89,7 +91,7 @@ def set_keys(grams: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndar
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text"):
+    for batch in small_batches(batches, "text", SLICE):
         raw, offsets = utf8_buffer(batch.column("text"))
         grams, owner = gram_sets(raw, offsets)
         size, key = set_keys(grams, owner, batch.num_rows)
@@ -141,8 +143,8 @@ def _send(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
                 (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=_PACKED_NAMES)
 
-        base = 0
-        for batch in small_batches(batches, "text"):
+        base, most = 0, min(MOST, max(CHUNK, SENT * buckets))
+        for batch in small_batches(batches, "text", SLICE):
             raw, offsets = utf8_buffer(batch.column("text"))
             grams, owner = gram_sets(raw, offsets)
             size, key = set_keys(grams, owner, batch.num_rows)
@@ -151,7 +153,7 @@ def _send(buckets: int):
                 held.append((grams[fresh[owner]], size[fresh], key[fresh], base))
                 base += int(fresh.sum())
                 total += len(held[-1][0])
-            if total >= CHUNK:
+            if total >= most:
                 yield flush()
                 total = base = 0
                 seen = set()
@@ -349,15 +351,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = step.select("node", F.col("new").alias("label"))
 
 
-def _join_large(sets: DataFrame, cell_sets: int, pivots: int) -> DataFrame:
+def _join_large(sets: DataFrame, cell_sets: int, cell_grams: int, pivots: int) -> DataFrame:
     """``(key, part)`` for regions too large to gather: rounds of pivots against cells of all sets.
 
     A round's pivots are sets outside their region's largest component that have not been pivots; all
     their links are found, so when none is left no link between components is missing.
     """
     state = cut_lineage(sets.select("region", "key", F.col("key").alias("part"), F.lit(False).alias("done")))
-    cells = F.greatest(F.lit(1), F.ceil(F.col("members") / cell_sets)).cast("long")
-    counted = sets.groupBy("region").agg(F.count("*").alias("members")).withColumn("cells", cells)
+    cells = F.greatest(F.lit(1), F.ceil(F.col("members") / cell_sets), F.ceil(F.col("held") / cell_grams)).cast("long")
+    counted = sets.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.size("grams")).alias("held")).withColumn("cells", cells)
     placed = (sets.join(counted, "region").withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")))
               .select("region", "cell", "cells", "key", "n", "grams"))
 
@@ -398,7 +400,8 @@ def _join_large(sets: DataFrame, cell_sets: int, pivots: int) -> DataFrame:
 
 def join_sets(docs: DataFrame, region_sets: int = REGION_SETS, region_grams: int = REGION_GRAMS, pivots: int = 64) -> DataFrame:
     """``(key, part)``: the component of each set that has a partner, for ``docs(text)``."""
-    buckets = max(16, shuffle_partitions(docs.sparkSession))
+    size = docs.select(F.sum(F.octet_length(text_of(docs)).cast("long"))).first()[0] or 0
+    buckets = max(16, size // BUCKET_BYTES)
     sent = docs.select(text_of(docs).alias("text")).mapInArrow(_send(buckets), _PACKED)
     answered = sent.groupBy("bucket").applyInArrow(_answer(buckets), _PACKED)
     sets = cut_lineage(answered.groupBy("bucket").applyInArrow(_settle, "key long, n long, prefix int, grams array<long>"))
@@ -412,7 +415,7 @@ def join_sets(docs: DataFrame, region_sets: int = REGION_SETS, region_grams: int
     if large.limit(1).count() == 0:
         return sets.groupBy("region").applyInArrow(_join_small, "key long, part long")
     small = sets.join(large, "region", "left_anti").groupBy("region").applyInArrow(_join_small, "key long, part long")
-    return small.unionAll(_join_large(cut_lineage(sets.join(large, "region", "left_semi")), region_sets, pivots))
+    return small.unionAll(_join_large(cut_lineage(sets.join(large, "region", "left_semi")), region_sets, region_grams, pivots))
 
 
 def _placed(docs: DataFrame, **options) -> DataFrame:

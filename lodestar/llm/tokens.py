@@ -16,7 +16,7 @@ The forward state of a prefix is its best path's last piece:
 Characters outside the vocabulary become byte pieces (or the unknown piece if the model has none).
 Decoding joins the pieces' bytes, puts blanks for marks and takes off the one in front.
 
-Scale: rows are independent, there is no shuffle. A task keeps a bounded cache of words. The model
+Scale: rows are independent, there is no shuffle. A task keeps a bounded cache of words and lets it go at its end. The model
 file is read by each task from ``path``, which every machine must have.
 
 Defined cases: null and empty texts have no ids; very long words and texts are encoded whole;
@@ -38,7 +38,8 @@ from .common import small_batches, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_CACHE = 500_000
+#: Words that an encoder remembers within a task (about 40 MB), and pairs of pieces that it remembers (about 35 MB).
+_CACHE, _PAIRS = 120_000, 400_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -124,15 +125,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
         cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
+        words = set(chain.from_iterable(cut))
+        if len(self.known) > _CACHE:  # what this batch needs stays
+            self.known = {w: ids for w, ids in self.known.items() if w in words}
+        self.learn(words)
         known = self.known
         out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
-        if len(known) > _CACHE:
-            known.clear()
-        if len(self.apart) > _CACHE:
+        if len(self.apart) > _PAIRS:
             self.apart.clear()
         return out
 
+    def forget(self) -> None:
+        """Let go of the words at the end of a task, as Python workers outlive it; the pairs are few and costly."""
+        self.known = {}
+
     def learn(self, words: set[str]) -> None:
         """Encode the words that are new: sorted, they are a trie's leaves in depth-first order."""
         new = sorted(words.difference(self.known))
@@ -275,7 +281,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_chars, round_trip`` for each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in small_batches(batches, "text", 1 << 20):
+        for batch in small_batches(batches, "text", 1 << 19):
             texts = batch.column("text").to_pylist()
             ids = enc.encode(texts)
             back = [decode(i, enc.v.raw) for i in ids]
@@ -286,6 +292,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                  pa.array([len(t) for t in back], pa.int64()), pa.array([a == b for a, b in zip(texts, back)])],
                 names=["doc_id", "n_tokens", "ids", "decoded_chars", "round_trip"])
+        enc.forget()
 
     thin = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     return thin.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_chars long, round_trip boolean")
