@@ -217,10 +217,11 @@ def lloyd(vectors: DataFrame, centroids: DataFrame, rounds: int = 4, normalise:
     return centroids
 
 
-def start_centroids(vectors: DataFrame, k: int) -> DataFrame:
-    """``k`` start centroids: the vectors ``(id, embedding)`` with the least md5 of their id, codes in that order, L2-normalised."""
+def start_centroids(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """``k`` start centroids, L2-normalised: the vectors ``(id, embedding)`` with the least md5 of ``seed:id``, codes in that order."""
     from .ranking import zip_index
-    chosen = vectors.select(F.md5(F.col("id").cast("string")).alias("_h"), "id", "embedding").orderBy("_h", "id").limit(k)
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    chosen = _cut(vectors.select(mark.alias("_h"), "id", "embedding").orderBy("_h", "id").limit(k))
     numbered = zip_index(chosen.select("_h", "id"), ["_h", "id"], "code")
     return numbered.join(chosen.select("id", "embedding"), "id").select(
         F.col("code").cast("int").alias("code"), l2_normalize(F.col("embedding").cast("array<double>")).alias("centroid"))

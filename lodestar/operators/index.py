@@ -3,8 +3,9 @@
 
 Layout (all plain DataFrames / Parquet tables):
 
-* ``centroids(code int, centroid array<double>)``: ``2^k x dim``; the only broadcast object, its
-  size is checked against ``MAX_CODEC_BYTES`` before it leaves the driver.
+* ``centroids(code int, centroid array<double>)``: ``2^k x dim``; broadcast while the table is within
+  ``MAX_CODEC_BYTES``. Beyond that codes come from the two-level codebook (same codes, see
+  :mod:`codebook`) and centroids travel by join on their code.
 * ``buckets``: one row ``(cutoffs array<double>, weights array<double>, avg_residual double)``.
 * ``codes(pid, tok_pos, code, residual binary)``: one row per token vector; residual is
   ``dim*nbits/8`` bytes.
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
 
+#: Bytes of centroids that may be broadcast; a larger codec works by joins.
 MAX_CODEC_BYTES = 256 << 20
 
 
@@ -35,19 +37,39 @@ class Codec:
     nbits: int
     dim: int
 
+    @property
+    def fits(self) -> bool:
+        """Whether the centroids may be broadcast."""
+        if getattr(self, "_fits", None) is None:
+            self._fits = self.centroids.count() * self.dim * 8 <= MAX_CODEC_BYTES
+        return self._fits
+
+    def book(self):
+        """The two-level codebook over the centroids, built once."""
+        if getattr(self, "_book", None) is None:
+            from .codebook import build_codebook
+            self._book = build_codebook(self.centroids)
+        return self._book
+
+    def cuts(self):
+        """Cutoffs and weights of the residual buckets."""
+        if getattr(self, "_cuts", None) is None:
+            b = self.buckets.first()
+            self._cuts = (np.asarray(b["cutoffs"], np.float64), np.asarray(b["weights"], np.float64))
+        return self._cuts
+
     def arrays(self):
         """Small driver-side copy of the codec for broadcasting (size checked). Codes must be
         dense ``0..n-1`` (row ``i`` of the matrix is code ``i``)."""
         if getattr(self, "_arr", None) is not None:
             return self._arr
-        C = _centroid_matrix(self.centroids, self.dim)
-        b = self.buckets.first()
-        self._arr = (C, np.asarray(b["cutoffs"], np.float64), np.asarray(b["weights"], np.float64))
+        self._arr = (_centroid_matrix(self.centroids, self.dim), *self.cuts())
         return self._arr
 
     def broadcast(self, spark: SparkSession):
+        """``(centroids, cutoffs, weights)``; no centroids where they are too many to be broadcast."""
         if getattr(self, "_bc", None) is None:
-            self._bc = spark.sparkContext.broadcast(self.arrays())
+            self._bc = spark.sparkContext.broadcast(self.arrays() if self.fits else (None, *self.cuts()))
         return self._bc
 
 
@@ -72,15 +94,14 @@ def avg_doclen(tokens: DataFrame, pid: str = "pid") -> DataFrame:
 # ---- codec training ----------------------------------------------------------------------------
 
 def train_centroids(sample: DataFrame, k: int, iters: int = 4, seed: int = 123, vec: str = "embedding") -> DataFrame:
-    """K-means (``pyspark.ml``) on the sampled vectors, centroids L2-normalised."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    data = sample.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, maxIter=iters, seed=seed, initMode="random").fit(data)
-    spark = sample.sparkSession
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    cdf = spark.createDataFrame(rows, "code int, centroid array<double>")
-    return cdf.select("code", l2_normalize("centroid").alias("centroid"))
+    """Spherical k-means on the sampled vectors ``(id, embedding)``: ``k`` vectors with the least hashes (of seed and
+    id) start, each Lloyd step assigns by the two-level codebook and takes normalised means. Neither the vectors nor
+    the centroids pass through the driver, so there is no largest ``k``."""
+    from .codebook import lloyd, start_centroids
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(sample.sparkSession)
+    rows = sample.select("id", F.col(vec).alias("embedding")).checkpoint()
+    return lloyd(rows, start_centroids(rows, k, seed), iters)
 
 
 def centroids_from_labels(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -110,8 +131,9 @@ def _stack(col: pd.Series, dim: int) -> np.ndarray:
 def residual_values(vectors: DataFrame, centroids: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
     """Residual ``x - centroid(code(x))`` per vector: ``(…, code, residual array<double>)``."""
     spark = vectors.sparkSession
-    C = _centroid_matrix(centroids, dim)
-    bc = spark.sparkContext.broadcast(C)
+    codec = centroids if isinstance(centroids, Codec) else Codec(centroids, None, 0, dim)
+    fits = codec.fits
+    bc = spark.sparkContext.broadcast(_centroid_matrix(codec.centroids, dim) if fits else None)
     keys = [c for c in vectors.columns if c != vec]
     schema = T.StructType([vectors.schema[c] for c in keys] + [T.StructField("code", T.IntegerType()),
                           T.StructField("residual", T.ArrayType(T.DoubleType()))])
@@ -120,15 +142,25 @@ def residual_values(vectors: DataFrame, centroids: DataFrame, dim: int, vec: str
         Cm = bc.value
         for p in it:
             X = _stack(p[vec], dim)
-            codes = _assign(Cm, X)
-            R = X - Cm[codes] if len(X) else X
+            codes = _assign(Cm, X) if fits else p["code"].to_numpy()
+            R = X - (Cm[codes] if fits else _stack(p["centroid"], dim)) if len(X) else X
             out = p[keys].copy()
             out["code"] = codes
             out["residual"] = list(R)
             yield out
 
     from .vectors import spread_scan
-    return spread_scan(vectors).mapInPandas(kernel, schema)
+    return (spread_scan(vectors) if fits else _coded(vectors, codec, vec)).mapInPandas(kernel, schema)
+
+
+def _coded(vectors: DataFrame, codec: Codec, vec: str) -> DataFrame:
+    """``vectors`` with the ``code`` and ``centroid`` of each row, by the two-level codebook."""
+    from ..session import ensure_checkpoint_dir
+    from .codebook import nearest_codes
+    ensure_checkpoint_dir(vectors.sparkSession)
+    rows = vectors.withColumn("_row", F.monotonically_increasing_id()).checkpoint()    # written, so numbers stay
+    codes = nearest_codes(rows.select(F.col("_row").alias("id"), F.col(vec).cast("array<double>").alias("embedding")), codec.book())
+    return rows.join(codes.select(F.col("id").alias("_row"), "code"), "_row").drop("_row").join(codec.centroids.select("code", "centroid"), "code")
 
 
 def residual_stats(residuals: DataFrame) -> DataFrame:
@@ -170,28 +202,33 @@ def bucket_table(residuals: DataFrame, nbits: int, approx: bool = False, accurac
 
 
 def _local_codec(spark: SparkSession, C: np.ndarray, bk, nbits: int, dim: int) -> Codec:
-    cut = np.asarray(bk["cutoffs"], np.float64)
-    wts = np.asarray(bk["weights"], np.float64)
     cent = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(C)], "code int, centroid array<double>")
-    bdf = spark.createDataFrame([([float(x) for x in cut], [float(x) for x in wts], float(bk["avg_residual"]))],
-                                "cutoffs array<double>, weights array<double>, avg_residual double")
-    out = Codec(cent, bdf, nbits, dim)
-    out._arr = (C, cut, wts)
+    out = Codec(cent, _bucket_row(spark, bk), nbits, dim)
+    out._fits, out._arr = True, (C, np.asarray(bk["cutoffs"], np.float64), np.asarray(bk["weights"], np.float64))
     return out
 
 
+def _bucket_row(spark: SparkSession, bk) -> DataFrame:
+    row = ([float(x) for x in bk["cutoffs"]], [float(x) for x in bk["weights"]], float(bk["avg_residual"]))
+    return spark.createDataFrame([row], "cutoffs array<double>, weights array<double>, avg_residual double")
+
+
 def train_codec(heldout: DataFrame, centroids: DataFrame, nbits: int, dim: int, vec: str = "embedding") -> Codec:
     """Codec from fixed or trained centroids: residual buckets over the held-out vectors (L4 bounds them
     to 50,000; see :func:`train_index`)."""
     spark = centroids.sparkSession
-    C = _centroid_matrix(centroids, dim)
-    cent = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(C)], "code int, centroid array<double>")
-    res = residual_values(heldout.select(vec), cent, dim, vec).persist()
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    codec = Codec(centroids.select("code", "centroid").checkpoint(), None, nbits, dim)
+    res = residual_values(heldout.select(vec), codec, dim, vec).persist()
     try:
         bk = bucket_table(res, nbits).first()
     finally:
         res.unpersist()
-    return _local_codec(spark, C, bk, nbits, dim)
+    if codec.fits:
+        return _local_codec(spark, _centroid_matrix(codec.centroids, dim), bk, nbits, dim)
+    codec.buckets = _bucket_row(spark, bk)
+    return codec
 
 
 def _centroid_matrix(centroids: DataFrame, dim: int) -> np.ndarray:
@@ -235,14 +272,14 @@ def compress(tokens: DataFrame, codec: Codec, vec: str = "embedding", with_bucke
                                                   T.StructField("residual", T.BinaryType())]
     if with_buckets:
         fields.append(T.StructField("buckets", T.ArrayType(T.IntegerType())))
-    nbits, dim = codec.nbits, codec.dim
+    nbits, dim, fits = codec.nbits, codec.dim, codec.fits
 
     def kernel(it):
         C, cutoffs, _ = bc.value
         for p in it:
             X = _stack(p[vec], dim)
-            codes = _assign(C, X)
-            b = _bucketize(X - C[codes], cutoffs) if len(X) else np.zeros((0, dim), np.int32)
+            codes = _assign(C, X) if fits else p["code"].to_numpy()
+            b = _bucketize(X - (C[codes] if fits else _stack(p["centroid"], dim)), cutoffs) if len(X) else np.zeros((0, dim), np.int32)
             packed = _pack(b, nbits) if len(X) else np.zeros((0, dim * nbits // 8), np.uint8)
             out = p[keys].copy()
             out["code"] = codes
@@ -252,7 +289,7 @@ def compress(tokens: DataFrame, codec: Codec, vec: str = "embedding", with_bucke
             yield out
 
     from .vectors import spread_scan
-    return spread_scan(tokens).mapInPandas(kernel, T.StructType(fields))
+    return (spread_scan(tokens) if fits else _coded(tokens, codec, vec)).mapInPandas(kernel, T.StructType(fields))
 
 
 def decompress(codes: DataFrame, codec: Codec, out: str = "embedding") -> DataFrame:
@@ -261,7 +298,7 @@ def decompress(codes: DataFrame, codec: Codec, out: str = "embedding") -> DataFr
     bc = codec.broadcast(spark)
     keys = [c for c in codes.columns if c not in ("code", "residual", "buckets")]
     schema = T.StructType([codes.schema[c] for c in keys] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    nbits, dim = codec.nbits, codec.dim
+    nbits, dim, fits = codec.nbits, codec.dim, codec.fits
 
     def kernel(it):
         C, _, weights = bc.value
@@ -270,14 +307,17 @@ def decompress(codes: DataFrame, codec: Codec, out: str = "embedding") -> DataFr
                 continue
             packed = np.stack([np.frombuffer(bytes(r), np.uint8) for r in p["residual"]])
             b = _unpack(packed, dim, nbits)
-            V = C[p["code"].to_numpy()] + weights[b]
+            V = (C[p["code"].to_numpy()] if fits else _stack(p["centroid"], dim)) + weights[b]
             n = np.linalg.norm(V, axis=1, keepdims=True)
             V = np.where(n > 0, V / np.where(n > 0, n, 1), 0.0)
             o = p[keys].copy()
             o[out] = list(V)
             yield o
 
-    return codes.select(*keys, "code", "residual").mapInPandas(kernel, schema)
+    rows = codes.select(*keys, "code", "residual")
+    if not fits:
+        rows = rows.join(codec.centroids.select("code", "centroid"), "code")
+    return rows.mapInPandas(kernel, schema)
 
 
 def build_inverted_lists(codes: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,7 +365,7 @@ def build_index(tokens: DataFrame, codec: Codec, vec: str = "embedding", materia
     ivf, _ = build_inverted_lists(codes, codec.centroids)
     pid_codes = codes.groupBy("pid").agg(F.array_distinct(F.collect_list("code")).alias("codes"))
     if materialize:
-        pid_codes = pid_codes.checkpoint()   # the per-passage code lists every search reads
+        pid_codes, ivf = pid_codes.checkpoint(), ivf.checkpoint()   # what every search reads
     return Index(codec, codes, ivf, doclens(codes), pid_codes)
 
 
@@ -340,10 +380,10 @@ def train_index(tokens: DataFrame, nbits: int = 2, vec: str = "embedding", iters
     vectors = tokens.join(chosen, "pid", "left_semi").select(F.concat_ws(":", "pid", "tok_pos").alias("vid"), vec)
     split = heldout_split(vectors, "vid", seed)
     held = split.filter("heldout").select(vec)
-    train = split.filter("not heldout").select(vec)
+    train = split.filter("not heldout").select(F.col("vid").alias("id"), vec)
     seen = train.count()
     if held.limit(1).count() == 0:      # a very small sample: its own vectors
-        held = train
+        held = train.select(vec)
     centroids = train_centroids(train, min(plan_partitions(size["n"]), max(1, seen)), iters, seed, vec)
     return build_index(tokens, train_codec(held, centroids, nbits, int(size["dim"]), vec), vec)
 

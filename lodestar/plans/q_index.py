@@ -11,6 +11,7 @@ from .registry import register
 
 R = 6
 NBITS = 2
+SEED = 123
 
 
 def tokens(spark, d):
@@ -22,14 +23,20 @@ def tokens(spark, d):
 _BUILT: dict = {}
 
 
+def centroids(spark, d):
+    """V11 over all vectors: an eighth of the planned centroids (V10), one Lloyd step, which SQL can repeat."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    k = max(1, I.plan_partitions(vectors.count()) // 8)
+    return I.train_centroids(vectors, k, iters=1, seed=SEED)
+
+
 def codec(spark, d):
     """The trained codec for a table folder (trained once per session: an index artifact)."""
     key = ("codec", spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         e = table(spark, d, "embeddings")
         dim = e.select(F.max(F.size("embedding"))).first()[0]
-        cent = I.centroids_from_labels(e)
-        _BUILT[key] = I.train_codec(e.select("embedding"), cent, NBITS, int(dim))
+        _BUILT[key] = I.train_codec(e.select("embedding"), centroids(spark, d), NBITS, int(dim))
     return _BUILT[key]
 
 
@@ -46,11 +53,16 @@ def queries(spark, d):
 
 
 # ---- DuckDB form of the same index --------------------------------------------------------------
-BASE = """WITH tok AS (SELECT vec_id, vec_id // 8 AS pid, vec_id % 8 AS tp, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-dimx AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM tok),
-means AS (SELECT label, i, AVG(x) AS m FROM dimx GROUP BY label, i),
-cent0 AS (SELECT label AS code, list(m ORDER BY i) AS c FROM means GROUP BY label),
-cent AS (SELECT code, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM cent0),
+BASE = f"""WITH tok AS (SELECT vec_id, vec_id // 8 AS pid, vec_id % 8 AS tp, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+planned AS (SELECT greatest(1, CAST(pow(2, floor(log2(16 * sqrt(count(*))))) AS BIGINT) // 8) AS k FROM tok),
+started AS (SELECT row_number() OVER (ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS code, v FROM tok),
+start AS (SELECT code, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS c FROM started, planned WHERE code < k),
+sc0 AS (SELECT t.vec_id, t.v, s.code, round(list_dot_product(t.v, s.c), 12) AS s FROM tok t, start s),
+asg0 AS (SELECT vec_id, v, code FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, code) AS rn FROM sc0) WHERE rn = 1),
+dimx AS (SELECT code, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM asg0),
+means AS (SELECT code, i, AVG(x) AS m FROM dimx GROUP BY code, i),
+moved AS (SELECT code, list(m ORDER BY i) AS c FROM means GROUP BY code),
+cent AS MATERIALIZED (SELECT s.code, coalesce(list_transform(m.c, lambda x: x / sqrt(list_dot_product(m.c, m.c))), s.c) AS c FROM start s LEFT JOIN moved m ON m.code = s.code),
 sc AS (SELECT t.vec_id, t.pid, t.tp, t.v, c.code, list_dot_product(t.v, c.c) AS s FROM tok t, cent c),
 asg AS (SELECT vec_id, pid, tp, v, code FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, code) AS rn FROM sc) WHERE rn = 1),
 res AS (SELECT a.vec_id, a.pid, a.tp, a.code, list_transform(a.v, lambda x, i: x - c.c[i]) AS r FROM asg a JOIN cent c ON a.code = c.code),
@@ -99,10 +111,21 @@ def a25(spark, d):
     return a.select(F.round("avg_doclen", R).alias("avg_doclen"), "num_embeddings", "num_passages")
 
 
-@register("V11_train_centroids")
+@register("V11_train_centroids", BASE + f"""SELECT CAST(code AS INTEGER) AS code, round(list_sum(c), {R}) AS total, round(c[1], {R}) AS first,
+ round(list_sum(list_transform(c, lambda x, i: x * i)), {R}) AS weighted FROM cent""")
 def v11(spark, d):
-    e = table(spark, d, "embeddings")
-    return I.train_centroids(e.select("embedding"), k=8, iters=4, seed=123)
+    weighted = F.aggregate(F.transform("centroid", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return centroids(spark, d).select("code", F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), R).alias("total"),
+                                      F.round(F.col("centroid")[0], R).alias("first"), F.round(weighted, R).alias("weighted"))
+
+
+@register("V12_assign_codes_two_level", BASE + "SELECT pid, CAST(tp AS BIGINT) AS tok_pos, CAST(code AS INTEGER) AS code FROM asg")
+def v12_two_level(spark, d):
+    """The codes by the two-level codebook, as for a codec that is too large to be broadcast."""
+    from ..operators.codebook import build_codebook, nearest_codes
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    codes = nearest_codes(e, build_codebook(codec(spark, d).centroids))
+    return codes.select(F.floor(F.col("id") / 8).cast("long").alias("pid"), (F.col("id") % 8).cast("long").alias("tok_pos"), "code")
 
 
 @register("V12_assign_codes", BASE + "SELECT pid, CAST(tp AS BIGINT) AS tok_pos, CAST(code AS INTEGER) AS code FROM asg")
@@ -138,7 +161,11 @@ def v15(spark, d):
     return res.select("pid", "tok_pos", F.array_join(F.transform("residual", lambda x: bucketize(x, F.col("cutoffs"))), ",").alias("buckets"))
 
 
-@register("V16_pack_residual")
+@register("V16_pack_residual", BASE + """,
+planes AS (SELECT pid, tp, list_reduce(list_transform(b, lambda x: CAST(x % 2 AS VARCHAR) || CAST(x // 2 AS VARCHAR)), lambda x, y: x || y) AS bits, len(b) // 4 AS n FROM bkt)
+SELECT pid, CAST(tp AS BIGINT) AS tok_pos, array_to_string(list_transform(range(0, 2 * n), lambda i: '0123456789ABCDEF'[
+ CAST(bits[4 * i + 1] AS INTEGER) * 8 + CAST(bits[4 * i + 2] AS INTEGER) * 4 + CAST(bits[4 * i + 3] AS INTEGER) * 2 + CAST(bits[4 * i + 4] AS INTEGER) + 1]), '') AS residual,
+ CAST(n AS INTEGER) AS nbytes FROM planes""")
 def v16(spark, d):
     c = I.compress(tokens(spark, d), codec(spark, d))
     return c.select("pid", "tok_pos", F.hex("residual").alias("residual"), F.length("residual").alias("nbytes"))
@@ -215,7 +242,7 @@ def j11(spark, d):
     ix = index(spark, d)
     from ..operators.vectors import pack_vectors
     qpacked = pack_vectors(queries(spark, d), "qid", "qtok", "embedding", "qvecs")
-    return S.generate_candidates(S.probe_cells(qpacked, ix, 1), ix.ivf, salt=1)
+    return S.generate_candidates(S.probe_cells(qpacked, ix, 1), ix.ivf, list_rows=64)
 
 
 @register("V22_filter_candidates", BASE + stage_sql(1, 0.5, 256) + """SELECT c.qid, c.pid FROM cands c

@@ -66,3 +66,31 @@ def test_lloyd_is_spherical_k_means(spark):
             m = X[code == c].mean(0)
             want[c] = m / np.linalg.norm(m)
     assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("slice_rows", [3, 1 << 13])
+def test_index_beyond_the_broadcast_bound(spark, monkeypatch, slice_rows):
+    """A codec with more centroids than may be broadcast gives the codes, values, cells and scores of a broadcast one."""
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import index as I
+    from lodestar.operators import search as S
+    from lodestar.operators.vectors import pack_vectors
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 200")
+    toks = e.select(F.floor(F.col("vec_id") / 8).cast("long").alias("pid"), (F.col("vec_id") % 8).cast("long").alias("tok_pos"), "embedding")
+    cent = I.train_centroids(e.select(F.col("vec_id").alias("id"), "embedding"), 24, 1)
+    asked = pack_vectors(toks.select(F.col("pid").alias("qid"), "tok_pos", "embedding"), "qid", "tok_pos", "embedding", "qvecs").checkpoint()
+    told = []
+    for bound in (1 << 28, 1000):
+        monkeypatch.setattr(I, "MAX_CODEC_BYTES", bound)
+        codec = I.train_codec(e.select("embedding"), cent, 2, 64)
+        assert codec.fits == (bound > 1000)
+        ix = I.build_index(toks, codec)
+        probes = S.probe_cells(asked, ix, 2)
+        cands = S.generate_candidates(probes, ix.ivf, list_rows=2)
+        scores = [S.approx_scores(cands, asked, S.doc_codes(ix), ix, t, slice_rows) for t in (None, 0.5)]
+        told.append([sorted(map(tuple, ix.codes.select("pid", "tok_pos", "code", F.hex("residual")).collect())),
+                     sorted((r.pid, r.tok_pos, tuple(np.round(r.embedding, 9))) for r in I.decompress(ix.codes, codec).collect()),
+                     sorted(map(tuple, probes.collect())), sorted(map(tuple, cands.collect())),
+                     *(sorted((r.qid, r.pid, round(r.approx, 8)) for r in s.collect()) for s in scores)])
+    assert told[0] == told[1] and all(told[0])
