@@ -15,7 +15,10 @@ Layout (all plain DataFrames / Parquet tables):
 
 from __future__ import annotations
 
+import json
 import math
+import time
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -471,96 +474,162 @@ def index_check(meta: DataFrame, expected_chunks: int) -> DataFrame:
     return missing.crossJoin(gaps)
 
 
-def _apart_from(index: Index, path: str) -> Index:
-    """The index with every table that reads files under ``path`` checkpointed, so the files can go."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(index.codes.sparkSession)
-    folder = path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+# ---- the written index ---------------------------------------------------------------------------
+#
+# ``path/data/<id>/...`` holds Parquet folders that are written once and never changed: codes by chunk, lists,
+# lengths, centroids, buckets. ``path/manifest/<version>.json`` names the folders that make a version. A change
+# writes new folders and then publishes a manifest by one rename, so readers see the version before or the one
+# after, and a change that failed at any point leaves nothing behind but folders that no manifest names.
+
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and a maker of its paths."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, place = _files(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(place(path))] if fs.exists(place(path)) else []
+
+
+def index_versions(spark: SparkSession, path: str) -> list[int]:
+    """The published versions of a written index, oldest first."""
+    return sorted(int(n[:-5]) for n in _names(spark, f"{path}/manifest") if n.endswith(".json") and n[:-5].isdigit())
+
+
+def _manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    versions = index_versions(spark, path)
+    if not versions:
+        return None
+    row = spark.read.text(f"{path}/manifest/{versions[-1] if version is None else version}.json", wholetext=True).first()
+    return json.loads(row["value"])
 
-    def copy(df):
-        return df.checkpoint() if df is not None and any(folder in f for f in df.inputFiles()) else df
 
-    codec = Codec(copy(index.codec.centroids), copy(index.codec.buckets), index.codec.nbits, index.codec.dim)
-    return Index(codec, copy(index.codes), copy(index.ivf), copy(index.doclens), copy(index.pid_codes))
+def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Make ``manifest`` the next version: written beside, then renamed; another writer's version is never replaced."""
+    fs, place = _files(spark, path)
+    made, final = place(f"{path}/manifest/_{uuid.uuid4().hex}"), place(f"{path}/manifest/{manifest['version']}.json")
+    out = fs.create(made, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(made, final):
+        fs.delete(made, False)
+        raise RuntimeError(f"version {manifest['version']} of {path} was published by another writer; repeat the change")
+
+
+def _chunk(df: DataFrame, size: int) -> DataFrame:
+    return df.withColumn("chunk", F.floor(F.col("pid") / size).cast("long"))
+
+
+def _write_codes(codes: DataFrame, path: str, folder: str) -> dict[str, str]:
+    """Write ``codes`` with their ``chunk``; the folder of each chunk that has rows."""
+    codes.repartition("chunk").write.partitionBy("chunk").parquet(f"{path}/{folder}/codes")
+    found = [n for n in _names(codes.sparkSession, f"{path}/{folder}/codes") if n.startswith("chunk=")]
+    return {n[6:]: f"{folder}/codes/{n}" for n in found}
 
 
 def write_index(index: Index, path: str, mode: str = "overwrite", chunk_size: int = 25000) -> None:
-    """codes/residuals partitioned by chunk, plus codec, lists and doclens as Parquet.
-    ``mode``: ``overwrite`` (erase first; an index read from ``path`` is copied before), ``error`` (fail if
-    present), ``reuse`` (leave a present index as it is), ``resume`` (append only the chunks not yet
-    written: left-anti against the chunk values present)."""
-    from pyspark.sql.utils import AnalysisException
+    """A new version of the index at ``path``: codes and residuals by chunk, codec, lists and lengths.
+
+    ``mode``: ``overwrite`` (the index becomes the next version; the one it may have been read from stays until it is
+    swept), ``error`` (fail if there is a version), ``reuse`` (leave a present index as it is), ``resume`` (write only
+    the chunks that the newest version lacks)."""
     spark = index.codes.sparkSession
-    if mode == "reuse":
-        try:
-            spark.read.parquet(f"{path}/doclens")
-            return
-        except AnalysisException:
-            mode = "error"
-    if mode == "overwrite":
-        index = _apart_from(index, path)
-    codes = index.codes.withColumn("chunk", F.floor(F.col("pid") / chunk_size).cast("long"))
-    if mode == "resume":
-        try:
-            done = spark.read.parquet(f"{path}/codes").select("chunk").distinct()
-            codes = codes.join(done, "chunk", "left_anti")
-        except AnalysisException:
-            pass
-        codes.write.mode("append").partitionBy("chunk").parquet(f"{path}/codes")
-        wmode = "overwrite"
+    old = _manifest(spark, path)
+    if old is not None and mode == "reuse":
+        return
+    if old is not None and mode == "error":
+        raise ValueError(f"there is an index at {path}")
+    folder = f"data/{uuid.uuid4().hex}"
+    codes, chunks = index.codes.select("pid", "tok_pos", "code", "residual"), {}
+    if old is not None and mode == "resume":
+        chunk_size, chunks = old["chunk_size"], old["chunks"]
+        present = spark.createDataFrame([(int(c),) for c in chunks], "chunk long")
+        codes = _chunk(codes, chunk_size).join(present, "chunk", "left_anti")
     else:
-        wmode = "overwrite" if mode == "overwrite" else "errorifexists"
-        codes.write.mode(wmode).partitionBy("chunk").parquet(f"{path}/codes")
-    index.ivf.write.mode(wmode).parquet(f"{path}/ivf")
-    index.doclens.write.mode(wmode).parquet(f"{path}/doclens")
-    index.codec.centroids.write.mode(wmode).parquet(f"{path}/centroids")
-    index.codec.buckets.withColumn("nbits", F.lit(index.codec.nbits)).withColumn("dim", F.lit(index.codec.dim)) \
-        .write.mode(wmode).parquet(f"{path}/buckets")
+        codes = _chunk(codes, chunk_size)
+    manifest = {"version": (old or {"version": 0})["version"] + 1, "chunk_size": chunk_size,
+                "chunks": chunks | _write_codes(codes, path, folder)}
+    buckets = index.codec.buckets.withColumn("nbits", F.lit(index.codec.nbits)).withColumn("dim", F.lit(index.codec.dim))
+    for name, rows in (("ivf", index.ivf.select("code", "pid")), ("doclens", index.doclens.select("pid", "doclen")),
+                       ("centroids", index.codec.centroids), ("buckets", buckets)):
+        rows.write.parquet(f"{path}/{folder}/{name}")
+        manifest[name] = f"{folder}/{name}"
+    _publish(spark, path, manifest)
 
 
 def persist_changes(spark: SparkSession, path: str, removed: DataFrame | None = None, added: Index | None = None,
-                    chunk_size: int = 25000) -> None:
-    """Apply removals ``(pid)`` and the tables of newly added passages to a written index.
+                    chunk_size: int | None = None) -> None:
+    """The next version of a written index, without ``removed(pid)`` and with the tables of newly added passages.
 
-    Only the chunks that hold a removed or an added pid are rewritten (the last chunk is filled up by the first
-    added pids, further ones open new chunks); a chunk that is left empty goes. Lists and lengths are small
-    beside the codes and are written anew. Everything that is read from ``path`` is copied to the
-    checkpoint folder before it is overwritten, so a failed run can be repeated."""
+    Only the chunks that hold a removed or an added pid are written anew (the last chunk is filled up by the first
+    added pids, further ones open new chunks); the manifest goes on naming the other chunks' folders, and a chunk left
+    empty is no longer named. Lists and lengths are small beside the codes and are written anew. Added
+    pids replace what the index holds of them, so the change may be repeated after any failure, also after its own success."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    old = read_index(spark, path)
+    manifest = _manifest(spark, path)
+    if manifest is None:
+        raise ValueError(f"there is no index at {path}")
+    if chunk_size is not None and chunk_size != manifest["chunk_size"]:
+        raise ValueError("the index has another chunk size")
+    size, folder, old = manifest["chunk_size"], f"data/{uuid.uuid4().hex}", read_index(spark, path, manifest["version"])
     none = old.doclens.select("pid").limit(0)
     gone = (removed.select("pid").distinct() if removed is not None else none).checkpoint()
-    fresh = added.codes.select("pid", "tok_pos", "code", "residual").checkpoint() if added is not None else old.codes.select("pid", "tok_pos", "code", "residual").limit(0)
-
-    def chunk(df):
-        return df.withColumn("chunk", F.floor(F.col("pid") / chunk_size).cast("long"))
-
-    touched = chunk(gone.unionByName(fresh.select("pid"))).select("chunk").distinct().checkpoint()
-    codes = spark.read.parquet(f"{path}/codes").select("pid", "tok_pos", "code", "residual", F.col("chunk").cast("long").alias("chunk"))
-    kept = codes.join(touched, "chunk", "left_semi").join(gone, "pid", "left_anti").select("pid", "tok_pos", "code", "residual", "chunk")
-    new = kept.unionByName(chunk(fresh)).checkpoint()
-    lists = old.ivf.join(gone, "pid", "left_anti").select("code", "pid").unionByName(fresh.select("code", "pid").distinct()).checkpoint()
+    wanted = ("pid", "tok_pos", "code", "residual")
+    fresh = added.codes.select(*wanted).checkpoint() if added is not None else old.codes.select(*wanted).limit(0)
+    changed = gone.unionByName(fresh.select("pid")).distinct().checkpoint()
+    touched = {str(r["chunk"]) for r in _chunk(changed, size).select("chunk").distinct().toLocalIterator()}   # of the manifest's chunks
+    places = [f"{path}/{manifest['chunks'][c]}" for c in sorted(touched & set(manifest["chunks"]))]
+    new = fresh
+    if places:
+        new = spark.read.parquet(*places).select(*wanted).join(changed, "pid", "left_anti").unionByName(fresh)
+    made = _write_codes(_chunk(new, size), path, folder)
+    lists = old.ivf.join(changed, "pid", "left_anti").select("code", "pid").unionByName(fresh.select("code", "pid").distinct())
+    lists.write.parquet(f"{path}/{folder}/ivf")
+    given = doclens(fresh)
     flags = gone.withColumn("_gone", F.lit(True))
-    lengths = (old.doclens.join(flags, "pid", "left").select("pid", F.when(F.col("_gone"), F.lit(0).cast("long")).otherwise(F.col("doclen")).alias("doclen"))
-               .unionByName(doclens(fresh).select("pid", "doclen"))).checkpoint()
-    emptied = touched.join(new.select("chunk").distinct(), "chunk", "left_anti")
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/codes")
-    lists.write.mode("overwrite").parquet(f"{path}/ivf")
-    lengths.write.mode("overwrite").parquet(f"{path}/doclens")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for row in emptied.toLocalIterator():      # one row per chunk that lost all its passages
-        place = folder(f"{path}/codes/chunk={row['chunk']}")
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    """The five tables; a missing or empty doclens table is an error."""
-    b = spark.read.parquet(f"{path}/buckets")
+    lengths = (old.doclens.join(given.select("pid"), "pid", "left_anti").join(flags, "pid", "left")
+               .select("pid", F.when(F.col("_gone"), F.lit(0).cast("long")).otherwise(F.col("doclen")).alias("doclen"))
+               .unionByName(given.select("pid", "doclen")))
+    lengths.write.parquet(f"{path}/{folder}/doclens")
+    kept = {c: f for c, f in manifest["chunks"].items() if c not in touched}
+    _publish(spark, path, manifest | {"version": manifest["version"] + 1, "chunks": kept | made,
+                                      "ivf": f"{folder}/ivf", "doclens": f"{folder}/doclens"})
+
+
+def sweep_index(spark: SparkSession, path: str, keep: int = 2, min_age_s: float = 86400.0) -> int:
+    """Delete all but the newest ``keep`` versions, and data folders that no version left names and that are older than
+    ``min_age_s`` (a writer may still be filling younger ones). The number of folders that went."""
+    fs, place = _files(spark, path)
+    versions = index_versions(spark, path)
+    used = set()
+    for v in versions[-keep:]:
+        m = _manifest(spark, path, v)
+        used |= {f.split("/")[1] for f in [*m["chunks"].values(), m["ivf"], m["doclens"], m["centroids"], m["buckets"]]}
+    for v in versions[:-keep]:
+        fs.delete(place(f"{path}/manifest/{v}.json"), False)
+    gone = 0
+    for f in fs.listStatus(place(f"{path}/data")) if fs.exists(place(f"{path}/data")) else []:
+        if f.getPath().getName() not in used and time.time() - f.getModificationTime() / 1000 >= min_age_s:
+            fs.delete(f.getPath(), True)
+            gone += 1
+    return gone
+
+
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """A version of a written index (the newest one by default); no version, or empty lengths, is an error."""
+    m = _manifest(spark, path, version)
+    if m is None:
+        raise ValueError(f"there is no index at {path}")
+    b = spark.read.parquet(f"{path}/{m['buckets']}")
     meta = b.select("nbits", "dim").first()
-    codec = Codec(spark.read.parquet(f"{path}/centroids"), b.drop("nbits", "dim"), int(meta["nbits"]), int(meta["dim"]))
-    dl = spark.read.parquet(f"{path}/doclens")
+    codec = Codec(spark.read.parquet(f"{path}/{m['centroids']}"), b.drop("nbits", "dim"), int(meta["nbits"]), int(meta["dim"]))
+    dl = spark.read.parquet(f"{path}/{m['doclens']}")
     if dl.limit(1).count() == 0:
         raise ValueError("index has no doclens")
-    codes = spark.read.parquet(f"{path}/codes").drop("chunk")
-    return Index(codec, codes, spark.read.parquet(f"{path}/ivf"), dl)
+    schema = T.StructType([dl.schema["pid"], T.StructField("tok_pos", T.LongType()), T.StructField("code", T.IntegerType()),
+                           T.StructField("residual", T.BinaryType())])
+    places = [f"{path}/{f}" for _, f in sorted(m["chunks"].items(), key=lambda c: int(c[0]))]
+    codes = spark.read.parquet(*places).select("pid", "tok_pos", "code", "residual") if places else spark.createDataFrame([], schema)
+    return Index(codec, codes, spark.read.parquet(f"{path}/{m['ivf']}"), dl)

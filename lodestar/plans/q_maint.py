@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import index as I
 from ..session import scratch_dir, table
 from . import bindings as B
-from .q_index import codec, tokens
+from .q_index import BASE, codec, tokens
 from .registry import register
 
 _PIDS = "p AS (SELECT vec_id // 8 AS pid, COUNT(*) AS doclen, MIN(CASE WHEN vec_id % 8 = 0 THEN label END) AS first_label FROM embeddings GROUP BY 1)"
@@ -86,15 +86,16 @@ def v33_gap(spark, d):
     return I.index_check(_meta(spark, d).filter("chunk <> 1"), (n + 15) // 16)
 
 
-@register("K11_write_index", "SELECT CAST(vec_id // 8 // 25000 AS BIGINT) AS chunk, COUNT(*) AS n FROM embeddings GROUP BY 1")
+@register("K11_write_index", BASE + """SELECT CAST(pid // 16 AS BIGINT) AS chunk, COUNT(*) AS n, CAST(SUM(code) AS BIGINT) AS codes,
+ COUNT(DISTINCT pid) AS passages FROM asg GROUP BY 1""")
 def k11(spark, d):
     from .q_index import index
     path = scratch_dir(spark, "k11")
     ix = index(spark, d)
-    I.write_index(ix, path, mode="overwrite")
+    I.write_index(ix, path, mode="overwrite", chunk_size=16)
     I.write_index(ix, path, mode="resume")      # nothing left to write: every chunk is present
-    back = spark.read.parquet(f"{path}/codes")
-    return back.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    back = I.read_index(spark, path).codes.withColumn("chunk", F.floor(F.col("pid") / 16).cast("long"))
+    return back.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("code").alias("codes"), F.count_distinct("pid").alias("passages"))
 
 
 @register("ST1_stream_index", f"WITH {_PIDS} SELECT pid, CAST(CASE WHEN first_label = 3 THEN 0 ELSE doclen END AS BIGINT) AS doclen FROM p")

@@ -206,9 +206,15 @@ def g3(spark, d):
     return S.question_overlap(table(spark, d, "benchmark").select(fw), table(spark, d, "documents").select(fw))
 
 
-@register("G4_queries_without_positives", "SELECT DISTINCT user_id AS qid FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0")
+@register("G4_queries_without_positives", "SELECT DISTINCT user_id AS qid FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'")
 def g4(spark, d):
-    return S.without_positives(B.queries_events(spark, d), B.gold_events(spark, d).filter("pid % 50 = 0"))
+    return S.without_positives(B.queries_events(spark, d), B.gold_events(spark, d))
+
+
+@register("G4_documents_without_good_label", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
+def g4_labels(spark, d):
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
+    return S.without_positives(table(spark, d, "documents").select("doc_id").distinct(), good, "doc_id")
 
 
 @register("G5_distinct_tables", "SELECT text, MIN(doc_id) AS doc_id FROM documents GROUP BY text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,19 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder, for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    sub = os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-    return sub
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

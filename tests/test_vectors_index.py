@@ -260,3 +260,52 @@ def test_write_index_over_itself(spark, built, tmp_path):
     assert now == [r for r in before if r[0] != 3]
     I.write_index(again, path, mode="reuse")
     assert I.read_index(spark, path).codes.count() == len(now)
+
+
+def _state(ix):
+    return (sorted((r.pid, r.tok_pos, r.code, bytes(r.residual)) for r in ix.codes.collect()),
+            sorted(tuple(r) for r in ix.ivf.select("code", "pid").collect()), sorted(tuple(r) for r in ix.doclens.collect()))
+
+
+def test_publish_after_any_failure(spark, built, tmp_path, monkeypatch):
+    """A change that fails between any two of its writes leaves the version before; repeated, it gives the whole result once."""
+    from pyspark.sql.readwriter import DataFrameWriter
+    toks, codecs = built
+    ix = I.build_index(toks, codecs[2])
+    last = toks.agg(F.max("pid")).first()[0]
+    half = I.Index(ix.codec, ix.codes.filter(F.col("pid") <= last - 10), ix.ivf.filter(F.col("pid") <= last - 10), ix.doclens.filter(F.col("pid") <= last - 10))
+    rest = I.Index(ix.codec, ix.codes.filter(F.col("pid") > last - 10), ix.ivf.filter(F.col("pid") > last - 10), ix.doclens.filter(F.col("pid") > last - 10))
+    gone = spark.createDataFrame([(0,), (17,)], "pid long")
+    want = _state(I.index_remove(ix, gone))
+    path, write, publish = str(tmp_path / "ix"), DataFrameWriter.parquet, I._publish
+    I.write_index(half, path, chunk_size=16)
+    before = _state(I.read_index(spark, path))
+    for fail_at in range(4):
+        calls = []
+
+        def failing(self, *a, **k):
+            calls.append(a)
+            if len(calls) > fail_at:
+                raise OSError("lost")
+            return write(self, *a, **k)
+
+        def no_publish(*a):
+            raise OSError("lost before the manifest")
+
+        monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+        monkeypatch.setattr(I, "_publish", no_publish)
+        with pytest.raises(OSError):
+            I.persist_changes(spark, path, gone, rest)
+        monkeypatch.setattr(DataFrameWriter, "parquet", write)
+        monkeypatch.setattr(I, "_publish", publish)
+        assert _state(I.read_index(spark, path)) == before
+    for _ in range(2):      # a repeat after success changes nothing
+        I.persist_changes(spark, path, gone, rest)
+        assert _state(I.read_index(spark, path)) == want
+    assert I.index_versions(spark, path) == [1, 2, 3] and _state(I.read_index(spark, path, 1)) == before
+    stale = I._manifest(spark, path, 2)
+    with pytest.raises(RuntimeError):       # a writer that started from an older version
+        I._publish(spark, path, stale | {"version": 3})
+    assert I.sweep_index(spark, path, keep=1) == 0 and I.index_versions(spark, path) == [3]      # young folders stay
+    assert I.sweep_index(spark, path, keep=1, min_age_s=0) > 0
+    assert _state(I.read_index(spark, path)) == want
