@@ -450,7 +450,7 @@ def assign_chunks(doclens_df: DataFrame, chunk_size: int) -> DataFrame:
     """Chunk of each pid (``pid // chunk_size``) with embedding offsets (W8 per chunk)."""
     from .ranking import running_offsets
     d = doclens_df.withColumn("chunk", F.floor(F.col("pid") / chunk_size).cast("long"))
-    return running_offsets(d, "doclen", ["pid"], partition_by=["chunk"], offset_col="emb_offset")
+    return running_offsets(d, "doclen", ["pid"], partition_by=["chunk"], offset_col="emb_offset", hot_rows=None)
 
 
 def chunk_metadata(chunked: DataFrame) -> DataFrame:

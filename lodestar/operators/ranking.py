@@ -2,7 +2,8 @@
 
 All per-query work is partitioned by the query key, so a query's rows meet in one task only
 after a ``WindowGroupLimit`` has cut them to ``k`` on the map side (Catalyst inserts it for
-``row_number() <= k``). Global numbering never uses an un-partitioned window: ``zip_index``
+``row_number() <= k``). Places and running sums inside keys of unknown size (``running_in_keys``) cut a hot
+key into slices. Global numbering never uses an un-partitioned window: ``zip_index``
 counts rows per partition of a sorted table that is written once (``checkpoint()``), so rows and counts
 come from the same partitions, and adds broadcast offsets (the number of partitions is the bound).
 """
@@ -16,17 +17,30 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: Rows of one key that a single sorted window may hold; a key with more is cut into slices.
+HOT_ROWS = 1 << 20
+#: Hot keys that may be broadcast.
+HOT_KEYS = 1 << 16
+
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _best_first(score: str, tie: str, tie_desc: bool) -> list[Column]:
+    return [F.col(score).desc(), F.col(tie).desc() if tie_desc else F.col(tie).asc()]
+
+
 def rank_by_score(df: DataFrame, key: str = "qid", score: str = "score", tie: str = "docid",
-                  tie_desc: bool = False, rank_col: str = "rank") -> DataFrame:
-    """Rank from 1 by score descending inside each ``key``; ties broken by ``tie``."""
-    tie_order = F.col(tie).desc() if tie_desc else F.col(tie).asc()
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), tie_order)
-    return df.withColumn(rank_col, F.row_number().over(w).cast("long"))
+                  tie_desc: bool = False, rank_col: str = "rank", hot_rows: int | None = None) -> DataFrame:
+    """Rank from 1 by score descending inside each ``key``; ties broken by ``tie``.
+
+    One window per key, for rankings bounded by a retrieval depth. With ``hot_rows`` a key may hold any number of
+    rows: one above the limit is ranked in slices (:func:`running_in_keys`)."""
+    order = _best_first(score, tie, tie_desc)
+    if hot_rows is None:
+        return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    return running_in_keys(df, [key], order, out=rank_col, hot_rows=hot_rows).withColumn(rank_col, F.col(rank_col) + 1)
 
 
 def topk_per_query(df: DataFrame, k: int, key: str = "qid", score: str = "score", tie: str = "docid",
@@ -117,19 +131,17 @@ def chunk_size(n: Column, ranks: int, cap: int = 25000) -> Column:
 
 
 def running_offsets(df: DataFrame, length: str, order_by: Sequence[str | Column],
-                    partition_by: Sequence[str] | None = None, offset_col: str = "offset") -> DataFrame:
+                    partition_by: Sequence[str] | None = None, offset_col: str = "offset",
+                    hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Exclusive running sum of ``length``.
 
-    With ``partition_by`` this is a per-group window. Without it, the rows are sorted and written once,
-    and the running sum is done per range partition plus broadcast partition totals, so no single
-    task sees the whole table.
+    Without ``partition_by``, the rows are sorted and written once, and the running sum is done per range
+    partition plus broadcast partition totals, so no single task sees the whole table. With ``partition_by``
+    see :func:`running_in_keys`.
     """
-    integral = df.schema[length].dataType.typeName() in ("long", "integer", "short", "byte")
-    out_type = "long" if integral else "double"
     if partition_by:
-        w = Window.partitionBy(*partition_by).orderBy(*_cols(order_by)).rowsBetween(
-            Window.unboundedPreceding, -1)
-        return df.withColumn(offset_col, F.coalesce(F.sum(length).over(w), F.lit(0)).cast(out_type))
+        return running_in_keys(df, partition_by, order_by, length, offset_col, hot_rows)
+    out_type = _sum_type(df, length)
     s = _sorted_once(df, order_by)
     totals = s.groupBy("_part").agg(F.sum(length).alias("_tot"))
     wt = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -141,6 +153,65 @@ def running_offsets(df: DataFrame, length: str, order_by: Sequence[str | Column]
     return out.drop("_part", "_at", "_local", "_base")
 
 
+def _sum_type(df: DataFrame, length: str) -> str:
+    return "long" if df.schema[length].dataType.typeName() in ("long", "integer", "short", "byte") else "double"
+
+
+def running_in_keys(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], length: str | None = None,
+                    out: str = "offset", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Exclusive running sum of ``length`` inside each group of equal ``keys`` (nulls are a group), or the 0-based
+    place of a row where ``length`` is None. The order must be total for places to be the same in each run.
+
+    Groups of up to ``hot_rows`` rows are one sorted window each. A larger group never is: its rows go through
+    :func:`_running_slices`. Groups are counted first (partial counts, one row per group); ``hot_rows=None`` says
+    that all groups are small by construction and leaves the count out.
+    """
+    keys = list(keys)
+    before = Window.partitionBy(*keys).orderBy(*_cols(order_by)).rowsBetween(Window.unboundedPreceding, -1)
+    step = F.lit(1) if length is None else F.col(length)
+    kind = "long" if length is None else _sum_type(df, length)
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, F.coalesce(F.sum(step).over(before), F.lit(0)).cast(kind))
+
+    if hot_rows is None:
+        return windowed(df)
+    ensure_checkpoint_dir(df.sparkSession)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(
+        *[F.col(c).alias(f"_hot{i}") for i, c in enumerate(keys)]).checkpoint()
+    n_hot = hot.count()
+    if n_hot == 0:
+        return windowed(df)
+    if n_hot <= HOT_KEYS:
+        hot = F.broadcast(hot)
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & df[c].eqNullSafe(F.col(f"_hot{i}"))
+    rest = windowed(df.join(hot, same, "left_anti"))
+    return rest.unionByName(_running_slices(df.join(hot, same, "left_semi"), keys, order_by, step, kind, out))
+
+
+def _running_slices(df: DataFrame, keys: list[str], order_by: Sequence[str | Column], step: Column, kind: str,
+                    out: str) -> DataFrame:
+    """Running sums of groups of any size: rows are range-partitioned by keys and order and written once, so a group
+    lies in consecutive partitions. A slice, what one partition holds of a group, is summed by itself. Only the first
+    slice of a partition can go on from an earlier one, and only the first and last slices of partitions can be
+    gone on from: those few rows (two a partition at most) give what is carried into each partition."""
+    s = _sorted_once(df, [*keys, *order_by]).withColumn("_step", step)
+    ends = s.groupBy("_part").agg(F.max("_at").alias("_end"))
+    slices = s.groupBy("_part", *keys).agg(F.sum("_step").alias("_sum"), F.min("_at").alias("_a"), F.max("_at").alias("_b"))
+    edges = slices.join(F.broadcast(ends), "_part").filter((F.col("_a") == 0) | (F.col("_b") == F.col("_end")))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.withColumn("_carried", F.sum("_sum").over(earlier)).filter(F.col("_carried").isNotNull()) \
+        .select("_part", "_carried")
+    inside = Window.partitionBy("_part", *keys).orderBy("_at")
+    first = F.col("_at") == F.row_number().over(inside) - 1       # of its partition
+    local = F.coalesce(F.sum("_step").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = s.withColumn("_first", first).withColumn("_local", local).join(F.broadcast(carried), "_part", "left")
+    total = F.col("_local") + F.when(F.col("_first"), F.coalesce("_carried", F.lit(0))).otherwise(F.lit(0))
+    return rows.withColumn(out, total.cast(kind)).drop("_part", "_at", "_step", "_first", "_local", "_carried")
+
+
 def first_hit(ranked: DataFrame, hit: str = "has_answer", key: str = "qid", rank: str = "rank",
               out: str = "first_hit_rank") -> DataFrame:
     """Smallest rank with a hit per key (null when none)."""
@@ -173,8 +244,8 @@ def fill_short_shard(batches: DataFrame, shard_col: str = "shard", batch_col: st
     per = batches.groupBy(shard_col).agg(F.countDistinct(batch_col).alias("_nb"))
     mx = per.agg(F.max("_nb").alias("_mx"))
     missing = per.crossJoin(F.broadcast(mx)).withColumn("_miss", F.col("_mx") - F.col("_nb")).filter("_miss > 0")
-    first = batches.withColumn("_minb", F.min(batch_col).over(Window.partitionBy(shard_col))).filter(
-        F.col(batch_col) == F.col("_minb")).drop("_minb")
+    least = batches.groupBy(shard_col).agg(F.min(batch_col).alias(batch_col))      # one row per shard
+    first = batches.join(least, [shard_col, batch_col], "left_semi")
     copies = (first.join(missing.select(shard_col, "_nb", "_miss"), shard_col)
               .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_miss").cast("long") - 1)))
               .withColumn(batch_col, (F.col("_nb") + F.col("_c")).cast(batches.schema[batch_col].dataType))

@@ -137,7 +137,7 @@ def compose_batch(samples: DataFrame, num_hard: int, num_other: int, batch: str
     s = samples.select(batch, "qid", F.get(F.col("positives"), 0).alias("positive"),
                        F.slice("negatives", 1, num_other).alias("negs"), hard.alias("hards"))
     s = s.withColumn("_n", (1 + F.size("negs") + F.size("hards")).cast("long"))
-    s = running_offsets(s, "_n", ["qid"], partition_by=[batch], offset_col="positive_idx")
+    s = running_offsets(s, "_n", ["qid"], partition_by=[batch], offset_col="positive_idx", hot_rows=None)
     start = F.col("positive_idx") + 1 + F.size("negs")
     return s.withColumn("hard_idx", F.transform("hards", lambda x, i: start + i)).drop("_n")
 

@@ -14,7 +14,15 @@ from .registry import register
 
 @register("W1_rank_by_score", B.with_ctes(B.SQL_RANKING_EVENTS) + "SELECT qid, pid, CAST(rank AS BIGINT) AS rank FROM ranking")
 def w1(spark, d):
-    return B.ranking_events(spark, d).select("qid", "pid", "rank")
+    e = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("pid"), F.col("value").alias("score"))
+    return W.rank_by_score(e, "qid", "score", "pid", hot_rows=W.HOT_ROWS).select("qid", "pid", "rank")
+
+
+@register("W1_rank_by_score_hot", "SELECT event_type AS qid, event_id AS pid, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events")
+def w1_hot(spark, d):
+    """A handful of keys hold all rows, so each is above this limit and is ranked in slices."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("qid"), F.col("event_id").alias("pid"), F.col("value").alias("score"))
+    return W.rank_by_score(e, "qid", "score", "pid", hot_rows=64).select("qid", "pid", "rank")
 
 
 @register("W2_topk_per_query", B.with_ctes(B.SQL_RANKING_EVENTS) + "SELECT qid, pid, CAST(rank AS BIGINT) AS rank FROM ranking WHERE rank <= 5")
@@ -103,7 +111,7 @@ ns AS (SELECT COUNT(*) AS k FROM sb)"""
 SELECT source, CAST(s AS BIGINT) AS slot, CAST(s % n_batches AS BIGINT) AS batch FROM slots, LATERAL unnest(range(0, n_slots)) t(s)""")
 def w13(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    per = docs.withColumn("_i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    per = W.running_in_keys(docs, ["source"], ["doc_id"], out="_i")
     batches = per.select("source", F.floor(F.col("_i") / 10).cast("long").alias("batch")).distinct()
     nsrc = docs.select("source").distinct()
     rates = nsrc.crossJoin(nsrc.agg(F.count(F.lit(1)).alias("_k"))).select("source", (1.0 / F.col("_k")).alias("rate"))
@@ -118,9 +126,9 @@ copies AS (SELECT f.shard, f.doc_id, CAST(p.nb + c AS BIGINT) AS batch, TRUE AS
            FROM first f JOIN per p ON f.shard = p.shard, mx, LATERAL unnest(range(0, mx.mx - p.nb)) t(c))
 SELECT shard, doc_id, batch, CAST(filled AS BIGINT) AS filled FROM (SELECT shard, doc_id, batch, FALSE AS filled FROM b UNION ALL SELECT * FROM copies)""")
 def w14(spark, d):
-    docs = table(spark, d, "documents")
-    b = docs.select(F.col("source").alias("shard"), "doc_id",
-                    F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 8).cast("long").alias("batch"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("shard"), "doc_id")
+    b = W.running_in_keys(docs, ["shard"], ["doc_id"], out="_i")
+    b = b.select("shard", "doc_id", F.floor(F.col("_i") / 8).cast("long").alias("batch"))
     out = W.fill_short_shard(b)
     return out.select("shard", "doc_id", "batch", F.col("filled").cast("long").alias("filled"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as DOC
+from ..operators.ranking import running_in_keys
 from ..session import table
 from .registry import register
 
@@ -169,8 +170,11 @@ def p10(spark, d):
 @register("P11_exact_match", f"""WITH x AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS nxt FROM documents)
 SELECT doc_id, CAST(CASE WHEN {sql_norm_answer('text')} = {sql_norm_answer('nxt')} THEN 1 ELSE 0 END AS BIGINT) AS em FROM x WHERE nxt IS NOT NULL""")
 def p11(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    x = _docs(spark, d).select("doc_id", "text", F.lead("text").over(w).alias("nxt")).filter(F.col("nxt").isNotNull())
+    docs = _docs(spark, d)
+    at = running_in_keys(docs.select("doc_id", "source"), ["source"], ["doc_id"], out="at")
+    pairs = at.alias("a").join(at.alias("b"), F.expr("a.source <=> b.source and b.at = a.at + 1")).select("a.doc_id", F.col("b.doc_id").alias("next_id"))
+    after = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("nxt")).filter(F.col("nxt").isNotNull())
+    x = pairs.join(after, "next_id").join(docs.select("doc_id", "text"), "doc_id")
     return x.select("doc_id", T.exact_match("text", "nxt").cast("long").alias("em"))
 
 
