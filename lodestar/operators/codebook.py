@@ -28,6 +28,10 @@ from ..session import ensure_checkpoint_dir
 
 #: Vectors of one list that a task's group holds.
 SLICE = 1 << 13
+#: Bytes of a list's vectors, which one task holds as a matrix.
+LIST_BYTES = 32 << 20
+#: Rows, copied to lists, that are sent on at once.
+COPIES = 1 << 14
 #: Scores are rounded before they are compared, so equal centroids tie however products are blocked.
 DIGITS = 12
 _SLACK = 1e-9
@@ -84,8 +88,9 @@ def build_codebook(centroids: DataFrame, rounds: int = 2) -> Codebook:
     k = centroids.count()
     if k == 0:
         raise ValueError("a codebook needs a centroid")
-    coarse, most = max(1, math.ceil(math.sqrt(k))), 4 * math.ceil(math.sqrt(k))
+    coarse = max(1, math.ceil(math.sqrt(k)))
     centers = _stack(centroids.orderBy(F.xxhash64("code"), "code").limit(coarse).toPandas()["centroid"])
+    most = max(1, min(4 * coarse, LIST_BYTES // (8 * max(1, centers.shape[1]))))
     for _ in range(rounds):
         got = _means(centroids.withColumn("cell", _coarse_cell(centers)("centroid")), "cell", "centroid").toPandas()
         if len(got):
@@ -131,31 +136,42 @@ def _top(scores: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(scores), n)
 
 
-def _meet(sent: DataFrame, book: Codebook, n: int) -> DataFrame:
-    """``(id, code, score)``: the ``n`` best of each list for ``sent(id, embedding, list)``."""
-    spark, total = sent.sparkSession, len(book.size)
-    counts = np.zeros(total, np.int64)
+def _sliced(sent: DataFrame, book: Codebook):
+    """``sent(id, ..., list)`` beside the lists' vectors, by list and slice: as many slices as a list's rows ask for."""
+    counts = np.zeros(len(book.size), np.int64)
     for r in sent.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():     # one row per list
         counts[r["list"]] = r["n"]
     slices = F.array(*[F.lit(int(c)) for c in np.maximum(1, -(-counts // SLICE))])
     rows = sent.withColumn("slice", F.pmod(F.xxhash64("id"), F.get(slices, F.col("list"))))
     fine = book.lists.select("code", "list", "centroid", F.explode(F.sequence(F.lit(0).cast("long"), (F.get(slices, F.col("list")) - 1).cast("long"))).alias("slice"))
+    return rows.groupBy("list", "slice").cogroup(fine.groupBy("list", "slice"))
+
+
+def _meet(sent: DataFrame, book: Codebook, n: int) -> DataFrame:
+    """``(id, code, score)``: the ``n`` best of each list for ``sent(id, embedding, list)``."""
 
     def kernel(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(c):
-            return pd.DataFrame({"id": x["id"][:0], "code": np.zeros(0, np.int32), "score": np.zeros(0)})
+            return pd.DataFrame({"id": x["id"][:0], "code": c["code"][:0], "score": np.zeros(0)})
         c = c.sort_values("code")
         codes, C, ids, X = c["code"].to_numpy(), _stack(c["centroid"]).T, x["id"].to_numpy(), x["embedding"]
         out, step = [], max(1, (1 << 22) // len(codes))
         for s in range(0, len(x), step):
             S = np.round(_stack(X.iloc[s:s + step]) @ C, DIGITS)
             best = _top(S, codes, n)
-            out.append(pd.DataFrame({"id": np.repeat(ids[s:s + step], best.shape[1]), "code": codes[best].ravel().astype(np.int32),
+            out.append(pd.DataFrame({"id": np.repeat(ids[s:s + step], best.shape[1]), "code": codes[best].ravel(),
                                      "score": np.take_along_axis(S, best, 1).ravel()}))
         return pd.concat(out)
 
-    schema = T.StructType([sent.schema["id"], T.StructField("code", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    return rows.groupBy("list", "slice").cogroup(fine.groupBy("list", "slice")).applyInPandas(kernel, schema)
+    schema = T.StructType([sent.schema["id"], book.lists.schema["code"], T.StructField("score", T.DoubleType())])
+    return _sliced(sent, book).applyInPandas(kernel, schema)
+
+
+def _copies(p: pd.DataFrame, go: np.ndarray):
+    """Rows copied to the lists that ``go`` marks, sent on in bounded steps."""
+    row, number = np.nonzero(go)
+    for s in range(0, len(row), COPIES):
+        yield p.iloc[row[s:s + COPIES]].assign(list=number[s:s + COPIES].astype(np.int32))
 
 
 def nearest_codes(vectors: DataFrame, book: Codebook, n: int = 1) -> DataFrame:
@@ -189,8 +205,7 @@ def nearest_codes(vectors: DataFrame, book: Codebook, n: int = 1) -> DataFrame:
                 go = starts(X, center, size)
                 if with_score:
                     go = ~go & (size > 0) & (X @ center.T + norm * radius + _SLACK * (1 + norm) >= p["proven"].to_numpy()[:, None])
-                row, number = np.nonzero(go)
-                yield pd.DataFrame({"id": p["id"].to_numpy()[row], "embedding": p["embedding"].to_numpy()[row], "list": number.astype(np.int32)})
+                yield from _copies(p[["id", "embedding"]], go)
         return run
 
     order = Window.partitionBy("id").orderBy(F.desc("score"), "code")
@@ -202,6 +217,49 @@ def nearest_codes(vectors: DataFrame, book: Codebook, n: int = 1) -> DataFrame:
     return first.unionByName(more).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+def counts_above(vectors: DataFrame, book: Codebook) -> DataFrame:
+    """``(id, above, met)`` for ``vectors(id, embedding, threshold)``: how many of the book's vectors have a dot product strictly
+    above the threshold (both rounded to 12 digits), and how many had to be multiplied to know.
+
+    A list whose bounds ``x.m +- |x| r`` both lie above the threshold counts as a whole, one whose upper bound does not reach
+    it counts nothing; only lists in between are met. Ids must be distinct."""
+    bc = book.broadcast(vectors.sparkSession)
+    vectors = _cut(vectors.select("id", "embedding", F.col("threshold").cast("double").alias("threshold")))
+    told = T.StructType([vectors.schema["id"], T.StructField("above", T.LongType()), T.StructField("met", T.LongType())])
+
+    def bounds(p: pd.DataFrame):
+        center, radius, size = bc.value
+        X = _stack(p["embedding"])
+        norm, thr = np.linalg.norm(X, axis=1, keepdims=True), p["threshold"].to_numpy()[:, None]
+        middle, slack = X @ center.T, norm * radius + _SLACK * (1 + norm)
+        whole = (middle - slack > thr) & (size > 0)
+        return whole, ~whole & (middle + slack >= thr) & (size > 0), size
+
+    def sure(it):
+        for p in it:
+            if len(p):
+                whole, unsure, size = bounds(p)
+                yield pd.DataFrame({"id": p["id"].to_numpy(), "above": (whole * size).sum(1), "met": (unsure * size).sum(1)})
+
+    def routed(it):
+        for p in it:
+            if len(p):
+                yield from _copies(p, bounds(p)[1])
+
+    def kernel(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"id": x["id"], "above": 0, "met": 0})
+        if len(x) and len(c):
+            C, thr = _stack(c["centroid"]).T, np.round(x["threshold"].to_numpy(), DIGITS)[:, None]
+            step = max(1, (1 << 22) // C.shape[1])
+            out["above"] = np.concatenate([(np.round(_stack(x["embedding"].iloc[s:s + step]) @ C, DIGITS) > thr[s:s + step]).sum(1)
+                                           for s in range(0, len(x), step)])
+        return out
+
+    sent = _cut(vectors.mapInPandas(routed, T.StructType([*vectors.schema.fields, T.StructField("list", T.IntegerType())])))
+    parts = vectors.mapInPandas(sure, told).unionByName(_sliced(sent, book).applyInPandas(kernel, told))
+    return parts.groupBy("id").agg(F.sum("above").cast("long").alias("above"), F.sum("met").cast("long").alias("met"))
+
+
 def lloyd(vectors: DataFrame, centroids: DataFrame, rounds: int = 4, normalise: bool = True) -> DataFrame:
     """``rounds`` steps of spherical k-means from ``centroids(code, centroid)`` over ``vectors(id, embedding)``.
 

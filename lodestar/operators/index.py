@@ -175,31 +175,105 @@ def residual_stats(residuals: DataFrame) -> DataFrame:
     return mean.select(F.posexplode(vector_to_array("m")).alias("dim", "avg_abs"))
 
 
-def _quantiles(values: DataFrame, shares: list[float]) -> list[float]:
-    """Exact linear quantiles of one column: the values at the places they lie between."""
-    from .ranking import zip_index
-    idx = zip_index(values.select(F.col(values.columns[0]).cast("double").alias("r")), ["r"], "i")
-    n = idx.count()
-    places = [x * (n - 1) for x in shares]
+#: Bins that a counting pass cuts a range into, and values that may be gathered once ranges are narrow.
+RANGE_BINS, RANGE_VALUES = 1 << 10, 1 << 16
+
+
+def _in_ranges(p: pd.DataFrame, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a batch that lie in one of the disjoint ranges, with the number of the range."""
+    x = np.concatenate([np.zeros(0), *p.iloc[:, 0]])
+    at = np.searchsorted(lo, x, side="right") - 1
+    ok = (at >= 0) & (x <= hi[np.maximum(at, 0)])
+    return x[ok], at[ok]
+
+
+def _count_bins(rows: DataFrame, lo: np.ndarray, hi: np.ndarray) -> pd.DataFrame:
+    """One pass over the values: ``(slot, n, least, most)`` of each filled bin of each range, added up in every task
+    before anything is shuffled. ``slot`` is ``range * RANGE_BINS + bin``."""
+    slots = len(lo) * RANGE_BINS
+
+    def kernel(it):
+        n, least, most = np.zeros(slots, np.int64), np.full(slots, np.inf), np.full(slots, -np.inf)
+        for p in it:
+            x, at = _in_ranges(p, lo, hi)
+            part = (x - lo[at]) / np.maximum(hi[at] - lo[at], np.finfo(np.float64).tiny) * RANGE_BINS
+            slot = at * RANGE_BINS + np.minimum(part.astype(np.int64), RANGE_BINS - 1)
+            n += np.bincount(slot, minlength=slots)
+            np.minimum.at(least, slot, x)
+            np.maximum.at(most, slot, x)
+        filled = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": filled, "n": n[filled], "least": least[filled], "most": most[filled]})
+
+    counts = rows.mapInPandas(kernel, "slot long, n long, least double, most double")
+    return counts.groupBy("slot").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")) \
+        .toPandas().sort_values("slot", ignore_index=True)       # ranges x RANGE_BINS rows at most
+
+
+def _order_statistics(rows: DataFrame, places: list[int], least: float, most: float) -> dict[int, float]:
+    """The values at the given 0-based ``places`` of the sorted values. Every pass counts the values in bins of the ranges
+    that still hold a wanted place and narrows each place to its bin (from the least to the largest value in it). Ranges of one
+    value are done; when those left hold few values, these are read. Values are never sorted or exchanged."""
+    found: dict[int, float] = {}
+    open_ranges = {(least, most): [(p, p) for p in places]}       # place, place inside the range
+    held = None
+    while open_ranges:
+        for lo, hi in [r for r in open_ranges if r[0] == r[1]]:
+            found.update((p, lo) for p, _ in open_ranges.pop((lo, hi)))
+        if not open_ranges:
+            break
+        ranges = sorted(open_ranges)
+        lo, hi = np.array([r[0] for r in ranges]), np.array([r[1] for r in ranges])
+        if held is not None and sum(held[r] for r in ranges) <= RANGE_VALUES:
+            def kernel(it, lo=lo, hi=hi):
+                for p in it:
+                    yield pd.DataFrame({"x": _in_ranges(p, lo, hi)[0]})
+
+            x = np.sort(rows.mapInPandas(kernel, "x double").toPandas()["x"].to_numpy())
+            for r in ranges:
+                own = x[np.searchsorted(x, r[0], side="left"):]
+                found.update((p, float(own[i])) for p, i in open_ranges[r])
+            break
+        bins = _count_bins(rows, lo, hi)
+        narrower: dict[tuple[float, float], list[tuple[int, int]]] = {}
+        held = {}
+        for k, r in enumerate(ranges):
+            own = bins[bins["slot"] // RANGE_BINS == k]
+            ends = own["n"].cumsum().to_numpy()
+            for p, i in open_ranges[r]:
+                b = int(np.searchsorted(ends, i, side="right"))
+                bin_ = own.iloc[b]
+                new = (float(bin_["least"]), float(bin_["most"]))
+                held[new] = int(bin_["n"])
+                narrower.setdefault(new, []).append((p, i - int(ends[b] - bin_["n"])))
+        open_ranges = narrower
+    return found
+
+
+def _quantiles(rows: DataFrame, shares: list[float]) -> list[float]:
+    """Exact linear quantiles of all values of an array column: the values at the places they lie between."""
+    told = rows.select(F.col(rows.columns[0]).alias("r")).agg(
+        F.sum(F.size("r")).alias("n"), F.min(F.array_min("r")).alias("least"), F.max(F.array_max("r")).alias("most")).first()
+    if not told["n"]:
+        raise ValueError("quantiles need at least one value")
+    places = [x * (told["n"] - 1) for x in shares]
     need = sorted({int(math.floor(p)) for p in places} | {int(math.ceil(p)) for p in places})
-    at = {row["i"]: row["r"] for row in idx.filter(F.col("i").isin(need)).collect()}
+    at = _order_statistics(rows, need, told["least"], told["most"])
     return [at[math.floor(p)] * (1 - (p - math.floor(p))) + at[math.ceil(p)] * (p - math.floor(p)) for p in places]
 
 
 def bucket_table(residuals: DataFrame, nbits: int, approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """cutoffs = quantiles ``i/2^n`` (i >= 1), weights = quantiles ``(i+0.5)/2^n`` over all
-    residual values. Exact linear quantiles by default, read off a distributed sort at the places they
-    need (two per quantile); ``approx`` switches to ``percentile_approx``."""
+    residual values. Exact linear quantiles by default, by counting passes over ever narrower ranges round the
+    places they need (two per quantile), without a sort; ``approx`` switches to ``percentile_approx``."""
     m = 2 ** nbits
     cuts = [i / m for i in range(1, m)]
     wts = [(i + 0.5) / m for i in range(m)]
-    vals = residuals.select(F.explode("residual").alias("r"))
     qs = cuts + wts                      # one aggregate for all quantiles
     stats = residual_stats(residuals).agg(F.avg("avg_abs").alias("avg_residual"))
     if approx:
-        q = vals.agg(F.percentile_approx("r", qs, accuracy).cast("array<double>").alias("_q"))
+        q = residuals.select(F.explode("residual").alias("r")).agg(F.percentile_approx("r", qs, accuracy).cast("array<double>").alias("_q"))
     else:
-        q = residuals.sparkSession.createDataFrame([(_quantiles(vals, qs),)], "_q array<double>")
+        q = residuals.sparkSession.createDataFrame([(_quantiles(residuals.select("residual"), qs),)], "_q array<double>")
     return q.select(F.slice("_q", 1, len(cuts)).alias("cutoffs"), F.slice("_q", len(cuts) + 1, len(wts)).alias("weights")) \
         .crossJoin(stats)
 

@@ -2,11 +2,14 @@
 (V4-V9, V34, J15, A14, A15).
 
 Exact bulk scoring runs on a grid: queries and documents are each dealt into blocks by a hash of
-their key. Query blocks are as many as keep a block's matrix within ``MAX_BLOCK_BYTES``, document
-blocks as many as the session's shuffles have partitions, the setting that follows the data's size
-(no pass over the documents is spent on counting them); every cell (query block, document block) is one cogroup that multiplies its two matrices with numpy and keeps only a local
+their key. Blocks of both sides are as many as keep a block's matrix within ``MAX_BLOCK_BYTES`` (document
+blocks at least as many as the session's shuffles have partitions); every cell (query block, document block) is one
+cogroup that multiplies its two matrices with numpy and keeps only a local
 top-k (or a count) per query. Nothing is collected or broadcast; the final top-k per query is a
 ``row_number`` window over at most ``document blocks x k`` rows per query.
+
+``knn_balls`` and ``count_above_balls`` give the same answers by skipping: documents are dealt into balls (the lists of
+:mod:`codebook`, no larger than ``LIST_BYTES``), and a query meets only balls whose bound reaches its k-th score.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import dot, sq_l2
+from .codebook import DIGITS
 from .ranking import topk_per_query
 
 MAX_BLOCK_BYTES = 32 << 20      # one query block's float64 matrix
@@ -75,21 +79,22 @@ def _scores(Q: np.ndarray, D: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _blocks(df: DataFrame, vec: str, max_bytes: int) -> int:
-    """Blocks for the query side, by its size in bytes."""
+    """Blocks of one side, by its size in bytes."""
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
     return max(1, -(-int(stats["n"]) * int(stats["dim"] or 1) * 8 // max_bytes))
 
 
-def _grid(queries: DataFrame, docs: DataFrame, qkeys: Sequence[str], did: str | None, qvec: str, dvec: str, max_bytes: int):
+def _grid(queries: DataFrame, docs: DataFrame, qkeys: Sequence[str], did: str, qvec: str, dvec: str, max_bytes: int):
     """Both sides dealt into blocks and copied to the cells of their row or column of the grid."""
-    nq, nd = _blocks(queries, qvec, max_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nq = _blocks(queries, qvec, max_bytes)
+    nd = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), _blocks(docs, dvec, max_bytes))
 
     def deal(df, keys, own, n_own, other, n_other):
         df = df.withColumn(own, F.pmod(F.xxhash64(*keys), F.lit(n_own)).cast("int"))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     q = deal(queries, list(qkeys), "_qb", nq, "_db", nd)
-    d = deal(docs, [did] if did else [dvec], "_db", nd, "_qb", nq)
+    d = deal(docs, [did], "_db", nd, "_qb", nq)
     return q.groupBy("_qb", "_db").cogroup(d.groupBy("_qb", "_db"))
 
 
@@ -135,9 +140,12 @@ def knn_flat(queries: DataFrame, docs: DataFrame, k: int, qkeys: Sequence[str] =
 
 
 def count_scores_above(queries: DataFrame, docs: DataFrame, threshold_col: str, qkeys: Sequence[str] = ("qid",),
-                       qvec: str = "embedding", dvec: str = "embedding", max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+                       qvec: str = "embedding", dvec: str = "embedding", max_block_bytes: int = MAX_BLOCK_BYTES,
+                       did: str = "cid") -> DataFrame:
     """A14 core: per query, the number of documents scoring strictly above the query's threshold
-    (e.g. its gold score): products per cell of the grid with a count each, then a sum. No sort."""
+    (e.g. its gold score): products per cell of the grid with a count each, then a sum. No sort.
+    Scores and thresholds are rounded to 12 digits: a document equal to the gold one is never above it. Documents
+    are dealt by ``did``, so equal vectors do not meet in one block."""
     qkeys = list(qkeys)
     schema = T.StructType([queries.schema[c] for c in qkeys] + [T.StructField("above", T.LongType())])
     queries = queries.select(*qkeys, F.col(threshold_col).cast("double").alias("_thr"), F.col(qvec).alias("_qv"))
@@ -146,21 +154,52 @@ def count_scores_above(queries: DataFrame, docs: DataFrame, threshold_col: str,
         out = qpdf[qkeys].copy()
         out["above"] = 0
         if len(qpdf) and len(dpdf):
-            Q, thr, D = _matrix(qpdf["_qv"]), qpdf["_thr"].to_numpy(), _matrix(dpdf["_dv"])
+            Q, thr, D = _matrix(qpdf["_qv"]), np.round(qpdf["_thr"].to_numpy(), DIGITS)[:, None], _matrix(dpdf["_dv"])
             step = max(1, MAX_BLOCK_CELLS // len(Q))
-            out["above"] = sum(((Q @ D[s:s + step].T) > thr[:, None]).sum(1) for s in range(0, len(D), step))
+            out["above"] = sum((np.round(Q @ D[s:s + step].T, DIGITS) > thr).sum(1) for s in range(0, len(D), step))
         return out
 
-    cells = _grid(queries, docs.select(F.col(dvec).alias("_dv")), qkeys, None, "_qv", "_dv", max_block_bytes).applyInPandas(kernel, schema)
+    docs = docs.select(F.col(did).alias("_id"), F.col(dvec).alias("_dv"))
+    cells = _grid(queries, docs, qkeys, "_id", "_qv", "_dv", max_block_bytes).applyInPandas(kernel, schema)
     return cells.groupBy(*qkeys).agg(F.sum("above").cast("long").alias("gold_rank"))
 
 
+def _gold_scores(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    gold = questions.join(contexts.select(F.col("cid").alias("gold_cid"), F.col("embedding").alias("_g")), "gold_cid")
+    return gold.withColumn("_gs", dot("embedding", "_g")).drop("_g")
+
+
 def average_rank(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     """``questions(qid, embedding, gold_cid)``, ``contexts(cid, embedding)``: per question the
     0-based rank of its gold context among all contexts = contexts scoring strictly higher."""
-    gold = questions.join(contexts.select(F.col("cid").alias("gold_cid"), F.col("embedding").alias("_g")), "gold_cid")
-    gold = gold.withColumn("_gs", dot("embedding", "_g")).drop("_g")
-    return count_scores_above(gold, contexts, "_gs", ["qid"])
+    return count_scores_above(_gold_scores(questions, contexts), contexts, "_gs", ["qid"])
+
+
+# ---- exact search by balls -----------------------------------------------------------------------
+
+def document_balls(docs: DataFrame, did: str = "pid", dvec: str = "embedding"):
+    """Documents dealt into balls (center, radius) of bounded bytes, once for any number of searches. Ids must be
+    distinct integers."""
+    from .codebook import build_codebook
+    return build_codebook(docs.select(F.col(did).alias("code"), F.col(dvec).cast("array<double>").alias("centroid")))
+
+
+def knn_balls(queries: DataFrame, balls, k: int, qid: str = "qid", qvec: str = "embedding", did: str = "pid") -> DataFrame:
+    """V7 by balls: exact top-``k`` documents per query by inner product, ``(qid, did, score, rank)``, equal to :func:`knn_flat`
+    with scores rounded to 12 digits. A query first meets the balls with the best centers, which proves a k-th score, then
+    only those whose bound ``q.m + |q| r`` reaches it. Query ids must be distinct."""
+    from .codebook import nearest_codes
+    found = nearest_codes(queries.select(F.col(qid).alias("id"), F.col(qvec).alias("embedding")), balls, k)
+    return found.select(F.col("id").alias(qid), F.col("code").alias(did), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def average_rank_balls(questions: DataFrame, contexts: DataFrame, balls=None) -> DataFrame:
+    """A14 by balls: ``(qid, gold_rank, met)``. Balls wholly above a question's gold score count as a whole, those wholly
+    below count nothing; ``met`` is the number of contexts that had to be multiplied."""
+    from .codebook import counts_above
+    gold = _gold_scores(questions, contexts).select(F.col("qid").alias("id"), "embedding", F.col("_gs").alias("threshold"))
+    out = counts_above(gold, balls or document_balls(contexts, "cid"))
+    return out.select(F.col("id").alias("qid"), F.col("above").alias("gold_rank"), "met")
 
 
 # ---- multi-vector (late interaction) -------------------------------------------------------------
@@ -466,5 +505,5 @@ def quantize_8bit(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedd
     return ex.select(id_col, "dim", code.alias("code"))
 
 
-__all__ = ["knn_flat", "average_rank", "count_scores_above", "pack_vectors", "maxsim", "maxsim_join",
+__all__ = ["knn_flat", "knn_balls", "document_balls", "average_rank_balls", "average_rank", "count_scores_above", "pack_vectors", "maxsim", "maxsim_join",
            "inbatch_scores", "mips_to_l2", "knn_approx", "quantize_8bit", "sq_l2"]

@@ -72,6 +72,13 @@ def v7c(spark, d):
     return _knn_out(V.knn_flat(q, docs, 10, qvec="qvec"))
 
 
+@register("V7_knn_balls", _KNN_SQL.format(e=_E, where="", R=R))
+def v7_balls(spark, d):
+    e = emb(spark, d)
+    balls = V.document_balls(e.select(F.col("vec_id").alias("pid"), "embedding"))
+    return _knn_out(V.knn_balls(e.select(F.col("vec_id").alias("qid"), "embedding"), balls, 10))
+
+
 @register("V34_knn_filtered", _KNN_SQL.format(e=_E, where="WHERE d.label < 5", R=R))
 def v34(spark, d):
     e = emb(spark, d)
@@ -199,15 +206,25 @@ def v9(spark, d):
     return V.quantize_8bit(emb(spark, d).select("vec_id", "embedding"))
 
 
-@register("A14_average_rank", f"""WITH {_E}, g AS (SELECT e.vec_id AS qid, e.v AS qv, list_dot_product(e.v, c.v) AS gs FROM e JOIN {_FIRST.split(' AS ')[0]} c ON e.label = c.label)
+_A14_SQL = (f"""WITH {_E}, g AS (SELECT e.vec_id AS qid, e.v AS qv, list_dot_product(e.v, c.v) AS gs FROM e JOIN {_FIRST.split(' AS ')[0]} c ON e.label = c.label)
 SELECT g.qid, CAST(SUM(CASE WHEN list_dot_product(g.qv, d.v) > g.gs THEN 1 ELSE 0 END) AS BIGINT) AS gold_rank FROM g, e d GROUP BY g.qid""".replace(
     f"WITH {_E}, g AS", f"WITH {_E}, {_FIRST}, g AS"))
-def a14(spark, d):
-    e = emb(spark, d)
+
+
+def _questions(e):
     first = e.groupBy("label").agg(F.min("vec_id").alias("gold_cid"))
     questions = e.select(F.col("vec_id").alias("qid"), "embedding", "label").join(first, "label").drop("label")
-    contexts = e.select(F.col("vec_id").alias("cid"), "embedding")
-    return V.average_rank(questions, contexts)
+    return questions, e.select(F.col("vec_id").alias("cid"), "embedding")
+
+
+@register("A14_average_rank", _A14_SQL)
+def a14(spark, d):
+    return V.average_rank(*_questions(emb(spark, d)))
+
+
+@register("A14_average_rank_balls", _A14_SQL)
+def a14_balls(spark, d):
+    return V.average_rank_balls(*_questions(emb(spark, d))).drop("met")
 
 
 _BATCH = f"""WITH {_E}, b AS (SELECT q.vec_id AS qid, q.vec_id // 16 AS batch, q.v AS qv, c.v AS cv FROM e q JOIN e c ON c.vec_id = xor(q.vec_id, 1)),
