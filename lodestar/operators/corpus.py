@@ -1,8 +1,9 @@
-"""Corpus-wide answer matching (J8 over all passages, D15 without a ranking) by equi-joins on tokens.
+"""Corpus-wide answer matching (J8 over all passages, D15 without a ranking) by equi-joins on signatures.
 
-A passage that holds an answer holds the answer's first two tokens side by side. Distinct token
-pairs of the passages meet the answers' first pairs in a join; the few pairs of passage and answer
-that come out are then checked as a whole. No automaton, no collect, no broadcast by hand.
+A passage that holds an answer holds each of the answer's neighbouring token pairs (its one token, if there is no pair).
+The signatures that answers ask for are looked up in the passages once and written as a postings table; its document
+frequencies name each answer's rarest signature, and only passages with that one are checked as a whole. An
+answer with a signature that stands nowhere is dropped at once. No automaton, no collect, no broadcast by hand.
 """
 
 from __future__ import annotations
@@ -10,26 +11,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .qa import match_tokens
 
 
-def _pair(tokens: Column, i: Column) -> Column:
-    return F.struct(F.get(tokens, i).alias("a"), F.get(tokens, i + 1).alias("b"))
+def _pairs(words: Column) -> Column:
+    """Neighbouring tokens, joined by a blank (tokens hold none)."""
+    return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1),
+                      lambda a, b: F.concat_ws(" ", a, b))
+
+
+def rarest_candidates(answers: DataFrame, passages: DataFrame, pid: str = "pid") -> DataFrame:
+    """``(_a, pid)`` for distinct normalised answers ``answers(_a)`` and passages ``passages(pid, _d)``: passages that hold
+    the signature of the answer that the fewest passages hold (ties: the least)."""
+    ensure_checkpoint_dir(answers.sparkSession)
+    words = F.split(F.trim("_a"), " ")
+    sigs = answers.select("_a", F.explode(F.array_distinct(F.when(F.size(words) > 1, _pairs(words)).otherwise(words))).alias("sig"))
+    held = passages.select(pid, F.split(F.trim("_d"), " ").alias("_w"))
+    held = held.select(pid, F.explode(F.array_distinct(F.concat(_pairs(F.col("_w")), F.col("_w")))).alias("sig"))
+    postings = held.join(sigs.select("sig").distinct(), "sig", "left_semi").checkpoint()
+    df = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    least = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sig")).alias("m")
+    rarest = sigs.join(df, "sig", "left").groupBy("_a").agg(least).filter("m.df > 0").select("_a", "m.sig")
+    return rarest.join(postings, "sig").select("_a", pid)
 
 
 def answers_in_corpus(answers: DataFrame, passages: DataFrame, qid: str = "qid", answer: str = "answer",
                       pid: str = "pid", text: str = "text") -> DataFrame:
     """All ``(qid, pid)`` where a passage holds the answer as a token sequence (string mode)."""
     a = answers.select(qid, match_tokens(F.col(answer)).alias("_a")).filter(F.length(F.trim("_a")) > 0)
-    words = F.split(F.trim("_a"), " ")
-    a = a.select(qid, "_a", F.get(words, F.lit(0)).alias("_t"), F.get(words, F.lit(1)).alias("_u"))
     p = passages.select(pid, match_tokens(F.col(text)).alias("_d")).filter(F.length(F.trim("_d")) > 0)
-    # the passage's distinct pairs of neighbours; the last token's neighbour is null
-    tokens = p.select(pid, F.split(F.trim("_d"), " ").alias("_w"))
-    pairs = tokens.select(pid, F.explode(F.array_distinct(F.arrays_zip(
-        F.col("_w").alias("t"), F.concat(F.slice("_w", F.lit(2), F.size("_w") - 1), F.array(F.lit(None).cast("string"))).alias("u")))).alias("e"))
-    pairs = pairs.select(pid, F.col("e.t").alias("_t"), F.col("e.u").alias("_u"))
-    two = pairs.join(a.filter("_u is not null"), ["_t", "_u"]).select(qid, pid, "_a")
-    one = pairs.select(pid, "_t").distinct().join(a.filter("_u is null").select(qid, "_t", "_a"), "_t").select(qid, pid, "_a")
-    met = two.unionAll(one).distinct().join(p, pid)
-    return met.filter(F.col("_d").contains(F.col("_a"))).select(qid, pid).distinct()
+    met = rarest_candidates(a.select("_a").distinct(), p, pid).join(p, pid).filter(F.col("_d").contains(F.col("_a")))
+    return met.select("_a", pid).distinct().join(a, "_a").select(qid, pid).distinct()
