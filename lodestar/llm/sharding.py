@@ -190,8 +190,8 @@ def assign_shards(thin: DataFrame, n_shards: int = 16) -> DataFrame:
         if pool is not None:
             pools[pool] = s
     own = spark.createDataFrame(named, "key binary, piece long, own int")
-    table = F.lit("".join(f"{s:06d}" for s in pools))  # six digits for each pool
-    pooled = F.substring(table, _pool(F.col("key")) * 6 + 1, F.lit(6)).cast("int")
+    table = F.split(F.lit(",".join(map(str, pools))), ",").cast("array<int>")  # folded into one constant
+    pooled = F.get(table, _pool(F.col("key")))
     return (thin.join(F.broadcast(own), ["key", "piece"], "left")
             .withColumn("shard", F.coalesce("own", pooled)).drop("own", "piece"))
 
