@@ -202,6 +202,17 @@ def s16(spark, d):
     return q.select("id", "question", F.get("answers", 0).alias("answer"))
 
 
+@register("S16_read_kilt_qa_csv", f"""SELECT CAST(k.item_id AS VARCHAR) AS id, {p1('k.text')} AS question, {p1('q.text')} AS answers
+ FROM benchmark k JOIN benchmark q ON {p1('k.text')} = {p1('q.text')} WHERE q.item_id % 2 = 0""")
+def s16_csv(spark, d):
+    """A QA file that answers the questions of every second KILT record, matched by question text."""
+    kilt, path = scratch_dir(spark, "s16-kilt"), scratch_dir(spark, "s16-csv")
+    b = _bench(spark, d).withColumn("text", strip_control("text"))
+    b.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("input")).write.json(kilt)
+    SK.write_tsv(b.filter("item_id % 2 = 0"), path, [F.col("text"), F.to_json(F.split("text", " "))])
+    return RD.read_kilt_qa_csv(spark, path, kilt).select("id", "question", F.array_join("answers", " ").alias("answers"))
+
+
 @register("S17_read_asr_qa", f"SELECT CAST(item_id AS VARCHAR) AS id, lower(trim({p1('text')})) AS question FROM benchmark")
 def s17(spark, d):
     path = scratch_dir(spark, "s17")
@@ -337,6 +348,19 @@ def s25(spark, d):
     return RD.read_source_by_name(spark, ["documents", "pages"]).select("id", F.length("text").alias("n"))
 
 
+@register("S25_read_source_glob", """SELECT 'documents' AS name, CAST(doc_id AS BIGINT) AS id, CAST(length(text) AS INTEGER) AS n FROM documents
+ UNION ALL SELECT 'pages', CAST(page_id AS BIGINT), CAST(length(html) AS INTEGER) FROM pages""")
+def s25_glob(spark, d):
+    """Names that are a glob over Parquet folders and a folder of JSON lines, beside each other."""
+    path = scratch_dir(spark, "s25")
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("name"), F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    for part in (0, 1):
+        docs.filter(F.pmod("id", F.lit(2)) == part).write.parquet(f"{path}/docs-{part}.parquet")
+    table(spark, d, "pages").select(F.lit("pages").alias("name"), F.col("page_id").alias("id"), F.length("html").alias("n")).write.json(f"{path}/pages.jsonl")
+    typed = lambda name: RD.read_source_by_name(spark, name).select("name", F.col("id").cast("long").alias("id"), F.col("n").cast("int").alias("n"))
+    return typed(f"{path}/docs-*.parquet").unionByName(typed(f"{path}/pages.jsonl"))
+
+
 @register("S27_read_index", "SELECT vec_id // 8 AS pid, CAST(COUNT(*) AS BIGINT) AS doclen FROM embeddings GROUP BY 1")
 def s27(spark, d):
     from ..operators import index as I

@@ -295,12 +295,24 @@ def register_source(name: str, reader) -> None:
     SOURCES[name] = reader
 
 
-def read_source_by_name(spark: SparkSession, names: str | list[str]) -> DataFrame:
-    """A name resolves to a registered reader (file, glob or configured source); several
-    names are concatenated by column name."""
-    names = [names] if isinstance(names, str) else names
+def _read_path(spark: SparkSession, path: str) -> DataFrame:
+    """A file, folder or glob, by the ending of its name: delimited text with a header, JSON lines, else Parquet."""
+    name = path.rstrip("/*").lower()
+    for ending, sep in ((".tsv", "\t"), (".csv", ",")):
+        if name.endswith(ending):
+            return spark.read.options(header=True, sep=sep, escape='"').csv(path)
+    return spark.read.json(path) if name.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+
+
+def read_source_by_name(spark: SparkSession, names: str | list[str], reader=None) -> DataFrame:
+    """A name resolves to a registered source; any other name is a file, folder or glob, read by
+    ``reader(spark, path)`` or by its ending (a path that matches nothing raises Spark's own error). Several names
+    are concatenated by column name; none is an error."""
+    names = [names] if isinstance(names, str) else list(names)
+    if not names:
+        raise ValueError("no source named")
     out = None
     for n in names:
-        df = SOURCES[n](spark)
+        df = SOURCES[n](spark) if n in SOURCES else (reader or _read_path)(spark, n)
         out = df if out is None else out.unionByName(df)
     return out
