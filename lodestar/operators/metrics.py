@@ -344,3 +344,11 @@ def reader_prep_stats(samples: DataFrame) -> DataFrame:
     (score = -1). ``samples(qid, positives array<struct<pid, score>>)``."""
     return samples.agg(F.sum((F.size("positives") == 0).cast("long")).alias("no_positive"),
                        F.sum(F.exists("positives", lambda p: p["score"] == -1).cast("long")).alias("positives_from_gold"))
+
+
+def reader_prep_stats_rows(rows: DataFrame, key: str = "qid", pid: str = "pid", score: str = "score") -> DataFrame:
+    """A24 in long form: ``rows(qid, pid, score)`` hold one positive each, a null ``pid`` none (a sample without positives
+    is such a row). Two flags per sample by partial aggregates, so a sample may hold any number of positives."""
+    positive = F.col(pid).isNotNull()
+    per = rows.groupBy(key).agg(F.max(positive).alias("_any"), F.max(positive & F.coalesce(F.col(score) == -1, F.lit(False))).alias("_gold"))
+    return per.agg(F.sum((~F.col("_any")).cast("long")).alias("no_positive"), F.sum(F.col("_gold").cast("long")).alias("positives_from_gold"))

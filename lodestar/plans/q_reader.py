@@ -98,9 +98,9 @@ def a19(spark, d):
 SELECT CAST(SUM(CASE WHEN np = 0 THEN 1 ELSE 0 END) AS BIGINT) AS no_positive, CAST(SUM(CASE WHEN ng > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positives_from_gold FROM s""")
 def a24(spark, d):
     e = table(spark, d, "events")
-    pos = F.collect_list(F.when(F.col("event_type") == "purchase", F.struct(F.col("event_id").alias("pid"),
-                         F.when(F.col("value") > 50, F.lit(-1.0)).otherwise(F.col("value")).alias("score"))))
-    return M.reader_prep_stats(e.groupBy("user_id").agg(pos.alias("positives")))
+    pid = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    score = F.when(F.col("value") > 50, F.lit(-1.0)).otherwise(F.col("value"))
+    return M.reader_prep_stats_rows(e.select(F.col("user_id").alias("qid"), pid.alias("pid"), score.alias("score")))
 
 
 def _logits(spark, d):

@@ -101,3 +101,11 @@ def test_mine_from_ranking_equals_sequential_walk(spark):
     hits = spark.createDataFrame(rows, "qid long, rank long, has_answer boolean")
     got = {(r.qid, r.rank) for r in mine_from_ranking(hits).collect()}
     assert got == expect
+
+
+def test_reader_prep_stats_rows_equal_the_grouped_form(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, 7, -1.0), (2, 8, 0.5), (3, 9, None), (4, 9, 0.1), (5, None, -1.0), (None, 3, -1.0)],
+                                 "qid long, pid long, score double")
+    grouped = rows.groupBy("qid").agg(F.collect_list(F.when(F.col("pid").isNotNull(), F.struct("pid", "score"))).alias("positives"))
+    assert M.reader_prep_stats_rows(rows).first() == M.reader_prep_stats(grouped).first()
+    assert tuple(M.reader_prep_stats_rows(rows).first()) == (2, 2)
