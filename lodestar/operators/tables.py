@@ -1,15 +1,23 @@
 """Tables from token/markup streams (T1-T3, D11, A23, G5 for tables).
 
-Everything is windows and aggregates over token rows ``(doc_id, pos, token)``, partitioned by
-document: nesting depth is a running sum of table tags, a token's table is the last one opened at
-the token's depth, its row and cell are running counts of row and cell tags in that table. Nested
-tables are flattened with ``parent_table_id`` (Spark has no recursive types).
+A document's stream is read once, in its own row, with a stack of open tables: no row per token, no
+shuffle, and work linear in the tokens (a nested table copies its parent's caption so far, which is
+its output). Only documents that open a table leave the JVM. Nested tables are flattened with
+``parent_table_id`` (Spark has no recursive types). Chunks, lines, answers and statistics are
+DataFrame functions over the tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import nfd, nfd_array
 
@@ -27,38 +35,103 @@ def has_issues(tokens: str | Column, banner: str = ISSUES_BANNER) -> Column:
     return F.coalesce(F.array_join(tokens, " ").contains(banner), F.lit(False))
 
 
-def _token_rows(docs: DataFrame, id_col: str, tokens: str, mask: str | None, table_tags, row_tags, cell_tags) -> DataFrame:
-    """One row per token: its table (the position of the table's tag), depth, row and cell number."""
-    entry = F.arrays_zip(F.col(tokens).alias("t"), (F.col(mask) if mask else F.col(tokens)).alias("m"))
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(entry).alias("pos", "e"))
-    tag = F.coalesce(F.col("e.m").cast("boolean"), F.lit(False)) if mask else F.col("e.t").rlike(r"^<[^>]+>$")
-    t = t.select("doc_id", "pos", F.col("e.t").alias("token"), tag.alias("tag"))
-    name = F.lower(F.regexp_extract("token", r"^<\s*/?\s*([^\s/>]+)", 1))
-    t = t.withColumn("name", F.when(F.col("tag"), name).otherwise("")).withColumn("closing", F.col("token").rlike(r"^<\s*/"))
-
-    def opened(tags):
-        return F.col("name").isin(*tags) & ~F.col("closing")
-
-    doc = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.when(opened(table_tags), 1).when(F.col("name").isin(*table_tags), -1).otherwise(0)
-    t = t.withColumn("_step", step).withColumn("_sum", F.sum("_step").over(doc))
-    # a closing tag without a table is ignored: the sum is held at zero from below
-    t = t.withColumn("_after", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(doc)))
-    t = t.withColumn("depth", F.col("_after") + F.when(F.col("_step") < 0, 1).otherwise(0))
-    t = t.filter("depth > 0")
-    level = Window.partitionBy("doc_id", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("start", F.last(F.when(F.col("_step") > 0, F.col("pos")), ignorenulls=True).over(level)).filter("start is not null")
-    inside = Window.partitionBy("doc_id", "start").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("row", F.sum(opened(row_tags).cast("int")).over(inside))
-    in_row = Window.partitionBy("doc_id", "start", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("cell", F.when(F.col("row") > 0, F.sum(opened(cell_tags).cast("int")).over(in_row)).otherwise(0))
-    return t.select("doc_id", "pos", "token", "tag", "depth", "start", "row", "cell")
-
-
-def _joined(when: Column | None = None) -> Column:
-    """Aggregate: tokens in order, joined by blanks."""
-    item = F.struct("pos", "token")
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, item) if when is not None else item)), lambda x: x["token"]), " ")
+#: What a tag opens, as bits (one tag may open a row and its first cell).
+_TABLE, _ROW, _CELL = 1, 2, 4
+#: Tokens after which the tables found so far are sent on.
+_FLUSH_TOKENS = 1 << 18
+_MARKUP = re.compile(r"<[^>]+>")
+_NAME = re.compile(r"<\s*(/?)\s*([^\s/>]+)")
+
+
+class _Table:
+    """A table while its stream is read: ``lead`` is what its caption starts with, ``said`` its own words outside
+    cells, ``rows`` the words of each cell of each row."""
+
+    __slots__ = ("number", "parent", "lead", "said", "rows")
+
+    def __init__(self, number: int, parent: int | None, lead: str):
+        self.number, self.parent, self.lead = number, parent, lead
+        self.said: list[str] = []
+        self.rows: list[list[list[str]]] = []
+
+    def cell(self) -> list[str] | None:
+        return self.rows[-1][-1] if self.rows and self.rows[-1] else None
+
+    def caption(self) -> str:
+        return self.lead + (" " + " ".join(self.said) if self.said else "")
+
+    def filled_rows(self) -> int:
+        return sum(any(w != "" for cell in row for w in cell) for row in self.rows)
+
+
+def _tables_of(tokens: Iterable[str | None], marks: Iterable[bool | None] | None, title: str, roles: dict[str, int]) -> list[_Table]:
+    """Tables of one token stream in the order of their starts: one pass with a stack of the open ones."""
+    found: list[_Table] = []
+    stack: list[_Table] = []
+    for token, mark in zip(tokens, itertools.repeat(None) if marks is None else marks):
+        if token is None:
+            continue
+        if not (_MARKUP.fullmatch(token) if marks is None else mark):
+            if stack:
+                into = stack[-1].cell()
+                (stack[-1].said if into is None else into).append(token)
+            continue
+        tag = _NAME.match(token)
+        role = roles.get(tag[2].lower(), 0) if tag else 0
+        if role and tag[1]:
+            if role & _TABLE and stack:
+                stack.pop()
+        elif role:
+            if role & _TABLE:
+                outer, lead = (stack[-1], stack[-1].caption()) if stack else (None, title)
+                if outer is not None and outer.cell() is not None:
+                    lead += " | " + " ".join(outer.cell())
+                stack.append(_Table(len(found), outer.number if outer else None, lead))
+                found.append(stack[-1])
+            if stack and role & _ROW:
+                stack[-1].rows.append([])
+            if stack and role & _CELL and stack[-1].rows:
+                stack[-1].rows[-1].append([])
+    return found
+
+
+def _map_tables(docs: DataFrame, emit: Callable[[int | None, list[_Table]], Iterable[tuple]], schema: StructType, id_col: str, tokens: str,
+                title: str, table_tags, row_tags, cell_tags, issue_banner: str | None, html_mask: str | None) -> DataFrame:
+    """The rows that ``emit(doc_id, tables)`` gives for each document. Documents with the banner, and those
+    that open no table, never leave the JVM."""
+    if issue_banner:
+        docs = docs.filter(~has_issues(tokens, issue_banner))
+    opens = r"(?i)^<\s*(" + "|".join(re.escape(t) for t in table_tags) + r")([\s/>]|$)"
+    docs = docs.filter(F.exists(tokens, lambda x: x.rlike(opens)))
+    roles: dict[str, int] = {}
+    for role, tags in ((_TABLE, table_tags), (_ROW, row_tags), (_CELL, cell_tags)):
+        for t in tags:
+            roles[t.lower()] = roles.get(t.lower(), 0) | role
+    arrow = to_arrow_schema(schema)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seen = [], 0
+            for i in range(batch.num_rows):
+                words = batch.column("tokens")[i].as_py()
+                marks = batch.column("marks")[i].as_py() if html_mask else None
+                if html_mask and len(marks or ()) < len(words):
+                    marks = (marks or []) + [None] * (len(words) - len(marks or ()))
+                rows.extend(emit(batch.column("doc_id")[i].as_py(), _tables_of(words, marks, batch.column("title")[i].as_py(), roles)))
+                seen += len(words)
+                if seen > _FLUSH_TOKENS:
+                    yield packed(rows)
+                    rows, seen = [], 0
+            if rows:
+                yield packed(rows)
+
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tokens).cast("array<string>").alias("tokens"),
+                       F.coalesce(F.col(title), F.lit("")).alias("title"),
+                       *([F.col(html_mask).cast("array<boolean>").alias("marks")] if html_mask else []))
+    return thin.mapInArrow(run, schema)
 
 
 def extract_tables(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", title: str = "title",
@@ -72,49 +145,39 @@ def extract_tables(docs: DataFrame, id_col: str = "doc_id", tokens: str = "token
       the caption, which starts with the title, or for a nested table with the parent's caption so
       far, ``" | "`` and the parent's current cell so far.
     * documents with the issues banner are dropped; tables with at most one row that holds a token are
-      dropped unless ``keep_small``."""
-    if issue_banner:
-        docs = docs.filter(~has_issues(tokens, issue_banner))
-    t = _token_rows(docs, id_col, tokens, html_mask, table_tags, row_tags, cell_tags)
-    text = ~F.col("tag")
-    cells = t.filter("cell > 0").groupBy("doc_id", "start", "row", "cell").agg(_joined(text).alias("text"))
-    listed = cells.groupBy("doc_id", "start", "row").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]).alias("cells"))
-    every = t.filter("row > 0").select("doc_id", "start", "row").distinct()
-    rows = (every.join(listed, ["doc_id", "start", "row"], "left").groupBy("doc_id", "start").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("row", F.coalesce("cells", F.array().cast("array<string>")).alias("cells")))),
-        lambda x: x["cells"]).alias("rows")))
-    heads = t.filter("pos = start").select("doc_id", "start", "depth")
-    order = Window.partitionBy("doc_id").orderBy("start")
-    heads = heads.withColumn("table_id", F.row_number().over(order).cast("long") - 1)
-    # the tables round a nested one: for each lesser depth the last one opened before it
-    below = heads.filter("depth > 1").select("doc_id", "start", F.explode(F.sequence(F.lit(1), F.col("depth").cast("int") - 1)).alias("level"))
-    around = (below.join(heads.select("doc_id", F.col("start").alias("outer"), F.col("depth").alias("level"), F.col("table_id").alias("outer_id")), ["doc_id", "level"])
-              .filter("outer < start").groupBy("doc_id", "start", "level").agg(F.max(F.struct("outer", "outer_id")).alias("o"))
-              .select("doc_id", "start", "level", F.col("o.outer").alias("outer"), F.col("o.outer_id").alias("outer_id")))
-    told = (around.join(t.withColumnRenamed("start", "outer"), ["doc_id", "outer"]).filter("pos < start"))
-    at = told.groupBy("doc_id", "start", "level").agg(F.max_by(F.struct("row", "cell"), "pos").alias("now"))
-    told = told.join(at, ["doc_id", "start", "level"])
-    own, current = text & (F.col("cell") == 0), text & (F.col("cell") > 0) & (F.col("row") == F.col("now.row")) & (F.col("cell") == F.col("now.cell"))
-    said = told.groupBy("doc_id", "start", "level").agg(
-        _joined(own).alias("own"), F.max(F.col("now.cell")).alias("in_cell"), _joined(current).alias("current"))
-    part = F.concat(F.when(F.col("own") != "", F.concat(F.lit(" "), "own")).otherwise(""),
-                    F.when(F.col("in_cell") > 0, F.concat(F.lit(" | "), "current")).otherwise(""))
-    prefix = said.groupBy("doc_id", "start").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("level", part.alias("part")))), lambda x: x["part"]), "").alias("prefix"))
-    parents = around.groupBy("doc_id", "start").agg(F.max_by("outer_id", "level").alias("parent_table_id"))
-    captions = t.filter(text & (F.col("cell") == 0)).groupBy("doc_id", "start").agg(_joined().alias("words"))
-    titles = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(title), F.lit("")).alias("title"))
-    out = heads
-    for side in (rows, prefix, parents, captions):
-        out = out.join(side, ["doc_id", "start"], "left")
-    out = out.join(titles, "doc_id")
-    caption = F.concat("title", F.coalesce("prefix", F.lit("")), F.when(F.col("words").isNotNull(), F.concat(F.lit(" "), "words")).otherwise(""))
-    filled = F.size(F.filter(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.exists(r, lambda c: c != "")))
-    out = out.select("doc_id", "table_id", "parent_table_id", F.trim(caption).alias("caption"),
-                     F.coalesce("rows", F.array().cast("array<array<string>>")).alias("rows"), (F.col("depth") > 1).alias("nested"),
-                     filled.alias("filled_rows"))
-    return out if keep_small else out.filter("filled_rows > 1")
+      dropped unless ``keep_small``.
+    * null tokens are skipped, null or empty streams hold no table, rows that repeat an id give tables each."""
+    def emit(doc_id, found):
+        for t in found:
+            filled = t.filled_rows()
+            if keep_small or filled > 1:
+                rows = [[" ".join(cell) for cell in row] for row in t.rows]
+                yield doc_id, t.number, t.parent, t.caption().strip(" "), rows, t.parent is not None, filled
+
+    schema = StructType.fromDDL("doc_id long, table_id long, parent_table_id long, caption string, rows array<array<string>>, "
+                                "nested boolean, filled_rows int")
+    return _map_tables(docs, emit, schema, id_col, tokens, title, table_tags, row_tags, cell_tags, issue_banner, html_mask)
+
+
+def visit_cells(docs: DataFrame, visit: Callable[[list[str], int, int], object], returns: str = "string", captions: bool = False,
+                id_col: str = "doc_id", tokens: str = "tokens", title: str = "title", table_tags=("table",), row_tags=("tr",),
+                cell_tags=("td", "th"), issue_banner: str | None = ISSUES_BANNER, html_mask: str | None = None,
+                keep_small: bool = False) -> DataFrame:
+    """A user's visitor over the cells of all tables: ``visit(tokens, row, cell)`` is called once for each cell, and with
+    ``captions`` first for each caption's tokens as ``(tokens, -1, -1)``. Where it gives something other than ``None`` there
+    is a row ``doc_id, table_id, row, cell, value`` (``returns``: the value's Spark type)."""
+    def emit(doc_id, found):
+        for t in found:
+            if not keep_small and t.filled_rows() <= 1:
+                continue
+            title_words = [(-1, -1, t.caption().split())] if captions else []
+            for r, c, words in itertools.chain(title_words, ((r, c, cell) for r, row in enumerate(t.rows) for c, cell in enumerate(row))):
+                value = visit(words, r, c)
+                if value is not None:
+                    yield doc_id, t.number, r, c, value
+
+    schema = StructType.fromDDL(f"doc_id long, table_id long, row int, cell int, value {returns}")
+    return _map_tables(docs, emit, schema, id_col, tokens, title, table_tags, row_tags, cell_tags, issue_banner, html_mask)
 
 
 def row_text(cells: Column) -> Column:

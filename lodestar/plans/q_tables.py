@@ -49,13 +49,61 @@ def list_tables(spark, d):
     return TB.extract_tables(_docs(spark, d), **LIST_TAGS)
 
 
-@register("T1_extract_tables")
+#: DuckDB: nested tables of all pages by windows over tokens: depth is a running sum of table tags that is held at
+#: zero from below, a token's table the last one opened at its depth, row and cell running counts in that table.
+NESTED = r"""
+toks AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<[^>]+>|[^<\s]+')) AS token,
+         generate_subscripts(regexp_extract_all(html, '<[^>]+>|[^<\s]+'), 1) AS pos FROM pages),
+tags AS (SELECT *, regexp_matches(token, '^<[^>]+>$') AS tag, lower(regexp_extract(token, '^<\s*/?\s*([^\s/>]+)', 1)) AS name,
+         regexp_matches(token, '^<\s*/') AS closing FROM toks),
+steps AS (SELECT *, CASE WHEN tag AND name IN ('nav', 'ul', 'article') THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END AS step FROM tags),
+sums AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM steps),
+deep AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY pos)) + CASE WHEN step < 0 THEN 1 ELSE 0 END AS depth FROM sums),
+owned AS (SELECT *, last_value(CASE WHEN step > 0 THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id, depth ORDER BY pos) AS start
+          FROM deep WHERE depth > 0),
+rowed AS (SELECT *, sum(CASE WHEN tag AND NOT closing AND name IN ('li', 'p', 'h1') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, start ORDER BY pos) AS r
+          FROM owned WHERE start IS NOT NULL),
+cells AS (SELECT *, CASE WHEN r > 0 THEN sum(CASE WHEN tag AND NOT closing AND name IN ('li', 'p', 'a', 'h1') THEN 1 ELSE 0 END)
+          OVER (PARTITION BY doc_id, start, r ORDER BY pos) ELSE 0 END AS c FROM rowed),
+heads AS (SELECT doc_id, start, depth, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS table_id FROM cells WHERE pos = start),
+around AS (SELECT h.doc_id, h.start, o.depth AS level, max(o.start) AS o_start, max(o.table_id) AS o_id FROM heads h
+           JOIN heads o ON o.doc_id = h.doc_id AND o.depth < h.depth AND o.start < h.start GROUP BY ALL),
+told AS (SELECT a.start, a.level, t.* EXCLUDE (start), arg_max(t.r, t.pos) OVER w AS now_r, arg_max(t.c, t.pos) OVER w AS now_c
+         FROM around a JOIN cells t ON t.doc_id = a.doc_id AND t.start = a.o_start AND t.pos < a.start
+         WINDOW w AS (PARTITION BY a.doc_id, a.start, a.level)),
+parts AS (SELECT doc_id, start, level, coalesce(' ' || string_agg(token, ' ' ORDER BY pos) FILTER (WHERE NOT tag AND c = 0), '')
+          || CASE WHEN max(now_c) > 0 THEN ' | ' || coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (WHERE NOT tag AND c > 0 AND r = now_r AND c = now_c), '') ELSE '' END AS part
+          FROM told GROUP BY ALL),
+leads AS (SELECT doc_id, start, string_agg(part, '' ORDER BY level) AS lead FROM parts GROUP BY ALL),
+parents AS (SELECT doc_id, start, arg_max(o_id, level) AS parent_table_id FROM around GROUP BY ALL),
+sizes AS (SELECT doc_id, start, coalesce(' ' || string_agg(token, ' ' ORDER BY pos) FILTER (WHERE NOT tag AND c = 0), '') AS said, max(r) AS n_rows,
+          count(DISTINCT (r, c)) FILTER (WHERE c > 0) AS n_cells, count(DISTINCT r) FILTER (WHERE c > 0 AND NOT tag) AS filled FROM cells GROUP BY ALL),
+nested AS (SELECT doc_id, table_id, parent_table_id, depth, n_rows, n_cells, filled,
+           trim(regexp_extract(html, '<title>(.*?)</title>', 1) || coalesce(lead, '') || said, ' ') AS caption
+           FROM heads JOIN sizes USING (doc_id, start) LEFT JOIN leads USING (doc_id, start) LEFT JOIN parents USING (doc_id, start)
+           JOIN pages ON page_id = doc_id)
+"""
+
+
+@register("T1_extract_tables", f"WITH {NESTED} SELECT doc_id, table_id, parent_table_id, caption, CAST(n_rows AS INTEGER) AS n_rows, "
+          "CAST(n_cells AS INTEGER) AS n_cells FROM nested WHERE filled > 1")
 def t1(spark, d):
     t = TB.extract_tables(_docs(spark, d), **NEST_TAGS)
     return t.select("doc_id", "table_id", "parent_table_id", "caption", F.size("rows").alias("n_rows"),
                     F.size(F.flatten("rows")).alias("n_cells"))
 
 
+# the user's visitor here: cells of more than one word, as their words' number and longest word's length
+@register("T1_visit_cells", f"""WITH {NESTED} SELECT doc_id, table_id, CAST(r - 1 AS INTEGER) AS row, CAST(c - 1 AS INTEGER) AS cell,
+  CAST(count(*) * 1000 + max(length(token)) AS BIGINT) AS value
+FROM cells JOIN heads USING (doc_id, start) JOIN nested USING (doc_id, table_id) WHERE NOT tag AND c > 0 AND filled > 1 GROUP BY ALL HAVING count(*) > 1""")
+def t1v(spark, d):
+    def visit(tokens, row, cell):
+        return len(tokens) * 1000 + max(map(len, tokens)) if len(tokens) > 1 else None
+
+    return TB.visit_cells(_docs(spark, d), visit, "long", **NEST_TAGS)
+
+
 @register("T1_extract_tables_lists", f"WITH {LISTS} SELECT doc_id, table_id, CAST(NULL AS BIGINT) AS parent_table_id, caption, n_rows FROM kept")
 def t1l(spark, d):
     return list_tables(spark, d).select("doc_id", "table_id", "parent_table_id", "caption", F.size("rows").alias("n_rows"))

@@ -117,3 +117,27 @@ def test_stream_metrics_state_expires(spark, tmp_path):
     assert sorted((str(r.since.date()), r.n_pos) for r in out.collect()) == [("2024-01-01", 1), ("2024-01-02", 1), ("2024-02-01", 1)]
     m = current_metrics(spark, str(tmp_path / "out")).first()
     assert m.mrr_10 == 1.0 and m.recall_10 == 1.0 and schema
+
+
+def test_visitor_sees_each_cell_once(spark):
+    docs = spark.createDataFrame([(0, NESTED.split(), "T"), (1, "no table <b> here </b>".split(), "T"), (2, [], "T"), (3, None, "T")],
+                                 "doc_id long, tokens array<string>, title string")
+    got = TB.visit_cells(docs, lambda tokens, row, cell: f"{row}/{cell}:{'_'.join(tokens)}", captions=True).collect()
+    assert sorted((r.doc_id, r.table_id, r.row, r.cell, r.value) for r in got) == [
+        (0, 0, -1, -1, "-1/-1:T_Cap"), (0, 0, 0, 0, "0/0:aa"), (0, 0, 0, 1, "0/1:bb"), (0, 0, 1, 0, "1/0:cc_late"),
+        (0, 1, -1, -1, "-1/-1:T_Cap_|_cc"), (0, 1, 0, 0, "0/0:xx"), (0, 1, 1, 0, "1/0:yy"),
+        (0, 4, -1, -1, "-1/-1:T"), (0, 4, 0, 0, "0/0:a"), (0, 4, 1, 0, "1/0:"), (0, 4, 1, 1, "1/1:"), (0, 4, 2, 0, "2/0:b")]
+    sizes = TB.visit_cells(docs, lambda tokens, row, cell: len(tokens) if len(tokens) > 1 else None, "int", keep_small=True)
+    assert [(r.table_id, r.row, r.cell, r.value) for r in sizes.collect()] == [(0, 1, 0, 2)]
+
+
+def test_tables_deeply_nested_and_long(spark):
+    depth, rows = 60, 30000
+    deep = ["<table>", "<tr>", "<td>", "w"] * depth + ["</table>"] * depth + ["</table>"]
+    long = ["<table>"] + ["<tr>", "<td>", "x", None] * rows
+    docs = spark.createDataFrame([(0, deep, None), (1, long, "L"), (0, long, "again")], "doc_id long, tokens array<string>, title string")
+    got = TB.extract_tables(docs, keep_small=True).collect()
+    chain = sorted((t for t in got if t.doc_id == 0 and not t.caption.startswith("again")), key=lambda t: t.table_id)
+    assert [t.parent_table_id for t in chain] == [None, *range(depth - 1)]
+    assert chain[-1].caption == ("| w " * (depth - 1)).strip() and all(t.rows == [["w"]] for t in chain)
+    assert sorted((t.caption, len(t.rows), t.filled_rows) for t in got if len(t.rows) > 1) == [("L", rows, rows), ("again", rows, rows)]
