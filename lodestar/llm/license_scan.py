@@ -1,11 +1,12 @@
 """Licence scans with a positional rare-token index.
 
-The index holds, for each licence template, where each of its words stands. A first pass counts in
-how many documents each licence word occurs (all documents; the words are the templates', so the
-table is small). A second pass looks up, in each text, the highest-IDF word of each template that
-the text could hold, turns every occurrence into a place ``position - offset``, intersects the
-places that the template's other words give, and verifies the mandatory key phrase there. A match
-of a base phrase must hold the phrase's rarest word, so no place is missed.
+The index holds postings: for each word of the licence templates' key phrases, in which templates and
+where in the phrase it stands. A first pass counts in how many documents each licence word occurs (all
+documents; the words are the templates', so the table is small). A second pass looks up the licence
+words of each text from the highest IDF down. A posting turns every occurrence into a place ``position -
+offset`` of its template; the places of several (``LOOKUPS``) postings of a template are intersected, and the
+mandatory key phrase is verified at those that are left. A template is only looked up where the text
+has all words of its phrase, and a phrase's place is a place of each of its postings, so none is missed.
 
 Words are runs of digits, letters and all characters outside ASCII, with A-Z lower-cased.
 
@@ -13,8 +14,9 @@ Score of a document: the best template's share of IDF weight found at its place,
 For a template whose full wording is longer than its key phrase the rest of the wording adds
 to the score but is not needed for the label.
 
-Defined cases: null and empty texts have no words and no match; long texts are read whole;
-documents that repeat get the same result; only ``doc_id`` and ``text`` are read.
+Defined cases: null and empty texts have no words and no match; long texts are read whole (work is linear in the
+words); documents that repeat get the same result, as do words of equal IDF (ties are looked up by word);
+an empty table gives an empty result; only ``doc_id`` and ``text`` are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
 )
 
+#: Postings of a template whose places are intersected before its phrase is verified.
+LOOKUPS = 3
 #: Bytes that are not part of words become blanks, A-Z become a-z; all of UTF-8's other bytes stay.
 _TABLE = bytes(b if b > 127 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
@@ -86,31 +90,53 @@ def word_idf(docs: DataFrame) -> dict[bytes, float]:
 
 
 class RareTokenIndex:
-    """Templates by their rarest word, with the places of all their words."""
+    """Postings of the templates' key phrases: word -> (template, its place in the phrase)."""
 
-    def __init__(self, idf: dict[bytes, float]):
-        self.idf = idf
-        self.anchors: dict[bytes, list[tuple[int, int]]] = {}  # rarest word -> (template, its place in the key phrase)
+    def __init__(self, idf: dict[bytes, float], lookups: int = LOOKUPS):
+        self.idf, self.lookups = idf, lookups
+        self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.templates = []
+        rarest = set()
         for t, (label, key, full) in enumerate(TEMPLATES):
             key_words, full_words = key.encode().split(), full.encode().split()
             at = next(i for i in range(len(full_words)) if full_words[i:i + len(key_words)] == key_words)
-            rare = max(range(len(key_words)), key=lambda i: (idf[key_words[i]], -i))
-            self.anchors.setdefault(key_words[rare], []).append((t, rare))
-            base = (key, label) in BASE
-            weight = sum(idf[w] for w in full_words)
-            self.templates.append((label, key_words, full_words, at, base, weight))
-        self.anchor_set = frozenset(self.anchors)
+            for place, w in enumerate(key_words):
+                self.postings.setdefault(w, []).append((t, place))
+            rarest.add(max(key_words, key=lambda w: (idf[w], w)))
+            self.templates.append((label, key_words, frozenset(key_words), full_words, at, (key, label) in BASE, sum(idf[w] for w in full_words)))
+        self.rarest = frozenset(rarest)
+        self.words = frozenset(self.postings)
+
+    def places(self, words: list[bytes]) -> dict[int, set[int]]:
+        """Candidate places of each template's key phrase: a text's licence words are looked up from the highest IDF
+        down, until each template that the text can hold has ``lookups`` postings; places are intersected."""
+        if self.rarest.isdisjoint(words):
+            return {}
+        here = self.words.intersection(words)
+        open_lookups = {t: min(self.lookups, len(x[1])) for t, x in enumerate(self.templates) if x[2] <= here}
+        if not open_lookups:
+            return {}
+        at: dict[bytes, list[int]] = {w: [] for w in here}
+        for i, w in enumerate(words):
+            if w in at:
+                at[w].append(i)
+        found: dict[int, set[int]] = {}
+        for w in sorted(here, key=lambda w: (-self.idf[w], w)):
+            for t, offset in self.postings[w]:
+                if open_lookups.get(t, 0) > 0:
+                    starts = {i - offset for i in at[w] if i >= offset}
+                    found[t] = found[t] & starts if t in found else starts
+                    open_lookups[t] -= 1
+        return found
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
         """Places of base phrases, base labels, all labels, and the score."""
         places, base_labels, labels, score = [], set(), set(), 0.0
         n = len(words)
-        for i in self._positions(words):
-            for t, offset in self.anchors[words[i]]:
-                label, key, full, at, base, weight = self.templates[t]
-                start = i - offset
-                if start < 0 or words[start:start + len(key)] != key:
+        for t, starts in self.places(words).items():
+            label, key, _, full, at, base, weight = self.templates[t]
+            for start in starts:
+                if words[start:start + len(key)] != key:
                     continue
                 labels.add(label)
                 if base:
@@ -121,11 +147,6 @@ class RareTokenIndex:
                 score = max(score, got / weight)
         return places, base_labels, labels, min(1.0, score)
 
-    def _positions(self, words: list[bytes]) -> list[int]:
-        if self.anchor_set.isdisjoint(words):
-            return []
-        return [i for i, w in enumerate(words) if w in self.anchor_set]
-
 
 _SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
            "score double")

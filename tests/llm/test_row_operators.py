@@ -112,6 +112,50 @@ def test_licences_equal_scan(spark):
     assert license_scan.scan_documents(empty_docs(spark)).count() == 0
 
 
+def plain_scan(words, idf):
+    """Labels and score of a word list: every phrase at every place."""
+    labels, score = set(), 0.0
+    for label, key, full in license_scan.TEMPLATES:
+        key, full = key.encode().split(), full.encode().split()
+        at = next(i for i in range(len(full)) if full[i:i + len(key)] == key)
+        for i in range(len(words) - len(key) + 1):
+            if words[i:i + len(key)] == key:
+                labels.add(label)
+                got = sum(idf[w] for j, w in enumerate(full) if 0 <= i - at + j < len(words) and words[i - at + j] == w)
+                score = max(score, got / sum(idf[w] for w in full))
+    return labels, min(1.0, score)
+
+
+def test_license_labels_and_score_equal_a_plain_scan(spark):
+    docs = edge_docs(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), allowMissingColumns=True)
+    idf = license_scan.word_idf(docs)
+    want = Counter()
+    for r in docs.collect():
+        labels, score = plain_scan(license_scan.words_of_text(r["text"] or ""), idf)
+        want[(r["doc_id"], ",".join(sorted(labels)), round(score, 9))] += 1
+    got = license_scan.scan_documents(docs).collect()
+    assert Counter((r.doc_id, r.labels, round(r.score, 9)) for r in got) == want
+    assert any(r.labels for r in got)
+
+
+def test_license_places_are_few_and_complete():
+    r = random.Random(3)
+    words = sorted({w for _, key, full in license_scan.TEMPLATES for w in (key + " " + full).encode().split()})
+    phrases = [key.encode().split() for _, key, _ in license_scan.TEMPLATES]
+    for lookups in (1, 2, 3, 9):
+        index = license_scan.RareTokenIndex({w: 1.0 + (len(w) % 4) for w in words}, lookups)
+        for _ in range(400):
+            text = [w for _ in range(r.randint(0, 12)) for w in (r.choice(phrases) if r.random() < 0.3 else [r.choice(words)])]
+            labels, score = plain_scan(text, index.idf)
+            places, base, got, got_score = index.scan(text)
+            assert got == labels and abs(score - got_score) < 1e-12
+            want = [i for phrase, _ in license_scan.BASE for i in range(len(text)) if text[i:i + len(phrase.split())] == phrase.encode().split()]
+            assert sorted(places) == sorted(want)
+    index = license_scan.RareTokenIndex({w: 1.0 for w in words})
+    scattered = b"public license general public public license general license".split()
+    assert all(not starts for starts in index.places(scattered).values())     # no place survives the intersection
+
+
 def rule_base(text):
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
