@@ -15,8 +15,10 @@ of their cosine. ``prior`` votes of the sample's mean keep documents without clo
 near it; a text without terms has the mean itself.
 
 Defined cases: null and blank texts score the sample's mean; texts of any length are read whole;
-equal texts have equal scores; without labelled rows every score is 0.5; repeated labels of a document
-count once (the highest); ``lang``, ``source`` and ``doc_id`` are never inputs of a score.
+equal texts have equal scores, whatever their batch (cosines are exact on a grid of 2 ** -19); of label vectors
+at equal cosines the one of the lowest ``doc_id`` counts; without labelled rows every score is 0.5; repeated
+labels of a document count once (the highest), as do rows that repeat a labelled id (the least counts); an
+empty table gives an empty result; ``lang``, ``source``, ``doc_id`` and other columns are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .common import hash_words, mix64, small_batches, text_of, utf8_buffer
 CLASS_TERMS, WORD_TERMS, REPEATS = 704, 312, 8
 TERMS = CLASS_TERMS + WORD_TERMS + REPEATS
 SAMPLE, RANK, NEIGHBOURS, POWER, PRIOR = 5000, 64, 15, 8, 0.02
+#: Steps of a vector's unit; ``GRID ** 2`` times the label vectors (``sample``) must stay below 2 ** 53.
+GRID = 1 << 19
 #: Weight of each block in a document's vector.
 BLOCK_WEIGHTS = (1.0, 0.35, 0.7)
 
@@ -127,12 +131,16 @@ class Model:
         if len(labels):
             weights = term_weights(counts, idf)
             _, axes = np.linalg.eigh((weights.T @ weights).astype(np.float64))
-            self.axes = np.ascontiguousarray(axes[:, ::-1][:, :rank]).astype(np.float32)
+            self.axes = np.ascontiguousarray(axes[:, ::-1][:, :rank])
             self.vectors = self.embed(counts)
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        found = term_weights(counts, self.idf) @ self.axes
-        return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+        """Unit vectors rounded to multiples of ``1 / GRID``: their products are exact in any order of summation, so a
+        text's cosines do not change with the block it stands in."""
+        found = np.empty((len(counts), self.axes.shape[1]))
+        for lo in range(0, len(counts), 256):
+            found[lo:lo + 256] = term_weights(counts[lo:lo + 256], self.idf).astype(np.float64) @ self.axes
+        return np.rint(found * (GRID / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12))) / GRID
 
     def score(self, column: pa.Array, neighbours: int = NEIGHBOURS) -> np.ndarray:
         """Score of each text: blocks of exact cosines with all labelled vectors."""
@@ -143,9 +151,11 @@ class Model:
         vectors, out = self.embed(counts), np.empty(len(counts))
         for lo in range(0, len(vectors), 256):
             near = vectors[lo:lo + 256] @ self.vectors.T
-            k = min(neighbours, near.shape[1])
-            best = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) ** POWER
+            m = near.shape[1]
+            k = min(neighbours, m)
+            # the nearest; of equally near ones the earlier label vectors (by doc_id)
+            best = np.sort(np.argpartition(near * (GRID ** 2 * m) - np.arange(m), m - k, axis=1)[:, -k:], axis=1)
+            weight = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** POWER
             out[lo:lo + 256] = ((weight * self.labels[best]).sum(1) + PRIOR * self.mean) / (weight.sum(1) + PRIOR)
         out[blank] = self.mean
         return np.clip(out, 0.0, 1.0)
@@ -153,6 +163,7 @@ class Model:
 
 def fit(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> Model:
     """A model from ``texts(doc_id, text)`` and ``labels(doc_id, label)``; only ``labels`` rows are learnt from."""
+    texts = texts.select(texts["doc_id"].cast("long").alias("doc_id"), text_of(texts).alias("text"))
     own = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows of two numbers
     rows = texts.join(F.broadcast(chosen), "doc_id")
@@ -166,14 +177,16 @@ def fit(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = R
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.float64()), pa.array(packed, pa.binary())],
                                              names=["doc_id", "label", "packed"])
 
-    got = rows.select("doc_id", "label", "text").mapInArrow(sparse, "doc_id long, label double, packed binary").toArrow().sort_by("doc_id")
-    first = np.unique(got.column("doc_id").to_numpy(), return_index=True)[1]
-    counts = np.zeros((len(first), TERMS), np.float32)
+    # rows that repeat an id are one before they reach the driver: at most ``sample`` rows
+    once = (rows.select("doc_id", "label", "text").mapInArrow(sparse, "doc_id long, label double, packed binary")
+            .groupBy("doc_id").agg(F.max("label").alias("label"), F.min("packed").alias("packed")))
+    got = once.toArrow().sort_by("doc_id")
+    counts = np.zeros((got.num_rows, TERMS), np.float32)
     packed = got.column("packed").to_pylist()
-    for i, j in enumerate(first):
-        n = len(packed[j]) // 6
-        counts[i, np.frombuffer(packed[j][:2 * n], np.uint16)] = np.frombuffer(packed[j][2 * n:], np.float32)
-    return Model(term_idf(texts), counts, got.column("label").to_numpy()[first], rank)
+    for i, row in enumerate(packed):
+        n = len(row) // 6
+        counts[i, np.frombuffer(row[:2 * n], np.uint16)] = np.frombuffer(row[2 * n:], np.float32)
+    return Model(term_idf(texts), counts, got.column("label").to_numpy(), rank)
 
 
 def held_out(doc_id: Column) -> Column:

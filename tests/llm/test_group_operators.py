@@ -343,6 +343,30 @@ def test_classifier_votes_equal_plain_ones():
     assert got[50] == got[51] == pytest.approx(0.8)
 
 
+def test_equal_texts_score_alike_in_any_batch():
+    import pyarrow as pa
+    texts = [prose(i, 5 + 7 * i % 300) for i in range(700)] + ["B!! " * i for i in range(1, 40)]
+    labels = np.arange(300) % 3 > 0
+    model = knn_quality.Model(np.ones(knn_quality.TERMS, np.float32), knn_quality.term_counts(pa.array(texts[:150] * 2)), labels.astype(float))
+    whole = model.score(pa.array(texts))
+    for size in (1, 3, 100, 257):
+        cut = np.concatenate([model.score(pa.array(texts[lo:lo + size])) for lo in range(0, len(texts), size)])
+        assert (cut == whole).all()
+    assert (model.score(pa.array(texts[::-1]))[::-1] == whole).all()
+
+
+def test_classifier_reads_repeated_rows_once(spark):
+    docs = edge_docs(spark)
+    labels = spark.createDataFrame([(1, 1), (16, 0), (3, 0), (7, 1)], "doc_id long, label int")
+    many = docs.unionByName(docs).unionByName(docs)
+    once = knn_quality.fit(docs, labels)
+    more = knn_quality.fit(many, labels)
+    assert once.labels.tolist() == more.labels.tolist() and once.vectors.shape == more.vectors.shape
+    got = {(r.doc_id, r.score) for r in knn_quality.score_documents(many, labels).collect()}
+    by_id = {i for i, _ in got}
+    assert len({(i, s) for i, s in got if i not in (None, 15)}) == len(by_id - {None, 15})
+
+
 def test_classifier_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(1, 1), (1, 0), (16, 0), (None, 1), (9, None), (7, 1)], "doc_id long, label int")
