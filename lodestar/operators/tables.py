@@ -246,20 +246,29 @@ def linearize_table(rows: Column, answer_rows: Column, max_words: int) -> Column
     return F.aggregate(others, F.aggregate(answers, start, add(True)), add(False))["text"]
 
 
-def answer_cells(tables: DataFrame, answers: str = "answers") -> DataFrame:
+def answer_cells(tables: DataFrame, answers: str = "answers", keys: tuple[str, ...] = ("doc_id", "table_id")) -> DataFrame:
     """``(doc_id, table_id, row, col)`` of the cells in which an answer's blank-separated tokens stand one
-    after another, both NFD and lower-cased; the caption is ``(-1, -1)``. Empty answers match nothing."""
+    after another, both NFD and lower-cased; the caption is ``(-1, -1)``. Empty answers match nothing.
+    ``keys`` are the columns that tell rows apart, such as a question's id where tables meet several questions."""
     def padded(text):
         return F.concat(F.lit(" "), F.lower(text), F.lit(" "))
 
     wanted = F.transform(F.filter(nfd_array(F.col(answers)), lambda a: a != ""), padded)
-    t = tables.select("doc_id", "table_id", "caption", "rows", wanted.alias("_want"))
+    t = tables.select(*keys, "caption", "rows", wanted.alias("_want"))
     places = F.flatten(F.transform("rows", lambda r, i: F.transform(r, lambda c, j: F.struct(
         i.cast("int").alias("row"), j.cast("int").alias("col"), c.alias("text")))))
     title = F.array(F.struct(F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.coalesce("caption", F.lit("")).alias("text")))
-    cells = t.select("doc_id", "table_id", "_want", F.explode(F.concat(title, places)).alias("c"))
-    cells = cells.select("doc_id", "table_id", F.col("c.row").alias("row"), F.col("c.col").alias("col"), "_want", padded(nfd(F.col("c.text"))).alias("_text"))
-    return cells.filter(F.exists("_want", lambda w: F.col("_text").contains(w))).select("doc_id", "table_id", "row", "col")
+    cells = t.select(*keys, "_want", F.explode(F.concat(title, places)).alias("c"))
+    cells = cells.select(*keys, F.col("c.row").alias("row"), F.col("c.col").alias("col"), "_want", padded(nfd(F.col("c.text"))).alias("_text"))
+    return cells.filter(F.exists("_want", lambda w: F.col("_text").contains(w))).select(*keys, "row", "col")
+
+
+def answer_positions(tables: DataFrame, answers: str = "answers", keys: tuple[str, ...] = ("doc_id", "table_id")) -> DataFrame:
+    """``tables`` with ``answer_pos`` (the cells of :func:`answer_cells` in order) and ``has_answer``; ``keys`` are unique."""
+    found = answer_cells(tables, answers, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "col"))).alias("answer_pos"))
+    none = F.array().cast("array<struct<row:int,col:int>>")
+    return (tables.join(found, list(keys), "left").withColumn("has_answer", F.col("answer_pos").isNotNull())
+            .withColumn("answer_pos", F.coalesce("answer_pos", none)))
 
 
 def table_corpus_stats(docs: DataFrame, **options) -> DataFrame:

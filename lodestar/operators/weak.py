@@ -203,14 +203,29 @@ def inject_gold(positives: DataFrame, gold: DataFrame) -> DataFrame:
     return positives.select("qid", "pid", F.col("pos").cast("long"), F.lit(False).alias("gold_match")).unionByName(g)
 
 
-def assemble_training_tables(positives: DataFrame, hard_negatives: DataFrame, gold_tables: DataFrame) -> DataFrame:
+def assemble_training_tables(positives: DataFrame, hard_negatives: DataFrame, gold_tables: DataFrame | None = None) -> DataFrame:
     """Per question the positives (injected gold first, then mined), followed by the gold
     page's tables that hold an answer, and the hard negatives; lists are ordered and bounded by
-    the mining stop rule. ``gold_tables(qid, tpos, pid, has_answer)``."""
-    gt = gold_tables.filter("has_answer").select("qid", "pid", (F.col("tpos") + 1_000_000).alias("pos"))
-    allpos = positives.select("qid", "pid", "pos").unionByName(gt)
-    p = allpos.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "pid"))).alias("_p"))
+    the mining stop rule and the gold page. ``gold_tables(qid, tpos, pid, has_answer)``.
+
+    Where positives or gold tables have an ``answer_pos`` column (the cells that hold an answer, see
+    ``tables.answer_positions``), the result has ``answer_pos`` too, one entry for each positive, empty where none is known."""
+    parts = [(positives, "pos", 0)] + ([(gold_tables.filter("has_answer"), "tpos", 1)] if gold_tables is not None else [])
+    kinds = [df.schema["answer_pos"].dataType for df, _, _ in parts if "answer_pos" in df.columns]
+    listed = None
+    for df, place, phase in parts:
+        fields = [F.lit(phase).alias("phase"), F.col(place).cast("long").alias("pos"), F.col("pid")]
+        if kinds:
+            cells = F.col("answer_pos") if "answer_pos" in df.columns else F.lit(None).cast(kinds[0])
+            fields.append(F.coalesce(cells, F.array().cast(kinds[0])).alias("answer_pos"))
+        rows = df.select("qid", F.struct(*fields).alias("e"))
+        listed = rows if listed is None else listed.unionByName(rows)
+    p = listed.groupBy("qid").agg(F.array_sort(F.collect_list("e")).alias("_p"))
     n = hard_negatives.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "pid"))).alias("_n"))
-    return p.join(n, "qid", "full").select(
-        "qid", F.transform(F.coalesce("_p", F.array()), lambda x: x["pid"]).alias("positive_ids"),
-        F.transform(F.coalesce("_n", F.array()), lambda x: x["pid"]).alias("hard_negative_ids"))
+    out = p.join(n, "qid", "full")
+
+    def ids(column, field):
+        return F.coalesce(F.transform(column, lambda x: x[field]), F.array())
+
+    return out.select("qid", ids("_p", "pid").alias("positive_ids"), *([ids("_p", "answer_pos").alias("answer_pos")] if kinds else []),
+                      ids("_n", "pid").alias("hard_negative_ids"))

@@ -252,7 +252,6 @@ def d7(spark, d):
     mined = _mined(spark, d)
     pos = inject_gold(mined.filter("has_answer").select("qid", "pid", F.col("rank").alias("pos")), _gold(spark, d))
     neg = mined.filter(~F.col("has_answer")).select("qid", "pid", F.col("rank").alias("pos"))
-    empty_gold_tables = pos.limit(0).select("qid", "pid", F.lit(0).alias("tpos"), F.lit(True).alias("has_answer"))
-    out = assemble_training_tables(pos, neg, empty_gold_tables)
+    out = assemble_training_tables(pos, neg)  # documents have no tables; D7_with_gold_tables has a gold page
     return out.select("qid", F.array_join(F.transform("positive_ids", lambda x: x.cast("string")), ",").alias("positive_ids"),
                       F.array_join(F.transform("hard_negative_ids", lambda x: x.cast("string")), ",").alias("hard_negative_ids"))

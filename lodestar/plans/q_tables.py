@@ -150,6 +150,35 @@ def d11(spark, d):
     return TB.answer_cells(list_tables(spark, d).join(ans, "doc_id"))
 
 
+# a question is a page with its links as answers: its own tables are the gold page's, the first tables of the four pages
+# after it its ranking
+@register("D7_with_gold_tables", f"""
+WITH {LISTS},
+answers AS (SELECT DISTINCT page_id AS qid, lower(nfc_normalize(a)) AS answer FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS a FROM pages) WHERE a <> ''),
+places AS (SELECT doc_id, table_id, item - 1 AS row, 0 AS col, line AS text FROM items JOIN kept USING (doc_id, table_id)
+           UNION ALL SELECT doc_id, table_id, -1, -1, caption FROM kept),
+hits AS (SELECT DISTINCT a.qid, p.doc_id, p.table_id, p.row, p.col FROM answers a JOIN places p ON p.doc_id BETWEEN a.qid AND a.qid + 4
+         WHERE (p.doc_id = a.qid OR p.table_id = 0) AND contains(' ' || lower(nfc_normalize(p.text)) || ' ', ' ' || a.answer || ' ')),
+found AS (SELECT qid, doc_id, table_id, string_agg(row || '.' || col, ' ' ORDER BY row, col) AS cells FROM hits GROUP BY ALL),
+ranked AS (SELECT p.page_id AS qid, k.doc_id, k.table_id FROM pages p JOIN kept k ON k.doc_id BETWEEN p.page_id + 1 AND p.page_id + 4 AND k.table_id = 0),
+pos AS (SELECT qid, string_agg(doc_id || '/' || table_id, ',' ORDER BY doc_id = qid, doc_id, table_id) AS positive_ids,
+        string_agg(cells, ',' ORDER BY doc_id = qid, doc_id, table_id) AS answer_pos FROM found GROUP BY qid),
+neg AS (SELECT qid, string_agg(doc_id || '/' || table_id, ',' ORDER BY doc_id) AS hard_negative_ids FROM ranked ANTI JOIN found USING (qid, doc_id, table_id) GROUP BY qid)
+SELECT qid, coalesce(positive_ids, '') AS positive_ids, coalesce(answer_pos, '') AS answer_pos, coalesce(hard_negative_ids, '') AS hard_negative_ids
+FROM pos FULL JOIN neg USING (qid)""")
+def d7g(spark, d):
+    from ..operators.weak import assemble_training_tables
+    questions = _docs(spark, d).select(F.col("doc_id").alias("qid"), F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1).alias("answers"),
+                                       F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rank"))
+    met = questions.withColumn("doc_id", F.col("qid") + F.col("rank")).join(list_tables(spark, d), "doc_id").filter("rank = 0 or table_id = 0")
+    met = TB.answer_positions(met, keys=("qid", "doc_id", "table_id")).withColumn("pid", F.concat_ws("/", "doc_id", "table_id"))
+    ranked, gold = met.filter("rank > 0").withColumnRenamed("rank", "pos"), met.filter("rank = 0").withColumnRenamed("table_id", "tpos")
+    out = assemble_training_tables(ranked.filter("has_answer"), ranked.filter("not has_answer"), gold)
+    cells = F.transform("answer_pos", lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(".", x["row"], x["col"])), " "))
+    return out.select("qid", F.array_join("positive_ids", ",").alias("positive_ids"), F.array_join(cells, ",").alias("answer_pos"),
+                      F.array_join("hard_negative_ids", ",").alias("hard_negative_ids"))
+
+
 @register("A23_table_corpus_stats", f"""
 WITH {LISTS}
 SELECT CAST(0 AS BIGINT) AS with_issue, count(*) FILTER (WHERE table_id > 0) AS nested, count(*) FILTER (WHERE filled <= 1) AS single_row,

@@ -141,3 +141,23 @@ def test_tables_deeply_nested_and_long(spark):
     assert [t.parent_table_id for t in chain] == [None, *range(depth - 1)]
     assert chain[-1].caption == ("| w " * (depth - 1)).strip() and all(t.rows == [["w"]] for t in chain)
     assert sorted((t.caption, len(t.rows), t.filled_rows) for t in got if len(t.rows) > 1) == [("L", rows, rows), ("again", rows, rows)]
+
+
+def test_training_tables_carry_answer_positions(spark):
+    from lodestar.operators.weak import assemble_training_tables
+    tables = spark.createDataFrame([(1, 5, 0, "cap", [["aa", "x"], ["Aa bb", "aa"]], ["aa", ""]), (1, 6, 0, "aa", [["n"]], ["aa"]),
+                                    (1, 7, 0, "c", [["n"]], ["aa"]), (2, 7, 0, "c", [["n"]], ["n"]), (2, 5, 0, "c", [[]], None)],
+                                   "qid long, doc_id long, table_id long, caption string, rows array<array<string>>, answers array<string>")
+    t = TB.answer_positions(tables, keys=("qid", "doc_id", "table_id"))
+    got = {(r.qid, r.doc_id): ([tuple(x) for x in r.answer_pos], r.has_answer) for r in t.collect()}
+    assert got == {(1, 5): ([(0, 0), (1, 0), (1, 1)], True), (1, 6): ([(-1, -1)], True), (1, 7): ([], False),
+                   (2, 7): ([(0, 0)], True), (2, 5): ([], False)}
+    mined = spark.createDataFrame([(1, 6, 3), (3, 9, 1)], "qid long, pid long, pos long")
+    negatives = spark.createDataFrame([(1, 8, 2), (4, 8, 1)], "qid long, pid long, pos long")
+    gold = t.select("qid", F.col("doc_id").alias("pid"), F.col("table_id").alias("tpos"), "has_answer", "answer_pos")
+    out = {r.qid: r for r in assemble_training_tables(mined, negatives, gold).collect()}
+    assert out[1].positive_ids == [6, 5, 6] and [len(a) for a in out[1].answer_pos] == [0, 3, 1] and out[1].hard_negative_ids == [8]
+    assert out[2].positive_ids == [7] and [tuple(x) for x in out[2].answer_pos[0]] == [(0, 0)] and out[2].hard_negative_ids == []
+    assert out[3].positive_ids == [9] and out[3].answer_pos == [[]] and out[4].positive_ids == [] and out[4].answer_pos == []
+    plain = {r.qid: r.positive_ids for r in assemble_training_tables(mined, negatives).collect()}
+    assert plain == {1: [6], 3: [9], 4: []}
