@@ -154,6 +154,33 @@ def d9(spark, d):
     return _selected(spark, d).select("qid", "pid", "rank", "role")
 
 
+# a question's gold passage is the first document that holds its answer, its gold page that document's source; answer
+# spans count in texts of up to 4,000 characters
+@register("D9_select_with_gold_page", _J8_STRING + """,
+am2 AS (SELECT item_id, ' ' || array_to_string(""" + sql_tok("lower(nfc_normalize(text))") + """, ' ') || ' ' AS am FROM benchmark),
+dm2 AS (SELECT doc_id, ' ' || array_to_string(""" + sql_tok("lower(nfc_normalize(text))") + """, ' ') || ' ' AS dm FROM documents),
+first AS (SELECT am2.item_id AS qid, MIN(dm2.doc_id) AS pid FROM am2, dm2 WHERE length(trim(am2.am)) > 0 AND contains(dm2.dm, am2.am) GROUP BY 1),
+gold AS (SELECT f.qid, f.pid, lower(d.source) AS title FROM first f JOIN documents d ON d.doc_id = f.pid),
+h AS (SELECT j.qid, j.pid, CAST(j.rank AS BIGINT) AS rank, length(trim(am)) > 0 AND contains(dm, am) AS hit, length(d.text) <= 4000 AS span,
+      coalesce(lower(d.source) = g.title, false) AS gp, coalesce(g.pid = j.pid, false) AS given
+      FROM j JOIN documents d ON d.doc_id = j.pid LEFT JOIN gold g ON g.qid = j.qid),
+r AS (SELECT qid, pid, rank, hit, span, gp FROM h WHERE rank <= 200 AND NOT given UNION ALL SELECT qid, pid, 0, true, true, true FROM gold),
+x AS (SELECT *, hit AND span AS usable, SUM(CAST(hit AND span AND gp AS INTEGER)) OVER (PARTITION BY qid) AS on_page,
+  SUM(CAST(hit AND span AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank, pid) AS hr, SUM(CAST(NOT hit AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank, pid) AS nr FROM r),
+y AS (SELECT *, CASE WHEN on_page > 0 THEN usable AND gp ELSE usable AND hr <= 20 END AS pos FROM x),
+z AS (SELECT *, SUM(CAST(pos AS INTEGER)) OVER (PARTITION BY qid) AS npos FROM y)
+SELECT qid, pid, rank, CASE WHEN pos THEN 'positive' ELSE 'negative' END AS role FROM z
+WHERE npos > 0 AND (pos OR (NOT hit AND nr <= LEAST(GREATEST(10 * npos, 50), 150)))""")
+def d9g(spark, d):
+    from ..operators.qa import answer_in_passage
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.col("source").alias("title"))
+    gold = _gold(spark, d).groupBy("qid").agg(F.min("pid").alias("pid"))
+    hits = answer_in_passage(_pairs(spark, d), "string").select(
+        "qid", "pid", F.col("rank").cast("long").alias("rank"), "has_answer", (F.char_length("text") <= 4000).alias("span"), F.col("source").alias("title"))
+    hits = RDR.gold_page_match(hits, gold.join(titles, "pid").select("qid", "title")).drop("title")
+    return RDR.select_reader_passages(hits, is_train=True, spans="span", gold=gold).select("qid", "pid", "rank", "role")
+
+
 @register("D13_compose_reader_batch", _J8_STRING + """, h AS (SELECT qid, pid, rank, length(trim(am)) > 0 AND contains(dm, am) AS hit FROM j),
 x AS (SELECT *, SUM(CAST(hit AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank) AS hr,
   SUM(CAST(NOT hit AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank) AS nr FROM h),
