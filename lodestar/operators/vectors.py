@@ -2,9 +2,9 @@
 (V4-V9, V34, J15, A14, A15).
 
 Exact bulk scoring runs on a grid: queries and documents are each dealt into blocks by a hash of
-their key. Blocks of both sides are as many as keep a block's matrix within ``MAX_BLOCK_BYTES`` (document
-blocks at least as many as the session's shuffles have partitions); every cell (query block, document block) is one
-cogroup that multiplies its two matrices with numpy and keeps only a local
+their key. Blocks of both sides are as many as keep a block's matrix within ``MAX_BLOCK_BYTES`` and as give
+at least a cell for each partition of the session's shuffles, with the fewest bytes copied; every cell (query block,
+document block) is one cogroup that multiplies its two matrices in steps with numpy and keeps only a local
 top-k (or a count) per query. Nothing is collected or broadcast; the final top-k per query is a
 ``row_number`` window over at most ``document blocks x k`` rows per query.
 
@@ -14,6 +14,7 @@ top-k (or a count) per query. Nothing is collected or broadcast; the final top-k
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,8 +27,10 @@ from ..functions.vectors import dot, sq_l2
 from .codebook import DIGITS
 from .ranking import topk_per_query
 
-MAX_BLOCK_BYTES = 32 << 20      # one query block's float64 matrix
+MAX_BLOCK_BYTES = 16 << 20      # one query or document block's float64 matrix
 MAX_BLOCK_CELLS = 8 << 20       # scores held at once in one task: queries x documents
+STEP_QUERIES = 1 << 9           # queries multiplied at once in a cell of the grid,
+STEP_CELLS = 1 << 19            # and their scores
 MAX_COPIES = 1 << 14            # rows of queries, copied to blocks, that are sent on at once
 RECALL_QUERIES = 512            # queries that approximate kNN's recall is measured on
 RECALL_HITS = 1 << 16           # and their exact hits, which the driver gathers
@@ -55,7 +58,7 @@ def spread_scan(df: DataFrame) -> DataFrame:
 def _matrix(col: pd.Series) -> np.ndarray:
     if len(col) == 0:
         return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
+    return np.stack(col.to_numpy()).astype(np.float64)
 
 
 def _select_topk(rows, ids, scores, k):
@@ -74,20 +77,56 @@ def _select_topk(rows, ids, scores, k):
 def _scores(Q: np.ndarray, D: np.ndarray, metric: str) -> np.ndarray:
     S = Q @ D.T
     if metric == "l2":   # larger is better: minus squared distance
-        S = 2 * S - (Q * Q).sum(1)[:, None] - (D * D).sum(1)[None, :]
+        S *= 2
+        S -= (Q * Q).sum(1)[:, None]
+        S -= (D * D).sum(1)[None, :]
     return S
 
 
+def _best_of_block(Q: np.ndarray, D: np.ndarray, ids: np.ndarray, k: int, metric: str, digits: int | None):
+    """``(row, id, score)`` of the ``k`` best documents of each query, in steps that hold ``STEP_CELLS`` scores. From the
+    second step on, only scores that reach a query's k-th one so far are sorted."""
+    slack = 0.0 if digits is None else 10.0 ** -digits    # rounding lifts a score by less
+    for a in range(0, len(Q), STEP_QUERIES):
+        q = Q[a:a + STEP_QUERIES]
+        step = max(1, STEP_CELLS // len(q))
+        least = np.full(len(q), -np.inf)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for s in range(0, len(D), step):
+            S = _scores(q, D[s:s + step], metric)
+            m = S.shape[1]
+            if m > k and np.isneginf(least).any():
+                edge = np.partition(S, m - k, axis=1)[:, m - k]
+                least = np.maximum(least, edge if digits is None else np.round(edge, digits))
+            r, c = np.nonzero(S >= (least - slack)[:, None])
+            sc = S[r, c] if digits is None else np.round(S[r, c], digits)
+            held = _select_topk(np.r_[held[0], r], np.r_[held[1], ids[s + c]], np.r_[held[2], sc], k)
+            count = np.bincount(held[0], minlength=len(q))
+            least[count == k] = held[2][np.cumsum(count)[count == k] - 1]
+        yield held[0] + a, held[1], held[2]
+
+
+def _bytes(df: DataFrame, vec: str) -> int:
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
+    return int(stats["n"]) * int(stats["dim"] or 1) * 8
+
+
 def _blocks(df: DataFrame, vec: str, max_bytes: int) -> int:
     """Blocks of one side, by its size in bytes."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
-    return max(1, -(-int(stats["n"]) * int(stats["dim"] or 1) * 8 // max_bytes))
+    return max(1, -(-_bytes(df, vec) // max_bytes))
+
+
+def _grid_shape(q_bytes: int, d_bytes: int, cells: int, max_bytes: int) -> tuple[int, int]:
+    """Blocks of either side: none above ``max_bytes``, ``cells`` cells at least, few bytes copied (the queries go to every
+    document block, the documents to every query block)."""
+    nq = max(1, -(-q_bytes // max_bytes), min(cells, round(math.sqrt(cells * q_bytes / max(1, d_bytes)))))
+    return nq, max(1, -(-d_bytes // max_bytes), -(-cells // nq))
 
 
 def _grid(queries: DataFrame, docs: DataFrame, qkeys: Sequence[str], did: str, qvec: str, dvec: str, max_bytes: int):
     """Both sides dealt into blocks and copied to the cells of their row or column of the grid."""
-    nq = _blocks(queries, qvec, max_bytes)
-    nd = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), _blocks(docs, dvec, max_bytes))
+    cells = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nq, nd = _grid_shape(_bytes(queries, qvec), _bytes(docs, dvec), cells, max_bytes)
 
     def deal(df, keys, own, n_own, other, n_other):
         df = df.withColumn(own, F.pmod(F.xxhash64(*keys), F.lit(n_own)).cast("int"))
@@ -113,22 +152,8 @@ def knn_flat(queries: DataFrame, docs: DataFrame, k: int, qkeys: Sequence[str] =
     def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(dpdf) == 0:
             return pd.DataFrame({c: [] for c in columns})
-        Q, D_all, dids_all = _matrix(qpdf["_qv"]), _matrix(dpdf["_dv"]), dpdf["_id"].to_numpy().astype(np.int64)
-        step = max(1, MAX_BLOCK_CELLS // len(Q))
-        rows = np.zeros(0, np.int64); ids = np.zeros(0, np.int64); sc = np.zeros(0)
-        for s in range(0, len(D_all), step):
-            D, dids = D_all[s:s + step], dids_all[s:s + step]
-            S = _scores(Q, D, metric)
-            if score_digits is not None:
-                S = np.round(S, score_digits)
-            m = S.shape[1]
-            if m > k:
-                thr = np.partition(S, m - k, axis=1)[:, m - k]
-                r, c = np.nonzero(S >= thr[:, None])
-            else:
-                r, c = np.nonzero(np.ones_like(S, dtype=bool))
-            rows = np.r_[rows, r]; ids = np.r_[ids, dids[c]]; sc = np.r_[sc, S[r, c]]
-            rows, ids, sc = _select_topk(rows, ids, sc, k)
+        found = _best_of_block(_matrix(qpdf["_qv"]), _matrix(dpdf["_dv"]), dpdf["_id"].to_numpy().astype(np.int64), k, metric, score_digits)
+        rows, ids, sc = (np.concatenate(x) for x in zip(*found))
         out = qpdf[qkeys].iloc[rows].reset_index(drop=True)
         out[did] = ids
         out["score"] = sc
@@ -139,6 +164,25 @@ def knn_flat(queries: DataFrame, docs: DataFrame, k: int, qkeys: Sequence[str] =
     return cells.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def _above_in_block(Q: np.ndarray, thr: np.ndarray, D: np.ndarray) -> np.ndarray:
+    """Per query, documents whose score rounded to ``DIGITS`` lies above ``thr`` (rounded too), in steps that hold
+    ``STEP_CELLS`` scores. Only scores next to the threshold need to be rounded."""
+    above = np.zeros(len(Q), np.int64)
+    for a in range(0, len(Q), STEP_QUERIES):
+        q, t = Q[a:a + STEP_QUERIES], thr[a:a + STEP_QUERIES, None]
+        near, step = 10.0 ** (1 - DIGITS) * np.maximum(1.0, np.abs(t)), max(1, STEP_CELLS // len(q))
+        for s in range(0, len(D), step):
+            S = q @ D[s:s + step].T
+            over = S > t + near
+            n = np.count_nonzero(over, axis=1)
+            reach = S > t - near
+            if np.count_nonzero(reach) > n.sum():
+                r, c = np.nonzero(reach & ~over)
+                n += np.bincount(r, np.round(S[r, c], DIGITS) > t[r, 0], len(q)).astype(np.int64)
+            above[a:a + STEP_QUERIES] += n
+    return above
+
+
 def count_scores_above(queries: DataFrame, docs: DataFrame, threshold_col: str, qkeys: Sequence[str] = ("qid",),
                        qvec: str = "embedding", dvec: str = "embedding", max_block_bytes: int = MAX_BLOCK_BYTES,
                        did: str = "cid") -> DataFrame:
@@ -154,9 +198,8 @@ def count_scores_above(queries: DataFrame, docs: DataFrame, threshold_col: str,
         out = qpdf[qkeys].copy()
         out["above"] = 0
         if len(qpdf) and len(dpdf):
-            Q, thr, D = _matrix(qpdf["_qv"]), np.round(qpdf["_thr"].to_numpy(), DIGITS)[:, None], _matrix(dpdf["_dv"])
-            step = max(1, MAX_BLOCK_CELLS // len(Q))
-            out["above"] = sum((np.round(Q @ D[s:s + step].T, DIGITS) > thr).sum(1) for s in range(0, len(D), step))
+            thr = np.round(qpdf["_thr"].to_numpy(), DIGITS)
+            out["above"] = _above_in_block(_matrix(qpdf["_qv"]), thr, _matrix(dpdf["_dv"]))
         return out
 
     docs = docs.select(F.col(did).alias("_id"), F.col(dvec).alias("_dv"))
@@ -204,12 +247,12 @@ def average_rank_balls(questions: DataFrame, contexts: DataFrame, balls=None) ->
 
 # ---- multi-vector (late interaction) -------------------------------------------------------------
 
-def pack_vectors(tokens: DataFrame, key: str, pos: str, vec: str = "embedding", out: str = "vecs") -> DataFrame:
+def pack_vectors(tokens: DataFrame, key: str, pos: str, vec: str = "embedding", out: str = "vecs", element: str = "double") -> DataFrame:
     """A passage's (or query's) token vectors packed in position order into one flat
-    ``array<double>`` (``n_vectors * dim``; bounded by the encoder's max length). Flat arrays cross
+    ``array<element>`` (``n_vectors * dim``; bounded by the encoder's max length). Flat arrays cross
     to Arrow/numpy without per-vector objects; kernels reshape with the known ``dim``."""
     g = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(vec).alias("v")))).alias("_s"))
-    return g.select(key, F.flatten(F.transform("_s", lambda x: x["v"].cast("array<double>"))).alias(out))
+    return g.select(key, F.flatten(F.transform("_s", lambda x: x["v"].cast(f"array<{element}>"))).alias(out))
 
 
 def vector_dim(df: DataFrame, vec: str = "embedding") -> int:
@@ -217,47 +260,23 @@ def vector_dim(df: DataFrame, vec: str = "embedding") -> int:
     return int(df.select(F.max(F.size(vec))).first()[0] or 0)
 
 
-def _pad3(col, dim: int):
-    """flat packed vectors per row -> (n, L, dim) float64 + (n, L) mask."""
-    mats = [np.asarray(x, np.float64).reshape(-1, dim) for x in col]
-    L = max(1, max((m.shape[0] for m in mats), default=1))
-    out = np.zeros((len(mats), L, dim))
-    mask = np.zeros((len(mats), L), bool)
-    for i, m in enumerate(mats):
-        out[i, :m.shape[0]] = m
-        mask[i, :m.shape[0]] = True
-    return out, mask
-
-
-def _maxsim_rows(qs, ds, variant: str, floor_zero: bool, dim: int, chunk: int = 256):
-    """Vectorised maxsim for aligned (query, document) rows: padded 3-d products per chunk."""
-    n = len(qs)
-    out = np.zeros(n)
-    if n == 0:
+def _maxsim_scores(Q: np.ndarray, docs, variant: str, floor_zero: bool) -> np.ndarray:
+    """Scores of one query's vectors against its documents, each a flat array of vectors."""
+    dim, sizes = Q.shape[1], np.array([len(x) for x in docs]) // Q.shape[1]
+    out = np.zeros(len(docs))                               # a document without vectors scores 0
+    full = np.flatnonzero(sizes)
+    if not len(full) or not len(Q):
         return out
-    for s in range(0, n, chunk):
-        Q, qm = _pad3(qs[s:s + chunk], dim)
-        D, dm = _pad3(ds[s:s + chunk], dim)
-        if variant == "l2":
-            S = 2 * np.einsum("nqd,nkd->nqk", Q, D) - (Q * Q).sum(-1)[:, :, None] - (D * D).sum(-1)[:, None, :]
-        else:
-            S = np.einsum("nqd,nkd->nqk", Q, D)
-        S = np.where(dm[:, None, :], S, -np.inf)
-        m = S.max(2)                                        # (n, Lq)
-        empty = ~dm.any(1)
-        if floor_zero:
-            m = np.maximum(m, 0.0)
-        m = np.where(qm, m, np.nan)
-        if variant == "flipr":
-            res = np.zeros(m.shape[0])
-            for i in range(m.shape[0]):
-                row = m[i][qm[i]]
-                first, rest = row[:64], row[64:]
-                res[i] = np.sort(first)[::-1][:32].sum() + (np.sort(rest)[::-1][:8].sum() if len(rest) >= 8 else 0.0)
-        else:
-            res = np.nansum(m, 1)
-        res[empty] = 0.0
-        out[s:s + chunk] = res
+    D = np.concatenate([docs[i] for i in full]).astype(np.float64).reshape(-1, dim)
+    S = _scores(Q, D, "l2" if variant == "l2" else "ip")
+    m = np.maximum.reduceat(S, np.cumsum(sizes[full]) - sizes[full], axis=1)     # (query vectors, documents)
+    if floor_zero:
+        m = np.maximum(m, 0.0)
+    if variant == "flipr":
+        rest = m[64:]
+        out[full] = np.sort(m[:64], axis=0)[::-1][:32].sum(0) + (np.sort(rest, axis=0)[::-1][:8].sum(0) if len(rest) >= 8 else 0.0)
+    else:
+        out[full] = m.sum(0)
     return out
 
 
@@ -266,16 +285,47 @@ def maxsim(pairs: DataFrame, qpacked: DataFrame, dpacked: DataFrame, dim: int, q
     """V4/V5/V6: score of each ``(qid, pid)`` pair = sum over query vectors of the best document
     vector (dot for ``colbert``, minus squared distance for ``l2``; ``flipr`` keeps the top 32 of
     the first 64 query maxima plus the top 8 of the rest). ``qpacked(qid, qvecs)`` and
-    ``dpacked(pid, dvecs)`` come from ``pack_vectors``; the product is numpy per Arrow batch."""
-    j = spread(pairs.select(qid, pid), qid, pid).join(qpacked, qid).join(dpacked, pid)
-    schema = T.StructType([j.schema[qid], j.schema[pid], T.StructField("score", T.DoubleType())])
+    ``dpacked(pid, dvecs)`` come from ``pack_vectors``.
+
+    Documents are joined to their pairs and sorted by query behind the query's own row, which so travels once and not with every
+    pair; the kernel holds one query and a batch of its documents."""
+    schema = T.StructType([pairs.schema[qid], pairs.schema[pid], T.StructField("score", T.DoubleType())])
+    met = spread(pairs.select(qid, pid), pid).join(dpacked.select(pid, "dvecs"), pid).select(qid, pid, F.lit(None).cast(qpacked.schema["qvecs"].dataType).alias("qvecs"), "dvecs")
+    asked = qpacked.select(qid, F.lit(0).cast(pairs.schema[pid].dataType).alias(pid), "qvecs", F.lit(None).cast(dpacked.schema["dvecs"].dataType).alias("dvecs"))
+    rows = asked.withColumn("_pair", F.lit(0)).unionByName(met.withColumn("_pair", F.lit(1))).filter(F.col(qid).isNotNull())
 
     def kernel(it):
+        held, now = [], None            # the query at hand, and its vectors (once for each row it has)
         for pdf in it:
-            yield pd.DataFrame({qid: pdf[qid], pid: pdf[pid],
-                                "score": _maxsim_rows(list(pdf["qvecs"]), list(pdf["dvecs"]), variant, floor_zero, dim)})
-
-    return j.select(qid, pid, "qvecs", "dvecs").mapInPandas(kernel, schema)
+            key, pair = pdf[qid].to_numpy(), pdf["_pair"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
+            for s, e in zip(starts, [*starts[1:], len(key)]):
+                if key[s] != now:
+                    held, now = [], key[s]
+                part = pdf.iloc[s:e]
+                if not pair[s]:
+                    held += [np.asarray(v, np.float64).reshape(-1, dim) for v in part["qvecs"]]
+                    continue
+                docs = part["dvecs"].to_list()
+                for Q in held:
+                    size = np.cumsum([len(x) // dim for x in docs]) * max(1, len(Q))
+                    cuts = np.flatnonzero(np.diff(size // STEP_CELLS)) + 1
+                    for a, b in zip([0, *cuts], [*cuts, len(docs)]):
+                        yield pd.DataFrame({qid: key[s + a:s + b], pid: part[pid].iloc[a:b].to_numpy(),
+                                            "score": _maxsim_scores(Q, docs[a:b], variant, floor_zero)})
+
+    def batched(it):                    # a frame for each query would cost more than its scores
+        parts, n = [], 0
+        for p in kernel(it):
+            parts.append(p)
+            n += len(p)
+            if n >= MAX_COPIES:
+                yield pd.concat(parts, ignore_index=True)
+                parts, n = [], 0
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
+
+    return spread(rows, qid).sortWithinPartitions(qid, "_pair").mapInPandas(batched, schema)
 
 
 def maxsim_join(pairs: DataFrame, qtok: DataFrame, dtok: DataFrame, qid: str = "qid", pid: str = "pid") -> DataFrame:

@@ -127,7 +127,7 @@ def token_candidates(toks, k=10):
 
 def _maxsim(spark, d, variant):
     toks = multivector(spark, d)
-    packed = V.pack_vectors(toks, "pid", "tp")
+    packed = V.pack_vectors(toks, "pid", "tp", element="float")
     cand = token_candidates(toks)
     return V.maxsim(cand, packed.withColumnRenamed("pid", "qid").withColumnRenamed("vecs", "qvecs"),
                     packed.withColumnRenamed("vecs", "dvecs"), V.vector_dim(toks), variant=variant)
@@ -171,7 +171,8 @@ def v6_long(spark, d):
     p = e.select(F.floor(F.col("vec_id") / 8).cast("long").alias("pid"), (F.col("vec_id") % 8).alias("tp"), "embedding")
     near = V.knn_flat(q, e.select("vec_id", "embedding"), 10, ("qid", "qp"), did="vec_id")
     pairs = near.select("qid", F.floor(F.col("vec_id") / 8).cast("long").alias("pid")).distinct()
-    out = V.maxsim(pairs, V.pack_vectors(q, "qid", "qp", "embedding", "qvecs"), V.pack_vectors(p, "pid", "tp", "embedding", "dvecs"),
+    out = V.maxsim(pairs, V.pack_vectors(q, "qid", "qp", "embedding", "qvecs", "float"),
+                   V.pack_vectors(p, "pid", "tp", "embedding", "dvecs", "float"),
                    V.vector_dim(e), variant="flipr")
     return out.select("qid", "pid", F.round("score", R).alias("score"))
 
