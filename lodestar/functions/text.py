@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -127,9 +128,13 @@ _SPAN_TYPE = ArrayType(StructType([StructField("token", StringType()), StructFie
                                    StructField("end", IntegerType()), StructField("ws", StringType())]))
 
 
+SPAN_CHARS = 1 << 18    # characters whose spans are held at once
+
+
 @F.pandas_udf(_SPAN_TYPE)
-def _token_spans_udf(s: pd.Series) -> pd.Series:
-    """Each text is cut into pieces (a token and the gap behind it); offsets are running sums of lengths."""
+def _token_spans_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Each text is cut into pieces (a token and the gap behind it); offsets are running sums of lengths. A token's span takes
+    many times its text, so a batch of texts goes out in parts of about ``SPAN_CHARS`` characters."""
     import numpy as np
     import regex
     piece = regex.compile(f"({TOKEN_PATTERN})((?:(?!{TOKEN_PATTERN}).)*)", regex.DOTALL)
@@ -144,7 +149,12 @@ def _token_spans_udf(s: pd.Series) -> pd.Series:
         begins = len(text) - sizes.sum() + np.cumsum(sizes) - sizes      # the text may begin with a gap
         pieces[-1] = (pieces[-1][0], "")                                 # no blank behind the last token
         return [{"token": t, "start": int(b), "end": int(b) + len(t), "ws": t + gap} for (t, gap), b in zip(pieces, begins)]
-    return s.map(one)
+
+    for s in batches:
+        part = np.cumsum([0 if t is None else len(t) for t in s]) // SPAN_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(s)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield s.iloc[a:b].map(one)
 
 
 def token_spans(text: str | Column) -> Column:
