@@ -167,8 +167,8 @@ def s13(spark, d):
     path = scratch_dir(spark, "s13")
     docs = table(spark, d, "documents")
     header = spark.createDataFrame([("id", "text", "title")], "doc_id string, text string, source string")
-    rows = header.unionByName(docs.select(F.col("doc_id").cast("string"), strip_control("text").alias("text"), "source"))
-    SK.write_tsv(rows.coalesce(1), path, ["doc_id", "text", "source"])
+    SK.write_tsv(docs, path, ["doc_id", strip_control("text"), "source"])
+    SK.write_tsv(header, path, ["doc_id", "text", "source"], mode="append")     # the reader skips it by its id
     return RD.read_ctx_csv(spark, path, id_prefix="doc:")
 
 
@@ -256,9 +256,7 @@ def s19(spark, d):
 def s20(spark, d):
     path = scratch_dir(spark, "s20")
     docs = table(spark, d, "documents")
-    header = spark.createDataFrame([("id", "text")], "doc_id string, text string")
-    SK.write_tsv(header.unionByName(docs.select(F.col("doc_id").cast("string"), strip_control("text").alias("text"))).coalesce(1),
-                 path, ["doc_id", "text"])
+    SK.write_header_tsv(docs.select(F.col("doc_id").alias("id"), strip_control("text").alias("text")), path)
     return RD.read_id_text(spark, path, table(spark, d, "labels").select(F.col("doc_id").alias("id")))
 
 

@@ -22,6 +22,13 @@ def write_tsv(df: DataFrame, path: str, cols: list, mode: str = "overwrite") ->
     df.select(tsv_line(*cols).alias("value")).write.mode(mode).text(path)
 
 
+def write_header_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Raw TSV (no quoting, null fields empty) whose every file begins with a header line of the column names."""
+    raw = {"sep": "\t", "quote": "", "escape": "", "header": "true", "nullValue": "", "emptyValue": "",
+           "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode(mode).options(**raw).csv(path)
+
+
 def write_ranking(ranking: DataFrame, path: str, provenance: dict | None = None) -> None:
     """K1: TSV ``qid, pid, rank[, score][, label]`` with booleans as 0/1, plus a one-row JSON
     provenance side file."""
