@@ -72,15 +72,22 @@ SELECT o.o_orderkey AS dataset_id, COALESCE(d.document, '') AS document FROM ord
 WHERE o.o_orderstatus IS NOT NULL""".format(tok=sql_tok("lower(txt)"))
 
 
+#: Lines of orders that a task joins and sorts.
+TASK_LINES = 500_000
+
+
 def content_documents_from_orders(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     p = table(spark, d, "part").select("p_partkey", "p_name")
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    triples = (li.join(o, li.l_orderkey == o.o_orderkey)
-               .join(p, li.l_partkey == p.p_partkey, "left").join(s, li.l_suppkey == s.s_suppkey, "left")
-               .select(F.col("l_orderkey").alias("dataset_id"), F.row_number().over(w).alias("pos"),
+    # as many tasks as the lines ask for, so that no task sorts more of them as the tables grow
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // TASK_LINES))
+    lines = (li.repartition(n, "l_partkey").join(p, li.l_partkey == p.p_partkey, "left")
+             .repartition(n, "l_suppkey").join(s, F.col("l_suppkey") == s.s_suppkey, "left").repartition(n, "l_orderkey"))
+    # a line's place is told by what orders it: lines that agree in all three have the same labels
+    triples = (lines.join(o, F.col("l_orderkey") == o.o_orderkey)
+               .select(F.col("l_orderkey").alias("dataset_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
                        F.col("o_orderpriority").alias("sub_label"), F.col("p_name").alias("pre_label"),
                        F.col("s_name").alias("obj_label")))
     datasets = o.select(F.col("o_orderkey").alias("dataset_id"), F.col("o_orderstatus").alias("title"))
