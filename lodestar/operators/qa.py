@@ -52,8 +52,11 @@ def encode_hashed_bag(df: DataFrame, id_col: str, text_col: str, dim: int = 64)
     """V29 built-in test encoder (dense form): ``(id, embedding array<double>)`` of length ``dim``."""
     w = hashed_bag_weights(df, id_col, text_col, dim)
     g = w.groupBy(id_col).agg(F.collect_list(F.struct("b", "w")).alias("_bw"))      # <= dim entries
-    return g.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.coalesce(F.element_at(F.map_from_entries("_bw"), i), F.lit(0.0))).alias("embedding"))
+
+    def dense(m):       # the map as a variable: used inside a lambda, it would be made for each place
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
+
+    return g.select(id_col, F.element_at(F.transform(F.array(F.map_from_entries("_bw")), dense), 1).alias("embedding"))
 
 
 def results_with_passages(ranked: DataFrame, passages: DataFrame, pid: str = "pid") -> DataFrame:

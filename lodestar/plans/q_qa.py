@@ -9,7 +9,7 @@ from ..operators import qa as QA
 from ..operators.corpus import answers_in_corpus
 from ..operators.ranking import first_hit
 from ..operators.vectors import knn_flat
-from ..session import table
+from ..session import cut, small, table
 from .q_text import sql_norm_answer, sql_tok
 from .registry import register
 
@@ -39,15 +39,16 @@ def ranked(spark, d):
     """Benchmark items retrieve documents: hashed-bag vectors, exact inner-product top-K."""
     docs = table(spark, d, "documents")
     b = table(spark, d, "benchmark")
-    dv = QA.encode_hashed_bag(docs, "doc_id", "text", DIM).withColumnRenamed("doc_id", "pid")
-    qv = QA.encode_hashed_bag(b, "item_id", "text", DIM).withColumnRenamed("item_id", "qid")
+    # the vectors are written: the search counts their bytes before it deals them out
+    dv = cut(QA.encode_hashed_bag(docs, "doc_id", "text", DIM).withColumnRenamed("doc_id", "pid"))
+    qv = cut(QA.encode_hashed_bag(b, "item_id", "text", DIM).withColumnRenamed("item_id", "qid"))
     return knn_flat(qv, dv, K, score_digits=10)
 
 
 def _pairs(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text", "source")
     ans = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array("text").alias("answers"))
-    return ranked(spark, d).join(docs, "pid").join(ans, "qid")
+    return small(cut(ranked(spark, d))).join(docs, "pid").join(ans, "qid")     # the texts stay where they are
 
 
 @register("V29_encode_hashed_bag", f"WITH {_ENC} SELECT doc_id, CAST(b AS INTEGER) AS b, round(w, {R}) AS w FROM dw")

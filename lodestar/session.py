@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -59,6 +60,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+#: Rows of keys that a join may send to every task.
+SMALL_ROWS = 1 << 20
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written once, so that what reads them more than once does not work them out again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (written rows) marked for a broadcast when it has few rows, so that the large side of a join stays where it is."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the test tables (parquet) lazily; column pruning and filters reach the scan."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -1,13 +1,17 @@
 """Bounds that must hold as tables grow: copies on the grid, queries beside their pairs, spans in parts, files per task."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators import corpus as C
+from lodestar.operators import qa as QA
 from lodestar.operators import vectors as V
-from lodestar.plans import q_io, q_text
+from lodestar.plans import q_io, q_qa, q_reader, q_text
 from lodestar.sources import readers as RD
 from lodestar.sources import sinks as SK
 
@@ -120,3 +124,63 @@ def test_order_documents_take_tasks_by_lines(spark, tmp_path, monkeypatch):
     assert got[1] == "[CLS] p1 n12 [SEP] p1 sup [SEP] p1 n10 sup [SEP]"
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning(l_orderkey" in plan and ", 12), REPARTITION_BY_NUM" in plan
+
+
+def _texts(spark, tmp_path):
+    docs = [(i, None if i == 7 else f"café w{i} w{i + 1} in the town of x{i % 5}", f"S{i % 4}") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(k, f"W{k} w{k + 1} in") for k in range(6)] + [(90, None), (91, ""), (92, "w9"), (93, "nowhere at all")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+
+def _text_scans(df):
+    return re.findall(r"FileScan parquet \[[^\]]*\btext#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_texts_are_encoded_once_and_stay_where_they_are(spark, tmp_path):
+    _texts(spark, tmp_path)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = q_qa._pairs(spark, str(tmp_path))
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        spans = {(r.qid, r.pid): (r.n_spans, r.first_start) for r in q_qa.d10(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "regexp_extract_all" not in plan                  # the ranking is written, not worked out again
+    assert "hashpartitioning(pid" not in plan and "BroadcastHashJoin [pid" in plan
+    assert {k: v for k, v in spans.items() if v[0]} == {(k, k): (1, 1) for k in range(6)} | {(92, 8): (1, 2), (92, 9): (1, 1)}
+
+
+@pytest.mark.parametrize("query,scans", [("d9g", 0), ("d13", 0), ("d6", 1), ("d7", 1), ("j9", 1)])
+def test_reader_queries_read_texts_once_for_each_check(spark, tmp_path, query, scans):
+    """What a query returns rests on written hits: at most the check of the last candidates still reads texts."""
+    _texts(spark, tmp_path)
+    df = getattr(q_reader, query)(spark, str(tmp_path))
+    assert len(_text_scans(df)) <= scans + (query == "j9")    # J9 has the texts of its hits beside it
+    rows = df.collect()
+    if query == "d6":
+        assert {(r.qid, r.pid) for r in rows if r.gold_match} == {(k, k) for k in range(6)} | {(92, 8)}
+    assert len(rows) > 0
+
+
+def test_only_candidates_are_normalised_again(spark):
+    passages = [(i, f"café in the town of x{i}") for i in range(50)]
+    p = spark.createDataFrame(passages, "pid long, text string")
+    a = spark.createDataFrame([(1, "of x7"), (2, "CAFÉ in")], "qid long, answer string")
+    out = C.answers_in_corpus(a, p)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and plan.index("ArrowEvalPython [") < plan.index("LeftSemi")
+    assert {(r.qid, r.pid) for r in out.collect()} == {(1, 7)} | {(2, i) for i in range(50)}
+
+
+def test_hashed_bag_vector_equals_its_weights(spark):
+    rows = [(1, "a b a c"), (1, "a d"), (2, "z"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = {}
+    for r in QA.hashed_bag_weights(df, "id", "text", 64).collect():
+        want.setdefault(r.id, [0.0] * 64)[r.b] = r.w
+    out = QA.encode_hashed_bag(df, "id", "text", 64)
+    assert {r.id: r.embedding for r in out.collect()} == want and set(want) == {1, 2}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at(map_from_entries" not in plan          # one map for a text, not one for each place
