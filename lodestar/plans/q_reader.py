@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from ..operators import metrics as M
 from ..operators import reader as RDR
-from ..session import scratch_dir, table
+from ..session import cut, scratch_dir, table
 from .q_qa import _ENC, _J8_STRING, _pairs
 from .q_text import sql_tok
 from .registry import ORACLE, register
@@ -141,7 +141,7 @@ def w11(spark, d):
 def _selected(spark, d):
     from ..operators.qa import answer_in_passage
     hits = answer_in_passage(_pairs(spark, d), "string").withColumn("gold_page", F.lit(False))
-    return RDR.select_reader_passages(hits.select("qid", "pid", "rank", "has_answer", "gold_page"), is_train=True)
+    return RDR.select_reader_passages(cut(hits.select("qid", "pid", "rank", "has_answer", "gold_page")), is_train=True)
 
 
 @register("D9_select_reader_passages", _J8_STRING + """, h AS (SELECT qid, pid, rank, length(trim(am)) > 0 AND contains(dm, am) AS hit FROM j),
