@@ -177,7 +177,8 @@ def d9g(spark, d):
     gold = _gold(spark, d).groupBy("qid").agg(F.min("pid").alias("pid"))
     hits = answer_in_passage(_pairs(spark, d), "string").select(
         "qid", "pid", F.col("rank").cast("long").alias("rank"), "has_answer", (F.char_length("text") <= 4000).alias("span"), F.col("source").alias("title"))
-    hits = RDR.gold_page_match(hits, gold.join(titles, "pid").select("qid", "title")).drop("title")
+    gold = cut(gold)
+    hits = RDR.gold_page_match(cut(hits), gold.join(titles, "pid").select("qid", "title")).drop("title")
     return RDR.select_reader_passages(hits, is_train=True, spans="span", gold=gold).select("qid", "pid", "rank", "role")
 
 
