@@ -8,8 +8,9 @@ For a vector ``x`` and a centroid ``c`` of a list with center ``m`` and radius `
 proves a score; it is then sent to exactly those other lists whose bound reaches that score. What it does not meet
 cannot win, so the result is that of the full product, ties to the smaller code.
 
-Groups are bounded: a list is split above ``4 sqrt(k)`` centroids, and the vectors of a list are dealt into
-slices of ``SLICE`` rows, as many as that list needs.
+Groups are bounded: a list is split above ``4 sqrt(k)`` centroids, lists lie side by side in blocks of bounded bytes, and the
+vectors are dealt into slices of about ``SLICE`` rows at most. A vector goes once to each block that holds a list it must meet, with a bit for
+each of the block's lists; it would otherwise be copied to nearly every list where no bound helps.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 from ..functions.vectors import l2_normalize
 from ..session import ensure_checkpoint_dir
 
-#: Vectors of one list that a task's group holds.
-SLICE = 1 << 13
+#: Vectors that meet a block's lists in one task.
+SLICE = 1 << 15
+#: Scores of vectors and lists' centers held at once.
+STEP = 1 << 20
 #: Bytes of a list's vectors, which one task holds as a matrix.
 LIST_BYTES = 32 << 20
 #: Rows, copied to lists, that are sent on at once.
@@ -136,42 +139,103 @@ def _top(scores: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(scores), n)
 
 
-def _sliced(sent: DataFrame, book: Codebook):
-    """``sent(id, ..., list)`` beside the lists' vectors, by list and slice: as many slices as a list's rows ask for."""
-    counts = np.zeros(len(book.size), np.int64)
-    for r in sent.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():     # one row per list
-        counts[r["list"]] = r["n"]
-    slices = F.array(*[F.lit(int(c)) for c in np.maximum(1, -(-counts // SLICE))])
-    rows = sent.withColumn("slice", F.pmod(F.xxhash64("id"), F.get(slices, F.col("list"))))
-    fine = book.lists.select("code", "list", "centroid", F.explode(F.sequence(F.lit(0).cast("long"), (F.get(slices, F.col("list")) - 1).cast("long"))).alias("slice"))
-    return rows.groupBy("list", "slice").cogroup(fine.groupBy("list", "slice"))
-
-
-def _meet(sent: DataFrame, book: Codebook, n: int) -> DataFrame:
-    """``(id, code, score)``: the ``n`` best of each list for ``sent(id, embedding, list)``."""
+@dataclass
+class _Cells:
+    """Lists side by side in blocks (as numbers only), and slices of the vectors that meet them: a cell is one slice and one block."""
+    edges: np.ndarray       # first list of each block, and the end
+    slices: int
+
+    def send(self, p: pd.DataFrame, go: np.ndarray):
+        """Rows once for each block that holds a list that ``go`` marks, beside the block's marks, in bounded steps."""
+        for block, (a, b) in enumerate(zip(self.edges, self.edges[1:])):
+            rows = np.flatnonzero(go[:, a:b].any(1))
+            for s in range(0, len(rows), COPIES):
+                at = rows[s:s + COPIES]
+                yield p.iloc[at].assign(block=np.int32(block), lists=[m.tobytes() for m in np.packbits(go[at, a:b], axis=1)])
+
+    def groups(self, sent: DataFrame, book: Codebook):
+        """``sent(id, ..., block, lists)`` beside the blocks' vectors, by slice and block."""
+        number = np.searchsorted(self.edges, np.arange(self.edges[-1]), side="right") - 1
+        fine = book.lists.withColumn("block", F.get(F.array(*[F.lit(int(x)) for x in number]), F.col("list")))
+        fine = fine.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(self.slices - 1))))
+        rows = sent.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(self.slices)).cast("int"))
+        return rows.groupBy("block", "slice").cogroup(fine.groupBy("block", "slice"))
+
+    def meetings(self, x: pd.DataFrame, c: pd.DataFrame):
+        """``(rows of x, codes, matrix)`` of each list of a cell that rows of ``x`` are sent to."""
+        first = self.edges[x["block"].iloc[0]]
+        marks = np.frombuffer(b"".join(x["lists"]), np.uint8).reshape(len(x), -1)
+        c = c.sort_values(["list", "code"])
+        number, codes, C = c["list"].to_numpy(), c["code"].to_numpy(), _stack(c["centroid"])
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        for a, b in zip(starts, [*starts[1:], len(c)]):
+            k = number[a] - first
+            rows = np.flatnonzero(marks[:, k >> 3] & (128 >> (k & 7)))
+            if len(rows):
+                yield rows, codes[a:b], C[a:b]
+
+
+def _cells(vectors: DataFrame, book: Codebook) -> _Cells:
+    """Cells for ``vectors`` (written rows): neither side above its bytes, as many as the session's shuffles have partitions."""
+    from .vectors import MAX_BLOCK_BYTES, _grid_shape
+    n, dim = vectors.count(), max(1, book.center.shape[1])
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices, blocks = _grid_shape(n * dim * 8, int(book.size.sum()) * dim * 8, parts, MAX_BLOCK_BYTES)
+    before = np.cumsum(book.size) - book.size
+    block = before * blocks // max(1, int(book.size.sum()))
+    return _Cells(np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)], max(slices, -(-n // SLICE)))
+
+
+def _stepped(p: pd.DataFrame, lists: int):
+    """A batch in steps that hold a bounded number of vector-list scores."""
+    step = max(1, STEP // max(1, lists))
+    for s in range(0, len(p), step):
+        yield p.iloc[s:s + step]
+
+
+def _meet(sent: DataFrame, book: Codebook, cells: _Cells, n: int) -> DataFrame:
+    """``(id, code, score)``: the ``n`` best of each cell that reach ``proven``, for ``sent(id, embedding, proven, block, lists)``."""
+    from .vectors import STEP_CELLS, _select_topk
+    slack = 10.0 ** -DIGITS     # rounding lifts a score by less
 
     def kernel(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(c):
             return pd.DataFrame({"id": x["id"][:0], "code": c["code"][:0], "score": np.zeros(0)})
-        c = c.sort_values("code")
-        codes, C, ids, X = c["code"].to_numpy(), _stack(c["centroid"]).T, x["id"].to_numpy(), x["embedding"]
-        out, step = [], max(1, (1 << 22) // len(codes))
-        for s in range(0, len(x), step):
-            S = np.round(_stack(X.iloc[s:s + step]) @ C, DIGITS)
-            best = _top(S, codes, n)
-            out.append(pd.DataFrame({"id": np.repeat(ids[s:s + step], best.shape[1]), "code": codes[best].ravel(),
-                                     "score": np.take_along_axis(S, best, 1).ravel()}))
-        return pd.concat(out)
+        X, least = _stack(x["embedding"]), x["proven"].to_numpy(np.float64).copy()
+        held, size, full = [], 0, max(1 << 20, 4 * n * len(X))
+
+        def best():
+            out = _select_topk(*(np.concatenate(h) for h in zip(*held)), n)
+            count = np.bincount(out[0], minlength=len(X))
+            least[count == n] = out[2][np.cumsum(count)[count == n] - 1]    # a lower score is of no use any more
+            return out
+
+        for rows, codes, C in cells.meetings(x, c):
+            step = max(1, STEP_CELLS // len(C))
+            for s in range(0, len(rows), step):
+                r = rows[s:s + step]
+                S = X[r] @ C.T
+                low = least[r]
+                if len(C) > n and np.isneginf(low).any():
+                    low = np.maximum(low, np.round(np.partition(S, len(C) - n, axis=1)[:, len(C) - n], DIGITS))
+                i, j = np.nonzero(S >= (low - slack)[:, None])
+                score = np.round(S[i, j], DIGITS)
+                held.append((r[i], codes[j], score))
+                size += len(i)
+                if size > full:
+                    held = [best()]
+                    size = len(held[0][0])
+        if not held:
+            return pd.DataFrame({"id": x["id"][:0], "code": c["code"][:0], "score": np.zeros(0)})
+        rows, codes, score = best()
+        return pd.DataFrame({"id": x["id"].to_numpy()[rows], "code": codes, "score": score})
 
     schema = T.StructType([sent.schema["id"], book.lists.schema["code"], T.StructField("score", T.DoubleType())])
-    return _sliced(sent, book).applyInPandas(kernel, schema)
+    return cells.groups(sent, book).applyInPandas(kernel, schema)
 
 
-def _copies(p: pd.DataFrame, go: np.ndarray):
-    """Rows copied to the lists that ``go`` marks, sent on in bounded steps."""
-    row, number = np.nonzero(go)
-    for s in range(0, len(row), COPIES):
-        yield p.iloc[row[s:s + COPIES]].assign(list=number[s:s + COPIES].astype(np.int32))
+def _sent_schema(vectors: DataFrame, *more: T.StructField) -> T.StructType:
+    return T.StructType([*vectors.schema.fields, *more, T.StructField("block", T.IntegerType()), T.StructField("lists", T.BinaryType())])
 
 
 def nearest_codes(vectors: DataFrame, book: Codebook, n: int = 1) -> DataFrame:
@@ -179,41 +243,49 @@ def nearest_codes(vectors: DataFrame, book: Codebook, n: int = 1) -> DataFrame:
 
     Ids must be distinct. Exact: equal to the full product, scores rounded to 12 digits, ties to the smaller code."""
     from pyspark.sql import Window
-    spark = vectors.sparkSession
-    bc = book.broadcast(spark)
-    vectors = _cut(vectors.select("id", "embedding"))
-    schema = T.StructType([*vectors.schema.fields, T.StructField("list", T.IntegerType())])
 
-    def starts(X: np.ndarray, center, size) -> np.ndarray:
+    from .vectors import spread
+    bc = book.broadcast(vectors.sparkSession)
+    vectors = _cut(spread(vectors.select("id", "embedding")))
+    cells = _cells(vectors, book)
+    told = T.StructField("proven", T.DoubleType())
+
+    def starts(S: np.ndarray, size) -> np.ndarray:
         """Lists with the best centers that hold ``n`` centroids at least, as a mask."""
-        S = np.where(size > 0, X @ center.T, -np.inf)
-        order = np.argsort(-S, axis=1, kind="stable")
+        S = np.where(size > 0, S, -np.inf)
+        mask, top = np.zeros(S.shape, bool), S.argmax(1)
+        mask[np.arange(len(S)), top] = size[top] > 0
+        few = np.flatnonzero(size[top] < n)
+        order = np.argsort(-S[few], axis=1, kind="stable")
         held = np.cumsum(size[order], axis=1)
         wanted = (held - size[order] < n) & (size[order] > 0)
-        mask = np.zeros(S.shape, bool)
-        np.put_along_axis(mask, order, wanted, 1)
+        more = np.zeros(order.shape, bool)
+        np.put_along_axis(more, order, wanted, 1)
+        mask[few] = more
         return mask
 
     def routed(with_score: bool):
         def run(it):
             center, radius, size = bc.value
-            for p in it:
-                if not len(p):
-                    continue
-                X = _stack(p["embedding"])
-                norm = np.linalg.norm(X, axis=1, keepdims=True)
-                go = starts(X, center, size)
-                if with_score:
-                    go = ~go & (size > 0) & (X @ center.T + norm * radius + _SLACK * (1 + norm) >= p["proven"].to_numpy()[:, None])
-                yield from _copies(p[["id", "embedding"]], go)
+            for whole in it:
+                for p in _stepped(whole, len(size)):
+                    X = _stack(p["embedding"])
+                    S = X @ center.T
+                    go = starts(S, size)
+                    if with_score:
+                        norm = np.linalg.norm(X, axis=1, keepdims=True)
+                        go = ~go & (size > 0) & (S + norm * radius + _SLACK * (1 + norm) >= p["proven"].to_numpy()[:, None])
+                    else:
+                        p = p.assign(proven=-np.inf)
+                    yield from cells.send(p[["id", "embedding", "proven"]], go)
         return run
 
     order = Window.partitionBy("id").orderBy(F.desc("score"), "code")
-    first = _cut(_meet(vectors.mapInPandas(routed(False), schema), book, n))
+    first = _cut(_meet(vectors.mapInPandas(routed(False), _sent_schema(vectors, told)), book, cells, n))
     ranked = first.withColumn("rank", F.row_number().over(order))
     proven = ranked.filter(F.col("rank") == n).select("id", F.col("score").alias("proven"))
-    asked = vectors.join(proven, "id", "left").withColumn("proven", F.coalesce("proven", F.lit(float("-inf"))))
-    more = _meet(_cut(asked.mapInPandas(routed(True), schema)), book, n)
+    asked = spread(vectors.join(proven, "id", "left").withColumn("proven", F.coalesce("proven", F.lit(float("-inf")))), "id")
+    more = _meet(asked.mapInPandas(routed(True), _sent_schema(vectors, told)), book, cells, n)
     return first.unionByName(more).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
@@ -223,40 +295,41 @@ def counts_above(vectors: DataFrame, book: Codebook) -> DataFrame:
 
     A list whose bounds ``x.m +- |x| r`` both lie above the threshold counts as a whole, one whose upper bound does not reach
     it counts nothing; only lists in between are met. Ids must be distinct."""
+    from .vectors import _above_in_block, spread
     bc = book.broadcast(vectors.sparkSession)
-    vectors = _cut(vectors.select("id", "embedding", F.col("threshold").cast("double").alias("threshold")))
+    vectors = _cut(spread(vectors.select("id", "embedding", F.col("threshold").cast("double").alias("threshold"))))
+    cells = _cells(vectors, book)
     told = T.StructType([vectors.schema["id"], T.StructField("above", T.LongType()), T.StructField("met", T.LongType())])
 
-    def bounds(p: pd.DataFrame):
+    def bounds(it):
         center, radius, size = bc.value
-        X = _stack(p["embedding"])
-        norm, thr = np.linalg.norm(X, axis=1, keepdims=True), p["threshold"].to_numpy()[:, None]
-        middle, slack = X @ center.T, norm * radius + _SLACK * (1 + norm)
-        whole = (middle - slack > thr) & (size > 0)
-        return whole, ~whole & (middle + slack >= thr) & (size > 0), size
+        for batch in it:
+            for p in _stepped(batch, len(size)):
+                X = _stack(p["embedding"])
+                norm, thr = np.linalg.norm(X, axis=1, keepdims=True), p["threshold"].to_numpy()[:, None]
+                middle, slack = X @ center.T, norm * radius + _SLACK * (1 + norm)
+                whole = (middle - slack > thr) & (size > 0)
+                yield p, whole, ~whole & (middle + slack >= thr) & (size > 0), size
 
     def sure(it):
-        for p in it:
-            if len(p):
-                whole, unsure, size = bounds(p)
-                yield pd.DataFrame({"id": p["id"].to_numpy(), "above": (whole * size).sum(1), "met": (unsure * size).sum(1)})
+        for p, whole, unsure, size in bounds(it):
+            yield pd.DataFrame({"id": p["id"].to_numpy(), "above": whole @ size, "met": unsure @ size})
 
     def routed(it):
-        for p in it:
-            if len(p):
-                yield from _copies(p, bounds(p)[1])
+        for p, _, unsure, _ in bounds(it):
+            yield from cells.send(p, unsure)
 
     def kernel(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"id": x["id"], "above": 0, "met": 0})
+        out, above = pd.DataFrame({"id": x["id"], "above": 0, "met": 0}), np.zeros(len(x), np.int64)
         if len(x) and len(c):
-            C, thr = _stack(c["centroid"]).T, np.round(x["threshold"].to_numpy(), DIGITS)[:, None]
-            step = max(1, (1 << 22) // C.shape[1])
-            out["above"] = np.concatenate([(np.round(_stack(x["embedding"].iloc[s:s + step]) @ C, DIGITS) > thr[s:s + step]).sum(1)
-                                           for s in range(0, len(x), step)])
+            X, thr = _stack(x["embedding"]), np.round(x["threshold"].to_numpy(), DIGITS)
+            for rows, _, C in cells.meetings(x, c):
+                above[rows] += _above_in_block(X[rows], thr[rows], C)
+        out["above"] = above
         return out
 
-    sent = _cut(vectors.mapInPandas(routed, T.StructType([*vectors.schema.fields, T.StructField("list", T.IntegerType())])))
-    parts = vectors.mapInPandas(sure, told).unionByName(_sliced(sent, book).applyInPandas(kernel, told))
+    sent = vectors.mapInPandas(routed, _sent_schema(vectors))
+    parts = vectors.mapInPandas(sure, told).unionByName(cells.groups(sent, book).applyInPandas(kernel, told))
     return parts.groupBy("id").agg(F.sum("above").cast("long").alias("above"), F.sum("met").cast("long").alias("met"))
 
 

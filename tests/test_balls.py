@@ -1,6 +1,7 @@
 """Exact search by balls: equal to the full product, whole balls skipped or counted, no ball above a byte limit."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,46 @@ def test_balls_edges(spark):
     assert [(r.qid, r.pid, r["rank"]) for r in V.knn_balls(one.withColumnRenamed("pid", "qid"), balls, 5).collect()] == [(0, 0, 1)]
     with pytest.raises(ValueError):
         V.document_balls(one.filter(F.lit(False)))
+
+
+def test_a_vector_goes_once_to_a_block(monkeypatch):
+    """Marks of many lists travel as bits beside one copy for each block, and come back as the rows of each list."""
+    rng = np.random.default_rng(3)
+    cells = B._Cells(np.array([0, 9, 10, 20]), 1)
+    go = rng.random((50, 20)) < 0.8
+    go[3], go[4, 9] = False, False
+    p = pd.DataFrame({"id": np.arange(50), "embedding": [np.ones(2)] * 50})
+    monkeypatch.setattr(B, "COPIES", 7)
+    sent = list(cells.send(p, go))
+    assert max(map(len, sent)) <= 7
+    sent = pd.concat(sent)
+    assert not sent.duplicated(["id", "block"]).any()
+    assert len(sent) == sum(go[:, a:b].any(1).sum() for a, b in ((0, 9), (9, 10), (10, 20))) < go.sum() / 4
+    got = np.zeros_like(go)
+    c = pd.DataFrame({"list": np.arange(20), "code": np.arange(20), "centroid": [np.ones(2)] * 20})
+    for block, x in sent.groupby("block"):
+        a, b = cells.edges[block], cells.edges[block + 1]
+        for rows, codes, C in cells.meetings(x, c[a:b]):
+            got[x["id"].to_numpy()[rows], codes[0]] = True
+    assert (got == go).all()
+
+
+def test_balls_in_many_cells(spark, monkeypatch):
+    """Small blocks, slices and steps give the full product too, where no bound helps."""
+    monkeypatch.setattr(B, "SLICE", 40)
+    monkeypatch.setattr(B, "STEP", 64)
+    monkeypatch.setattr(V, "STEP_CELLS", 100)
+    monkeypatch.setattr(V, "MAX_BLOCK_BYTES", 40 * 6 * 8)
+    rng = np.random.default_rng(11)
+    X = rng.integers(-2, 3, (300, 6)) / 2.0         # many ties
+    q = frame(spark, X[:90], "qid")
+    balls = V.document_balls(frame(spark, X, "pid"))
+    got = {}
+    for r in V.knn_balls(q, balls, 7).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.pid
+    S = X[:90] @ X.T
+    for i, row in enumerate(S):
+        assert [got[i][k + 1] for k in range(7)] == np.lexsort((np.arange(300), -row))[:7].tolist()
+    gold = q.withColumn("gold_cid", (F.col("qid") * 3).cast("long"))
+    rank = {r.qid: r.gold_rank for r in V.average_rank_balls(gold, frame(spark, X, "cid")).collect()}
+    assert rank == {i: int((S[i] > S[i, 3 * i]).sum()) for i in range(90)}
