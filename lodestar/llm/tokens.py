@@ -4,7 +4,8 @@ A text is marked as the model does it (blanks become the mark, one mark in front
 marked words: a run of marks and what follows up to the next mark. No piece of the model crosses such a border, so
 the words can be encoded one by one. The distinct new words of a batch are sorted, which lays out
 their trie; it is walked depth-first, and the forward state of each prefix is worked out once and
-kept while words share it.
+kept while words share it. The pieces that end at a prefix come from the pieces' own trie, whose nodes
+link to their next shorter ends (as in Aho-Corasick), so a character takes one step.
 
 The forward state of a prefix is its best path's last piece:
 
@@ -16,7 +17,7 @@ The forward state of a prefix is its best path's last piece:
 Characters outside the vocabulary become byte pieces (or the unknown piece if the model has none).
 Decoding joins the pieces' bytes, puts blanks for marks and takes off the one in front.
 
-Scale: rows are independent, there is no shuffle. A task keeps a bounded cache of words and lets it go at its end. The model
+Scale: rows are independent, there is no shuffle. A task keeps a bounded cache of words (two generations) and lets it go at its end. The model
 file is read by each task from ``path``, which every machine must have.
 
 Defined cases: null and empty texts have no ids; very long words and texts are encoded whole;
@@ -38,8 +39,11 @@ from .common import small_batches, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words that an encoder remembers within a task (about 40 MB), and pairs of pieces that it remembers (about 35 MB).
-_CACHE, _PAIRS = 120_000, 400_000
+#: Words after which an encoder starts a new memory within a task, keeping the one before (about 60 MB for both), pairs of
+#: pieces that it remembers (about 35 MB) and steps out of the pieces' trie that it remembers (about 30 MB).
+_CACHE, _PAIRS, _STEPS = 100_000, 400_000, 300_000
+#: Characters of neighbouring words that are compared for all words at once.
+_HEAD = 24
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -108,92 +112,160 @@ def _model_kind(path: str) -> int:
     return 1
 
 
+class _Node(dict):
+    """A node of the pieces' trie by next character; as a state, the longest end of what was read that can still grow.
+
+    ``ends`` are the pieces that end here as ``(length, piece)``, longest first; ``shorter`` is the next shorter end that can grow (none: the root).
+    ``spare`` counts down the steps that may still be kept besides the trie's own.
+    """
+
+    __slots__ = ("shorter", "ends", "spare")
+
+    def __init__(self, spare: list[int]):
+        self.shorter, self.ends, self.spare = None, (), spare
+
+    def __missing__(self, char: str) -> _Node:
+        state = self
+        while state.shorter is not None:
+            state = state.shorter
+            if char in state:
+                state = state[char]
+                break
+        if self.shorter is not None and self.spare[0]:
+            self.spare[0] -= 1
+            self[char] = state
+        return state
+
+
+def _trie(ids: dict[str, int]) -> _Node:
+    """Root of the trie of the pieces, with the ends that each node shares."""
+    spare = [0]
+    root = _Node(spare)
+    for piece, number in ids.items():
+        node = root
+        for c in piece:
+            if c not in node:
+                node[c] = _Node(spare)
+            node = node[c]
+        node.ends = ((len(piece), number),)
+    level = [root]
+    while level:
+        below = []
+        for node in level:
+            for c, child in node.items():
+                child.shorter = root if node is root else node.shorter[c]
+                child.ends += child.shorter.ends
+                below.append(child)
+        level = below
+    spare[0] = _STEPS
+    return root
+
+
+class _Followers(dict):
+    """Whether a piece stays apart from the last one, by piece; worked out when first asked for."""
+
+    __slots__ = ("encoder", "last")
+
+    def __init__(self, encoder: Encoder, last: int):
+        self.encoder, self.last = encoder, last
+
+    def __missing__(self, piece: int) -> bool:
+        ok = self[piece] = self.encoder._stays_apart(self.last, piece)
+        self.encoder.pairs += 1
+        return ok
+
+
 class Encoder:
     """Encodes marked words; keeps what it found, within bounds."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.apart: dict[int, bool] = {}
-        self.root: dict = {}
-        for piece, number in vocabulary.ids.items():
-            node = self.root
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = number
+        #: Ids of a word, four bytes each.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.codes = [np.int32(i).tobytes() for i in range(len(vocabulary.pieces))]
+        #: Characters of a piece; of the last one, -1, a single one.
+        self.sizes = [*map(len, vocabulary.pieces), 1]
+        self.root = _trie(vocabulary.ids)
+        self.costs = {p: -vocabulary.scores[i] for p, i in vocabulary.ids.items()}
+        #: By last piece; -1, the last row, stands for none.
+        self.apart = [_Followers(self, i) for i in (*range(len(vocabulary.pieces)), -1)]
+        self.pairs = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.pack(texts)]
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, four bytes each."""
         cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         words = set(chain.from_iterable(cut))
-        if len(self.known) > _CACHE:  # what this batch needs stays
-            self.known = {w: ids for w, ids in self.known.items() if w in words}
+        if len(self.known) > _CACHE:  # older words that are not met again go
+            self.older, self.known = self.known, {w: self.older[w] for w in words if w in self.older}
         self.learn(words)
         known = self.known
-        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
-        if len(self.apart) > _PAIRS:
-            self.apart.clear()
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        if self.pairs > _PAIRS:
+            for row in self.apart:
+                row.clear()
+            self.pairs = 0
         return out
 
     def forget(self) -> None:
         """Let go of the words at the end of a task, as Python workers outlive it; the pairs are few and costly."""
-        self.known = {}
+        self.known, self.older = {}, {}
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are new: sorted, they are a trie's leaves in depth-first order."""
-        new = sorted(words.difference(self.known))
+        known, older = self.known, self.older
+        new = []
+        for word in words.difference(known):
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
+        new.sort()
         (self._walk_bpe if self.v.bpe else self._walk_unigram)(new)
 
-    def _spell(self, char: str) -> tuple[int, ...]:
+    def _spell(self, char: str) -> bytes:
         """A character outside the vocabulary."""
         raw = char.encode()
         if all(b in self.v.bytes for b in raw):
-            return tuple(self.v.bytes[b] for b in raw)
-        return (self.v.unknown,)
+            return b"".join(self.codes[self.v.bytes[b]] for b in raw)
+        return self.codes[self.v.unknown]
 
-    def _read(self, word: str, last: list, start: list) -> tuple[int, ...]:
-        out, at = [], len(word)
+    def _read(self, word: str, last: list[int]) -> bytes:
+        codes, sizes, out, at = self.codes, self.sizes, [], len(word)
         while at:
             piece = last[at]
-            if piece < 0:
-                out.extend(reversed(self._spell(word[at - 1])))
-            else:
-                out.append(piece)
-            at = start[at]
+            out.append(codes[piece] if piece >= 0 else self._spell(word[at - 1]))
+            at -= sizes[piece]
         out.reverse()
-        return tuple(out)
+        return b"".join(out)
 
     def _walk_bpe(self, words: list[str]) -> None:
-        """last[j], start[j]: the last piece of the encoding of the first j characters, and where it begins.
+        """last[j]: the last piece of the encoding of the first j characters.
 
-        open[j] lists the pieces that could still grow there: ``(begin, node of the pieces' trie)``. Piece
+        states[j] is the node of the pieces' trie reached there; it knows the pieces that end there. Piece
         -1 stands for a character outside the vocabulary, which nothing merges with, and for the word's head.
         """
-        root, apart, known = self.root, self.apart, self.known
-        last, start, growing, before = [-1], [0], [[(0, root)]], ""
-        for word in words:
-            at = _shared(word, before)
-            del last[at + 1:], start[at + 1:], growing[at + 1:]
-            for j in range(at, len(word)):
-                c, found, begin, alive = word[j], -1, j, []
-                for i, node in growing[j]:
-                    child = node.get(c)
-                    if child is not None:
-                        alive.append((i, child))
-                        if found < 0 and "" in child:
-                            piece = child[""]
-                            key = last[i] + 1 << 32 | piece
-                            ok = apart.get(key)
-                            if ok is None:
-                                ok = apart[key] = self._stays_apart(last[i], piece)
-                            if ok:
-                                found, begin = piece, i
-                alive.append((j + 1, root))
-                last.append(found)
-                start.append(begin)
-                growing.append(alive)
+        apart, known = self.apart, self.known
+        size = max(map(len, words), default=0) + 1
+        last, states, before = [-1] * size, [self.root] * size, ""
+        for word, at in zip(words, _shared_heads(words)):
+            if at == _HEAD:
+                at += _shared(word[at:], before[at:])
+            state = states[at]
+            for j, c in enumerate(word[at:], at + 1):
+                states[j] = state = state[c]
+                for n, piece in state.ends:
+                    if apart[last[j - n]][piece]:
+                        last[j] = piece
+                        break
+                else:
+                    last[j] = -1
             before = word
-            known[word] = self._read(word, last, start)
+            known[word] = self._read(word, last)
 
     def _stays_apart(self, left: int, right: int) -> bool:
         """The two pieces' joint text is encoded as just these two (``left`` -1: the right one as itself)."""
@@ -204,51 +276,56 @@ class Encoder:
 
     def merge(self, text: str) -> list[int]:
         """The BPE result for a short text: join the neighbours whose joint piece scores best, leftmost first."""
-        ids, scores = self.v.ids, self.v.scores
+        ids, costs, never = self.v.ids, self.costs, float("inf")
         parts = list(text)
-        joint = [ids.get(a + b) for a, b in zip(parts, parts[1:])]
+        joint = [costs.get(a + b, never) for a, b in zip(parts, parts[1:])]
         while joint:
-            at, best = -1, None
-            for k, piece in enumerate(joint):
-                if piece is not None and (best is None or scores[piece] > best):
-                    at, best = k, scores[piece]
-            if at < 0:
+            best = min(joint)
+            if best == never:
                 break
+            at = joint.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del joint[at]
             if at:
-                joint[at - 1] = ids.get(parts[at - 1] + parts[at])
+                joint[at - 1] = costs.get(parts[at - 1] + parts[at], never)
             if at < len(joint):
-                joint[at] = ids.get(parts[at] + parts[at + 1])
+                joint[at] = costs.get(parts[at] + parts[at + 1], never)
         return [ids.get(p, -1) for p in parts]
 
     def _walk_unigram(self, words: list[str]) -> None:
         """Viterbi: best[j] is the best score of a path over the first j characters."""
-        root, scores, known = self.root, self.v.scores, self.known
-        best, last, start, growing, before = [0.0], [-1], [0], [[(0, root)]], ""
-        for word in words:
-            at = _shared(word, before)
-            del best[at + 1:], last[at + 1:], start[at + 1:], growing[at + 1:]
-            for j in range(at, len(word)):
-                top, found, begin, alive, alone = None, -1, j, [], False
-                for i, node in growing[j]:
-                    child = node.get(word[j])
-                    if child is not None:
-                        alive.append((i, child))
-                        if "" in child:
-                            score = best[i] + scores[child[""]]
-                            alone = alone or i == j
-                            if top is None or score > top:
-                                top, found, begin = score, child[""], i
-                if not alone and (top is None or best[j] + self.v.lowest > top):
-                    top, found, begin = best[j] + self.v.lowest, -1, j
-                alive.append((j + 1, root))
-                best.append(top)
-                last.append(found)
-                start.append(begin)
-                growing.append(alive)
+        scores, known, lowest = self.v.scores, self.known, self.v.lowest
+        size = max(map(len, words), default=0) + 1
+        best, last, states, before = [0.0] * size, [-1] * size, [self.root] * size, ""
+        for word, at in zip(words, _shared_heads(words)):
+            if at == _HEAD:
+                at += _shared(word[at:], before[at:])
+            state = states[at]
+            for j, c in enumerate(word[at:], at + 1):
+                states[j] = state = state[c]
+                top, found, n = None, -1, 0
+                for n, piece in state.ends:
+                    score = best[j - n] + scores[piece]
+                    if top is None or score > top:
+                        top, found = score, piece
+                if n != 1 and (top is None or best[j - 1] + lowest > top):  # no piece of this character alone
+                    top, found = best[j - 1] + lowest, -1
+                best[j], last[j] = top, found
             before = word
-            known[word] = self._read(word, last, start)
+            known[word] = self._read(word, last)
+
+
+def _shared_heads(words: list[str]) -> list[int]:
+    """Length of each word's common prefix with the word before it, ``_HEAD`` at most."""
+    if not words:
+        return []
+    chars = np.array(words, f"U{_HEAD}").view(np.uint32).reshape(len(words), _HEAD)
+    differ = np.ones((len(words), _HEAD + 1), bool)
+    np.not_equal(chars[1:], chars[:-1], out=differ[1:, :-1])
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    shared = np.minimum(differ.argmax(axis=1), sizes)
+    shared[1:] = np.minimum(shared[1:], sizes[:-1])
+    return shared.tolist()
 
 
 def _shared(word: str, before: str) -> int:
@@ -283,10 +360,10 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
         enc = encoder(path)
         for batch in small_batches(batches, "text", 1 << 19):
             texts = batch.column("text").to_pylist()
-            ids = enc.encode(texts)
-            back = [decode(i, enc.v.raw) for i in ids]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            ids = enc.pack(texts)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), np.int32)
+            back = [decode(np.frombuffer(i, np.int32).tolist(), enc.v.raw) for i in ids]
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),

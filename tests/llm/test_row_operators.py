@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter
 
 import pytest
@@ -269,6 +270,60 @@ def test_unigram_walk_finds_best_paths(tmp_path, library):
         assert sum(map(sp.get_score, mine)) == pytest.approx(sum(map(sp.get_score, theirs)), abs=1e-2)
 
 
+def test_tokens_of_long_shared_heads_and_bounded_memories(library, monkeypatch):
+    """Words alike for longer than is compared at once, characters that look like its padding, no room to remember anything."""
+    r = random.Random(4)
+    head = "".join(r.choice("etaoin") for _ in range(300))
+    texts = [head[:r.randint(0, 300)] + r.choice("abcé漢") for _ in range(200)] + [head[:k] for k in range(20, 30)] + ["  a", "a  ", "a", " "]
+    want = library.encode(texts)
+    assert tokens.Encoder(tokens.Vocabulary()).encode(texts) == want
+    for name in ("_CACHE", "_PAIRS", "_STEPS"):
+        monkeypatch.setattr(tokens, name, 0)
+    encoder = tokens.Encoder(tokens.Vocabulary())
+    assert [encoder.encode([t])[0] for t in texts] == want
+    odd = ["a", "a\0", "a\0\0", "b\0 a", "\0"]
+    assert [tokens.decode(i, encoder.v.raw) for i in encoder.encode(odd)] == odd
+
+
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokens, "_CACHE", 50)
+    encoder = tokens.Encoder(tokens.Vocabulary())
+    walked, walk = [], encoder._walk_bpe
+    monkeypatch.setattr(encoder, "_walk_bpe", lambda words: (walked.extend(words), walk(words)))
+    often, other = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    want = encoder.encode([often])
+    encoder.encode([other])
+    assert encoder.encode([often]) == want
+    assert len(walked) == len(set(walked)) == 200
+
+
+def test_work_for_each_character_of_new_words():
+    """Lines of the module that run while new words are encoded, their pairs of pieces being known."""
+    encoder = tokens.Encoder(tokens.Vocabulary())
+    r = random.Random(8)
+    parts = "the of and er tion ing st an en ou nd th ea on sh re in ti ha ble".split()
+    text = " ".join({"".join(r.choices(parts, k=r.randint(2, 5))) for _ in range(3000)})
+    want = encoder.encode([text])
+    encoder.forget()
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        if frame.f_code.co_filename != tokens.__file__:
+            return None
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        got = encoder.encode([text])
+    finally:
+        sys.settrace(before)
+    assert got == want
+    assert lines < 10 * len(text), lines / len(text)
+
+
 def test_token_rows(spark, library):
     docs = edge_docs(spark)
     got = tokens.encode_documents(docs)
