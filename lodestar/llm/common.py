@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_dir
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -40,6 +40,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for a table that the next round of a loop joins again: written as files, so its size is that of the files.
+
+    A checkpoint keeps the size that the optimiser estimated for its plan, a product for each join. In a loop the digits of
+    that number multiply with each round, and after some ten rounds the number alone fills the driver.
+    """
+    path = scratch_dir(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bind(value: Column, body) -> Column:
     """``body(x)`` with ``x`` computed once per row.
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_CLASS, cut_lineage, hash_words, mix64, small_batches, text_of, utf8_buffer
+from .common import LOWER, WORD_CLASS, cut_lineage, cut_round, hash_words, mix64, small_batches, text_of, utf8_buffer
 
 GRAM = 5
 THRESHOLD = 0.75
@@ -337,15 +337,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the rounds needed grow with the logarithm of the longest path. Nodes without edges are not listed.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = cut_lineage(both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct())
-    labels = cut_lineage(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
+    both = cut_round(both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct())
+    labels = cut_round(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
     while True:
         around = (both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("seen")))
         pulled = labels.join(around, labels["node"] == around["x"]).select("node", "label", F.least("label", "seen").alias("new"))
         jump = pulled.select(F.col("node").alias("via"), F.col("new").alias("next"))
         step = (pulled.join(jump, pulled["new"] == jump["via"], "left")
                 .select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new")))
-        step = cut_lineage(step)
+        step = cut_round(step)
         if step.where("new <> label").limit(1).count() == 0:
             return labels
         labels = step.select("node", F.col("new").alias("label"))
@@ -355,11 +355,13 @@ def _join_large(sets: DataFrame, cell_sets: int, cell_grams: int, pivots: int) -
     """``(key, part)`` for regions too large to gather: rounds of pivots against cells of all sets.
 
     A round's pivots are sets outside their region's largest component that have not been pivots; all
-    their links are found, so when none is left no link between components is missing.
+    their links are found, so when none is left no link between components is missing. A region's first round
+    has ``pivots`` of them, each further round twice as many, up to the sets of a cell (on average).
     """
-    state = cut_lineage(sets.select("region", "key", F.col("key").alias("part"), F.lit(False).alias("done")))
+    most = pivots
+    state = cut_round(sets.select("region", "key", F.col("key").alias("part"), F.lit(False).alias("done")))
     cells = F.greatest(F.lit(1), F.ceil(F.col("members") / cell_sets), F.ceil(F.col("held") / cell_grams)).cast("long")
-    counted = sets.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.size("grams")).alias("held")).withColumn("cells", cells)
+    counted = cut_round(sets.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.size("grams")).alias("held")).withColumn("cells", cells))
     placed = (sets.join(counted, "region").withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")))
               .select("region", "cell", "cells", "key", "n", "grams"))
 
@@ -381,9 +383,10 @@ def _join_large(sets: DataFrame, cell_sets: int, cell_grams: int, pivots: int) -
         counts = state.groupBy("region", "part").agg(F.count("*").alias("c"))
         largest = counts.groupBy("region").agg(F.max(F.struct("c", "part")).alias("top")).select("region", F.col("top.part").alias("top"), F.col("top.c").alias("size"))
         open_ = state.join(largest, "region").where(~F.col("done") & ((F.col("part") != F.col("top")) | (F.col("size") == 1)))
-        chosen = (open_.withColumn("_r", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("key"))))
-                  .where(F.col("_r") <= pivots).select("region", "key"))
-        chosen = cut_lineage(chosen)
+        chosen = (open_.withColumn("_r", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("key")))).where(F.col("_r") <= most)
+                  .join(counted, "region").where((F.col("_r") <= pivots) | (F.col("_r") * F.col("cells") <= F.col("members"))).select("region", "key"))
+        chosen = cut_round(chosen)
+        most = min(2 * most, 1 << 30)
         if chosen.limit(1).count() == 0:
             return state.select("key", "part")
         sent = (placed.join(chosen, ["region", "key"], "left_semi")
@@ -391,11 +394,11 @@ def _join_large(sets: DataFrame, cell_sets: int, cell_grams: int, pivots: int) -
         rows = placed.withColumn("pivot", F.lit(False)).unionByName(sent).drop("cells")
         links = rows.groupBy("region", "cell").applyInArrow(compare, "a long, b long")
         same = state.where("key <> part").select(F.col("key").alias("a"), F.col("part").alias("b"))
-        labels = components(cut_lineage(links.unionAll(same)))
+        labels = components(cut_round(links.unionAll(same)))
         state = (state.join(labels, state["key"] == labels["node"], "left")
                  .join(chosen.select(F.col("key").alias("was")), F.col("key") == F.col("was"), "left")
                  .select("region", "key", F.coalesce("label", "part").alias("part"), (F.col("done") | F.col("was").isNotNull()).alias("done")))
-        state = cut_lineage(state)
+        state = cut_round(state)
 
 
 def join_sets(docs: DataFrame, region_sets: int = REGION_SETS, region_grams: int = REGION_GRAMS, pivots: int = 64) -> DataFrame:
