@@ -137,7 +137,7 @@ def _token_spans_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     many times its text, so a batch of texts goes out in parts of about ``SPAN_CHARS`` characters."""
     import numpy as np
     import regex
-    piece = regex.compile(f"({TOKEN_PATTERN})((?:(?!{TOKEN_PATTERN}).)*)", regex.DOTALL)
+    piece = regex.compile(f"({TOKEN_PATTERN})([\\p{{Z}}\\p{{C}}]*)")      # whatever else there is begins a token
 
     def one(text):
         if text is None:
@@ -145,10 +145,14 @@ def _token_spans_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = piece.findall(text)
         if not pieces:
             return []
-        sizes = np.array([len(t) + len(gap) for t, gap in pieces])
-        begins = len(text) - sizes.sum() + np.cumsum(sizes) - sizes      # the text may begin with a gap
+        at = len(text) - sum([len(t) + len(gap) for t, gap in pieces])   # the text may begin with a gap
         pieces[-1] = (pieces[-1][0], "")                                 # no blank behind the last token
-        return [{"token": t, "start": int(b), "end": int(b) + len(t), "ws": t + gap} for (t, gap), b in zip(pieces, begins)]
+        spans = []
+        for t, gap in pieces:
+            end = at + len(t)
+            spans.append({"token": t, "start": at, "end": end, "ws": t + gap})
+            at = end + len(gap)
+        return spans
 
     for s in batches:
         part = np.cumsum([0 if t is None else len(t) for t in s]) // SPAN_CHARS

@@ -202,7 +202,7 @@ def p13(spark, d):
     sp = T.token_spans("text")
     return _docs(spark, d).select("doc_id", F.size(sp).cast("long").alias("n_tokens"),
                                   T.untokenize(sp, 0, 10).alias("first10"),
-                                  F.element_at(sp, -1)["end"].alias("last_end"))
+                                  F.coalesce(F.try_element_at(sp, F.lit(-1))["end"], F.when(sp.isNotNull(), 0)).alias("last_end"))  # no token: 0
 
 
 @register("P14_ngrams", f"""SELECT item_id, array_to_string(flatten(list_transform(range(0, len(t)),

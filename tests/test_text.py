@@ -54,3 +54,19 @@ def test_ngrams_order(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), ([],)], "t array<string>")
     out = [r.g for r in df.select(T.ngrams(F.col("t"), 2).alias("g")).collect()]
     assert out == [["a", "a b", "b", "b c", "c"], []]
+
+
+def test_token_offsets_of_texts_without_tokens(spark, tmp_path):
+    """An empty or blank text has no last token; its end is 0, as in the SQL, and null stays null."""
+    import duckdb
+
+    from lodestar.plans import q_text  # noqa: F401  registers
+    from lodestar.plans.registry import ORACLE, QUERIES
+    rows = [(1, "a b, c"), (2, None), (3, ""), (4, "   "), (5, "\t\n"), (6, " lead, x  "), (7, "one two  three 4 5 6 7 8 9 ten eleven\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in QUERIES["P13_token_offsets"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == set(con.execute(ORACLE["P13_token_offsets"]).fetchall())
+    assert {(3, 0, "", 0), (2, None, None, None)} < got
