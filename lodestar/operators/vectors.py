@@ -111,11 +111,6 @@ def _bytes(df: DataFrame, vec: str) -> int:
     return int(stats["n"]) * int(stats["dim"] or 1) * 8
 
 
-def _blocks(df: DataFrame, vec: str, max_bytes: int) -> int:
-    """Blocks of one side, by its size in bytes."""
-    return max(1, -(-_bytes(df, vec) // max_bytes))
-
-
 def _grid_shape(q_bytes: int, d_bytes: int, cells: int, max_bytes: int) -> tuple[int, int]:
     """Blocks of either side: none above ``max_bytes``, ``cells`` cells at least, few bytes copied (the queries go to every
     document block, the documents to every query block)."""
@@ -395,6 +390,18 @@ def _with_units(df: DataFrame, vec: str, centers: np.ndarray, cuts: np.ndarray,
     return df.mapInPandas(kernel, schema)
 
 
+def _nearest(far: np.ndarray, m: int) -> np.ndarray:
+    """Which of a row's distances are the ``m`` smallest, ties to the first."""
+    if m >= far.shape[1]:
+        return np.ones(far.shape, bool)
+    edge = np.partition(far, m - 1, axis=1)[:, m - 1:m]
+    near = far <= edge
+    for i in np.flatnonzero(near.sum(1) > m):
+        tied = np.flatnonzero(far[i] == edge[i])
+        near[i, tied[m - np.count_nonzero(far[i] < edge[i]):]] = False
+    return near
+
+
 def _probed_units(df: DataFrame, vec: str, centers: np.ndarray, cuts: np.ndarray, probes: int, blocks: int) -> DataFrame:
     """``df`` (without ``vec``) once for each block that holds units of the ``probes`` nearest cells: plus ``_db`` and ``_units``."""
     shared = df.sparkSession.sparkContext.broadcast((centers, cuts))
@@ -403,15 +410,12 @@ def _probed_units(df: DataFrame, vec: str, centers: np.ndarray, cuts: np.ndarray
 
     def kernel(it):
         C, n = shared.value
-        first = np.cumsum(n) - n
+        units = np.argsort(np.arange(n.sum()) % blocks, kind="stable")     # those of a block side by side
+        cells = np.repeat(np.arange(len(n)), n)[units]
         for p in it:
             for part, far in _in_steps(p[vec], C):
-                cell = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                count = n[cell.ravel()]
-                row = np.repeat(np.repeat(np.arange(len(cell)), cell.shape[1]), count)
-                unit = np.repeat(first[cell.ravel()] - (np.cumsum(count) - count), count) + np.arange(len(row))
-                order = np.lexsort((unit, unit % blocks, row))
-                row, unit = row[order], unit[order].astype(np.int32)
+                row, at = np.nonzero(_nearest(far, probes)[:, cells])
+                unit = units[at].astype(np.int32)
                 starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(unit % blocks) != 0)])
                 lists, own = np.split(unit, starts[1:]), p[[f.name for f in kept]].iloc[part]
                 for s in range(0, len(starts), MAX_COPIES):   # a query's vector is copied to each of its blocks
@@ -472,9 +476,10 @@ def knn_approx(queries: DataFrame, docs: DataFrame, k: int, cells: int | None =
     probes the ``probes`` cells nearest to it, by default as many as ``measured_probes`` finds to reach ``recall``
     at ``k`` on this table. Only pairs of a probed cell are scored (exact inner products, cut to the top ``k``).
 
-    Cells are dealt whole into as many blocks as shuffles have partitions; one that holds more than a quarter of a
-    block's share of documents is cut into units by a hash of ``did``. A query goes once to each block that holds
-    a unit of its cells. A query can get fewer than ``k`` only if its cells hold fewer."""
+    Cells are dealt whole into the document blocks of a grid as for exact search (where vectors do not cluster, a query meets
+    nearly every block: were they as many as shuffles have partitions, its copies and its local top ``k`` would grow with
+    the table); one that holds more than a quarter of a block's share of documents is cut into units by a hash of ``did``. A query
+    goes once to each block that holds a unit of its cells. A query can get fewer than ``k`` only if its cells hold fewer."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -489,12 +494,11 @@ def knn_approx(queries: DataFrame, docs: DataFrame, k: int, cells: int | None =
     sample = hash_sample(d, did, sample_size(n), seed).select(array_to_vector("_v").alias("features"))
     centers = np.array(KMeans(k=cells, maxIter=8, seed=seed, initMode="random").fit(sample).clusterCenters())
     probes = probes or measured_probes(q, d, k, centers, recall, qid, did, seed)
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nq, blocks = _grid_shape(_bytes(q, "_qe"), _bytes(docs, "embedding"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCK_BYTES)
     hashed = d.select(did, "embedding", "_v", F.xxhash64(did).alias("_h"))
     cuts = np.ones(len(centers), np.int64)
     for r in _with_units(hashed.select("_v", "_h"), "_v", centers, cuts, "_h").groupBy("_unit").count().collect():
         cuts[r["_unit"]] = 1 + r["count"] // (n // (4 * blocks) + 1)
-    nq = _blocks(q, "_qe", MAX_BLOCK_BYTES)
     homes = (_with_units(hashed, "_v", centers, cuts, "_h").select(F.col(did).alias("_id"), F.col("embedding").alias("_dv"), "_unit")
              .withColumn("_db", F.col("_unit") % blocks).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
     asked = _probed_units(q, "_v", centers, cuts, probes, blocks).select(

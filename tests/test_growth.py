@@ -66,6 +66,38 @@ def test_maxsim_sends_a_query_once(spark):
     assert "Union" in plan and plan.count("Join") == 1      # pairs meet documents only; queries come by the union
 
 
+def test_approx_knn_sends_a_query_to_a_row_of_the_grid(spark, monkeypatch):
+    """Vectors that do not cluster: every query meets every block, so blocks must not be as many as shuffles have partitions."""
+    copies, probed = [], V._probed_units
+
+    def counted(*args):
+        out = probed(*args)
+        copies.append(out.count())
+        return out
+
+    monkeypatch.setattr(V, "_probed_units", counted)
+    X = np.random.default_rng(3).normal(size=(300, 6)).round(3)
+    X[250:] = X[:50]
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(X)], "pid long, embedding array<double>")
+    q = d.select(F.col("pid").alias("qid"), "embedding")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = sorted((r.qid, r.pid, round(r.score, 9)) for r in V.knn_approx(q, d, 4, cells=90, probes=90).collect())
+        assert copies[0] <= 300 * 8                                  # 64 blocks made up to 300 * 64
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted((r.qid, r.pid, round(r.score, 9)) for r in V.knn_flat(q, d, 4, score_digits=9).collect())
+
+
+def test_nearest_cells_equal_a_stable_sort():
+    far = np.random.default_rng(6).integers(0, 6, (40, 17)).astype(float)
+    for m in (1, 5, 16, 17):
+        near = V._nearest(far, m)
+        for i, at in enumerate(np.argsort(far, axis=1, kind="stable")[:, :m]):
+            assert set(np.flatnonzero(near[i])) == set(at)
+
+
 def test_token_spans_go_out_in_parts(monkeypatch):
     monkeypatch.setattr(T, "SPAN_CHARS", 10)
     texts = pd.Series(["a b", None, "", "x" * 25, " c, d ", "e"])
